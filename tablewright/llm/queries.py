@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q3
+from tablewright.llm import q3, q9
 
 
 def queries() -> dict:
     """opN_<name> by name."""
     return {
         "op3_chat_format": q3.op3_chat_format,
+        "op9_simhash_dedup": q9.op9_simhash_dedup,
     }
 
 
