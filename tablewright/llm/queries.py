@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q3, q9
+from tablewright.llm import q3, q8, q9
 
 
 def queries() -> dict:
     """opN_<name> by name."""
     return {
         "op3_chat_format": q3.op3_chat_format,
+        "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
     }
 
