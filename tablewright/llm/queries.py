@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q3, q8, q9
+from tablewright.llm import q1, q3, q8, q9
 
 
 def queries() -> dict:
     """opN_<name> by name."""
     return {
+        "op1_best_fit_packing": q1.op1_best_fit_packing,
         "op3_chat_format": q3.op3_chat_format,
         "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
