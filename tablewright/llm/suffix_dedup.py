@@ -176,28 +176,34 @@ def _contexts(buckets: int, splitters: list):
     column = np.arange(CONTEXT)
 
     def emit(found: list) -> pd.DataFrame:
+        pack = zstandard.ZstdCompressor(level=1)
         doc, key, at, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
         _, group = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)
         first = np.full(group.max() + 1, np.iinfo(np.int64).max)
         np.minimum.at(first, group, doc)
         # An equal context of a smaller doc_id covers all windows of this anchor.
         covered = first[group] < doc
+        low, high = _valid(ctx)
+        sure = _joined(doc[covered], key[covered], (at - high)[covered], (at - low + WIDTH)[covered])
+        doc, key, at, ctx = doc[~covered], key[~covered], at[~covered], ctx[~covered]
         lead = ctx[:, LEFT : LEFT + 8].copy().view(">u8").reshape(-1).astype(np.uint64)
         ranges = np.searchsorted(splits, lead, side="right")
-        low, high = _valid(ctx)
-        return pd.DataFrame(
-            {
-                "doc_id": doc,
-                "text_key": key,
-                "at": np.where(covered, at - high, at).astype(np.int32),
-                "end": np.where(covered, at - low + WIDTH, 0).astype(np.int32),
-                "range": np.where(covered, -1 - (np.arange(len(doc)) % 64), ranges).astype(np.int32),
-                "ctx": [None if c else x.tobytes() for c, x in zip(covered, ctx, strict=True)],
-            }
-        )
+        order = np.argsort(ranges, kind="stable")
+        doc, key, at, ctx, ranges = doc[order], key[order], at[order], ctx[order], ranges[order]
+        cut = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(doc) else np.empty(0, np.int64)
+        rows = [(-1 - i % 64, 0, None, *x) for i, x in enumerate(zip(*(c.tolist() for c in sure), strict=True))]
+        for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+            least = int(doc[a:b].min())
+            parts = (doc[a:b] - least).astype("<u8"), key[a:b].astype("<i4"), at[a:b].astype("<u4")
+            body = b"".join(map(_planes, parts)) + ctx[a:b].tobytes()
+            rows.append((int(ranges[a]), least, pack.compress(body), 0, 0, 0, 0))
+        return pd.DataFrame(rows, columns=["range", "low", "blob", "doc_id", "text_key", "at", "end"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
+            part = part[part["shared"].notna()]
+            if part.empty:
+                continue
             ids, texts = part["doc_id"].to_numpy(np.int64), list(part["body"])
             found, held = [], 0
             for i, j, data, bounds in _chunks(texts):
@@ -238,6 +244,20 @@ def _contexts(buckets: int, splitters: list):
     return run
 
 
+def _joined(doc: np.ndarray, key: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple:
+    """Spans of one document that touch, in one; they come in order of place."""
+    if not len(doc):
+        return doc, key, at, end
+    order = np.lexsort((at, key, doc))
+    doc, key, at, end = doc[order], key[order], at[order], end[order]
+    # Places are under 2**31 and spans of a document are sorted, so that a running maximum needs no reset.
+    run = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))
+    reach = np.maximum.accumulate(end + run * (1 << 32)) - run * (1 << 32)
+    new = np.append(True, (run[1:] != run[:-1]) | (at[1:] > reach[:-1]))
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
+    return doc[new], key[new], at[new], reach[last]
+
+
 def _valid(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least and the largest offset of an anchor in the windows that lie in its document."""
     high = (ctx[:, : LEFT + 1] != PAD).sum(axis=1) - 1
@@ -297,32 +317,42 @@ def range_spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, ctx: np.ndarra
         least[hit] = np.minimum(least[hit], offset)
         most[hit] = offset
     hit = np.flatnonzero(most >= 0)
-    return pd.DataFrame(
-        {"doc_id": doc[hit], "text_key": key[hit], "at": at[hit] - most[hit], "end": at[hit] - least[hit] + WIDTH}
-    ).astype({"at": np.int32, "end": np.int32})
+    joined = _joined(doc[hit], key[hit], at[hit] - most[hit], at[hit] - least[hit] + WIDTH)
+    return pd.DataFrame(dict(zip(("doc_id", "text_key", "at", "end"), joined, strict=True))).astype(
+        {"at": np.int32, "end": np.int32}
+    )
 
 
 def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by range; a range's rows are compared together."""
-    held: list[pd.DataFrame] = []
+    held: list[tuple] = []
+    current = None
+    unpack = zstandard.ZstdDecompressor()
 
     def flush() -> Iterator[pd.DataFrame]:
         if held:
-            rows = pd.concat(held, ignore_index=True)
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            ctx = np.frombuffer(b"".join(rows["ctx"]), dtype=np.uint8).reshape(-1, CONTEXT)
-            yield range_spans(
-                rows["doc_id"].to_numpy(), rows["text_key"].to_numpy(), rows["at"].to_numpy(np.int64), ctx
-            )
+            yield range_spans(*columns)
 
     for part in batches:
-        sure = part[part["range"] < 0]
-        if len(sure):
-            yield sure[["doc_id", "text_key", "at", "end"]]
-        for value, rows in part[part["range"] >= 0].groupby("range", sort=True):
-            if held and held[-1]["range"].iloc[0] != value:
+        sure = part["range"] < 0
+        if sure.any():
+            yield part.loc[sure, ["doc_id", "text_key", "at", "end"]]
+        for r in part[~sure].itertuples(index=False):
+            if r.range != current:
                 yield from flush()
-            held.append(rows)
+                current = r.range
+            body = unpack.decompress(r.blob)
+            n = len(body) // (16 + CONTEXT)
+            held.append(
+                (
+                    _unplanes(body[: 8 * n], "<u8").astype(np.int64) + r.low,
+                    _unplanes(body[8 * n : 12 * n], "<i4"),
+                    _unplanes(body[12 * n : 16 * n], "<u4").astype(np.int64),
+                    np.frombuffer(body, np.uint8, offset=16 * n).reshape(n, CONTEXT),
+                )
+            )
     yield from flush()
 
 
@@ -339,17 +369,19 @@ def _merge(spans: list, n: int) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         rows = []
-        for body, at, end in zip(part["body"], part["at"], part["end"], strict=True):
-            spans = [] if at is None else _merge(list(zip(at.tolist(), end.tolist(), strict=True)), len(body))
+        for body, spans in zip(part["body"], part["spans"], strict=True):
+            own = np.uint32(zlib.crc32(body)).view(np.int32)
+            mine = [(x["at"], x["end"]) for x in spans if x["text_key"] == own] if spans is not None else []
+            merged = _merge(mine, len(body))
             kept, last = [], 0
-            for a, b in spans:
+            for a, b in merged:
                 kept.append(body[last:a])
                 last = b
             kept.append(body[last:])
             rest = b"".join(kept)
-            rows.append((len(body), sum(b - a for a, b in spans), len(spans), rest, hashlib.sha256(rest).hexdigest()))
+            rows.append((len(body), sum(b - a for a, b in merged), len(merged), rest, hashlib.sha256(rest).hexdigest()))
         out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-        out.insert(0, "doc_id", part["doc_id"].to_numpy())
+        out.insert(0, "doc_id", part["doc_id"].reset_index(drop=True))
         yield out
 
 
@@ -382,7 +414,7 @@ def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     n = partitions(docs)
     bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     known = bodies.filter("doc_id IS NOT NULL")
-    ranges = _splitters(known.filter(F.length("body") >= WIDTH), 4 * n)
+    ranges = _splitters(known.filter(F.length("body") >= WIDTH), 2 * n)
     blobs = known.mapInPandas(_anchor_blobs(n), "bucket int, low long, blob binary")
     shared = (
         blobs.groupBy("bucket")
@@ -390,16 +422,14 @@ def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
     )
-    contexts = bodies.join(shared, "doc_id").mapInPandas(
-        _contexts(n, ranges), "doc_id long, text_key int, at int, end int, range int, ctx binary"
+    # Both joins deal the same documents by doc_id, so Spark can use one exchange for the two.
+    contexts = bodies.join(shared, "doc_id", "left").mapInPandas(
+        _contexts(n, ranges), "range int, low long, blob binary, doc_id long, text_key int, at int, end int"
     )
     spans = contexts.repartition(n, "range").sortWithinPartitions("range").mapInPandas(
         _spans, "doc_id long, text_key int, at int, end int"
     )
-    listed = spans.groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"), F.collect_list("end").alias("end"))
-    own_key = F.crc32("body")
-    text_key = F.when(own_key >= 1 << 31, own_key - (1 << 32)).otherwise(own_key).cast("int")
-    joined = bodies.withColumn("text_key", text_key).join(listed, ["doc_id", "text_key"], "left")
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "end")).alias("spans"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    out = joined.select("doc_id", "body", "at", "end").mapInPandas(_cut, kind)
+    out = bodies.join(listed, "doc_id", "left").mapInPandas(_cut, kind)
     return out if with_bytes else out.drop("kept")
