@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q3, q8, q9
+from tablewright.llm import q1, q3, q4, q5, q8, q9
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "op1_best_fit_packing": q1.op1_best_fit_packing,
         "op3_chat_format": q3.op3_chat_format,
+        "op4_embedding_dedup": q4.op4_embedding_dedup,
+        "op5_top_k_search": q5.op5_top_k_search,
         "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
     }
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op3_chat_format": q3.SQL}
+    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL}
