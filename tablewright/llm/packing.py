@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +29,10 @@ from tablewright.llm.shared import written
 
 LENGTH, CELL, ISLANDS, EPOCHS = 2048, 4096, 3, 3
 POPULATION, CHILDREN, OPEN_BINS = 4, 6, 8
-CACHE_WORDS = 400_000
+CACHE_WORDS, GROUP = 1_000_000, 256
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: A comma or full stop between a letter and white space is a token apart.
+_MARK = re.compile("([.,])(?<=[a-zà-öø-ÿ].)(?=\\s)")
 _STATE: dict = {}
 
 
@@ -47,33 +51,31 @@ class WordIds:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        cores = {}
-        for w in words:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ",." and w[:-1].isalpha() else (w, "")
-            cores[w] = (core.lower() if core.isascii() and core.isalpha() else core, mark)
-        need = [w for w in {c for pair in cores.values() for c in pair} - self.known.keys() if w]
-        self.known.update(zip(need, self._encode(need), strict=True))
-        self.known[""] = b""
-        for w, (core, mark) in cores.items():
-            self.known[w] = self.known[core] + self.known[mark]
-
-    def ids(self, text: str) -> bytes:
-        """The ids of one text."""
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            known = self.known
-            self._learn({w for w in words if w not in known} if len(known) <= CACHE_WORDS else set(words))
-            return b"".join(map(self.known.__getitem__, words))
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of some texts."""
+        split, known = [_split(t) for t in texts], self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = [w for w in set(chain.from_iterable(filter(None, split))) if w not in known]
+        known.update(zip(new, self._encode(new), strict=True))
+        look = known.__getitem__
+        return [
+            self._encode([t])[0] if words is None else b"".join(map(look, words))
+            for t, words in zip(texts, split, strict=True)
+        ]
+
+
+def _split(text: str) -> list[str] | None:
+    """Words whose ids make up the text's; None for a text that is to be encoded whole."""
+    if _ODD_SPACE.search(text):
+        return None
+    if "<|" not in text and "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
+        # The tokenizer lower-cases too; fewer forms then need to be kept.
+        text = _MARK.sub(r" \1", text.lower())
+    return text.split()
 
 
 def _pieces(path: str):
@@ -83,8 +85,10 @@ def _pieces(path: str):
         words = _STATE[path]
         for part in batches:
             which, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(part["text"]):
-                ids = words.ids(text or "") + b"\0\0\0\0"
+            texts = [t or "" for t in part["text"]]
+            encoded = (x for a in range(0, len(texts), GROUP) for x in words.ids(texts[a : a + GROUP]))
+            for i, body in enumerate(encoded):
+                ids = body + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * LENGTH)):
                     body = ids[at : at + 4 * LENGTH]
                     which.append(i)

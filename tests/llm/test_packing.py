@@ -17,8 +17,8 @@ def test_word_ids_equal_whole_text_ids():
     rng = np.random.default_rng(1)
     pool = list("aB.,'é<|> \n\t 1ßΣ́") + ["'ll", "<|endoftext|>"]
     texts += ["".join(rng.choice(pool, 60)) for _ in range(300)]
-    for t in texts + texts:
-        assert np.frombuffer(words.ids(t), "<u4").tolist() + [0] == whole_ids(words.tokenizer, t), t
+    for t, ids in zip(texts + texts, words.ids(texts + texts)):
+        assert np.frombuffer(ids, "<u4").tolist() + [0] == whole_ids(words.tokenizer, t), t
 
 
 def check(rows, docs, tokenizer):
