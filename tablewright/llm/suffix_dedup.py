@@ -38,7 +38,7 @@ WINDOWS = WIDTH - GRAM + 1
 LEFT = WIDTH - GRAM
 CONTEXT = LEFT + WIDTH
 PAD = 255  # never a byte of UTF-8
-CHUNK_BYTES, BLOB_ENTRIES, CONTEXT_ROWS = 1 << 20, 1 << 20, 1 << 18
+CHUNK_BYTES, BLOB_ENTRIES, CONTEXT_ROWS = 1 << 20, 1 << 19, 1 << 17
 #: The splitters' sample: a share of the documents, and at most so many of their anchors.
 SAMPLE_SHARE, SAMPLE_DOCS = 0.01, 2000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
@@ -145,29 +145,64 @@ def _anchor_blobs(buckets: int):
     return run
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: each document's hashes that another document has too."""
-    los, docs = [], []
-    unpack = zstandard.ZstdDecompressor()
-    for low, blob in zip(pdf["low"], pdf["blob"], strict=True):
+def _grouped(doc: np.ndarray, groups: int) -> np.ndarray:
+    """A group of each doc_id, by a hash."""
+    mixed = (doc.astype(np.uint64) * _M1) ^ ((doc.astype(np.uint64) * _M3) >> np.uint64(29))
+    return (((mixed >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    if not len(sorted_values):
+        return []
+    cut = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))
+    return list(zip(cut.tolist(), np.append(cut[1:], len(sorted_values)).tolist(), strict=True))
+
+
+def _shared(groups: int):
+    """Of one bucket: documents' hashes that another document has too, as a blob for each group of documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        los, docs = [], []
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        for low, blob in zip(pdf["low"], pdf["blob"], strict=True):
+            body = unpack.decompress(blob)
+            n = len(body) // 12
+            los.append(_unplanes(body[: 4 * n], "<u4"))
+            docs.append(_unplanes(body[4 * n :], "<u8").astype(np.int64) + low)
+        lo, doc = np.concatenate(los), np.concatenate(docs)
+        order = np.lexsort((doc, lo))
+        lo, doc = lo[order], doc[order]
+        keep = np.append(True, (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1]))
+        lo, doc = lo[keep], doc[keep]
+        same = lo[1:] == lo[:-1]
+        many = np.append(same, False) | np.append(False, same)
+        lo, doc = lo[many], doc[many]
+        group = _grouped(doc, groups)
+        order = np.lexsort((doc, group))
+        lo, doc, group = lo[order], doc[order], group[order]
+        bucket, rows = int(pdf["bucket"].iloc[0]), []
+        for a, b in _runs(group):
+            body = _planes(lo[a:b].astype("<u4")) + _planes((doc[a:b] - doc[a]).astype("<u8"))
+            rows.append((int(group[a]), bucket, int(doc[a]), pack.compress(body)))
+        return pd.DataFrame(rows, columns=["group", "bucket", "low", "blob"])
+
+    return run
+
+
+def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one group of documents: each one's shared hashes, with the bucket in front."""
+    unpack, hashes, docs = zstandard.ZstdDecompressor(), [], []
+    for bucket, low, blob in zip(pdf["bucket"], pdf["low"], pdf["blob"], strict=True):
         body = unpack.decompress(blob)
         n = len(body) // 12
-        los.append(_unplanes(body[: 4 * n], "<u4"))
+        hashes.append((np.uint64(bucket) << np.uint64(32)) | _unplanes(body[: 4 * n], "<u4").astype(np.uint64))
         docs.append(_unplanes(body[4 * n :], "<u8").astype(np.int64) + low)
-    lo, doc = np.concatenate(los), np.concatenate(docs)
-    order = np.lexsort((doc, lo))
-    lo, doc = lo[order], doc[order]
-    keep = np.append(True, (lo[1:] != lo[:-1]) | (doc[1:] != doc[:-1]))
-    lo, doc = lo[keep], doc[keep]
-    same = lo[1:] == lo[:-1]
-    many = np.append(same, False) | np.append(False, same)
-    lo, doc = lo[many], doc[many]
+    h, doc = np.concatenate(hashes), np.concatenate(docs)
     order = np.argsort(doc, kind="stable")
-    lo, doc = lo[order], doc[order]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    bucket = int(pdf["bucket"].iloc[0])
-    parts = [lo[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(lo)), strict=True)] if len(cut) else []
-    return pd.DataFrame({"doc_id": doc[cut], "bucket": np.full(len(cut), bucket, np.int32), "hashes": parts})
+    h, doc = h[order], doc[order]
+    runs = _runs(doc)
+    return pd.DataFrame({"doc_id": [int(doc[a]) for a, _ in runs], "shared": [h[a:b].tobytes() for a, b in runs]})
 
 
 def _contexts(buckets: int, splitters: list):
@@ -219,11 +254,7 @@ def _contexts(buckets: int, splitters: list):
                     a, b = firsts[k], firsts[k + 1]
                     if a == b:
                         continue
-                    wanted = [
-                        (np.uint64(x["bucket"]) << np.uint64(32)) | np.frombuffer(x["hashes"], "<u4").astype(np.uint64)
-                        for x in part["shared"].iloc[i + k]
-                    ]
-                    chosen[a:b] = np.isin(small[a:b], np.concatenate(wanted))
+                    chosen[a:b] = np.isin(small[a:b], np.frombuffer(part["shared"].iloc[i + k], "<u8"))
                 at, doc = at[chosen], doc[chosen]
                 keys = np.array([zlib.crc32(t) for t in texts[i:j]], dtype=np.uint32).view(np.int32)
                 padded = np.concatenate((np.full(LEFT, PAD, np.uint8), data, np.full(WIDTH, PAD, np.uint8)))
@@ -417,10 +448,12 @@ def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     ranges = _splitters(known.filter(F.length("body") >= WIDTH), 2 * n)
     blobs = known.mapInPandas(_anchor_blobs(n), "bucket int, low long, blob binary")
     shared = (
-        blobs.groupBy("bucket")
-        .applyInPandas(_shared, "doc_id long, bucket int, hashes binary")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
+        blobs.repartition(n, "bucket")
+        .groupBy("bucket")
+        .applyInPandas(_shared(n), "group int, bucket int, low long, blob binary")
+        .repartition(n, "group")
+        .groupBy("group")
+        .applyInPandas(_by_document, "doc_id long, shared binary")
     )
     # Both joins deal the same documents by doc_id, so Spark can use one exchange for the two.
     contexts = bodies.join(shared, "doc_id", "left").mapInPandas(
