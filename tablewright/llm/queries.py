@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q3, q4, q5, q8, q9
+from tablewright.llm import q1, q3, q4, q5, q8, q9, q10
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_top_k_search": q5.op5_top_k_search,
         "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
+        "op10_toxicity": q10.op10_toxicity,
     }
 
 
