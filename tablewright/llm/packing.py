@@ -22,6 +22,8 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +31,17 @@ from tablewright.llm.shared import written
 
 LENGTH, CELL, ISLANDS, EPOCHS = 2048, 4096, 3, 3
 POPULATION, CHILDREN, OPEN_BINS = 4, 6, 8
-CACHE_WORDS, GROUP = 1_000_000, 256
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+CACHE_WORDS, RUN_WORDS, GROUP_CHARS = 1_000_000, 256, 8_000_000
 #: A comma or full stop between a letter and white space is a token apart.
 _MARK = re.compile("([.,])(?<=[a-zà-öø-ÿ].)(?=\\s)")
 _STATE: dict = {}
 
 
 class WordIds:
-    """Token ids of texts as little-endian bytes; ids of words are kept, up to CACHE_WORDS of them.
+    """Token ids of texts; ids of words are kept, up to CACHE_WORDS of them.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.
-    A text with the controls 1C-1F, which only Python counts as spaces, is encoded whole.
+    Arrow splits texts and numbers their distinct words; only those are looked up or encoded.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,34 +49,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _each(self, words: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(words, found, strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters alone are encoded in runs: each ends with an end-of-word token."""
+        self._each([w for w in words if not w.isalpha()])
+        plain = [w for w in words if w.isalpha()]
+        runs = [plain[a : a + RUN_WORDS] for a in range(0, len(plain), RUN_WORDS)]
+        found = self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)
+        for run, e in zip(runs, found, strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(run) or cut[-1] != len(ids):
+                self._each(run)
+                continue
+            body, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+            self.known.update((w, body[x:y]) for w, x, y in zip(run, at, at[1:], strict=False))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of some texts."""
-        split, known = [_split(t) for t in texts], self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in set(chain.from_iterable(filter(None, split))) if w not in known]
-        known.update(zip(new, self._encode(new), strict=True))
-        look = known.__getitem__
-        return [
-            self._encode([t])[0] if words is None else b"".join(map(look, words))
-            for t, words in zip(texts, split, strict=True)
-        ]
-
-
-def _split(text: str) -> list[str] | None:
-    """Words whose ids make up the text's; None for a text that is to be encoded whole."""
-    if _ODD_SPACE.search(text):
-        return None
+        """The ids of some texts, as little-endian bytes."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        lists = pc.ascii_split_whitespace(pa.array([_lowered(t) for t in texts], pa.large_string()))
+        coded = lists.values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        each = list(map(self.known.__getitem__, words))
+        flat = np.frombuffer(b"".join(each), dtype="<u4")
+        sizes = np.array([len(x) for x in each], dtype=np.int64) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        out = flat[np.repeat(starts[codes] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()]
+        return [out[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _lowered(text: str) -> str:
+    """The text as the tokenizer lower-cases it, where that is sure; fewer words are then distinct."""
     if "<|" not in text and "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
-        # The tokenizer lower-cases too; fewer forms then need to be kept.
-        text = _MARK.sub(r" \1", text.lower())
-    return text.split()
+        return _MARK.sub(r" \1", text.lower())
+    return text
 
 
 def _pieces(path: str):
@@ -86,7 +108,7 @@ def _pieces(path: str):
         for part in batches:
             which, piece, start, length, crc = [], [], [], [], []
             texts = [t or "" for t in part["text"]]
-            encoded = (x for a in range(0, len(texts), GROUP) for x in words.ids(texts[a : a + GROUP]))
+            encoded = (x for a, b in _groups(texts) for x in words.ids(texts[a:b]))
             for i, body in enumerate(encoded):
                 ids = body + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * LENGTH)):
@@ -109,6 +131,18 @@ def _pieces(path: str):
     return run
 
 
+def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about GROUP_CHARS in all."""
+    a = total = 0
+    for b, t in enumerate(texts):
+        total += len(t)
+        if total >= GROUP_CHARS:
+            yield a, b + 1
+            a, total = b + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], free: list[int]) -> None:
     """Put items, largest first, each into the bin with the least room that still holds it."""
     rooms = sorted((room, b) for b, room in enumerate(free) if room)
