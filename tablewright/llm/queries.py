@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q3, q4, q5, q7, q8, q9, q10
+from tablewright.llm import q1, q3, q4, q5, q6, q7, q8, q9, q10
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_chat_format": q3.op3_chat_format,
         "op4_embedding_dedup": q4.op4_embedding_dedup,
         "op5_top_k_search": q5.op5_top_k_search,
+        "op6_license_scan": q6.op6_license_scan,
         "op7_html_text": q7.op7_html_text,
         "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
@@ -21,4 +22,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL}
+    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL}

@@ -397,23 +397,29 @@ def _merge(spans: list, n: int) -> list[tuple[int, int]]:
     return [(a, min(b, n)) for a, b in out]
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in batches:
-        rows = []
-        for body, spans in zip(part["body"], part["spans"], strict=True):
-            own = np.uint32(zlib.crc32(body)).view(np.int32)
-            mine = [(x["at"], x["end"]) for x in spans if x["text_key"] == own] if spans is not None else []
-            merged = _merge(mine, len(body))
-            kept, last = [], 0
-            for a, b in merged:
-                kept.append(body[last:a])
-                last = b
-            kept.append(body[last:])
-            rest = b"".join(kept)
-            rows.append((len(body), sum(b - a for a, b in merged), len(merged), rest, hashlib.sha256(rest).hexdigest()))
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-        out.insert(0, "doc_id", part["doc_id"].reset_index(drop=True))
-        yield out
+def _cut(with_text: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for body, spans in zip(part["body"], part["spans"], strict=True):
+                own = np.uint32(zlib.crc32(body)).view(np.int32)
+                mine = [(x["at"], x["end"]) for x in spans if x["text_key"] == own] if spans is not None else []
+                merged = _merge(mine, len(body))
+                kept, last = [], 0
+                for a, b in merged:
+                    kept.append(body[last:a])
+                    last = b
+                kept.append(body[last:])
+                rest = b"".join(kept)
+                text = rest.decode("utf-8", "ignore") if with_text else None
+                removed = sum(b - a for a, b in merged)
+                rows.append((len(body), removed, len(merged), text, hashlib.sha256(rest).hexdigest()))
+            out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "text", "kept_sha256"])
+            out.insert(0, "doc_id", part["doc_id"].reset_index(drop=True))
+            out["carried"] = part["carried"].reset_index(drop=True)
+            yield out
+
+    return run
 
 
 def _splitters(bodies: DataFrame, n: int) -> list[int]:
@@ -433,8 +439,10 @@ def _splitters(bodies: DataFrame, n: int) -> list[int]:
     return sorted({(int(c) ^ -(1 << 63)) & (2**64 - 1) for c in cuts or []})
 
 
-def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for each row of docs.
+def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the columns named in carry, for each row of docs.
+
+    with_text adds text: the bytes left, without the remains of characters that a cut has split.
 
     docs has doc_id and text; other columns are ignored. A null text is empty. Texts of
     fewer than WIDTH bytes lose nothing. A row with a null doc_id is compared with nothing. Rows
@@ -443,8 +451,11 @@ def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     to 2 GB.
     """
     n = partitions(docs)
-    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    known = bodies.filter("doc_id IS NOT NULL")
+    carry = carry or []
+    # In a struct, so that no name of a carried column can clash.
+    carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), carried.alias("carried"))
+    known = bodies.filter("doc_id IS NOT NULL").select("doc_id", "body")
     ranges = _splitters(known.filter(F.length("body") >= WIDTH), 2 * n)
     blobs = known.mapInPandas(_anchor_blobs(n), "bucket int, low long, blob binary")
     shared = (
@@ -463,6 +474,8 @@ def cut_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         _spans, "doc_id long, text_key int, at int, end int"
     )
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "end")).alias("spans"))
-    kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    out = bodies.join(listed, "doc_id", "left").mapInPandas(_cut, kind)
-    return out if with_bytes else out.drop("kept")
+    own = bodies.schema["carried"].dataType.simpleString()
+    kind = f"doc_id long, n_bytes long, n_removed long, n_spans long, text string, kept_sha256 string, carried {own}"
+    out = bodies.join(listed, "doc_id", "left").mapInPandas(_cut(with_text), kind)
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else [])]
+    return out.select(*columns, *[F.col("carried")[f"c{i}"].alias(c) for i, c in enumerate(carry)])

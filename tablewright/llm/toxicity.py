@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE, VOCABULARY = 20_000, 4096
 NEIGHBOURS, BLOCK, PRIOR, REST = 16, 64, 0.5, 3.0
@@ -261,3 +262,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     kind = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(run, kind)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted to be toxic."""
+    model = fit(docs, labels)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t)[0] for t in texts], dtype="float64")
+
+    return docs.filter(score("text") < 0.5)
