@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q3, q4, q5, q6, q7, q8, q9, q10
+from tablewright.llm import q1, q2, q3, q4, q5, q6, q7, q8, q9, q10
 
 
 def queries() -> dict:
     """opN_<name> by name."""
     return {
         "op1_best_fit_packing": q1.op1_best_fit_packing,
+        "op2_sentencepiece": q2.op2_sentencepiece,
         "op3_chat_format": q3.op3_chat_format,
         "op4_embedding_dedup": q4.op4_embedding_dedup,
         "op5_top_k_search": q5.op5_top_k_search,
