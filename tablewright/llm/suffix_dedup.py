@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,16 +69,20 @@ def _grams(data: np.ndarray) -> np.ndarray:
     return g ^ (g >> np.uint64(31))
 
 
-def _chunks(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of documents [i, j) of about CHUNK_BYTES: their bytes in one array, and their bounds in it."""
-    i = 0
-    while i < len(texts):
-        j, total = i, 0
-        while j < len(texts) and (j == i or total + len(texts[j]) <= CHUNK_BYTES):
-            total += len(texts[j])
-            j += 1
-        bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts[i:j]])))
-        yield i, j, np.frombuffer(b"".join(texts[i:j]), dtype=np.uint8), bounds
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and its rows' bounds in them; nothing is copied."""
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    bounds = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), bounds
+
+
+def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows [i, j) of about CHUNK_BYTES: their bytes, and their bounds in these."""
+    i, n = 0, len(bounds) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, side="right")) - 1)
+        yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 
 
@@ -96,7 +101,8 @@ def _anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = np.flatnonzero(most == g)
     doc = np.searchsorted(bounds, at, side="right") - 1
     at = at[at + GRAM <= bounds[doc + 1]]
-    return at, g[at]
+    # Anchors' hashes are small, being minima; multiplied, they deal evenly into buckets.
+    return at, g[at] * _M2
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -108,11 +114,30 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+_BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.int64()), ("blob", pa.binary())])
+_CONTEXTS = pa.schema(
+    [
+        ("range", pa.int32()),
+        ("low", pa.int64()),
+        ("blob", pa.binary()),
+        ("doc_id", pa.int64()),
+        ("text_key", pa.int32()),
+        ("at", pa.int32()),
+        ("end", pa.int32()),
+    ]
+)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _anchor_blobs(buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
 
-        def blobs(hashes: list, docs: list) -> pd.DataFrame:
+        def blobs(hashes: list, docs: list) -> pa.RecordBatch:
             g, d = np.concatenate(hashes), np.concatenate(docs)
             order = np.argsort(g, kind="stable")
             g, d = g[order], d[order]
@@ -124,12 +149,12 @@ def _anchor_blobs(buckets: int):
                 lo = (g[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 body = _planes(lo) + _planes((d[a:b] - low).astype("<u8"))
                 rows.append((int(bucket[a]), low, pack.compress(body)))
-            return pd.DataFrame(rows, columns=["bucket", "low", "blob"])
+            return _batch(rows, _BLOBS)
 
         hashes, docs, n = [], [], 0
         for part in batches:
-            ids, texts = part["doc_id"].to_numpy(np.int64), list(part["body"])
-            for i, j, data, bounds in _chunks(texts):
+            ids = part.column("doc_id").to_numpy()
+            for i, j, data, bounds in _chunks(*_bytes_of(part.column("body"))):
                 at, g = _anchors(data, bounds)
                 if len(at):
                     doc = ids[i:j][np.searchsorted(bounds, at, side="right") - 1]
@@ -210,7 +235,7 @@ def _contexts(buckets: int, splitters: list):
     splits = np.array(splitters, dtype=np.uint64)
     column = np.arange(CONTEXT)
 
-    def emit(found: list) -> pd.DataFrame:
+    def emit(found: list) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
         doc, key, at, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
         _, group = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)
@@ -232,16 +257,17 @@ def _contexts(buckets: int, splitters: list):
             parts = (doc[a:b] - least).astype("<u8"), key[a:b].astype("<i4"), at[a:b].astype("<u4")
             body = b"".join(map(_planes, parts)) + ctx[a:b].tobytes()
             rows.append((int(ranges[a]), least, pack.compress(body), 0, 0, 0, 0))
-        return pd.DataFrame(rows, columns=["range", "low", "blob", "doc_id", "text_key", "at", "end"])
+        return _batch(rows, _CONTEXTS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            part = part[part["shared"].notna()]
-            if part.empty:
+            part = part.filter(part.column("shared").is_valid())
+            if not part.num_rows:
                 continue
-            ids, texts = part["doc_id"].to_numpy(np.int64), list(part["body"])
+            ids = part.column("doc_id").to_numpy()
+            replies, places = _bytes_of(part.column("shared"))
             found, held = [], 0
-            for i, j, data, bounds in _chunks(texts):
+            for i, j, data, bounds in _chunks(*_bytes_of(part.column("body"))):
                 at, g = _anchors(data, bounds)
                 if not len(at):
                     continue
@@ -254,9 +280,10 @@ def _contexts(buckets: int, splitters: list):
                     a, b = firsts[k], firsts[k + 1]
                     if a == b:
                         continue
-                    chosen[a:b] = np.isin(small[a:b], np.frombuffer(part["shared"].iloc[i + k], "<u8"))
+                    chosen[a:b] = np.isin(small[a:b], np.frombuffer(replies[places[i + k] : places[i + k + 1]].tobytes(), "<u8"))
                 at, doc = at[chosen], doc[chosen]
-                keys = np.array([zlib.crc32(t) for t in texts[i:j]], dtype=np.uint32).view(np.int32)
+                keys = [zlib.crc32(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                keys = np.array(keys, dtype=np.uint32).view(np.int32)
                 padded = np.concatenate((np.full(LEFT, PAD, np.uint8), data, np.full(WIDTH, PAD, np.uint8)))
                 views = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)
                 for a in range(0, len(at), CONTEXT_ROWS):
@@ -425,15 +452,15 @@ def _cut(with_text: bool):
 def _splitters(bodies: DataFrame, n: int) -> list[int]:
     """n - 1 values that part the leading bytes of a bounded sample's anchors evenly."""
 
-    def leads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for _, _, data, bounds in _chunks(list(part["body"])):
+            for _, _, data, bounds in _chunks(*_bytes_of(part.column("body"))):
                 at, _ = _anchors(data, bounds)
                 at = at[:: max(1, len(at) // 4096)]
                 lead = np.lib.stride_tricks.sliding_window_view(data, 8)[at].copy().view(">u8") if len(at) else np.empty(0)
-                yield pd.DataFrame({"lead": lead.reshape(-1).astype(np.uint64).view(np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array(lead.reshape(-1).astype(np.uint64).view(np.int64))], names=["lead"])
 
-    sample = bodies.sample(SAMPLE_SHARE, seed=1).limit(SAMPLE_DOCS).mapInPandas(leads, "lead long")
+    sample = bodies.sample(SAMPLE_SHARE, seed=1).limit(SAMPLE_DOCS).mapInArrow(leads, "lead long")
     unsigned = F.col("lead").bitwiseXOR(F.lit(-(1 << 63)))
     cuts = sample.agg(F.percentile_approx(unsigned, [i / n for i in range(1, n)] or [0.5], 1000)).first()[0]
     return sorted({(int(c) ^ -(1 << 63)) & (2**64 - 1) for c in cuts or []})
@@ -456,8 +483,8 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), carried.alias("carried"))
     known = bodies.filter("doc_id IS NOT NULL").select("doc_id", "body")
-    ranges = _splitters(known.filter(F.length("body") >= WIDTH), 2 * n)
-    blobs = known.mapInPandas(_anchor_blobs(n), "bucket int, low long, blob binary")
+    ranges = _splitters(known.filter(F.length("body") >= WIDTH).select("body"), 2 * n)
+    blobs = known.mapInArrow(_anchor_blobs(n), "bucket int, low long, blob binary")
     shared = (
         blobs.repartition(n, "bucket")
         .groupBy("bucket")
@@ -467,7 +494,7 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
         .applyInPandas(_by_document, "doc_id long, shared binary")
     )
     # Both joins deal the same documents by doc_id, so Spark can use one exchange for the two.
-    contexts = bodies.join(shared, "doc_id", "left").mapInPandas(
+    contexts = bodies.join(shared, "doc_id", "left").mapInArrow(
         _contexts(n, ranges), "range int, low long, blob binary, doc_id long, text_key int, at int, end int"
     )
     spans = contexts.repartition(n, "range").sortWithinPartitions("range").mapInPandas(
