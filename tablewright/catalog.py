@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablewright.plans import scalar_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES: list = [scalar_queries]
 
 
 def queries() -> dict[str, Query]:
