@@ -15,8 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """sql over the tables it names in braces."""
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+    """sql over the tables it names in braces; other braces stand for themselves."""
+    named = [t for t in TABLES if "{" + t + "}" in sql]
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in named:
+        sql = sql.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in named})
 
 
 def duck(sql: str) -> str:
