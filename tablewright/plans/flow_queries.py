@@ -24,7 +24,7 @@ def events(s, d):
     return table(s, d, "events").withColumn("ms", F.unix_millis(c("ts").cast("timestamp")))
 
 
-FOLD = """WITH RECURSIVE e AS (SELECT *, epoch_ms(ts) AS ms FROM events),
+FOLD = """WITH RECURSIVE e AS (SELECT *, (epoch_us(ts) // 1000) AS ms FROM events),
 o AS (SELECT {key} AS k, ms, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ms, event_id) AS n FROM e),
 w AS (SELECT k, ms, event_id, n, ms AS last, CAST(0 AS BIGINT) AS gap, true AS emitted FROM o WHERE n = 1
   UNION ALL SELECT o.k, o.ms, o.event_id, o.n, CASE WHEN o.ms - w.last >= {ms} THEN o.ms ELSE w.last END, CASE WHEN o.ms - w.last >= {ms} THEN o.ms - w.last END, o.ms - w.last >= {ms}
@@ -78,7 +78,7 @@ add(
 )
 add(
     "t14_request_spans", lambda s, d: events(s, d).groupBy("user_id", F.to_date("ts").alias("day")).agg((F.max("ms") - F.min("ms")).alias("span_ms"), F.count_if(c("event_type") == "error").alias("errors")),
-    "SELECT user_id, CAST(ts AS DATE) AS day, max(epoch_ms(ts)) - min(epoch_ms(ts)) AS span_ms, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2",
+    "SELECT user_id, CAST(ts AS DATE) AS day, max(epoch_us(ts) // 1000) - min(epoch_us(ts) // 1000) AS span_ms, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2",
 )
 add(
     "o10_merged_stages", lambda s, d: t.merged_stages(table(s, d, "events").select("user_id", "event_id", F.create_map("event_type", c("event_id").cast("string")).alias("stages")), "user_id", "event_id", "stages").select("user_id", F.to_json("stages").alias("stages")),
@@ -87,7 +87,7 @@ add(
 )
 add(
     "t13_session_windows", lambda s, d: table(s, d, "events").groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_millis(c("w.start").cast("timestamp")).alias("start_ms"), "n"),
-    """SELECT user_id, min(epoch_ms(ts)) AS start_ms, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (
+    """SELECT user_id, min((epoch_us(ts) // 1000)) AS start_ms, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (
       SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS f FROM events)) GROUP BY user_id, g""",
 )
 LINKS = "SELECT CAST(n_nationkey AS BIGINT) AS page, CASE WHEN n_nationkey % 6 = 5 THEN CAST(NULL AS BIGINT) ELSE CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) END AS next FROM {nation}"
