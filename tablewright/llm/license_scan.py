@@ -8,6 +8,7 @@ m if n is between m * t / (2 - t) and m * (2 - t) / t.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,21 @@ def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str
     return out
 
 
+def signature_words(rows: list[tuple[str, list[str]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold for some template holds one.
+
+    A unit shares at least t / (2 - t) of a template's m bigrams with it; so it shares one of any
+    m - ceil(m * t / (2 - t)) + 1 of them. Those with the longest words are chosen, and of each the longest word.
+    """
+    out = set()
+    for _, pairs in rows:
+        m = len(pairs)
+        spare = m - math.ceil(m * threshold / (2 - threshold) - 1e-9) + 1
+        longest = sorted((max(p.split(" "), key=lambda w: (len(w), w)) for p in pairs), key=lambda w: (-len(w), w))
+        out.update(longest[:spare])
+    return sorted(out)
+
+
 def normalised(text: Column) -> Column:
     """Lower case, letters and digits in words that one space parts."""
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -79,6 +95,14 @@ def scan_licenses(
     )
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fewest = min(len(p) for _, p in rows) * low
+    signs = signature_words(rows, threshold)
+
+    def may_match(c: Column) -> Column:
+        low, out = F.lower(c), F.lit(False)
+        for w in signs:
+            out = out | F.contains(low, F.lit(w))
+        return out
+
     text = F.regexp_replace("text", r"\r\n?", "\n")
     unit = lambda kind, cut, keep: F.filter(
         F.transform(
@@ -89,8 +113,8 @@ def scan_licenses(
     )
     lines = unit("line", "\n", lambda u: F.length(u["x"]) > 2)
     paragraphs = unit("paragraph", r"\n[ \t]*\n", lambda u: F.contains(F.trim(u["x"]), F.lit("\n")))
-    units = docs.filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.concat(lines, paragraphs)).alias("u"))
-    words = units.select("doc_id", "u.unit_kind", "u.unit_no", normalised(F.col("u.x")).alias("x"))
+    units = docs.filter(F.col("text").isNotNull() & may_match(F.col("text"))).select("doc_id", F.explode(F.concat(lines, paragraphs)).alias("u"))
+    words = units.filter(may_match(F.col("u.x"))).select("doc_id", "u.unit_kind", "u.unit_no", normalised(F.col("u.x")).alias("x"))
     spaces = F.length("x") - F.length(F.replace("x", F.lit(" ")))
     words = words.filter((spaces >= F.lit(int(fewest))) & (spaces >= 1))
     paired = words.withColumn("w", F.split("x", " ")).drop("x")
