@@ -23,4 +23,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL}
+    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL, "op8_suffix_dedup": q8.SQL}
