@@ -36,16 +36,17 @@ def absolutize(href: Column, base: Column) -> Column:
     Paths with dot segments need resolve_url, which runs in Python.
     """
     h, b = F.trim(F.coalesce(href, F.lit(""))), F.coalesce(base, F.lit(""))
-    top, no_query = F.regexp_extract(b, ORIGIN, 1), F.regexp_replace(b, r"[?#].*$", "")
-    folder = F.concat(top, F.regexp_replace(F.concat(path(no_query), F.lit("")), r"[^/]*$", ""))
+    top, bare = F.regexp_extract(b, ORIGIN, 1), F.regexp_replace(b, r"#.*$", "")
+    folder = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*((?:/[^/?#]*)*/)", 1)
     return (
-        F.when(h == "", F.regexp_replace(b, r"#.*$", ""))
+        F.when(h == "", bare)
         .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
         .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), h))
         .when(h.startswith("/"), F.concat(top, h))
-        .when(h.startswith("#"), F.concat(F.regexp_replace(b, r"#.*$", ""), h))
-        .when(h.startswith("?"), F.concat(no_query, h))
-        .otherwise(F.concat(folder, h))
+        .when(h.startswith("#"), F.concat(bare, h))
+        .when(h.startswith("?"), F.concat(F.regexp_replace(b, r"[?#].*$", ""), h))
+        .when(folder == "", F.concat(top, F.lit("/"), h))
+        .otherwise(F.concat(top, folder, h))
     )
 
 

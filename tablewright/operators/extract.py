@@ -12,6 +12,7 @@ from tablewright.functions.prices import price_generic, price_platform
 from tablewright.functions.text import pick_first
 from tablewright.functions.urls import absolutize
 from tablewright.operators import classify, relational
+from tablewright.session import written
 
 #: Selectors are data: one profile a platform. Links that fail `keep` are no products.
 PROFILES = {
@@ -50,32 +51,49 @@ def _rank(selectors: list[str]) -> Column:
     return out
 
 
-def card_rows(nodes: DataFrame, pages: DataFrame, profile: dict) -> DataFrame:
-    """page_id, pos, title, url, img, price, sku of the outermost cards of a profile; nodes in recommendations are none."""
+def card_fields(nodes: DataFrame, profile: dict, adapter: str) -> DataFrame:
+    """page_id, card, adapter and the raw fields of every card of a profile; nodes in recommendations are none."""
     cards = nodes.filter(selects(profile["card"])).filter(~F.coalesce(F.col("attrs")["class"], F.lit("")).rlike(RECOMMENDED))
-    cards = cards.select("page_id", F.col("node").alias("card"), F.col("last").alias("end"), F.col("depth").alias("card_depth"))
+    cards = cards.select("page_id", F.col("node").alias("card"), F.col("last").alias("end"))
     inside = nodes.join(cards, "page_id").filter("node BETWEEN card AND end")
     image = best_image(
         F.array(F.col("attrs")["data-src"], F.get(srcset_urls(F.coalesce(F.col("attrs")["srcset"], F.col("attrs")["data-srcset"])), F.lit(0)), F.col("attrs")["src"])
     )
     anchor = F.when(selects("a[href]") & ~F.coalesce(F.col("attrs")["href"].startswith("#"), F.lit(False)), 0)
     rows = inside.groupBy("page_id", "card").agg(
-        pick_first(_first(_rank(profile["title"]), F.col("text")), _first(anchor, F.col("attrs")["title"]), _first(anchor, F.col("text"))).alias("title"),
+        _first(_rank(profile["title"]), F.col("text")).alias("own_title"),
+        _first(anchor, F.coalesce(F.nullif(F.col("attrs")["title"], F.lit("")), F.col("text"))).alias("link_title"),
         _first(anchor, F.col("attrs")["href"]).alias("href"),
         _first(F.when(selects("img"), 0), image).alias("src"),
         _first(_rank(profile["price"]), F.coalesce(F.col("attrs")["data-price-amount"], F.col("attrs")["content"], F.col("text"))).alias("price_text"),
         _first(_rank(["[data-sku]", "[itemprop=sku]", ".sku"]), F.coalesce(F.col("attrs")["data-sku"], F.col("attrs")["content"], F.col("text"))).alias("own_sku"),
     )
-    named = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
-    link, price = absolutize(F.col("href"), F.col("page_url")), price_platform(F.col("price_text"))
+    return rows.withColumn("adapter", F.lit(adapter))
+
+
+def finished_cards(fields: DataFrame, pages: DataFrame, keep: dict) -> DataFrame:
+    """page_id, pos, adapter, title, url, img, price, sku of raw cards: cleaned, absolute, and the first of each link.
+
+    keep: by adapter, the condition on a link that is a product.
+    """
+    named = fields.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    title, price = pick_first(F.col("own_title"), F.col("link_title")), price_platform(F.col("price_text"))
     out = named.select(
-        "page_id", F.col("card").alias("pos"), classify.platform_title(F.col("title")).alias("title"), F.when(F.col("href") != "", link).otherwise("").alias("url"),
+        "page_id", F.col("card").alias("pos"), "adapter", classify.platform_title(title).alias("title"), F.when(F.col("href") != "", absolutize(F.col("href"), F.col("page_url"))).otherwise("").alias("url"),
         F.when(F.col("src") != "", absolutize(F.col("src"), F.col("page_url"))).otherwise("").alias("img"),
-        pick_first(price, price_generic(F.col("price_text"))["price"]).alias("price"),
-        pick_first(F.col("own_sku"), sku_from_title(F.col("title"))).alias("sku"),
+        pick_first(price, price_generic(F.col("price_text"))["price"]).alias("price"), pick_first(F.col("own_sku"), sku_from_title(title)).alias("sku"),
     )
-    good = out.filter((F.col("title") != "") & (F.col("url") != "")).filter(profile["keep"](F.col("url")))
-    return relational.keep_first(good, ["page_id", "url"], ["pos"])
+    good = F.lit(False)
+    for name, test in keep.items():
+        good = good | ((F.col("adapter") == name) & test(F.col("url")))
+    # The first row of each link is found before the conditions on its url are.
+    first = relational.keep_first(out.filter((F.col("title") != "") & (F.col("url") != "")), ["page_id", "adapter", "url"], ["pos"])
+    return first.filter(good)
+
+
+def card_rows(nodes: DataFrame, pages: DataFrame, profile: dict) -> DataFrame:
+    """page_id, pos, title, url, img, price, sku of the cards of one profile."""
+    return finished_cards(card_fields(nodes, profile, "own"), pages, {"own": profile["keep"]}).drop("adapter")
 
 
 def jsonld_items(pages: DataFrame) -> DataFrame:
@@ -127,15 +145,18 @@ def parse_catalog(pages: DataFrame, limit: int = 200) -> DataFrame:
     from tablewright.functions.prices import NEAR_PRICE
 
     named = pages.filter(~classify.oversized(F.col("html"))).withColumn("platform", F.lower(classify.platform(F.col("html"))))
-    nodes = html_nodes(named)
+    # Pages are parsed once; every profile reads the table of their nodes.
+    nodes = written(html_nodes(named), "page-nodes")
+    platforms = written(named.select("page_id", "url", "platform"), "page-platforms")
     columns = ["page_id", "pos", "title", "url", "img", "price", "sku", "adapter"]
-    by_platform = None
-    for name in ("shopify", "woocommerce", "magento", "shopware"):
-        own = named.filter(F.col("platform") == name)
-        rows = card_rows(nodes.join(own.select("page_id"), "page_id", "left_semi"), own, PROFILES[name]).withColumn("adapter", F.lit(name)).select(columns)
-        by_platform = rows if by_platform is None else by_platform.unionByName(rows)
+    fields = None
+    for name, profile in PROFILES.items():
+        own = nodes if name == "static" else nodes.join(platforms.filter(F.col("platform") == name).select("page_id"), "page_id", "left_semi")
+        rows = card_fields(own, profile, name)
+        fields = rows if fields is None else fields.unionByName(rows)
+    cards = written(finished_cards(fields, platforms, {name: p["keep"] for name, p in PROFILES.items()}).select(columns), "page-cards")
+    by_platform, static = cards.filter("adapter != 'static'"), cards.filter("adapter = 'static'")
     ld = jsonld_items(named).withColumn("adapter", F.lit("jsonld")).select(columns)
-    static = card_rows(nodes, named, PROFILES["static"]).withColumn("adapter", F.lit("static")).select(columns)
     links = classify.deep_anchors(named, NEAR_PRICE, limit).select(
         "page_id", F.col("rank").alias("pos"), "title", "url", F.lit("").alias("img"), F.lit("").alias("price"), sku_from_title(F.col("title")).alias("sku"), F.lit("links").alias("adapter")
     )
@@ -143,3 +164,86 @@ def parse_catalog(pages: DataFrame, limit: int = 200) -> DataFrame:
     ranked = relational.row_index(best, ["pos", "url"], ["page_id"]).filter(F.col("idx") <= limit)
     row = relational.product_row(sku=F.col("sku"), title=F.col("title"), img=F.col("img"), price=F.col("price"), url=F.col("url"), link=F.col("url"))
     return ranked.select("page_id", F.col("idx").alias("pos"), "adapter", *row)
+
+
+def outside(nodes: DataFrame, selector: str) -> DataFrame:
+    """Nodes that are neither selected nor inside a selected node."""
+    marked = nodes.filter(selects(selector)).select("page_id", F.col("node").alias("_a"), F.col("last").alias("_b"))
+    hit = nodes.join(marked, "page_id").filter("node BETWEEN _a AND _b").select("page_id", "node").distinct()
+    return nodes.join(hit, ["page_id", "node"], "left_anti")
+
+
+def card_counts(nodes: DataFrame, selectors: list[str], least: int = 6) -> DataFrame:
+    """By page: the largest number of nodes that one of the selectors finds, and whether it is `least` or more."""
+    counts = nodes.groupBy("page_id").agg(*[F.count_if(selects(s)).alias(f"_{i}") for i, s in enumerate(selectors)])
+    most = F.greatest(*[F.col(f"_{i}") for i in range(len(selectors))]) if len(selectors) > 1 else F.col("_0")
+    return counts.select("page_id", most.alias("cards"), (most >= least).alias("ok"))
+
+
+def generic_links(pages: DataFrame, least: int = 6, limit: int = 200) -> DataFrame:
+    """page_id, pos, sku, title, url, price, currency: cards of a page, and where these are fewer than `least` its links too.
+
+    Of rows with one url the first stays, cards first; the title's leading code becomes the sku.
+    """
+    from tablewright.functions.ids import split_sku
+    from tablewright.functions.prices import NEAR_PRICE
+    from tablewright.functions.text import clean_title
+
+    cards = card_rows(html_nodes(pages), pages, PROFILES["static"]).select("page_id", F.lit(0).alias("side"), "pos", "title", "url", "price")
+    few = pages.select("page_id").join(cards.groupBy("page_id").count().filter(F.col("count") >= least).select("page_id"), "page_id", "left_anti")
+    links = classify.deep_anchors(pages.join(few, "page_id", "left_semi"), NEAR_PRICE, limit)
+    links = links.select("page_id", F.lit(1).alias("side"), F.col("rank").alias("pos"), "title", "url", F.col("title").alias("price"))
+    rows = relational.keep_first(cards.unionByName(links), ["page_id", "url"], ["side", "pos"])
+    name, money = split_sku(clean_title(F.col("title"))), price_generic(F.col("price"))
+    ranked = relational.row_index(rows, ["side", "pos"], ["page_id"]).filter(F.col("idx") <= limit)
+    out = ranked.select(
+        "page_id", F.col("idx").alias("pos"), name["sku"].alias("sku"), F.when(name["rest"] != "", name["rest"]).otherwise(clean_title(F.col("title"))).alias("title"), "url",
+        money["price"].alias("price"), money["currency"].alias("currency"),
+    )
+    return out.filter((F.col("url") != "") & ((F.col("title") != "") | (F.col("sku") != "")))
+
+
+def product_links(pages: DataFrame, keep) -> DataFrame:
+    """page_id, pos, url, title: the first anchor of each link that `keep` takes."""
+    links = classify.anchors(pages).withColumn("link", absolutize(F.col("href"), F.col("url")))
+    good = links.filter(keep(F.col("link"))).select("page_id", "pos", F.col("link").alias("url"), F.col("text").alias("title"))
+    return relational.keep_first(good, ["page_id", "url"], ["pos"])
+
+
+def universal(pages: DataFrame, limit: int = 200) -> DataFrame:
+    """page_id, pos, title, url, price, sku: a detail page is one row; other pages give cards, then links."""
+    nodes = html_nodes(pages)
+    details = detail_fields(nodes).join(pages.select("page_id", "url"), "page_id")
+    single = details.filter("is_detail").select("page_id", F.lit(1).alias("pos"), "title", "url", "price", pick_first(F.col("sku"), sku_from_title(F.col("title"))).alias("sku"))
+    rest = pages.join(single.select("page_id"), "page_id", "left_anti")
+    listed = parse_catalog(rest, limit).select("page_id", "pos", "title", "url", "price", "sku")
+    return single.unionByName(listed)
+
+
+def minimal_rows(nodes: DataFrame) -> DataFrame:
+    """page_id, pos, name, image, price (a number): one row for each .product."""
+    from tablewright.functions.prices import price_prefix
+
+    cards = nodes.filter(selects(".product")).select("page_id", F.col("node").alias("card"), F.col("last").alias("end"))
+    inside = nodes.join(cards, "page_id").filter("node BETWEEN card AND end")
+    rows = inside.groupBy("page_id", "card").agg(
+        _first(_rank([".name", ".title", "h2"]), F.col("text")).alias("name"), _first(F.when(selects("img"), 0), F.col("attrs")["src"]).alias("image"),
+        _first(_rank([".price"]), F.col("text")).alias("p"),
+    )
+    return rows.select("page_id", F.col("card").alias("pos"), "name", "image", price_prefix(F.col("p")).alias("price"))
+
+
+def document_sku(nodes: DataFrame) -> DataFrame:
+    """page_id, sku: by itemprop or data attribute, then a definition list or table row whose label names a number, then text."""
+    from tablewright.functions.ids import label_value
+
+    named = r"(?i)^(artikel-?nr|artikelnummer|bestellnummer|item no|sku|mpn|hersteller-?nr)\.?:?$"
+    labels = nodes.filter(F.col("tag").isin("dt", "th", "td") & F.col("text").rlike(named)).select("page_id", F.col("parent").alias("p"), F.col("node").alias("label"))
+    after = nodes.filter(F.col("tag").isin("dd", "td")).select("page_id", F.col("parent").alias("p"), F.col("node").alias("value"), F.col("text").alias("v"))
+    pairs = labels.join(after, ["page_id", "p"]).filter("value > label AND v != ''")
+    by_label = pairs.groupBy("page_id").agg(F.min_by("v", F.struct("label", "value")).alias("by_label"))
+    own = nodes.groupBy("page_id").agg(
+        _first(_rank(["[itemprop=sku]", "[data-sku]"]), F.coalesce(F.col("attrs")["data-sku"], F.col("attrs")["content"], F.col("text"))).alias("by_attr"),
+        _first(F.when(F.col("depth") == 0, 0), label_value(F.col("text"))).alias("by_text"),
+    )
+    return own.join(by_label, "page_id", "left").select("page_id", pick_first(F.col("by_attr"), F.col("by_label"), F.col("by_text")).alias("sku"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "tablewright") -> SparkSession:
@@ -36,3 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     elif not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back, so that it is computed once and outlives executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

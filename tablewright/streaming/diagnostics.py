@@ -113,3 +113,27 @@ def rollup_stream(metrics: DataFrame, ts: str, key: str, value: str, late: str =
         metrics.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.sum(value).alias("value"), F.count("*").alias("n"))
         .select(F.col("window.start").alias("start"), key, "value", "n")
     )
+
+
+def listeners(handlers: list) -> tuple:
+    """(function for foreachBatch, errors): every handler gets each batch in order; one's failure does not stop the next."""
+    errors: list[tuple[int, str, str]] = []
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        for h in handlers:
+            try:
+                h(batch, epoch)
+            except Exception as e:
+                errors.append((epoch, getattr(h, "__name__", "handler"), str(e)))
+
+    return run, errors
+
+
+def captured(df: DataFrame, error: str) -> DataFrame:
+    """df with code, message and retry of raw error texts; rows without an error have none."""
+    e = F.coalesce(F.col(error), F.lit(""))
+    code = (
+        F.when(e == "", None).when(e.rlike("(?i)timed? ?out|ETIMEDOUT"), "timeout").when(e.rlike("(?i)ENOTFOUND|name or service|getaddrinfo"), "dns")
+        .when(e.rlike(r"\b5\d\d\b"), "server").when(e.rlike(r"\b4\d\d\b"), "client").otherwise("other")
+    )
+    return df.withColumns({"code": code, "message": F.substring(F.regexp_replace(e, r"\s+", " "), 1, 300), "retry": F.coalesce(code.isin("timeout", "server"), F.lit(False))})
