@@ -9,7 +9,9 @@ Words begin at spaces, which no piece holds but at its start.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +19,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS, CACHE_PAIRS, GROUP_CHARS, BATCH_WORDS = 500_000, 1 << 20, 4_000_000, 20_000
+CACHE_WORDS, CACHE_PAIRS, GROUP_CHARS, BATCH_WORDS = 400_000, 1 << 20, 4_000_000, 20_000
 _STATE: dict = {}
 
 
@@ -322,20 +323,24 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32, and the length and sha256 of the decoded text, for each row of docs."""
-    encoded = encode(docs, model_path, packed=True)
+    """doc_id, n_tokens, ids_crc32, and the length and sha256 of the decoded text, for each row of docs.
+
+    Encoding and decoding run in one pass, so that a task needs one Python worker.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
         for part in batches:
-            texts = [own.decode(np.frombuffer(i, "<u4")) for i in part["ids"]]
-            yield part.assign(text=pd.Series(texts, index=part.index, dtype=object))
-
-    both = encoded.mapInPandas(run, encoded.schema.simpleString()[7:-1] + ", text string")
-    return both.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-        F.length("text").cast("long").alias("decoded_chars"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+            texts, rows = [t or "" for t in part["text"]], []
+            for group in _groups(texts):
+                for ids in own.encode(group):
+                    back = own.decode(ids)
+                    digest = hashlib.sha256(back.encode("utf-8")).hexdigest()
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(back), digest))
+            out = pd.DataFrame(rows, columns=["n_tokens", "ids_crc32", "decoded_chars", "decoded_sha256"])
+            out.insert(0, "doc_id", part["doc_id"].reset_index(drop=True))
+            yield out
+
+    own_id = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"doc_id {own_id}, n_tokens long, ids_crc32 long, decoded_chars long, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInPandas(run, kind)
