@@ -236,7 +236,7 @@ def _contexts(buckets: int, splitters: list):
     column = np.arange(CONTEXT)
 
     def emit(found: list) -> pa.RecordBatch:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         doc, key, at, ctx = (np.concatenate(x) for x in zip(*found, strict=True))
         _, group = np.unique(ctx.view(f"V{CONTEXT}").reshape(-1), return_inverse=True)
         first = np.full(group.max() + 1, np.iinfo(np.int64).max)
