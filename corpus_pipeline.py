@@ -26,7 +26,7 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays."""
+    """Of each group of near copies, the document with the smallest doc_id stays; rows that repeat its doc_id are that document."""
     groups = simhash_groups(docs)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 SAMPLE, VOCABULARY = 20_000, 4096
 NEIGHBOURS, BLOCK, PRIOR, REST = 16, 64, 0.5, 3.0
+#: The toxic share that is assumed where nothing is labelled.
+PRIOR_RATE = 0.1
 BEGINNINGS = (4, 5, 6)
 #: A term is used if it is in this share of the toxic examples, and three at least; if its
 #: log-likelihood ratio is this large; and if it is so many times as frequent among them.
@@ -144,7 +146,7 @@ class Model:
         self.vocabulary = vocabulary
         some = [e for e in examples if len(e[2])]
         none = [e for e in examples if not len(e[2])]
-        self.base = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
+        self.base = (sum(e[1] for e in examples) + PRIOR_RATE) / (len(examples) + 1)
         self.empty = (sum(e[1] for e in none) + self.base) / (len(none) + 1)
         self.index = BlockMaxIndex(
             [e[0] for e in some], [e[1] for e in some], [(np.array(e[2]), np.array(e[3])) for e in some], vocabulary.size
@@ -243,7 +245,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs has doc_id and text, labels has doc_id and toxic; other columns are ignored. A null text is
     empty. Repeated rows get equal results. A row with a null doc_id is scored and not held out. Without
-    usable labels every score is the base rate of one half. An empty table gives an empty result.
+    usable labels every score is PRIOR_RATE, so that nothing is predicted to be toxic. An empty table gives an empty result.
     """
     model = fit(docs, labels)
 

@@ -37,3 +37,21 @@ def test_stages_against_brute_force(spark, tmp_path):
         assert n_bytes - removed - 6 <= len(rest[d].text.encode()) <= n_bytes - removed
     out = p.run(spark, sf).collect()
     check(out, sorted((d, r.text) for d, r in rest.items()), packing.WordIds(tokenizer_path()).tokenizer)
+
+
+def test_odd_tables(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, body string, fp long, spans int, carried string"
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    rows = [(1, None, None, None, None, "b", 1, 1, "c"), (None, "lost and found", None, "s", 3, None, None, None, None), (2, "a b c", "en", "s", 5, "x", 2, 2, "y"), (2, "a b c", "en", "s", 5, "x", 2, 2, "y")]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, kind)
+        for name, stage in p.STAGES[:-1]:
+            docs = p.written(stage(spark, docs, sf), f"odd-{name}")
+            assert docs.columns == spark.createDataFrame([], kind).columns
+        left = docs.collect()
+        assert sorted((r.doc_id, r.text) for r in left if r.doc_id is not None) == ([(1, ""), (2, "a b c"), (2, "a b c")] if data else [])
+        assert all(r.body == "x" and r.carried == "y" for r in left if r.doc_id == 2)
+        packed = p.STAGES[-1][1](spark, docs, sf).collect()
+        assert len(packed) == len(left)

@@ -51,3 +51,6 @@ def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (1, None), (None, "x"), (3, "y " * 9000)], "doc_id long, text string").withColumn("score", F.lit(9))
     rows = t.toxicity(docs, spark.createDataFrame([(1, None), (None, 1), (3, 1), (3, 0)], "doc_id long, toxic int")).collect()
     assert len(rows) == 4 and all(0 <= r.score <= 1 for r in rows)
+    bare = t.toxicity(docs, no_labels).collect()
+    assert all(r.score == t.PRIOR_RATE and r.predicted == 0 for r in bare)
+    assert t.keep_clean(docs, no_labels).count() == 4
