@@ -68,9 +68,7 @@ def same_origin(a: Column, b: Column) -> Column:
 def is_deep_catalog(url: Column) -> Column:
     """A catalogue word in the path, and three path segments or more."""
     p = F.lower(path(url))
-    hit = F.lit(False)
-    for w in CATALOG_PATHS:
-        hit = hit | F.contains(p, F.lit(w))
+    hit = p.rlike("|".join(CATALOG_PATHS))
     return hit & (F.size(F.filter(F.split(p, "/"), lambda x: x != "")) >= 3)
 
 

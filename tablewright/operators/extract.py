@@ -156,10 +156,11 @@ def parse_catalog(pages: DataFrame, limit: int = 200) -> DataFrame:
         fields = rows if fields is None else fields.unionByName(rows)
     cards = written(finished_cards(fields, platforms, {name: p["keep"] for name, p in PROFILES.items()}).select(columns), "page-cards")
     by_platform, static = cards.filter("adapter != 'static'"), cards.filter("adapter = 'static'")
-    ld = jsonld_items(named).withColumn("adapter", F.lit("jsonld")).select(columns)
+    ld = written(jsonld_items(named).withColumn("adapter", F.lit("jsonld")).select(columns), "page-jsonld")
     links = classify.deep_anchors(named, NEAR_PRICE, limit).select(
         "page_id", F.col("rank").alias("pos"), "title", "url", F.lit("").alias("img"), F.lit("").alias("price"), sku_from_title(F.col("title")).alias("sku"), F.lit("links").alias("adapter")
     )
+    links = written(links, "page-links")
     best = relational.first_nonempty([(by_platform, 3), (ld, 1), (static, 3), (links, 1)], "page_id")
     ranked = relational.row_index(best, ["pos", "url"], ["page_id"]).filter(F.col("idx") <= limit)
     row = relational.product_row(sku=F.col("sku"), title=F.col("title"), img=F.col("img"), price=F.col("price"), url=F.col("url"), link=F.col("url"))
