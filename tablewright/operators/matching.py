@@ -30,10 +30,15 @@ def match_score(tokens: Column, name: Column, description: Column, params_json:
     return F.when(n == 0, 0).otherwise(F.floor(F.least(score, F.lit(100.0)) + 0.5)).cast("int")
 
 
-def ranked(items: DataFrame, tokens: Column, pos: str = "pos", within: list[str] | None = None) -> DataFrame:
-    """items with score and rank: score falling, then input order; within groups if any are named."""
+def ranked(items: DataFrame, tokens: Column, pos: str = "pos", within: list[str] | None = None, limit: int = 1000) -> DataFrame:
+    """The best `limit` items with score and rank, by score falling, then input order; of each group if any are named.
+
+    Without groups the best rows are taken by a distributed top-k before they are numbered.
+    """
     scored = items.withColumn("score", match_score(tokens, F.col("name"), F.col("description"), F.col("params_json"), F.col("url")))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*(within or [])).orderBy(F.desc("score"), pos)))
+    order = [F.desc("score"), F.col(pos)]
+    some = scored if within else scored.orderBy(*order).limit(limit)
+    return some.withColumn("rank", F.row_number().over(W.partitionBy(*(within or [])).orderBy(*order))).filter(F.col("rank") <= limit)
 
 
 def bundle_items(items: DataFrame) -> DataFrame:

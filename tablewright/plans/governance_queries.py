@@ -40,9 +40,13 @@ add(
     SCORE_SQL + " SELECT pos, score FROM r",
 )
 add(
-    "k01_ranked_matches", lambda s, d: m.ranked(view(s, d, CATALOG), tokens(), within=["request_id"]).filter("rank <= 10").select("request_id", "pos", "score", "rank"),
+    "k01_ranked_matches", lambda s, d: m.ranked(view(s, d, CATALOG), tokens(), within=["request_id"], limit=10).select("request_id", "pos", "score", "rank"),
     SCORE_SQL + " SELECT request_id, pos, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, pos) AS INTEGER) AS rank FROM r QUALIFY rank <= 10",
 )
+add(
+    "k01_top_matches", lambda s, d: m.ranked(view(s, d, CATALOG), tokens(), limit=50).select("pos", "score", "rank"),
+    SCORE_SQL + " SELECT pos, score, CAST(row_number() OVER (ORDER BY score DESC, pos) AS INTEGER) AS rank FROM r ORDER BY rank LIMIT 50",
+)
 add(
     "x23_query_tokens",
     lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(m.query_tokens(c("p_name"), F.concat(F.lit("https://x.example/"), c("p_brand")), F.lit(None).cast("string"), F.array(F.lit("Tag-One"))), " ").alias("tokens")),
