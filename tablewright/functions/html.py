@@ -12,69 +12,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NODE_SCHEMA = "page_id long, node int, last int, parent int, depth int, tag string, attrs map<string,string>, text string"
-#: A node's text is kept to this length; longer texts are those of whole sections.
-TEXT_LIMIT = 4000
+#: Characters of text after which a table of nodes is handed on; a node's text is never cut.
+PART_CHARS = 4_000_000
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
 class _Nodes(HTMLParser):
-    """Collects (parent, depth, tag, attrs, texts, last) in page order."""
+    """Collects [parent, depth, tag, attrs, start, end] in page order; the page's text from start to end is the node's."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[list] = []
         self.open: list[int] = []
+        self.pieces: list[str] = []
+        self.size = 0
+
+    def shut(self, k: int) -> None:
+        """Close the open elements from the k-th on."""
+        for i in self.open[k:]:
+            self.nodes[i][5] = self.size
+        del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             name = self.nodes[self.open[k]][2]
             if name in CLOSES.get(tag, ()):
-                del self.open[k:]
+                self.shut(k)
             elif name in ("ul", "ol", "table", "dl", "select", "div"):
                 break
-        self.nodes.append([self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, [], 0])
+        self.nodes.append([self.open[-1] if self.open else -1, len(self.open), tag, {k: v or "" for k, v in attrs}, self.size, self.size])
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self.shut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]][2] == tag:
-                del self.open[k:]
+                self.shut(k)
                 break
 
     def handle_data(self, data: str) -> None:
         if self.open and self.nodes[self.open[-1]][2] not in ("script", "style"):
-            for k in self.open:
-                if sum(map(len, self.nodes[k][4])) < TEXT_LIMIT:
-                    self.nodes[k][4].append(data)
+            self.pieces.append(data)
+            self.size += len(data)
 
 
-def page_nodes(html: str | None) -> list[tuple]:
+def page_nodes(html: str | None) -> Iterator[tuple]:
     """(node, last, parent, depth, tag, attrs, text) of a page's elements; last is the last node inside."""
     parser = _Nodes()
     parser.feed(html or "")
     parser.close()
+    parser.shut(0)
+    whole = "".join(parser.pieces)
     last = list(range(len(parser.nodes)))
     for i in range(len(parser.nodes) - 1, -1, -1):
         parent = parser.nodes[i][0]
         if parent >= 0:
             last[parent] = max(last[parent], last[i])
-    return [(i, last[i], p, d, tag, attrs, " ".join("".join(t).split())[:TEXT_LIMIT]) for i, (p, d, tag, attrs, t, _) in enumerate(parser.nodes)]
+    for i, (p, d, tag, attrs, start, end) in enumerate(parser.nodes):
+        yield i, last[i], p, d, tag, attrs, " ".join(whole[start:end].split())
 
 
 def html_nodes(pages: DataFrame) -> DataFrame:
-    """One row for each element of each page (page_id, html)."""
+    """One row for each element of each page (page_id, html), with the whole text inside it."""
+    columns = ["page_id", "node", "last", "parent", "depth", "tag", "attrs", "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(int(i), *n) for i, h in zip(part["page_id"], part["html"], strict=True) for n in page_nodes(h)]
-            yield pd.DataFrame(rows, columns=["page_id", "node", "last", "parent", "depth", "tag", "attrs", "text"])
+            rows, chars = [], 0
+            for i, h in zip(part["page_id"], part["html"], strict=True):
+                for n in page_nodes(h):
+                    rows.append((int(i), *n))
+                    chars += len(n[-1])
+                    if chars >= PART_CHARS:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, chars = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, NODE_SCHEMA)
 

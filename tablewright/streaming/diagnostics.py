@@ -136,4 +136,4 @@ def captured(df: DataFrame, error: str) -> DataFrame:
         F.when(e == "", None).when(e.rlike("(?i)timed? ?out|ETIMEDOUT"), "timeout").when(e.rlike("(?i)ENOTFOUND|name or service|getaddrinfo"), "dns")
         .when(e.rlike(r"\b5\d\d\b"), "server").when(e.rlike(r"\b4\d\d\b"), "client").otherwise("other")
     )
-    return df.withColumns({"code": code, "message": F.substring(F.regexp_replace(e, r"\s+", " "), 1, 300), "retry": F.coalesce(code.isin("timeout", "server"), F.lit(False))})
+    return df.withColumns({"code": code, "message": F.regexp_replace(e, r"\s+", " "), "retry": F.coalesce(code.isin("timeout", "server"), F.lit(False))})
