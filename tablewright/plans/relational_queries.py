@@ -15,7 +15,7 @@ ITEMS = """SELECT l_orderkey AS page_id, (CAST(l_linenumber AS BIGINT) * 1000000
   CASE WHEN l_linenumber % 3 = 0 THEN '#top' ELSE '' END AS url, CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE 'Item ' || CAST(l_partkey % 20 AS STRING) END AS title,
   CASE l_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(l_partkey % 1000 AS STRING) ELSE 'AX-' || CAST(l_partkey AS STRING) END AS sku,
   CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE CAST(l_partkey AS STRING) || '.50' END AS price, CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE '/i.jpg' END AS img, '' AS desc,
-  CASE WHEN l_suppkey % 2 = 0 THEN '4006381333931' ELSE '' END AS ean FROM {lineitem} WHERE l_orderkey % 4 = 0"""
+  CASE WHEN l_suppkey % 2 = 0 THEN '4006381333931' ELSE '' END AS ean FROM {lineitem}"""
 DETAILS = """SELECT p_partkey AS pos, 'https://shop.example/p/' || CAST(p_partkey % 60 AS STRING) AS url, p_name AS title, 'D-' || CAST(p_partkey AS STRING) AS sku,
   CASE WHEN p_partkey % 2 = 0 THEN '9.99' ELSE '' END AS price, '/d.jpg' AS img, p_type AS desc FROM {part}"""
 I, D = duck(ITEMS), duck(DETAILS)
