@@ -155,7 +155,7 @@ add(
 REASON = """SELECT l_orderkey AS request_id, CAST(l_linenumber AS BIGINT) * 100000 + l_partkey AS item_id, CASE WHEN l_partkey % 9 = 0 THEN ' ' ELSE 'T' END AS title, CASE WHEN l_partkey % 8 = 0 THEN CAST(NULL AS STRING) ELSE 'u' END AS url,
   l_partkey % 6 <> 0 AS has_price, CASE l_partkey % 7 WHEN 0 THEN 'abc' WHEN 1 THEN '-1' WHEN 2 THEN '' WHEN 3 THEN CAST(NULL AS STRING) ELSE '9.5' END AS price_text,
   CASE WHEN l_partkey % 10 = 0 THEN 'x' ELSE 'SK' END AS sku, CAST(l_orderkey % 40 AS DOUBLE) / 100 AS avg_loss_score, CASE WHEN l_suppkey % 2 = 0 THEN CAST(l_suppkey % 60 AS DOUBLE) / 100 END AS item_loss,
-  CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END AS violations FROM {lineitem} WHERE l_orderkey % 5 = 0"""
+  CASE WHEN l_orderkey % 97 = 0 THEN 1 ELSE 0 END AS violations FROM {lineitem}"""
 N = duck(REASON)
 ITEM_SQL = f"""WITH n AS ({N}), g AS (SELECT *, trim(title) = '' AS g1, coalesce(url, '') = '' AS g2, has_price AND (price_text IS NULL OR price_text = 'abc') AS g3, has_price AND coalesce(price_text, 'x') IN ('-1', '') AS g4, length(sku) < 2 AS g5 FROM n),
 b AS (SELECT *, greatest(0, 1 - 0.15::DOUBLE * (g1::INT + g2::INT + g4::INT) - 0.08::DOUBLE * g3::INT - 0.03::DOUBLE * g5::INT) AS base, g1 OR g2 OR g3 OR g4 OR g5 AS bad FROM g),
