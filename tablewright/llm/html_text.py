@@ -2,8 +2,9 @@
 
 Each page scores its containers by the running text directly in them; its best ones vote, as
 generalised paths of tags and classes, for their host. The path with the most votes on a host
-then says which containers are taken from each of its pages; a page without such a container, or a page whose
-url has no host, uses its own best one.
+then says which container is taken from each of its pages; where a page has several at one path, the smallest container
+around all of them is meant, so that no part is lost. A page without such a container, or a page whose url has no
+host, uses its own best one.
 """
 
 from __future__ import annotations
@@ -220,6 +221,36 @@ class Page:
                 k = self.containers[k][0]
         return c
 
+    def by_path(self) -> dict[str, list[int]]:
+        """The containers that have text in them, by path."""
+        filled = [False] * len(self.containers)
+        for _, _, c, _ in self.blocks:
+            filled[c] = True
+        for k in range(len(self.containers) - 1, 0, -1):
+            if filled[k]:
+                filled[self.containers[k][0]] = True
+        out: dict[str, list[int]] = {}
+        for k, (_, path, _) in enumerate(self.containers):
+            if k and filled[k]:
+                out.setdefault(path, []).append(k)
+        return out
+
+    def around(self, path: str, by_path: dict[str, list[int]]) -> int:
+        """The container at path; of several, the smallest one around all of them, whose path no other has."""
+        while len(by_path[path]) > 1:
+            top, *others = by_path[path]
+            for k in others:
+                # A container comes after those around it.
+                while top != k:
+                    if top > k:
+                        top = self.containers[top][0]
+                    else:
+                        k = self.containers[k][0]
+            if top == 0:
+                return 0
+            path = self.containers[top][1]
+        return by_path[path][0]
+
     def best(self, n: int = 3) -> list[tuple[int, int]]:
         """Up to n containers and their shares of the page's score in thousandths, best first."""
         scores = self.scores()
@@ -227,31 +258,30 @@ class Page:
         if total <= 0:
             return []
         order = sorted(range(len(scores)), key=lambda k: (-scores[k], k))[:n]
+        by_path = self.by_path()
         out: dict[int, int] = {}
         for k in order:
             if scores[k] > 0:
                 p = self.promoted(k)
+                p = self.around(self.containers[p][1], by_path) if p else p
                 out[p] = out.get(p, 0) + round(1000 * scores[k] / total)
         return sorted(out.items(), key=lambda x: (-x[1], x[0]))
 
-    def within(self, chosen: set[int]) -> list[str]:
-        """Blocks of the chosen containers and of those inside them, in page order."""
+    def within(self, chosen: int) -> list[str]:
+        """Blocks of a container and of those inside it, in page order."""
         inside = [False] * len(self.containers)
         for k, (parent, _, _) in enumerate(self.containers):
-            inside[k] = k in chosen or (parent >= 0 and inside[parent])
+            inside[k] = k == chosen or (parent >= 0 and inside[parent])
         return [text for text, _, c, _ in self.blocks if inside[c]]
 
     def text(self, path: str | None) -> str:
-        """The text of the containers at path, else of the page's best container, else of the page."""
-        at = {k for k, (_, p, _) in enumerate(self.containers) if k and p == path} if path else set()
-        blocks = self.within(at) if at else []
-        if at and len(at) > 1:
-            # Of several containers at one path, slight ones beside the main one are not the article.
-            sizes = {k: sum(map(len, self.within({k}))) for k in at}
-            blocks = self.within({k for k in at if 4 * sizes[k] >= max(sizes.values())})
-        if not blocks:
+        """The text of the container at path, or around all of those at path; else of the page's best container, else of the page."""
+        by_path = self.by_path()
+        if path in by_path:
+            blocks = self.within(self.around(path, by_path))
+        else:
             own = self.best(1)
-            blocks = self.within({own[0][0]} if own else {0})
+            blocks = self.within(own[0][0] if own else 0)
         return "\n\n".join(blocks)
 
 

@@ -37,6 +37,20 @@ def test_consensus_path_is_used(spark):
     assert main_text(df.limit(0)).count() == 0
 
 
+def test_unequal_sections_are_all_taken(spark):
+    big, small = f"<p>{(LONG * 16).strip()}</p>", f"<p>{(LONG * 3).strip()}</p>"
+    parts = [f"<section class=part>{big}</section>", f"<section class=part>{small}</section>", "<section class=part></section>"]
+    page = f"<body><div class=lead><p>{LONG}</p></div><div class=text><h1>Title</h1>{small}{''.join(parts)}</div></body>"
+    # This page has one section only; its host's other pages say where the article is.
+    one = f"<body><div class=text><h1>One</h1>{small}{parts[0]}</div></body>"
+    rows = [(0, "https://h.example/0", page), (1, "https://h.example/1", page), (2, "https://h.example/2", one), (3, None, page)]
+    got = {r.page_id: r.text.split("\n\n") for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    s, b = (LONG * 3).strip(), (LONG * 16).strip()
+    assert got == {0: ["Title", s, b, s], 1: ["Title", s, b, s], 2: ["One", s, b], 3: ["Title", s, b, s]}
+    # The winning path itself may be that of several containers.
+    assert Page(page).text(">body>div.text>section.part").split("\n\n") == ["Title", s, b, s]
+
+
 def test_all_pages_against_a_plain_reading(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     want = {}
