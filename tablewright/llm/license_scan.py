@@ -3,18 +3,21 @@
 A text's lines, and its paragraphs of several lines, are compared with license templates by the
 Dice coefficient over distinct word bigrams of the normalised texts. A template is a candidate only if
 the sizes allow the threshold: with t the threshold, a unit of n bigrams can only reach a template of
-m if n is between m * t / (2 - t) and m * (2 - t) / t.
+m if n is between m * t / (2 - t) and m * (2 - t) / t. A statement inside a longer unit is found by windows of the
+template's length that begin with one of its bigrams.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+HITS = "array<struct<license:string,whole:boolean,dice:double>>"
 # Wordings of license statements.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -43,12 +46,17 @@ TEMPLATES = {
 }
 
 
+def template_words(text: str) -> list[str]:
+    """The normalised words of a wording."""
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def template_rows(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     """(license, sorted distinct bigrams) of every wording with two words or more."""
     out = []
     for name in sorted(templates):
         for text in templates[name]:
-            words = re.findall(r"[^\W_]+", text.lower())
+            words = template_words(text)
             pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
             if pairs:
                 out.append((name, pairs))
@@ -75,24 +83,33 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def scan_licenses(
     docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """doc_id, unit_kind ('line' or 'paragraph'), unit_no (from 0), license, dice: one row per unit and license found.
 
-    docs has doc_id and text; other columns are ignored. dice is the best of a license's wordings. A null or
+    docs has doc_id and text; other columns are ignored. dice is the best of a license's wordings, for the whole unit
+    or, where that does not reach the threshold, for the best window in it. A paragraph is found by a window only for
+    a license that none of its lines has. A null or
     empty text has no row; repeated rows are scanned each; a null doc_id is kept as null. An empty table
     gives an empty result.
     """
     rows = template_rows(templates)
     if not rows:
         raise ValueError("no template has two words")
+    lengths = [len(w) for name in sorted(templates) for w in map(template_words, templates[name]) if len(w) > 1]
     known = F.array(
         *[
-            F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("m"), F.array(*map(F.lit, pairs)).alias("pairs"))
-            for name, pairs in rows
+            F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("m"), F.lit(k - 1).alias("k"), F.array(*map(F.lit, pairs)).alias("pairs"))
+            for (name, pairs), k in zip(rows, lengths, strict=True)
         ]
     )
+    every = F.array(*map(F.lit, sorted({p for _, pairs in rows for p in pairs})))
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     fewest = min(len(p) for _, p in rows) * low
     signs = signature_words(rows, threshold)
@@ -114,20 +131,44 @@ def scan_licenses(
     lines = unit("line", "\n", lambda u: F.length(u["x"]) > 2)
     paragraphs = unit("paragraph", r"\n[ \t]*\n", lambda u: F.contains(F.trim(u["x"]), F.lit("\n")))
     units = docs.filter(F.col("text").isNotNull() & may_match(F.col("text"))).select("doc_id", F.explode(F.concat(lines, paragraphs)).alias("u"))
-    words = units.filter(may_match(F.col("u.x"))).select("doc_id", "u.unit_kind", "u.unit_no", normalised(F.col("u.x")).alias("x"))
-    spaces = F.length("x") - F.length(F.replace("x", F.lit(" ")))
-    words = words.filter((spaces >= F.lit(int(fewest))) & (spaces >= 1))
-    paired = words.withColumn("w", F.split("x", " ")).drop("x")
-    pairs = F.array_distinct(F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b)))
-    found = paired.withColumn("pairs", pairs).drop("w").withColumn("n", F.size("pairs"))
-
-    def dice(t: Column) -> Column:
-        shared = F.size(F.array_intersect(F.col("pairs"), t["pairs"]))
-        return F.struct(t["license"].alias("license"), (2.0 * shared / (F.col("n") + t["m"])).alias("dice"))
-
-    candidates = F.filter(known, lambda t: (F.col("n") >= t["m"] * F.lit(low)) & (F.col("n") <= t["m"] * F.lit(high)))
-    hits = F.filter(F.transform(candidates, dice), lambda h: h["dice"] >= threshold)
-    best = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["license"] == h["license"]) & (o["dice"] > h["dice"])))
-    return found.select("doc_id", "unit_kind", "unit_no", F.explode(F.array_distinct(best)).alias("h")).select(
-        "doc_id", "unit_kind", "unit_no", "h.license", "h.dice"
-    )
+    words = units.filter(may_match(F.col("u.x"))).select("doc_id", "u.unit_kind", "u.unit_no", "u.x")
+
+    def hits(x: Column) -> Column:
+        """License, dice and whole of a unit: of each license the best wording, and whether the whole unit reaches it."""
+
+        def dice(pairs: Column, t: Column) -> Column:
+            return 2.0 * F.size(F.array_intersect(pairs, t["pairs"])) / (F.size(pairs) + t["m"])
+
+        def best_window(b: Column, t: Column) -> Column:
+            starts = F.filter(F.transform(b, lambda p, i: F.when(F.array_contains(t["pairs"], p), i + 1)), lambda i: i.isNotNull())
+            return F.coalesce(F.array_max(F.transform(starts, lambda i: dice(F.array_distinct(F.slice(b, i, t["k"])), t))), F.lit(0.0))
+
+        def scored(b: Column, near: Column) -> Column:
+            whole = lambda pairs, t: F.when((F.size(pairs) >= t["m"] * F.lit(low)) & (F.size(pairs) <= t["m"] * F.lit(high)), dice(pairs, t)).otherwise(0.0)
+            one = lambda t, d: F.struct(t["license"].alias("license"), (d >= threshold).alias("whole"), F.when(d >= threshold, d).otherwise(best_window(b, t)).alias("dice"))
+            of_all = _let(F.array_distinct(b), lambda pairs: F.transform(near, lambda t: _let(whole(pairs, t), lambda d: one(t, d))))
+            return _let(F.filter(of_all, lambda h: h["dice"] >= threshold), first_of_each)
+
+        def first_of_each(some: Column) -> Column:
+            better = lambda h, o: (o["license"] == h["license"]) & ((o["whole"] & ~h["whole"]) | ((o["whole"] == h["whole"]) & (o["dice"] > h["dice"])))
+            return F.array_distinct(F.filter(some, lambda h: ~F.exists(some, lambda o: better(h, o))))
+
+        def candidates(shared: Column) -> Column:
+            return F.filter(known, lambda t: F.size(F.array_intersect(shared, t["pairs"])) >= t["m"] * F.lit(low) - 1e-9)
+
+        def of_bigrams(b: Column) -> Column:
+            near = _let(F.array_intersect(b, every), lambda shared: F.when(F.size(shared) >= fewest - 1e-9, candidates(shared)))
+            return _let(near, lambda n: F.when(F.size(n) > 0, scored(b, n)))
+
+        def of_words(w: Column) -> Column:
+            pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+            return F.when(F.size(w) > int(fewest), _let(pairs, of_bigrams))
+
+        return _let(F.split(normalised(x), " "), of_words)
+
+    # Outer, as else the hits would be worked out once more to filter them.
+    found = words.withColumn("h", F.explode_outer(hits(F.col("x")))).filter("h IS NOT NULL")
+    # Licenses of a paragraph's lines, where a window is all that was found in it.
+    lines = F.flatten(F.transform(F.split("x", "\n"), lambda y: F.when(may_match(y), F.transform(F.coalesce(hits(y), F.array().cast(HITS)), lambda h: h["license"])).otherwise(F.array().cast("array<string>"))))
+    own = F.when((F.col("unit_kind") == "line") | F.col("h.whole"), True).otherwise(~F.array_contains(lines, F.col("h.license")))
+    return found.filter(own).select("doc_id", "unit_kind", "unit_no", "h.license", "h.dice")

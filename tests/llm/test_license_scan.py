@@ -34,6 +34,17 @@ def test_against_plain_loops(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_statements_inside_longer_units(spark):
+    mit, gpl = TEMPLATES["MIT"][1], TEMPLATES["GPL-3.0"][1]
+    texts = [
+        "Copyright (c) 2020 Jane Doe. Released under the MIT License.", "free of charge and software " * 40 + mit + " the end " * 99, "a b c " * 50 + mit[:150] + "\n" + mit[150:] + " d e f" * 50,
+        "one two three four five. Licensed under CC BY-NC 4.0. six seven eight nine ten\nmore text", "The MIT school is licensed to teach under the law.", mit + " " + gpl + " and more words" * 60,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.unit_kind, r.unit_no, r.license) for r in scan_licenses(df).collect())
+    assert got == [(0, "line", 0, "MIT"), (1, "line", 0, "MIT"), (2, "paragraph", 0, "MIT"), (3, "line", 0, "CC-BY-NC-4.0"), (5, "line", 0, "GPL-3.0"), (5, "line", 0, "MIT")]
+
+
 def test_runs_without_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in scan_licenses(df)._jdf.queryExecution().executedPlan().toString()
