@@ -28,9 +28,9 @@ NEIGHBOURS, BLOCK, PRIOR, REST = 16, 64, 0.5, 3.0
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
 BEGINNINGS = (4, 5, 6)
-#: A term is used if it is in this share of the toxic examples, and three at least; if its
+#: A term is used if it is in so many toxic examples, however many there are; if its
 #: log-likelihood ratio is this large; and if it is so many times as frequent among them.
-SUPPORT, LIKELIHOOD, LIFT = 0.01, 20.0, 3.0
+SUPPORT, LIKELIHOOD, LIFT = 3, 20.0, 3.0
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ratio = 2 * (F.col("bad") * F.log(F.col("bad") / expected) + part)
     lift = (F.col("bad") / F.lit(max(1, bad))) / ((F.col("clean") + 0.5) / F.lit(max(1, clean)))
     chosen_terms = (
-        counted.filter(F.col("bad") >= max(3, math.ceil(SUPPORT * bad)))
+        counted.filter(F.col("bad") >= SUPPORT)
         .withColumn("ratio", ratio)
         .filter((F.col("ratio") > LIKELIHOOD) & (lift > LIFT))
         .orderBy(F.desc("ratio"), "term")

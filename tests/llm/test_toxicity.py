@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -44,6 +46,16 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rare_terms_of_many_examples(spark):
+    word = lambda k: hashlib.md5(str(k).encode()).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop"))
+    # Each toxic word is in 9 of 1,350 toxic rows.
+    rows = [(i, f"plain words here {word(i % 150)}", 1) for i in range(1350)] + [(i, f"plain words here {word(i)}", 0) for i in range(2000, 12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = t.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).join(df, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {r.toxic: r.p for r in out}
+    assert share[1] > 0.8 and share[0] < 0.02
+
+
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
