@@ -5,10 +5,14 @@ generalised paths of tags and classes, for their host. The path with the most vo
 then says which container is taken from each of its pages; where a page has several at one path, the smallest container
 around all of them is meant, so that no part is lost. A page without such a container, or a page whose url has no
 host, uses its own best one.
+
+Words in classes and ids mark what is not the article, unless that leaves no running text: then the page is read again, and only
+the words that never mark an article count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -23,6 +27,8 @@ from tablewright.llm.shared import written
 
 #: Up to so many hosts the winners are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
+#: Longer paths are replaced by a digest, so that deep pages stay small.
+LONG_PATH = 2048
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
@@ -50,7 +56,15 @@ _SKIPPED_WORDS = set(
     "paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar widget widgets".split()
 )
-_NEVER_SKIPPED = set("html body article main".split())
+#: Of these, the words that mark what is never the article, even where no other text is left.
+_ALWAYS_SKIPPED = set(
+    "ad ads adbox adslot advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu modal nav "
+    "navbar navigation newsletter outbrain pager pagination popup replies reply respond share sharing sponsor sponsored taboola".split()
+)
+#: Words of article and main elements that mark what is not the article.
+_SKIPPED_ARTICLES = set("comment comments reply teaser related ad advert sponsored promo".split())
+#: A block is running text from so many characters; a page is read again if that finds so many characters of it.
+RUNNING, RESCUED = 25, 200
 #: An open element that an opening tag ends, and the elements beyond which it is not sought.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -74,7 +88,7 @@ def _words(value: str) -> set[str]:
     return set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
 
 
-def _is_skipped(tag: str, at: dict[str, str]) -> bool:
+def _is_skipped(tag: str, at: dict[str, str], marks: set[str]) -> bool:
     if tag in _SKIPPED_TAGS:
         return True
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
@@ -84,9 +98,7 @@ def _is_skipped(tag: str, at: dict[str, str]) -> bool:
     if at.get("role", "").lower() in _SKIPPED_ROLES:
         return True
     words = _words(at.get("class", "")) | _words(at.get("id", ""))
-    if tag in _NEVER_SKIPPED:
-        return bool(words & {"comment", "comments", "reply", "teaser", "related", "ad", "advert", "sponsored", "promo"})
-    return bool(words & _SKIPPED_WORDS)
+    return bool(words & marks & _SKIPPED_ARTICLES if tag in ("article", "main") else words & marks)
 
 
 def _label(tag: str, at: dict[str, str]) -> str:
@@ -102,13 +114,24 @@ class Page:
     """
 
     def __init__(self, source: str | None) -> None:
-        self.blocks: list[tuple[str, int, int, bool]] = []
-        self.containers: list[tuple[int, str, str]] = [(-1, "", "")]
-        self._read(source or "")
-
-    def _read(self, source: str) -> None:
+        self.blocks, self.containers = self._read(source or "", _SKIPPED_WORDS)
+        if not self.running():
+            first = self.blocks, self.containers
+            self.blocks, self.containers = self._read(source or "", _ALWAYS_SKIPPED)
+            if self.running() < RESCUED:
+                self.blocks, self.containers = first
+
+    def running(self) -> int:
+        """Characters of running text outside links."""
+        return sum(len(text) - linked for text, linked, _, _ in self.blocks if len(text) >= RUNNING)
+
+    @staticmethod
+    def _read(source: str, marks: set[str]) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, str, str]]]:
+        blocks: list[tuple[str, int, int, bool]] = []
+        containers: list[tuple[int, str, str]] = [(-1, "", "")]
         # An open element: tag, skipped, container, path, in a link, in a header, in a heading.
         stack = [("", False, 0, "", False, False, False)]
+        opened: Counter = Counter()
         text: list[str] = []
         linked = at = 0
 
@@ -119,7 +142,7 @@ class Page:
                 if joined:
                     top = stack[-1]
                     if not top[5] or top[6]:
-                        self.blocks.append((joined, min(linked, len(joined)), top[2], top[5]))
+                        blocks.append((joined, min(linked, len(joined)), top[2], top[5]))
                 text.clear()
             linked = 0
 
@@ -136,6 +159,7 @@ class Page:
                 flush()
             elif any(e[0] in ("td", "th") for e in stack[k:]):
                 text.append(" ")
+            opened.subtract(e[0] for e in stack[k:])
             del stack[k:]
 
         while True:
@@ -151,19 +175,19 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                     if stack[k][0] == tag:
                         pop_to(k)
                         break
                 continue
-            if tag in _BLOCKS and tag not in ("html", "body"):
+            if tag in _BLOCKS and tag not in ("html", "body") and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == "p":
                         pop_to(k)
                         break
                     if stack[k][0] in _P_SCOPE:
                         break
-            if tag in _ENDS:
+            if tag in _ENDS and any(opened[x] > 0 for x in _ENDS[tag][0]):
                 ended, scope = _ENDS[tag]
                 hit = 0
                 for k in range(len(stack) - 1, 0, -1):
@@ -184,28 +208,32 @@ class Page:
                 continue
             over = stack[-1]
             found = _attributes(m[3]) if m[3].strip() else {}
-            skipped = over[1] or _is_skipped(tag, found)
+            skipped = over[1] or _is_skipped(tag, found, marks)
             if tag in _RAW:
                 end = _RAW[tag].search(source, at)
                 at = end.end() if end else len(source)
                 continue
             path = f"{over[3]}>{_label(tag, found)}" if tag in _BLOCKS or tag in _CONTAINERS else over[3]
+            if len(path) > LONG_PATH:
+                path = ">" + hashlib.md5(path.encode("utf-8", "replace")).hexdigest()
             container = over[2]
             if tag in _CONTAINERS and not skipped:
-                self.containers.append((over[2], path, tag))
-                container = len(self.containers) - 1
+                containers.append((over[2], path, tag))
+                container = len(containers) - 1
             in_header = over[5] or tag == "header"
             if skipped and not over[1]:
                 # What stands before a skipped element is told apart from what follows it by a space.
                 text.append(" ")
+            opened[tag] += 1
             stack.append((tag, skipped, container, path, over[4] or tag == "a", in_header, over[6] or tag in _HEADINGS))
         flush()
+        return blocks, containers
 
     def scores(self) -> list[float]:
         """Characters outside links of each container's own blocks, and half of those one container below."""
         out = [0.0] * len(self.containers)
         for text, linked, c, _ in self.blocks:
-            value = float(len(text) - linked) if len(text) >= 25 else 0.0
+            value = float(len(text) - linked) if len(text) >= RUNNING else 0.0
             out[c] += value
             if self.containers[c][0] >= 0:
                 out[self.containers[c][0]] += value / 2

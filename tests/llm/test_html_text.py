@@ -64,3 +64,28 @@ def test_all_pages_against_a_plain_reading(spark):
     wrong = [p for p in want if got[p].text != want[p]]
     assert not wrong
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_class_words_do_not_silence_a_page():
+    long = f"<p>{LONG * 5}</p>"
+    t = (LONG * 5).strip()
+    assert Page(f"<body><main><div class='discussion'>{long}</div></main></body>").text(None) == t
+    assert Page(f"<body><article class='teaser'>{long}</article><footer>{long}</footer></body>").text(None) == t
+    # Beside an article they still mark what is not one; and some mark it always.
+    assert Page(f"<body><article>{long}</article><div class='login'>{long}{long}</div></body>").text(None) == t
+    assert Page(f"<body><div class='cookie-notice'>{long}</div><div class='footer'>{LONG}</div></body>").text(None) == ""
+
+
+def test_equal_votes_go_to_the_last_path(spark):
+    rows = [(0, "https://t.example/0", f"<body><div class=a><p>{LONG}</p></div></body>"), (1, "https://t.example/1", f"<body><div class=b><p>{LONG}</p></div></body>")]
+    rows.append((2, "https://t.example/2", f"<body><div class=a><p>{LONG}a</p></div><div class=b><p>{LONG}b</p></div></body>"))
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: LONG.strip(), 1: LONG.strip(), 2: f"{LONG}b"}
+
+
+def test_a_page_of_five_million_characters(spark):
+    body = "".join(f"<p>{LONG}{k}</p>" for k in range(65_000))
+    rows = [(1, "https://l.example/", f"<body><nav>menu</nav><article>{body}</article></body>"), (2, None, "<div>" * 20_000 + LONG)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "\n\n".join(f"{LONG}{k}" for k in range(65_000)) and len(rows[0][2]) > 4_500_000
+    assert got[2] == LONG.strip()
