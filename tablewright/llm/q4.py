@@ -16,17 +16,20 @@ SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x, label FROM embeddings),
 good AS (
-  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0
+  SELECT *, row_number() OVER () AS k FROM (SELECT DISTINCT * FROM v)
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL
     AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
 links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
-    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  SELECT a.k AS a, b.k AS b FROM good a JOIN good b
+    ON a.label = b.label AND a.k <> b.k AND len(a.x) = len(b.x)
     AND list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.98),
 reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM v
+  SELECT k AS a, k AS b FROM good
   UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
-least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN good ON b = k GROUP BY a),
 n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
-SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
-FROM v JOIN least ON least.a = vec_id LEFT JOIN n ON n.a = vec_id
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, v.vec_id) AS component_id,
+  coalesce(v.vec_id = coalesce(component_id, v.vec_id), false) AS kept
+FROM v LEFT JOIN good ON good.vec_id = v.vec_id AND good.label = v.label AND good.x = v.x
+LEFT JOIN least ON least.a = k LEFT JOIN n ON n.a = k
 """

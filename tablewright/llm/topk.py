@@ -1,8 +1,9 @@
 """Operator 5, exact top-k search on norm-sorted inner products.
 
-Components become floor(SCALE * x). Candidates are dealt into blocks by falling length;
-a block is compared with a block of queries. Every query starts with the k-th best score it
-has among the longest candidates. Within a block, runs of candidates come by falling length: by
+Components become floor(SCALE * x). Candidates are dealt into slices by length. Every query starts with the k-th
+best score it has among the longest candidates; by Cauchy-Schwarz it needs only those slices whose
+longest candidate can reach that score, and is sent to no other. Queries that need equally long candidates are in one
+block, so that a slice goes only to the blocks with a query for it. Within a block, runs of candidates come by falling length: by
 Cauchy-Schwarz a run ends a query's work when even its longest candidate cannot reach the k-th score;
 else a partial product over LEAD rotated dimensions plus the product of the residual lengths selects the
 candidates whose integer product is taken.
@@ -20,9 +21,15 @@ from tablewright.llm.shared import written
 from tablewright.llm.vectors import rotated, rotations, suffix_norms, usable
 
 SCALE, TOP = 1024, 10
-SEEDS, QUERY_BLOCK, BLOCK, RUN, LEAD = 2048, 512, 8192, 1024, 16
-#: Slices of length; each is split by hash into as many parts as it needs.
-SLICES = 64
+SEEDS, QUERY_BLOCK, BLOCK, RUN, LEAD = 2048, 16384, 4096, 1024, 16
+#: Slices of length, of BLOCK candidates or more; each is split by hash into parts of PART candidates.
+SLICES, PART = 64, 32768
+#: Blocks of queries by the length that they need; each is split by hash where it holds more than QUERY_BLOCK.
+BANDS = 64
+#: Rounding that a bound allows for, as a share of it.
+SLACK = 1e-9
+#: In place of a null id, so that it comes last.
+UNKNOWN = (1 << 63) - 1
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -33,76 +40,85 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of each query: larger scores, then smaller ids."""
+    """The k best candidates of each query, as places in the candidates: larger scores, then smaller ids."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray) -> None:
         self.k, self.floor = k, floor.astype(np.float64)
-        self.query = self.vec = self.score = np.empty(0, np.int64)
+        self.query = self.place = self.vec = self.score = np.empty(0, np.int64)
         self.n = n
 
-    def add(self, query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
-        q, v, s = (np.concatenate(x) for x in ((self.query, query), (self.vec, vec), (self.score, score)))
+    def add(self, query: np.ndarray, place: np.ndarray, vec: np.ndarray, score: np.ndarray) -> None:
+        columns = (self.query, query), (self.place, place), (self.vec, vec), (self.score, score)
+        q, p, v, s = (np.concatenate(x) for x in columns)
         order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
+        q, p, v, s = q[order], p[order], v[order], s[order]
         start = np.searchsorted(q, np.arange(self.n))
         rank = np.arange(len(q)) - start[q]
         keep = rank < self.k
-        self.query, self.vec, self.score = q[keep], v[keep], s[keep]
+        self.query, self.place, self.vec, self.score = q[keep], p[keep], v[keep], s[keep]
         last = np.flatnonzero(rank == self.k - 1)
         self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
 
 
-def search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, cid: np.ndarray, c: np.ndarray, basis: dict, k: int) -> Best:
-    """The k best candidates of each query that reach its floor."""
+def search(
+    rows: np.ndarray, q: np.ndarray, floor: np.ndarray, others: np.ndarray, ids: np.ndarray, c: np.ndarray, basis: dict, k: int
+) -> Best:
+    """The k best candidates of each query that reach its floor.
+
+    rows and others number the rows of the queries q and of the candidates c, whose ids order equal scores.
+    """
     qn, cn = np.sqrt((q**2).sum(axis=1)), np.sqrt((c**2).sum(axis=1))
     order = np.argsort(-cn, kind="stable")
-    cid, c, cn = cid[order], c[order], cn[order]
+    c, cn, others, ids = c[order], cn[order], others[order], ids[order]
     rq, rc = rotated(q, basis), rotated(c, basis)
     lead = min(LEAD, q.shape[1])
     tq, tc = suffix_norms(rq, lead), suffix_norms(rc, lead)
     best = Best(len(q), k, floor)
     for at in range(0, len(c), RUN):
         run = slice(at, at + RUN)
-        slack = 1e-9 * qn * cn[at] + 1e-6
+        slack = SLACK * qn * cn[at] + 1e-6
         live = np.flatnonzero(qn * cn[at] + slack >= best.floor)
         if not len(live):
             break
-        reach = rq[live, :lead] @ rc[run, :lead].T + np.outer(tq[live], tc[run]) + slack[live, None]
-        i, j = np.nonzero((reach >= best.floor[live, None]) & (qid[live, None] != cid[run][None, :]))
-        i, j = live[i], j + at
-        scores = [exact(q[i[x : x + 65536]], c[j[x : x + 65536]]) for x in range(0, len(i), 65536)]
-        if scores:
-            score = np.concatenate(scores)
-            ok = score >= best.floor[i]
-            best.add(i[ok], cid[j[ok]], score[ok])
+        for some in (live[x : x + RUN] for x in range(0, len(live), RUN)):
+            reach = rq[some, :lead] @ rc[run, :lead].T + np.outer(tq[some], tc[run]) + slack[some, None]
+            i, j = np.nonzero((reach >= best.floor[some, None]) & (rows[some, None] != others[run][None, :]))
+            i, j = some[i], j + at
+            scores = [exact(q[i[x : x + 65536]], c[j[x : x + 65536]]) for x in range(0, len(i), 65536)]
+            if scores:
+                score = np.concatenate(scores)
+                ok = score >= best.floor[i]
+                best.add(i[ok], order[j[ok]], ids[j[ok]], score[ok])
     return best
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.float64)
+    return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
 def top_products(table: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query.
 
-    table has vec_id and embedding; other columns are ignored. is_query is a condition on vec_id.
-    A query's candidates are all other rows of its dimension. Rows with a null vec_id, and vectors that are null,
-    empty, or hold null or non-finite components, take no part. Equal scores are ordered by vec_id;
-    rows of one vec_id are not one another's candidates. Scores must fit 64 bits. An empty table
-    gives an empty result.
+    table has vec_id and embedding; other columns are ignored. is_query is a condition on vec_id; where it is
+    null, a row is no query. A query's candidates are all other rows of its dimension. Vectors that are null
+    or hold null or non-finite components take no part; an empty vector has the product 0 with another empty one.
+    Equal scores are ordered by vec_id, null last. Rows that repeat a vec_id are queries and candidates of their own, also for
+    each other, and each query has its own ranks. Scores must fit 64 bits; the largest 64-bit number is no id. An empty table gives an empty result.
     """
     vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(SCALE))).cast("double"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    rows = table.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", vector.alias("v"))
+    rows = table.filter(usable(F.col("embedding"))).select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce("vec_id", F.lit(UNKNOWN)).alias("vec_id"), vector.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
+    )
     rows = written(rows.withColumns({"length": length, "dim": F.size("v")}), "top-vectors")
-    queries = rows.filter(is_query)
-    n, nq = rows.count(), queries.count()
-    schema = "query_id long, vec_id long, score long"
+    n, nq = rows.agg(F.count("*"), F.count_if("asks")).first()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotations(rows, "v")
-    longest = rows.orderBy(F.desc("length"), "vec_id").limit(SEEDS).select("vec_id", "v", "dim").collect()
+    longest = rows.orderBy(F.desc("length"), "row").limit(SEEDS).select("row", "vec_id", "v", "dim").toPandas()
     seeds = {
-        d: (np.array([r.vec_id for r in longest if r.dim == d]), np.array([r.v for r in longest if r.dim == d]))
-        for d in {r.dim for r in longest}
+        d: (longest["row"].to_numpy(np.int64)[at], longest["vec_id"].to_numpy(np.int64)[at], _matrix(longest["v"].iloc[at]))
+        for d, at in longest.groupby("dim").indices.items()
     }
 
     def floors(batches):
@@ -110,52 +126,64 @@ def top_products(table: DataFrame, is_query: Column, k: int = TOP) -> DataFrame:
             floor = np.full(len(part), -np.inf)
             for d, at in part.groupby("dim").indices.items():
                 if d in seeds:
-                    best = search(
-                        part["vec_id"].to_numpy()[at], _matrix(part["v"].iloc[at]), floor[at], *seeds[d], basis, k
-                    )
+                    best = search(part["row"].to_numpy()[at], _matrix(part["v"].iloc[at]), floor[at], *seeds[d], basis, k)
                     floor[at] = best.floor
-            yield part.assign(floor=floor)
-
-    started = queries.mapInPandas(floors, "vec_id long, v array<double>, length double, dim int, floor double")
-    query_blocks, blocks = max(1, -(-nq // QUERY_BLOCK)), min(SLICES, max(1, -(-n // BLOCK)))
-    cuts = rows.agg(F.percentile_approx("length", [i / blocks for i in range(1, blocks)] or [0.5], 10000)).first()[0] or []
-    block = F.lit(0)
-    for c in sorted(set(cuts)) if blocks > 1 else []:
-        block = block + (F.col("length") > F.lit(float(c))).cast("int")
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))
-    many = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    # A slice is split by hash where it holds too many rows, as when many lengths are equal.
-    sized = rows.withColumn("block", block)
-    parts = sized.groupBy("block").count().select("block", F.ceil(F.col("count") / (2 * BLOCK)).cast("int").alias("parts"))
-    parts = parts.collect()
-    part_of = F.lit(1)
-    for r in parts:
-        part_of = F.when(F.col("block") == r.block, F.lit(r.parts)).otherwise(part_of)
-    sized = sized.withColumn("part", F.pmod(F.xxhash64("vec_id"), part_of).cast("int"))
-    if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            length = part["length"].to_numpy()
+            # The least length of a candidate that can reach the floor.
+            needs = np.where(floor <= 0, 0.0, (floor - 1e-6) / np.maximum(length, 1e-300) * (1 - SLACK))
+            yield part.assign(floor=floor, needs=needs)
+
+    kind = "row long, vec_id long, v array<double>, length double, dim int, floor double, needs double"
+    started = written(rows.filter("asks").drop("asks").mapInPandas(floors, kind), "top-queries")
+
+    def cut(frame: DataFrame, column: str, parts: int) -> Column:
+        """A number from 0 to parts - 1, larger for larger values."""
+        cuts = frame.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)] or [0.5], 10000)).first()[0] or []
+        above = [(F.col(column) > F.lit(float(c))).cast("int") for c in sorted(set(cuts))] if parts > 1 else []
+        return sum(above, F.lit(0))
+
+    sliced = rows.drop("asks").withColumn("slice", cut(rows, "length", min(SLICES, max(1, -(-n // BLOCK)))))
+    # At most SLICES rows of three numbers.
+    slices = sliced.groupBy("slice").agg(F.max("length").alias("most"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).collect()
+    banded = started.withColumn("band", cut(started, "needs", min(BANDS, max(1, -(-nq // QUERY_BLOCK)))))
+    bands = banded.groupBy("band").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"), F.min("needs").alias("needs")).collect()
+
+    def of(pairs: list, key: str, value: str, kind: str) -> Column:
+        """The value of a slice or band, as a Column."""
+        out = F.lit(None).cast(kind)
+        for r in pairs:
+            out = F.when(F.col(key) == r[key], F.lit(r[value]).cast(kind)).otherwise(out)
+        return out
 
     def parts_of(r) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(r.parts - 1)), lambda x: F.struct(F.lit(r.block).alias("block"), x.alias("part"))
-        )
+        every = F.transform(F.sequence(F.lit(0), F.lit(r.parts - 1)), lambda x: F.struct(F.lit(r.slice).alias("slice"), x.alias("part")))
+        return F.when(F.col("needs") <= F.lit(r.most), every).otherwise(F.array().cast("array<struct<slice:int,part:int>>"))
+
+    banded = banded.withColumn("share", F.pmod(F.xxhash64("row"), of(bands, "band", "parts", "int")).cast("int"))
+    asked = banded.select("band", "share", F.explode(F.flatten(F.array(*map(parts_of, slices)))).alias("b"), "dim", "row", "vec_id", "v", "floor")
+    asked = asked.select("band", "share", "b.slice", "b.part", "dim", "row", "vec_id", "v", "floor")
+    sliced = sliced.withColumn("part", F.pmod(F.xxhash64("row"), of(slices, "slice", "parts", "int")).cast("int"))
+
+    def shares_of(r) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.lit(r.parts - 1)), lambda x: F.struct(F.lit(r.band).alias("band"), x.alias("share")))
+        return F.when(F.col("most") >= F.lit(r.needs), every).otherwise(F.array().cast("array<struct<band:int,share:int>>"))
 
-    all_parts = F.flatten(F.array(*[parts_of(r) for r in parts]))
-    left = started.select(salt.cast("int").alias("qb"), F.explode(all_parts).alias("b"), "dim", "vec_id", "v", "floor")
-    left = left.select("qb", "b.block", "b.part", "dim", "vec_id", "v", "floor")
-    right = sized.select(many(query_blocks).alias("qb"), "block", "part", "dim", "vec_id", "v")
+    blocks = F.flatten(F.array(F.array().cast("array<struct<band:int,share:int>>"), *map(shares_of, bands)))
+    offered = sliced.withColumn("most", of(slices, "slice", "most", "double")).select(F.explode(blocks).alias("b"), "slice", "part", "dim", "row", "vec_id", "v")
+    offered = offered.select("b.band", "b.share", "slice", "part", "dim", "row", "vec_id", "v")
 
     def compare(key, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if one.empty or two.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        qid = one["vec_id"].to_numpy()
-        best = search(
-            qid, _matrix(one["v"]), one["floor"].to_numpy(), two["vec_id"].to_numpy(), _matrix(two["v"]), basis, k
-        )
-        return pd.DataFrame({"query_id": qid[best.query], "vec_id": best.vec, "score": best.score})
-
-    keys = ["qb", "block", "part", "dim"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+        ids = two["vec_id"].to_numpy()
+        best = search(one["row"].to_numpy(), _matrix(one["v"]), one["floor"].to_numpy(), two["row"].to_numpy(), ids, _matrix(two["v"]), basis, k)
+        asking = one.iloc[best.query].reset_index(drop=True)
+        return pd.DataFrame({"query": asking["row"], "query_id": asking["vec_id"], "vec_id": ids[best.place], "score": best.score})
+
+    keys = ["band", "share", "slice", "part", "dim"]
+    schema = "query long, query_id long, vec_id long, score long"
+    found = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(compare, schema)
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    known = lambda c: F.nullif(F.col(c), F.lit(UNKNOWN)).alias(c)
+    return ranked.select(known("query_id"), "rank", known("vec_id"), "score")

@@ -11,9 +11,9 @@ SAMPLE = 4096
 
 
 def usable(vector: Column) -> Column:
-    """True where the vector is not null or empty and all its components are finite numbers."""
+    """True where the vector is not null and all its components are finite numbers."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, bad), F.lit(False))
+    return F.coalesce(~F.exists(vector, bad), F.lit(False))
 
 
 def rotations(vectors: DataFrame, column: str) -> dict[int, np.ndarray]:
@@ -21,7 +21,8 @@ def rotations(vectors: DataFrame, column: str) -> dict[int, np.ndarray]:
     rows = vectors.select(column).orderBy(F.xxhash64(column)).limit(SAMPLE).collect()
     by_size: dict[int, list] = {}
     for r in rows:
-        by_size.setdefault(len(r[0]), []).append(r[0])
+        if r[0]:
+            by_size.setdefault(len(r[0]), []).append(r[0])
     out = {}
     for d, some in by_size.items():
         x = np.array(some, dtype=np.float64)

@@ -1,7 +1,8 @@
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tablewright.llm import embedding_dedup, topk
+from tablewright.llm import embedding_dedup, q4, q5, topk
 
 NAN = float("nan")
 
@@ -56,7 +57,11 @@ def test_near_vectors_against_brute_force(spark, monkeypatch):
     want = brute_links(rows)
     assert any(n > 1 for _, n, _, _ in want)
     assert sorted(tuple(r) for r in embedding_dedup.near_vectors(make(spark, rows)).collect()) == want
-    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    # Many axes, tiles and shares.
+    for cells in (12, 60):
+        monkeypatch.setattr(embedding_dedup, "TILE_CELLS", cells)
+        monkeypatch.setattr(embedding_dedup, "VISITORS", 1)
+        monkeypatch.setattr(embedding_dedup, "LEAST_TILE", 2)
     assert sorted(tuple(r) for r in embedding_dedup.near_vectors(make(spark, rows)).collect()) == want
 
 
@@ -64,7 +69,33 @@ def test_near_vectors_odd_tables(spark):
     assert embedding_dedup.near_vectors(make(spark, [])).count() == 0
     rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (3, None, None)]
     got = sorted((tuple(r) for r in embedding_dedup.near_vectors(make(spark, rows)).collect()), key=str)
-    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, False), (3, 0, 3, True)], key=str)
+    assert got == sorted([(1, 0, 1, True), (1, 0, 1, True), (None, 0, None, False), (3, 0, 3, True)], key=str)
+
+
+def duck(sql, rows):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", rows)
+    return sorted(con.sql(sql).fetchall(), key=str)
+
+
+REPEATED = [
+    (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 2), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 2), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (0, [0.0, 0.0], 1),
+    (0, [2.0, 0.0], 1), (0, [0.5], 1), (None, [1.0, 0.0], 1), (5, [], 1), (5, [], 1), (6, None, 1), (8, [1.0, NAN], 1),
+]
+
+
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    got = embedding_dedup.near_vectors(make(spark, REPEATED)).select("vec_id", "n_links", "component_id", "kept").collect()
+    got = sorted((tuple(r) for r in got), key=str)
+    assert got == duck(q4.SQL, REPEATED)
+    assert [r for r in got if r[0] == 1] == [(1, 1, 1, True), (1, 3, 0, False)]
+    assert [r for r in got if r[0] == 4] == [(4, 3, 0, False)] * 2
+
+    got = topk.top_products(make(spark, REPEATED), F.col("vec_id") % 4 == 0).collect()
+    got = sorted((tuple(r) for r in got), key=str)
+    assert got == duck(q5.SQL.replace("% 100", "% 4"), REPEATED)
+    assert len([r for r in got if r[0] == 4]) == 16
 
 
 def test_top_products_against_brute_force(spark, monkeypatch):
@@ -77,6 +108,7 @@ def test_top_products_against_brute_force(spark, monkeypatch):
             want += [(i, r + 1, j, -p) for r, (p, j) in enumerate(s)]
     for block in (8192, 40):
         monkeypatch.setattr(topk, "BLOCK", block)
+        monkeypatch.setattr(topk, "PART", block)
         monkeypatch.setattr(topk, "QUERY_BLOCK", block // 2)
         monkeypatch.setattr(topk, "SEEDS", 30)
         got = topk.top_products(make(spark, rows), F.col("vec_id") % 7 == 0)
@@ -87,4 +119,4 @@ def test_top_products_odd_tables(spark):
     assert topk.top_products(make(spark, []), F.col("vec_id") % 2 == 0).count() == 0
     rows = [(0, [1.0], 1), (1, [1.0], 1), (2, [1.0], 1), (None, [1.0], 1), (4, None, 1)]
     got = sorted(tuple(r) for r in topk.top_products(make(spark, rows), F.col("vec_id") == 0).collect())
-    assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024)]
+    assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024), (0, 3, None, 1024 * 1024)]
