@@ -1,128 +1,147 @@
 """Operator 10, toxicity by nearest labelled examples.
 
-A text's vector is TF-IDF over a vocabulary of words and word beginnings that labelled
-rows show to go with the label. Its NEIGHBOURS nearest examples by exact cosine come from an
-inverted index with block maxima: blocks of examples are scored in order of their bounds, until no block
-left can reach the worst neighbour. The neighbours vote with their cosines; an isotonic curve, fitted on
-the examples with each left out in turn, makes the vote a probability. A text without any
-vocabulary term gets the rate of labelled texts like it. Nothing but the text enters a score.
-
-The classifier is fitted on at most SAMPLE labelled rows, chosen by hash, and VOCABULARY terms.
+A text's vector is TF-IDF over all its words; a word's weight grows with how much oftener it is in toxic examples than
+by chance (the root of its log-likelihood ratio), and no word is left out. Its NEIGHBOURS nearest examples by
+exact cosine come from an inverted index with block maxima: blocks of examples are scored in order of their bounds,
+until no block left can reach the worst neighbour. The neighbours vote with their cosines; an isotonic curve, fitted on
+the examples with each left out in turn, makes the vote a probability. Nothing but the text enters a score.
+
+The classifier is fitted on at most SAMPLE labelled rows, chosen by hash; their whole texts count.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE, VOCABULARY = 20_000, 4096
-NEIGHBOURS, BLOCK, PRIOR, REST = 16, 64, 0.5, 3.0
+from tablewright.llm.shared import partitions, written
+
+SAMPLE = 10_000
+NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
-BEGINNINGS = (4, 5, 6)
-#: A term is used if it is in so many toxic examples, however many there are; if its
-#: log-likelihood ratio is this large; and if it is so many times as frequent among them.
-SUPPORT, LIKELIHOOD, LIFT = 3, 20.0, 3.0
+#: Examples lie side by side by their heaviest term, of those in one of so many examples; so blocks hold like texts.
+COMMON = 50
+#: Blocks that are scored first; each following run is twice as long.
+FIRST_BLOCKS = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str | None) -> Counter:
-    """Counts of a text's words and their beginnings (marked by a star)."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in BEGINNINGS:
-            if len(w) >= k:
-                out[w[:k] + "*"] += n
-    return out
+def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a text as 64-bit hashes, ascending, and their counts."""
+    counts = Counter(_WORD.findall((text or "").lower()))
+    digest = xxhash.xxh64_intdigest
+    terms = np.fromiter((digest(w.encode("utf-8", "replace")) for w in counts), dtype=np.uint64, count=len(counts)).view(np.int64)
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[order]
 
 
-class Vocabulary:
-    """Terms, their places and inverse document frequencies.
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from start to start + size of each pair, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
 
-    All words without a term of their own count as one more term, the rest, whose frequency of
-    documents is one; so a long text with a single hit is not taken for a short one with many.
-    """
 
-    def __init__(self, names: list[str], idf: np.ndarray) -> None:
-        self.place = {t: i for i, t in enumerate(names)}
-        self.idf = np.append(idf, REST)
-        self.size = len(names) + 1
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places (ascending) and weights of unit length; empty if no term but the rest occurs."""
-        counts, found, rest = Counter(_WORD.findall((text or "").lower())), Counter(), 0
-        place = self.place
-        for w, n in counts.items():
-            own = [place[x] for x in (w, *(w[:k] + "*" for k in BEGINNINGS if len(w) >= k)) if x in place]
-            for at in own:
-                found[at] += n
-            rest += 0 if own else n
-        if found and rest:
-            found[self.size - 1] = rest
-        at = np.array(sorted(found), dtype=np.int64)
-        weight = np.array([1 + math.log(found[i]) for i in at]) * self.idf[at] if len(at) else np.empty(0)
-        return at, weight / np.sqrt((weight**2).sum()) if len(at) else weight
+class Weights:
+    """The terms of the examples and their weights; an unknown term weighs as one of no example."""
+
+    def __init__(self, terms: np.ndarray, bad: np.ndarray, clean: np.ndarray, toxic: int, total: int) -> None:
+        df = bad + clean
+        expected = df * toxic / max(1, total)
+        ratio = bad * np.log(np.maximum(bad, 1e-9) / np.maximum(expected, 1e-9)) + clean * np.log(
+            np.maximum(clean, 1e-9) / np.maximum(df - expected, 1e-9)
+        )
+        relevance = np.where(bad > expected, np.sqrt(np.maximum(0.0, 2 * ratio)), 0.0)
+        self.terms, self.weight = terms, np.log((2 + total) / (1 + df)) * (1 + relevance)
+        self.unknown = float(np.log(2 + total))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the known terms, and their parts of the vector of unit length of all terms."""
+        if not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        tf = 1 + np.log(counts)
+        if not len(self.terms):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        part = tf * np.where(known, self.weight[at], self.unknown)
+        return at[known], part[known] / np.sqrt((part**2).sum())
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks of BLOCK, with each block's largest weight of each term."""
-
-    def __init__(self, ids: list[int], toxic: list[int], vectors: list[tuple], size: int) -> None:
-        # Examples with the same heaviest term are neighbours, which makes block maxima tight.
-        heavy = [int(at[np.argmax(np.where(at < size - 1, w, 0.0))]) for at, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (heavy[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], dtype=np.int64)
-        self.toxic = np.array([toxic[i] for i in order], dtype=np.float64)
-        self.blocks = -(-len(ids) // BLOCK)
-        row = np.concatenate([np.full(len(vectors[i][0]), k) for k, i in enumerate(order)]) if order else np.empty(0, np.int64)
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.empty(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.empty(0)
-        by_term = np.lexsort((row, term))
-        self.row, self.weight, term = row[by_term].astype(np.int64), weight[by_term], term[by_term]
-        cell = term * max(1, self.blocks) + self.row // BLOCK
-        self.start = np.searchsorted(cell, np.arange(size * max(1, self.blocks) + 1)).astype(np.int64)
-        self.top = np.zeros((size, max(1, self.blocks)))
-        np.maximum.at(self.top.reshape(-1), cell, self.weight)
+    """Examples by term, in blocks of BLOCK, with each block's largest weight of each term.
+
+    Cells are pairs of a term and a block, in order; a cell has its block, its largest weight and its postings.
+    """
+
+    def __init__(self, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
+        n = len(vectors)
+        df = np.bincount(np.concatenate([a for a, _ in vectors]), minlength=size) if n else np.zeros(size, np.int64)
+        common = df * COMMON >= n
+        heavy = [int(a[np.argmax(np.where(common[a], w, 0.0))]) if len(a) else size for a, w in vectors]
+        #: The example at each place.
+        self.example = np.array(sorted(range(n), key=lambda i: (heavy[i], i)), dtype=np.int64)
+        self.place = np.empty(n, np.int64)
+        self.place[self.example] = np.arange(n)
+        self.toxic = toxic[self.example].astype(np.float64)
+        self.blocks = -(-n // BLOCK)
+        sizes = np.array([len(vectors[i][0]) for i in self.example], dtype=np.int64)
+        row = np.repeat(np.arange(n), sizes)
+        term = np.concatenate([vectors[i][0] for i in self.example]) if n else np.empty(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in self.example]) if n else np.empty(0)
+        order = np.argsort(term, kind="stable")
+        row, term, weight = row[order], term[order], weight[order]
+        self.row, self.weight = row.astype(np.int32), weight
+        cell = term * max(1, self.blocks) + row // BLOCK
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        self.cell_at = np.append(first, len(cell))
+        self.cell_block = (cell[first] % max(1, self.blocks)).astype(np.int32)
+        self.cell_top = np.maximum.reduceat(weight, first) if len(first) else np.empty(0)
+        self.term_at = np.searchsorted(term[first], np.arange(size + 1))
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples of positive cosine; equal cosines by example id."""
+        """Places and cosines of the k nearest examples of positive cosine, nearest first; equal cosines by example."""
+        places, cosines = np.empty(0, np.int64), np.empty(0)
         if not len(at) or not self.blocks:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = weight @ self.top[at]
+            return places, cosines
+        size = self.term_at[at + 1] - self.term_at[at]
+        cell, own = _ranges(self.term_at[at], size), np.repeat(weight, size)
+        block = self.cell_block[cell]
+        bound = np.bincount(block, own * self.cell_top[cell], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        rows, cosines = np.empty(0, np.int64), np.empty(0)
-        step = 8
-        for first in range(0, len(order), step):
-            blocks = order[first : first + step]
-            if bound[blocks[0]] <= 0 or (len(rows) == k and bound[blocks[0]] < cosines[-1] - 1e-12):
+        first, step = 0, FIRST_BLOCKS
+        while first < len(order):
+            run = order[first : first + step]
+            run = run[bound[run] > 0] if len(places) < k else run[bound[run] >= cosines[-1] - 1e-9]
+            if not len(run):
                 break
-            scores = np.zeros((len(blocks), BLOCK))
-            for b, block in enumerate(blocks):
-                for t, w in zip(at, weight, strict=True):
-                    c = t * self.blocks + block
-                    a, z = self.start[c], self.start[c + 1]
-                    scores[b, self.row[a:z] - block * BLOCK] += w * self.weight[a:z]
-            b, inside = np.nonzero(scores > 0)
-            new = blocks[b] * BLOCK + inside
-            if without is not None:
-                b, inside, new = b[new != without], inside[new != without], new[new != without]
-            rows, cosines = np.append(rows, new), np.append(cosines, np.round(scores[b, inside], 12))
-            best = np.lexsort((self.ids[rows], -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
-        return rows, cosines
-
-    def vote(self, rows: np.ndarray, cosines: np.ndarray, base: float) -> float:
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[run] = True
+            some = chosen[block]
+            start = self.cell_at[cell[some]]
+            size = self.cell_at[cell[some] + 1] - start
+            posting = _ranges(start, size)
+            score = np.bincount(self.row[posting], np.repeat(own[some], size) * self.weight[posting])
+            if without is not None and without < len(score):
+                score[without] = 0.0
+            hit = np.flatnonzero(score)
+            places, cosines = np.append(places, hit), np.append(cosines, np.round(score[hit], 12))
+            best = np.lexsort((self.example[places], -cosines))[:k]
+            places, cosines = places[best], cosines[best]
+            first, step = first + step, 2 * step
+        return places, cosines
+
+    def vote(self, places: np.ndarray, cosines: np.ndarray, base: float) -> float:
         """Share of toxic neighbours weighted by cosine, with a little weight on the base rate."""
-        return float(((cosines * self.toxic[rows]).sum() + PRIOR * base) / (cosines.sum() + PRIOR))
+        return float(((cosines * self.toxic[places]).sum() + PRIOR * base) / (cosines.sum() + PRIOR))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +159,40 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Vocabulary, index and calibration; scores one text at a time."""
-
-    def __init__(self, vocabulary: Vocabulary, examples: list[tuple]) -> None:
-        self.vocabulary = vocabulary
-        some = [e for e in examples if len(e[2])]
-        none = [e for e in examples if not len(e[2])]
-        self.base = (sum(e[1] for e in examples) + PRIOR_RATE) / (len(examples) + 1)
-        self.empty = (sum(e[1] for e in none) + self.base) / (len(none) + 1)
-        self.index = BlockMaxIndex(
-            [e[0] for e in some], [e[1] for e in some], [(np.array(e[2]), np.array(e[3])) for e in some], vocabulary.size
-        )
-        place = {int(d): i for i, d in enumerate(self.index.ids)}
-        votes = [
-            self.index.vote(*self.index.nearest(np.array(e[2]), np.array(e[3]), NEIGHBOURS, place[e[0]]), self.base) for e in some
-        ]
-        x = np.array([0.0, *votes, 1.0])
-        y = np.array([0.0, *(float(e[1]) for e in some), 1.0])
-        self.knots, self.values = isotonic(x, y)
-        self.seen: dict = {}
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """Probability of the label, and its evidence: (example's doc_id, cosine, label)."""
-        at, weight = self.vocabulary.vector(text)
-        if not len(at):
-            return self.empty, []
-        key = (at.tobytes(), weight.tobytes())
-        if key not in self.seen:
-            if len(self.seen) >= 50_000:
-                self.seen.clear()
-            rows, cosines = self.index.nearest(at, weight, NEIGHBOURS)
-            value = float(np.interp(self.index.vote(rows, cosines, self.base), self.knots, self.values))
-            self.seen[key] = value, [
-                (int(self.index.ids[r]), float(c), int(self.index.toxic[r])) for r, c in zip(rows, cosines, strict=True)
-            ]
-        return self.seen[key]
+    """Weights, index and, once calibrated, a curve; scores one text at a time."""
+
+    def __init__(self, ids: list, toxic: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.ids, n = ids, len(ids)
+        flat = np.concatenate(terms) if n else np.empty(0, np.int64)
+        known, at = np.unique(flat, return_inverse=True)
+        bad = np.bincount(at, np.repeat(toxic, [len(t) for t in terms]), minlength=len(known)) if n else np.empty(0)
+        clean = (np.bincount(at, minlength=len(known)) if n else np.empty(0)) - bad
+        self.base = (float(toxic.sum()) + PRIOR_RATE) / (n + 1)
+        self.weights = Weights(known, bad, clean, int(toxic.sum()), n)
+        self.index = BlockMaxIndex(toxic, [self.weights.vector(t, c) for t, c in zip(terms, counts, strict=True)], len(known))
+        self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+
+    def without(self, example: int, terms: np.ndarray, counts: np.ndarray) -> float:
+        """The vote on an example by the others."""
+        at, weight = self.weights.vector(terms, counts)
+        return self.index.vote(*self.index.nearest(at, weight, NEIGHBOURS, int(self.index.place[example])), self.base)
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit the curve from votes to probabilities."""
+        if len(votes):
+            self.knots, self.values = isotonic(np.concatenate(([0.0], votes, [1.0])), np.concatenate(([0.0], toxic, [1.0])))
+
+    def score(self, text: str | None) -> tuple[float, list[tuple]]:
+        """Probability of the label, and its evidence: (example's doc_id, cosine, label), nearest first."""
+        places, cosines = self.index.nearest(*self.weights.vector(*counted(text)), NEIGHBOURS)
+        value = float(np.interp(self.index.vote(places, cosines, self.base), self.knots, self.values))
+        found = zip(self.index.example[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True)
+        return value, [(self.ids[i], c, int(y)) for i, c, y in found]
+
+    def scores(self, texts: list) -> list[tuple[float, list[tuple]]]:
+        """As score; repeated texts are scored once."""
+        seen = {t: self.score(t) for t in set(texts)}
+        return [seen[t] for t in texts]
 
 
 def held_out(doc_id) -> F.Column:
@@ -185,73 +203,57 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of the labelled rows that are not held out; at most SAMPLE of them, by hash of doc_id.
 
-    Rows with a null label or doc_id are not used; of several labels of a doc_id the largest counts.
+    Rows with a null label or doc_id are not used; of several labels of a doc_id the largest counts, and of several texts of
+    a doc_id the one with the smallest hash.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.filter(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    # At most SAMPLE rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            found = {0: Counter(), 1: Counter()}
-            for text, y in zip(part["text"], part["toxic"], strict=True):
-                found[int(y > 0)].update(terms(text).keys())
-            names = list(found[0].keys() | found[1].keys())
-            yield pd.DataFrame({"term": names, "clean": [found[0][t] for t in names], "bad": [found[1][t] for t in names]})
-
-    sizes = {r[0]: r[1] for r in rows.groupBy((F.col("toxic") > 0).cast("int")).count().collect()}
-    bad, clean = sizes.get(1, 0), sizes.get(0, 0)
-    n = bad + clean
-    counted = rows.mapInPandas(count, "term string, clean long, bad long").groupBy("term")
-    counted = counted.agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-    expected = (F.col("bad") + F.col("clean")) * F.lit(bad / max(1, n))
-    rest = F.col("bad") + F.col("clean") - expected
-    part = F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / rest)).otherwise(0.0)
-    ratio = 2 * (F.col("bad") * F.log(F.col("bad") / expected) + part)
-    lift = (F.col("bad") / F.lit(max(1, bad))) / ((F.col("clean") + 0.5) / F.lit(max(1, clean)))
-    chosen_terms = (
-        counted.filter(F.col("bad") >= SUPPORT)
-        .withColumn("ratio", ratio)
-        .filter((F.col("ratio") > LIKELIHOOD) & (lift > LIFT))
-        .orderBy(F.desc("ratio"), "term")
-        .limit(VOCABULARY)
-        .collect()
-    )
-    idf = np.array([math.log((1 + n) / (1 + r.clean + r.bad)) + 1 for r in chosen_terms])
-    vocabulary = Vocabulary([r.term for r in chosen_terms], idf)
+    chosen = chosen.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            made = [vocabulary.vector(t) for t in p["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": p["doc_id"],
-                    "toxic": (p["toxic"] > 0).astype("int32"),
-                    "at": [a.tolist() for a, _ in made],
-                    "weight": [w.tolist() for _, w in made],
-                }
-            )
+        for part in batches:
+            made = [counted(t) for t in part["text"]]
+            columns = {"terms": [t for t, _ in made], "counts": [c for _, c in made]}
+            yield part[["doc_id", "toxic", "key"]].assign(**{k: pd.Series(v, index=part.index, dtype=object) for k, v in columns.items()})
+
+    # At most SAMPLE rows of two numbers are broadcast.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, key long, terms array<long>, counts array<long>"
+    single = rows.mapInPandas(vectors, kind).groupBy("doc_id").agg(F.min_by(F.struct("toxic", "terms", "counts"), "key").alias("e"))
+    examples = written(single.select("doc_id", "e.*"), "toxicity-examples").orderBy("doc_id")
+    # At most SAMPLE rows: the model itself.
+    found = examples.toPandas()
+    whole = lambda c: [np.asarray(x, dtype=np.int64) for x in found[c]]
+    model = Model(found["doc_id"].tolist(), found["toxic"].to_numpy(np.float64), whole("terms"), whole("counts"))
+    spark, place = docs.sparkSession, {d: i for i, d in enumerate(model.ids)}
+    shared = spark.sparkContext.broadcast((model, place))
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fitted, place = shared.value
+        for part in batches:
+            made = [fitted.without(place[d], np.asarray(t), np.asarray(c)) for d, t, c in zip(part["doc_id"], part["terms"], part["counts"], strict=True)]
+            yield pd.DataFrame({"vote": np.array(made, dtype=np.float64), "toxic": part["toxic"].to_numpy(np.float64)})
 
-    examples = rows.mapInPandas(vectors, "doc_id long, toxic int, at array<long>, weight array<double>").collect()
-    distinct = {(r.doc_id, tuple(r.at)): (r.doc_id, r.toxic, r.at, r.weight) for r in examples}
-    # Of rows that share a doc_id, one example is kept.
-    single = {d: e for (d, _), e in sorted(distinct.items())}
-    return Model(vocabulary, [single[d] for d in sorted(single)])
+    spread = examples.repartition(min(partitions(docs), max(1, len(found) // 64)))
+    left_out = spread.mapInPandas(votes, "vote double, toxic double").toPandas()
+    model.calibrate(left_out["vote"].to_numpy(), left_out["toxic"].to_numpy())
+    shared.unpersist()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence array<struct<doc_id, cosine, toxic>> for each row of docs.
 
     docs has doc_id and text, labels has doc_id and toxic; other columns are ignored. A null text is
-    empty. Repeated rows get equal results. A row with a null doc_id is scored and not held out. Without
+    empty; a text without words gets the rate of the label. Repeated rows get equal results, and so do rows
+    that share a text. A row with a null doc_id is scored and not held out. Without
     usable labels every score is PRIOR_RATE, so that nothing is predicted to be toxic. An empty table gives an empty result.
     """
-    model = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            scored = [model.score(t) for t in part["text"]]
+            scored = shared.value.scores(part["text"].tolist())
             yield pd.DataFrame(
                 {
                     "doc_id": part["doc_id"],
@@ -262,16 +264,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 }
             )
 
-    kind = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
+    own = docs.schema["doc_id"].dataType.simpleString()
+    kind = f"doc_id {own}, held_out boolean, score double, predicted int, evidence array<struct<doc_id: {own}, cosine: double, toxic: int>>"
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(run, kind)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted to be toxic."""
-    model = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t)[0] for t in texts], dtype="float64")
+        return pd.Series([s for s, _ in shared.value.scores(texts.tolist())], dtype="float64")
 
     return docs.filter(score("text") < 0.5)

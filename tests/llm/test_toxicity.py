@@ -1,4 +1,8 @@
 import hashlib
+import math
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -15,16 +19,19 @@ def test_index_equals_brute_force():
         at = np.sort(rng.choice(size, rng.integers(1, 6), replace=False))
         w = rng.random(len(at)) + 0.1
         vectors.append((at, w / np.sqrt((w**2).sum())))
-    index = t.BlockMaxIndex(list(range(500)), [int(x) for x in rng.integers(0, 2, 500)], vectors, size)
+    index = t.BlockMaxIndex(rng.integers(0, 2, 500), vectors, size)
     dense = np.zeros((500, size))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
     for i in range(100):
         rows, cosines = index.nearest(*vectors[i], 16)
+        rows = index.example[rows]
         all_cosines = np.round(dense @ dense[i], 12)
         order = [j for j in np.lexsort((np.arange(500), -all_cosines))[:16] if all_cosines[j] > 0]
         assert np.allclose(cosines, all_cosines[order], atol=1e-9)
-        assert sorted(np.round(all_cosines[index.ids[rows]], 9)) == sorted(np.round(all_cosines[order], 9))
+        assert sorted(np.round(all_cosines[rows], 9)) == sorted(np.round(all_cosines[order], 9))
+        left_out, _ = index.nearest(*vectors[i], 16, int(index.place[i]))
+        assert i not in index.example[left_out] and len(left_out) == 16
 
 
 def test_isotonic_does_not_fall():
@@ -34,6 +41,58 @@ def test_isotonic_does_not_fall():
     assert (np.diff(at) >= 0).all() and (np.diff(value) >= 0).all()
 
 
+def brute(docs, labels):
+    """Scores and evidence by plain loops over dictionaries."""
+    known = {d: y for d, y in labels if zlib.crc32(str(d).encode()) % 5}
+    words = {d: Counter(re.findall(r"[^\W\d_]+", (x or "").lower())) for d, x in docs}
+    ids = sorted(d for d in words if d in known)
+    bad, clean = Counter(), Counter()
+    for d in ids:
+        (bad if known[d] else clean).update(words[d].keys())
+    n, toxic = len(ids), sum(known[d] for d in ids)
+
+    def weight(w):
+        a, b = bad[w], clean[w]
+        e = (a + b) * toxic / n
+        g = 0.0
+        if a > e:
+            g = 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0.0))
+        return math.log((2 + n) / (1 + a + b)) * (1 + math.sqrt(max(0.0, g)))
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * weight(w) for w, k in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / length for w, x in v.items()}
+
+    vectors = {d: vector(c) for d, c in words.items()}
+    base = (toxic + t.PRIOR_RATE) / (n + 1)
+
+    def near(d):
+        v = vectors[d]
+        found = [(-round(sum(x * vectors[e].get(w, 0.0) for w, x in v.items()), 12), e) for e in ids]
+        return sorted(x for x in found if x[0] < 0)
+
+    def vote(found):
+        return (sum(-c * known[e] for c, e in found) + t.PRIOR * base) / (sum(-c for c, _ in found) + t.PRIOR)
+
+    left_out = np.array([vote([x for x in near(d) if x[1] != d][: t.NEIGHBOURS]) for d in ids])
+    knots, values = t.isotonic(np.array([0.0, *left_out, 1.0]), np.array([0.0, *(known[d] for d in ids), 1.0]))
+    nearest = {d: near(d)[: t.NEIGHBOURS] for d in words}
+    return {d: (float(np.interp(vote(f), knots, values)), [-c for c, _ in f]) for d, f in nearest.items()}
+
+
+def test_whole_query_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    want = brute([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in labels.select("doc_id", "toxic").collect()])
+    got = t.toxicity(docs, labels).collect()
+    assert len(got) == len(want) == docs.count()
+    for r in got:
+        score, cosines = want[r.doc_id]
+        assert abs(r.score - score) < 1e-6 and r.predicted == int(r.score >= 0.5)
+        assert np.allclose([e.cosine for e in r.evidence], cosines, atol=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -41,8 +100,9 @@ def test_held_out_accuracy(spark):
     rows = out.join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").select("toxic", "predicted", "score").collect()
     bad = [r for r in rows if r.toxic == 1]
     good = [r for r in rows if r.toxic == 0]
-    assert np.mean([r.predicted for r in bad]) > 0.9
-    assert np.mean([r.predicted for r in good]) < 0.02
+    print("held out", sum(r.predicted for r in bad), len(bad), sum(r.predicted for r in good), len(good))
+    assert sum(r.predicted for r in bad) >= 91 and len(bad) == 97
+    assert sum(r.predicted for r in good) <= 4
     assert all(0 <= r.score <= 1 for r in rows)
 
 
@@ -56,6 +116,16 @@ def test_rare_terms_of_many_examples(spark):
     assert share[1] > 0.8 and share[0] < 0.02
 
 
+def test_rows_that_share_an_id_with_different_texts(spark):
+    rows = [(i, f"good day {i}", 0) for i in range(40)] + [(100 + i, f"vile day {i}", 1) for i in range(40)]
+    df = spark.createDataFrame(rows + [(5, "vile day", 0), (5, "vile day", 0)], "doc_id long, text string, toxic int")
+    out = t.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic").distinct()).join(df, "doc_id").collect()
+    same = [r.score for r in out if r.doc_id == 5 and r.predicted]
+    assert len(set(same)) <= 1 and all(r.predicted == r.toxic for r in out if r.doc_id != 5)
+    # Evidence for any text that shares a word.
+    assert t.toxicity(spark.createDataFrame([(7, "day")], "doc_id long, text string"), df.select("doc_id", "toxic").limit(0)).first().evidence == []
+
+
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
