@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.shared import partitions, written
 
-SAMPLE = 10_000
+SAMPLE = 4_000
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
@@ -41,7 +41,7 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     digest = xxhash.xxh64_intdigest
     terms = np.fromiter((digest(w.encode("utf-8", "replace")) for w in counts), dtype=np.uint64, count=len(counts)).view(np.int64)
     order = np.argsort(terms)
-    return terms[order], np.fromiter(counts.values(), dtype=np.int64, count=len(counts))[order]
+    return terms[order], np.fromiter(counts.values(), dtype=np.int32, count=len(counts))[order]
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -82,29 +82,29 @@ class BlockMaxIndex:
     Cells are pairs of a term and a block, in order; a cell has its block, its largest weight and its postings.
     """
 
-    def __init__(self, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], size: int) -> None:
-        n = len(vectors)
-        df = np.bincount(np.concatenate([a for a, _ in vectors]), minlength=size) if n else np.zeros(size, np.int64)
-        common = df * COMMON >= n
-        heavy = [int(a[np.argmax(np.where(common[a], w, 0.0))]) if len(a) else size for a, w in vectors]
+    def __init__(self, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int) -> None:
+        """Examples' labels, their numbers of terms, and the terms and weights of one after the other."""
+        n = len(sizes)
+        row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        common = np.bincount(term, minlength=size) * COMMON >= n
+        # The heaviest common term of each example; size if it has none.
+        heavy, some = np.full(n, size, dtype=np.int64), np.flatnonzero(common[term])
+        some = some[np.lexsort((weight[some], row[some]))]
+        heavy[row[some]] = term[some]
         #: The example at each place.
-        self.example = np.array(sorted(range(n), key=lambda i: (heavy[i], i)), dtype=np.int64)
+        self.example = np.argsort(heavy, kind="stable")
         self.place = np.empty(n, np.int64)
         self.place[self.example] = np.arange(n)
         self.toxic = toxic[self.example].astype(np.float64)
         self.blocks = -(-n // BLOCK)
-        sizes = np.array([len(vectors[i][0]) for i in self.example], dtype=np.int64)
-        row = np.repeat(np.arange(n), sizes)
-        term = np.concatenate([vectors[i][0] for i in self.example]) if n else np.empty(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in self.example]) if n else np.empty(0)
-        order = np.argsort(term, kind="stable")
-        row, term, weight = row[order], term[order], weight[order]
-        self.row, self.weight = row.astype(np.int32), weight
-        cell = term * max(1, self.blocks) + row // BLOCK
+        row = self.place[row].astype(np.int32)
+        order = np.lexsort((row, term))
+        self.row, self.weight, term = row[order], weight[order], term[order]
+        cell = term * max(1, self.blocks) + self.row // BLOCK
         first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
         self.cell_at = np.append(first, len(cell))
         self.cell_block = (cell[first] % max(1, self.blocks)).astype(np.int32)
-        self.cell_top = np.maximum.reduceat(weight, first) if len(first) else np.empty(0)
+        self.cell_top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.term_at = np.searchsorted(term[first], np.arange(size + 1))
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -161,15 +161,17 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Weights, index and, once calibrated, a curve; scores one text at a time."""
 
-    def __init__(self, ids: list, toxic: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray]) -> None:
+    def __init__(self, ids: list, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
+        """Examples in order of their ids: labels, numbers of terms, and the terms and counts of one after the other."""
         self.ids, n = ids, len(ids)
-        flat = np.concatenate(terms) if n else np.empty(0, np.int64)
-        known, at = np.unique(flat, return_inverse=True)
-        bad = np.bincount(at, np.repeat(toxic, [len(t) for t in terms]), minlength=len(known)) if n else np.empty(0)
-        clean = (np.bincount(at, minlength=len(known)) if n else np.empty(0)) - bad
+        known, at = np.unique(terms, return_inverse=True)
+        bad = np.bincount(at, np.repeat(toxic, sizes), minlength=len(known))
+        clean = np.bincount(at, minlength=len(known)) - bad
         self.base = (float(toxic.sum()) + PRIOR_RATE) / (n + 1)
         self.weights = Weights(known, bad, clean, int(toxic.sum()), n)
-        self.index = BlockMaxIndex(toxic, [self.weights.vector(t, c) for t, c in zip(terms, counts, strict=True)], len(known))
+        part = (1 + np.log(counts)) * self.weights.weight[at]
+        length = np.sqrt(np.bincount(np.repeat(np.arange(n), sizes), part**2, minlength=n))
+        self.index = BlockMaxIndex(toxic, sizes, at, part / np.repeat(length, sizes), len(known))
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def without(self, example: int, terms: np.ndarray, counts: np.ndarray) -> float:
@@ -218,13 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     # At most SAMPLE rows of two numbers are broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
-    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, key long, terms array<long>, counts array<long>"
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, key long, terms array<long>, counts array<int>"
     single = rows.mapInPandas(vectors, kind).groupBy("doc_id").agg(F.min_by(F.struct("toxic", "terms", "counts"), "key").alias("e"))
     examples = written(single.select("doc_id", "e.*"), "toxicity-examples").orderBy("doc_id")
     # At most SAMPLE rows: the model itself.
     found = examples.toPandas()
-    whole = lambda c: [np.asarray(x, dtype=np.int64) for x in found[c]]
-    model = Model(found["doc_id"].tolist(), found["toxic"].to_numpy(np.float64), whole("terms"), whole("counts"))
+    sizes = np.array([len(x) for x in found["terms"]], dtype=np.int64)
+    flat = lambda c: np.concatenate([np.empty(0, np.int64), *found[c]])
+    model = Model(found["doc_id"].tolist(), found["toxic"].to_numpy(np.float64), sizes, flat("terms"), flat("counts"))
     spark, place = docs.sparkSession, {d: i for i, d in enumerate(model.ids)}
     shared = spark.sparkContext.broadcast((model, place))
 
@@ -234,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             made = [fitted.without(place[d], np.asarray(t), np.asarray(c)) for d, t, c in zip(part["doc_id"], part["terms"], part["counts"], strict=True)]
             yield pd.DataFrame({"vote": np.array(made, dtype=np.float64), "toxic": part["toxic"].to_numpy(np.float64)})
 
-    spread = examples.repartition(min(partitions(docs), max(1, len(found) // 64)))
+    spread = examples.repartition(min(partitions(docs), max(1, len(sizes) // 64)))
+    del found
     left_out = spread.mapInPandas(votes, "vote double, toxic double").toPandas()
     model.calibrate(left_out["vote"].to_numpy(), left_out["toxic"].to_numpy())
     shared.unpersist()

@@ -19,7 +19,8 @@ def test_index_equals_brute_force():
         at = np.sort(rng.choice(size, rng.integers(1, 6), replace=False))
         w = rng.random(len(at)) + 0.1
         vectors.append((at, w / np.sqrt((w**2).sum())))
-    index = t.BlockMaxIndex(rng.integers(0, 2, 500), vectors, size)
+    sizes = np.array([len(a) for a, _ in vectors])
+    index = t.BlockMaxIndex(rng.integers(0, 2, 500), sizes, *(np.concatenate(x) for x in zip(*vectors, strict=True)), size)
     dense = np.zeros((500, size))
     for i, (at, w) in enumerate(vectors):
         dense[i, at] = w
