@@ -11,4 +11,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, scored by their nearest labelled examples."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity(docs, labels).drop("evidence")
+    return toxicity(docs, labels, evidence=False)

@@ -30,8 +30,8 @@ NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 PRIOR_RATE = 0.1
 #: Examples lie side by side by their heaviest term, of those in one of so many examples; so blocks hold like texts.
 COMMON = 50
-#: Blocks that are scored first; each following run is twice as long.
-FIRST_BLOCKS = 8
+#: Blocks that are scored first; each following run is four times as long.
+FIRST_BLOCKS, GROWTH = 12, 4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,7 +47,9 @@ def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers from start to start + size of each pair, one after the other."""
     ends = np.cumsum(size)
-    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.repeat(start - ends + size, size)
+    out += np.arange(len(out))
+    return out
 
 
 class Weights:
@@ -125,18 +127,23 @@ class BlockMaxIndex:
                 break
             chosen = np.zeros(self.blocks, dtype=bool)
             chosen[run] = True
-            some = chosen[block]
+            some = np.flatnonzero(chosen[block])
             start = self.cell_at[cell[some]]
             size = self.cell_at[cell[some] + 1] - start
             posting = _ranges(start, size)
             score = np.bincount(self.row[posting], np.repeat(own[some], size) * self.weight[posting])
             if without is not None and without < len(score):
                 score[without] = 0.0
-            hit = np.flatnonzero(score)
+            if len(places) == k:
+                hit = np.flatnonzero(score >= cosines[-1] - 1e-9)
+            elif np.count_nonzero(score) > k:
+                hit = np.flatnonzero((score > 0) & (score >= np.partition(score, -k)[-k] - 1e-9))
+            else:
+                hit = np.flatnonzero(score)
             places, cosines = np.append(places, hit), np.append(cosines, np.round(score[hit], 12))
             best = np.lexsort((self.example[places], -cosines))[:k]
             places, cosines = places[best], cosines[best]
-            first, step = first + step, 2 * step
+            first, step = first + step, GROWTH * step
         return places, cosines
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, base: float) -> float:
@@ -184,16 +191,18 @@ class Model:
         if len(votes):
             self.knots, self.values = isotonic(np.concatenate(([0.0], votes, [1.0])), np.concatenate(([0.0], toxic, [1.0])))
 
-    def score(self, text: str | None) -> tuple[float, list[tuple]]:
+    def score(self, text: str | None, evidence: bool = True) -> tuple[float, list[tuple]]:
         """Probability of the label, and its evidence: (example's doc_id, cosine, label), nearest first."""
         places, cosines = self.index.nearest(*self.weights.vector(*counted(text)), NEIGHBOURS)
         value = float(np.interp(self.index.vote(places, cosines, self.base), self.knots, self.values))
+        if not evidence:
+            return value, []
         found = zip(self.index.example[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True)
         return value, [(self.ids[i], c, int(y)) for i, c, y in found]
 
-    def scores(self, texts: list) -> list[tuple[float, list[tuple]]]:
+    def scores(self, texts: list, evidence: bool = True) -> list[tuple[float, list[tuple]]]:
         """As score; repeated texts are scored once."""
-        seen = {t: self.score(t) for t in set(texts)}
+        seen = {t: self.score(t, evidence) for t in set(texts)}
         return [seen[t] for t in texts]
 
 
@@ -245,8 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence array<struct<doc_id, cosine, toxic>> for each row of docs.
+def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataFrame:
+    """doc_id, held_out, score, predicted, and evidence array<struct<doc_id, cosine, toxic>> if asked for, for each row of docs.
 
     docs has doc_id and text, labels has doc_id and toxic; other columns are ignored. A null text is
     empty; a text without words gets the rate of the label. Repeated rows get equal results, and so do rows
@@ -257,19 +266,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            scored = shared.value.scores(part["text"].tolist())
-            yield pd.DataFrame(
-                {
-                    "doc_id": part["doc_id"],
-                    "held_out": part["held_out"],
-                    "score": [s for s, _ in scored],
-                    "predicted": np.array([s >= 0.5 for s, _ in scored], dtype=np.int32),
-                    "evidence": [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in scored],
-                }
-            )
+            scored = shared.value.scores(part["text"].tolist(), evidence)
+            out = part[["doc_id", "held_out"]].assign(score=[s for s, _ in scored])
+            out["predicted"] = (out["score"] >= 0.5).astype(np.int32)
+            if evidence:
+                out["evidence"] = [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in scored]
+            yield out
 
     own = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {own}, held_out boolean, score double, predicted int, evidence array<struct<doc_id: {own}, cosine: double, toxic: int>>"
+    kind = f"doc_id {own}, held_out boolean, score double, predicted int"
+    kind += f", evidence array<struct<doc_id: {own}, cosine: double, toxic: int>>" if evidence else ""
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(run, kind)
 
 
@@ -279,6 +285,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in shared.value.scores(texts.tolist())], dtype="float64")
+        return pd.Series([s for s, _ in shared.value.scores(texts.tolist(), False)], dtype="float64")
 
     return docs.filter(score("text") < 0.5)
