@@ -7,10 +7,16 @@ the output can be read back exactly.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END, SEP = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>"
+#: Places are summed in runs of so many turns, and spans are read in blocks of so many characters; so work
+#: grows with the length of a conversation and not with its square.
+RUN, BLOCK = 128, 1024
+SPANS = "array<struct<at:bigint,len:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -68,7 +74,7 @@ def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
             ),
         ).alias("ps"),
     )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,len:bigint>>").alias("spans"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
         at = acc["at"] + F.length(p["head"])
@@ -79,11 +85,32 @@ def format_chats(turns: DataFrame, learn: str = "assistant") -> DataFrame:
             F.when(p["learn"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"),
         )
 
-    return marked.select(
-        "conv_id",
-        F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.aggregate("ps", zero, step, lambda acc: acc["spans"]).alias("loss_spans"),
-    )
+    def spans_of(ps: Column) -> Column:
+        """The spans of each run of turns from its own start; then all of them, moved by the lengths of the runs before."""
+        starts = F.sequence(F.lit(1), F.greatest(F.size(ps), F.lit(1)), F.lit(RUN))
+        runs = F.transform(starts, lambda i: F.aggregate(F.slice(ps, i, RUN), zero, step))
+        return _let(runs, lambda rs: _let(_starts(rs), lambda at: F.flatten(F.transform(rs, lambda r, k: _moved(r, F.get(at, k))))))
+
+    formatted = F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
+    return marked.select("conv_id", formatted.alias("formatted"), spans_of(F.col("ps")).alias("loss_spans"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _moved(run: Column, by: Column) -> Column:
+    return F.transform(run["spans"], lambda s: F.struct((s["at"] + by).alias("at"), s["len"].alias("len")))
+
+
+def _starts(runs: Column) -> Column:
+    """The places at which runs start: again sums over RUN of them at a time."""
+    total = lambda rs: F.aggregate(rs, F.lit(0).cast("long"), lambda acc, r: acc + r["at"])
+    starts = F.sequence(F.lit(0), F.size(runs) - 1)
+    of_groups = F.transform(F.sequence(F.lit(0), (F.size(runs) / RUN).cast("int")), lambda g: total(F.slice(runs, 1, g * RUN)))
+    own = lambda k: total(F.slice(runs, k - k % RUN + 1, k % RUN))
+    return _let(of_groups, lambda gs: F.transform(starts, lambda k: F.get(gs, (k / RUN).cast("int")) + own(k)))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
@@ -101,15 +128,16 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         texts = F.split(body, r"<\|im_sep\|>")
         return F.transform(texts, lambda t: F.struct(unescape_role(role).alias("role"), unescape(t).alias("text")))
 
+    def under(span: Column, cut: Column) -> Column:
+        first = (span["at"] / BLOCK).cast("int")
+        last = ((span["at"] + span["len"]) / BLOCK).cast("int")
+        some = F.array_join(F.slice(cut, first + 1, last - first + 1), "")
+        return unescape(F.substr(some, (span["at"] % BLOCK + 1).cast("int"), span["len"].cast("int")))
+
+    cut = F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     return formatted.select(
         "conv_id",
         F.flatten(F.transform(blocks, turns_of)).alias("turns"),
-        F.array_join(
-            F.transform(
-                "loss_spans",
-                lambda s: unescape(F.substr(F.col("formatted"), (s["at"] + 1).cast("int"), s["len"].cast("int"))),
-            ),
-            "",
-        ).alias("loss_text"),
+        F.array_join(_let(cut, lambda c: F.transform("loss_spans", lambda s: under(s, c))), "").alias("loss_text"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

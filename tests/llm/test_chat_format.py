@@ -38,3 +38,11 @@ def test_any_text_is_read_back(spark, turns):
     read, _ = back(spark, [(1, i, r, t) for i, (r, t) in enumerate(turns)])
     assert [tuple(t) for t in read[1].turns] == turns
     assert read[1].loss_text == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_many_turns(spark):
+    turns = [("assistant" if i % 3 else "user", f"é𝄞<|{i}\\ " + "x" * (i % 2000)) for i in range(40_000)]
+    read, made = back(spark, [(1, i, r, t) for i, (r, t) in enumerate(turns)])
+    assert [tuple(t) for t in read[1].turns] == turns
+    assert read[1].loss_text == "".join(t for r, t in turns if r == "assistant")
+    assert read[1].formatted_chars == len(made[1].formatted)
