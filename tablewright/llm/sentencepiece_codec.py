@@ -4,7 +4,7 @@ A model of the BPE kind does not maximise a sum of scores, so that a plain Viter
 ids. The recursion is the same, but a step is admissible only if merging would leave the two tokens
 at its joint apart; then exactly one token ends each prefix, and the maximum over lengths finds it. Words
 of equal length advance together; hashes of their substrings probe the sorted keys of the pieces.
-Words begin at spaces, which no piece holds but at its start.
+Words begin at spaces, which no piece holds but at its start. Long words are cut into windows that advance together.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Words of more characters are scanned in windows of WINDOW characters that start WARM before; RUN windows at a time.
+LONG, WINDOW, WARM, RUN = 4096, 2048, 256, 1024
 CACHE_WORDS, CACHE_PAIRS, GROUP_CHARS, BATCH_WORDS = 400_000, 1 << 20, 4_000_000, 20_000
 _STATE: dict = {}
 
@@ -157,10 +159,12 @@ class Codec:
             rows, one, two, limit = rows[go], one[go], two[go], limit[go]
         return apart
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of one length, each with the space before it."""
-        n, length = len(words), len(words[0]) + 1
-        codes = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.int64)
+    def _scan(self, codes: np.ndarray, token: np.ndarray, back: np.ndarray, begin: int = 1) -> None:
+        """Fill the last token of each prefix from `begin` characters on, and its length, for rows of equally many characters.
+
+        What stands before is taken as it is: a prefix depends on the `longest` before it only.
+        """
+        n, length = codes.shape
         at = np.minimum(np.searchsorted(self.letter_codes, codes), len(self.letter_codes) - 1)
         letters = np.where(self.letter_codes[at] == codes, self.letter_token[at], 0)
         prefix = np.zeros((n, length + 1), dtype=np.uint64)
@@ -169,8 +173,7 @@ class Codec:
             power[k + 1 :] *= BASE
         for k in range(length):
             prefix[:, k + 1] = prefix[:, k] * BASE + codes[:, k].astype(np.uint64) + np.uint64(1)
-        token, back = np.zeros((n, length + 1), dtype=np.int64), np.zeros((n, length + 1), dtype=np.int64)
-        for end in range(1, length + 1):
+        for end in range(begin, length + 1):
             rows = np.arange(n)
             for size in range(min(end, self.longest), 0, -1):
                 if size > 1:
@@ -189,6 +192,65 @@ class Codec:
                 rows = rows[back[rows, end] == 0]
                 if not len(rows):
                     break
+
+    def _long_word(self, word: str) -> bytes:
+        """Ids of one long word.
+
+        Windows are scanned as if each began a word. Where a window's tokens equal the true ones at as many places side by side as
+        a prefix depends on, all its later ones are true too; a window that never meets them is scanned again from them.
+        """
+        codes = np.frombuffer((SPACE + word).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        n = len(codes)
+        token, back = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int16)
+        starts = np.arange(0, n, WINDOW)
+        for a in range(0, len(starts), RUN):
+            some = starts[a : a + RUN]
+            columns = np.arange(WINDOW + WARM)
+            places = np.maximum(some - WARM, 0)[:, None] + columns
+            own = codes[np.minimum(places, n - 1)]
+            made, size = (np.zeros((len(some), WINDOW + WARM + 1), dtype=np.int64) for _ in range(2))
+            self._scan(own, made, size)
+            for row, start in enumerate(some.tolist()):
+                low, high = max(start - WARM, 0), min(start + WINDOW, n)
+                if start:
+                    # Prefixes low + 1 to start are known; the window must agree with them where it ends its warm-up.
+                    seen = slice(start - low + 1 - self.longest, start - low + 1)
+                    if (made[row, seen] != token[start + 1 - self.longest : start + 1]).any():
+                        made[row, : start - low + 1], size[row, : start - low + 1] = token[low : start + 1], back[low : start + 1]
+                        made[row, start - low + 1 :], size[row, start - low + 1 :] = 0, 0
+                        self._scan(own[row : row + 1], made[row : row + 1], size[row : row + 1], start - low + 1)
+                token[start + 1 : high + 1] = made[row, start - low + 1 : high - low + 1]
+                back[start + 1 : high + 1] = size[row, start - low + 1 : high - low + 1]
+        path, place = [], n
+        steps, tokens = back.tolist(), token.tolist()
+        while place:
+            path.append(tokens[place])
+            place -= steps[place]
+        path = np.array(path[::-1], dtype=np.int64)
+        ids = self.ids[path]
+        if (ids >= 0).all():
+            return ids.astype("<u4").tobytes()
+        return self._with_bytes(word, path.tolist(), ids.tolist())
+
+    def _with_bytes(self, word: str, path: list[int], ids: list[int]) -> bytes:
+        """Ids of a word's tokens; characters of no piece become bytes."""
+        row, at = [], 0
+        for t, i in zip(path, ids, strict=True):
+            if t < 0:
+                continue
+            size = max(1, len(self.names[t]))
+            row += [i] if i >= 0 else [self.bytes[b] for b in (SPACE + word)[at : at + size].encode("utf-8")]
+            at += size
+        return np.array(row, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of one length, each with the space before it."""
+        n, length = len(words), len(words[0]) + 1
+        if length > LONG:
+            return [self._long_word(w) for w in words]
+        codes = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), dtype=np.uint32).reshape(n, length).astype(np.int64)
+        token, back = (np.zeros((n, length + 1), dtype=np.int64) for _ in range(2))
+        self._scan(codes, token, back)
         steps, place = [], np.full(n, length)
         while place.any():
             steps.append(np.where(place > 0, token[np.arange(n), place], -1))
@@ -196,20 +258,10 @@ class Codec:
         path = np.stack(steps[::-1], axis=1)
         ids = np.where(path >= 0, self.ids[np.maximum(path, 0)], -2)
         plain = (ids != -1).all(axis=1)
-        out = []
-        for k, w in enumerate(words):
-            if plain[k]:
-                out.append(ids[k][ids[k] >= 0].astype("<u4").tobytes())
-                continue
-            row, at = [], 0
-            for t, i in zip(path[k].tolist(), ids[k].tolist(), strict=True):
-                if t < 0:
-                    continue
-                size = max(1, len(self.names[t]))
-                row += [i] if i >= 0 else [self.bytes[b] for b in (SPACE + w)[at : at + size].encode("utf-8")]
-                at += size
-            out.append(np.array(row, dtype="<u4").tobytes())
-        return out
+        return [
+            ids[k][ids[k] >= 0].astype("<u4").tobytes() if plain[k] else self._with_bytes(w, path[k].tolist(), ids[k].tolist())
+            for k, w in enumerate(words)
+        ]
 
     def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}

@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -44,3 +45,34 @@ def test_documents_and_round_trip(spark):
     plain = s.decode(s.encode(df.limit(50), PATH), PATH).collect()
     assert all((r.doc_id, r.text) in rows for r in plain)
     assert s.encode(df.limit(0), PATH).count() == 0
+
+
+def long_words():
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    out = ["".join(rng.choice(letters, 9000)), "a" * 7001, "ab" * 3000 + "c" + "ba" * 3000, "".join(rng.choice(list("ea"), 12_000)), "=" * 6000 + "é名😀" * 900]
+    return out + ["x " + out[0] + " y\n" + out[1], "".join(rng.choice(["tion", "ing", "the", "名", "9"], 4000))]
+
+
+def test_long_words_equal_the_library(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    own = s.codec(PATH)
+    for run in (1024, 2):
+        monkeypatch.setattr(s, "RUN", run)
+        own.known.clear()
+        for t, ids in zip(long_words(), own.encode(long_words()), strict=True):
+            assert ids.tolist() == sp.encode(t), t[:40]
+            assert own.decode(ids) == t
+
+
+def test_a_word_of_five_million_characters():
+    own, sp = s.codec(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    letters = np.array(list("etaoinshrdlu"))[np.random.default_rng(12).integers(0, 12, 5_000_000)]
+    word = "".join(letters)
+    begin = time.monotonic()
+    ids = own.encode([word])[0]
+    assert time.monotonic() - begin < 180
+    assert own.decode(ids) == word
+    # Far from its end, a prefix has the library's ids.
+    want = sp.encode(word[:20_000])
+    assert ids[: len(want) - 20].tolist() == want[:-20]
