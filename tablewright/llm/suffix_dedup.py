@@ -7,13 +7,15 @@ smallest hash is an anchor. Equal windows have equal anchors at equal places, so
 seen at an anchor.
 
 1. Anchors' hashes go to buckets as compressed blobs; a bucket says which of them occur in
-   more than one document.
+   more than one document. Of documents that share a hash within a blob, one asks for all, and all are told.
 2. Those documents send the context of every such anchor, WIDTH - GRAM bytes before it and
    WIDTH after, to a range of leading bytes; the ranges' splitters come from a sample. Of equal
    contexts in one task, only the smallest doc_id's travels; the others are covered.
 3. Each range sorts its suffixes by multikey quicksort over 8-byte characters, takes common
    prefixes of neighbours, and finds for each window the smallest doc_id that has it. Equal
-   leading bytes share a range, so no match crosses a boundary between ranges.
+   leading bytes share a range, so no match crosses a boundary between ranges. Leading bytes that are too frequent in
+   the sample for one range are compared by windows: each of their contexts' windows goes to a range of its own hash,
+   once for each task that has it, and is sorted there.
 4. Spans join their documents again and are cut out.
 
 All comparisons that decide are of bytes; hashes only choose what to compare.
@@ -40,8 +42,10 @@ LEFT = WIDTH - GRAM
 CONTEXT = LEFT + WIDTH
 PAD = 255  # never a byte of UTF-8
 CHUNK_BYTES, BLOB_ENTRIES, CONTEXT_ROWS = 1 << 20, 1 << 19, 1 << 17
-#: The splitters' sample: a share of the documents, and at most so many of their anchors.
-SAMPLE_SHARE, SAMPLE_DOCS = 0.01, 2000
+#: The splitters' sample: a share of the documents, at most so many of them, and at most so many anchors of a chunk.
+SAMPLE_SHARE, SAMPLE_DOCS, SAMPLE_ANCHORS = 0.01, 2000, 4096
+#: Leading bytes are compared by windows if they have this share of a range's part of the sample, and so many anchors in it.
+HOT_SHARE, HOT_ANCHORS = 0.25, 64
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9))
 
 
@@ -77,12 +81,22 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), bounds
 
 
-def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows [i, j) of about CHUNK_BYTES: their bytes, and their bounds in these."""
+def _chunks(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows [i, j) of about CHUNK_BYTES: where they start in row i, their bytes, and their bounds in these.
+
+    A longer row is cut into overlapping parts, so that each of its windows lies in one of them.
+    """
     i, n = 0, len(bounds) - 1
     while i < n:
+        size = int(bounds[i + 1] - bounds[i])
+        if size > CHUNK_BYTES:
+            for at in range(0, size - WIDTH + 1, CHUNK_BYTES):
+                part = data[bounds[i] + at : min(bounds[i] + at + CHUNK_BYTES + WIDTH - 1, bounds[i + 1])]
+                yield i, i + 1, at, part, np.array([0, len(part)])
+            i += 1
+            continue
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK_BYTES, side="right")) - 1)
-        yield i, j, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        yield i, j, 0, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
         i = j
 
 
@@ -114,7 +128,8 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-_BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.int64()), ("blob", pa.binary())])
+#: A bucket's questions; or, with a bucket below 0, what group -1 - bucket of documents shares of the bucket in `of`.
+_BLOBS = pa.schema([("bucket", pa.int32()), ("of", pa.int32()), ("low", pa.int64()), ("blob", pa.binary())])
 _CONTEXTS = pa.schema(
     [
         ("range", pa.int32()),
@@ -133,28 +148,39 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _anchor_blobs(buckets: int):
+def _anchor_blobs(buckets: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
 
+        def entry(bucket: int, of: int, g: np.ndarray, d: np.ndarray) -> tuple:
+            low = int(d.min())
+            body = _planes((g & np.uint64(0xFFFFFFFF)).astype("<u4")) + _planes((d - low).astype("<u8"))
+            return bucket, of, low, pack.compress(body)
+
         def blobs(hashes: list, docs: list) -> pa.RecordBatch:
             g, d = np.concatenate(hashes), np.concatenate(docs)
             order = np.argsort(g, kind="stable")
             g, d = g[order], d[order]
             bucket = (((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = []
-            for a, b in zip(cut, np.append(cut[1:], len(g)), strict=True):
-                low = int(d[a:b].min())
-                lo = (g[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                body = _planes(lo) + _planes((d[a:b] - low).astype("<u8"))
-                rows.append((int(bucket[a]), low, pack.compress(body)))
+            first = np.append(True, g[1:] != g[:-1])
+            run = np.cumsum(first) - 1
+            # Runs of one hash in which the document changes.
+            many = np.zeros(run[-1] + 1, dtype=bool)
+            many[run[1:][~first[1:] & (d[1:] != d[:-1])]] = True
+            rows = [entry(int(bucket[first][a]), 0, g[first][a:z], d[first][a:z]) for a, z in _runs(bucket[first])]
+            told = many[run]
+            g, d, bucket = g[told], d[told], bucket[told]
+            group = _grouped(d, groups)
+            order = np.lexsort((bucket, group))
+            g, d, bucket, group = g[order], d[order], bucket[order], group[order]
+            for a, z in _runs(group * buckets + bucket):
+                rows.append(entry(-1 - int(group[a]), int(bucket[a]), g[a:z], d[a:z]))
             return _batch(rows, _BLOBS)
 
         hashes, docs, n = [], [], 0
         for part in batches:
             ids = part.column("doc_id").to_numpy()
-            for i, j, data, bounds in _chunks(*_bytes_of(part.column("body"))):
+            for i, j, _, data, bounds in _chunks(*_bytes_of(part.column("body"))):
                 at, g = _anchors(data, bounds)
                 if len(at):
                     doc = ids[i:j][np.searchsorted(bounds, at, side="right") - 1]
@@ -188,6 +214,8 @@ def _shared(groups: int):
     """Of one bucket: documents' hashes that another document has too, as a blob for each group of documents."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:
+            return pd.DataFrame({"group": -1 - pdf["bucket"], "bucket": pdf["of"], "low": pdf["low"], "blob": pdf["blob"]})
         los, docs = [], []
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for low, blob in zip(pdf["low"], pdf["blob"], strict=True):
@@ -230,10 +258,30 @@ def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": [int(doc[a]) for a, _ in runs], "shared": [h[a:b].tobytes() for a, b in runs]})
 
 
-def _contexts(buckets: int, splitters: list):
+def _contexts(buckets: int, splitters: list, hot: list):
     """Contexts of the anchors that other documents share, and the spans already certain."""
-    splits = np.array(splitters, dtype=np.uint64)
+    splits, frequent = np.array(splitters, dtype=np.uint64), np.array(sorted(hot), dtype=np.uint64)
     column = np.arange(CONTEXT)
+    base = len(splits) + 1
+
+    def windows(doc: np.ndarray, key: np.ndarray, at: np.ndarray, ctx: np.ndarray) -> tuple[tuple, list]:
+        """Spans that are certain, and (range, doc_id, text_key, at, bytes) of each window's smallest doc_id."""
+        low, high = _valid(ctx)
+        parts = []
+        for offset in range(WINDOWS):
+            ok = np.flatnonzero((low <= offset) & (offset <= high))
+            parts.append((doc[ok], key[ok], at[ok] - offset, ctx[ok, LEFT - offset : LEFT - offset + WIDTH]))
+        doc, key, at, seen = (np.concatenate(x) for x in zip(*parts, strict=True))
+        _, group = np.unique(np.ascontiguousarray(seen).view(f"V{WIDTH}").reshape(-1), return_inverse=True)
+        first = np.full(group.max() + 1 if len(group) else 0, np.iinfo(np.int64).max)
+        np.minimum.at(first, group, doc)
+        covered = first[group] < doc
+        sure = doc[covered], key[covered], at[covered], at[covered] + WIDTH
+        doc, key, at, seen = doc[~covered], key[~covered], at[~covered], seen[~covered]
+        mixed = np.zeros(len(doc), dtype=np.uint64)
+        for k in range(WIDTH):
+            mixed = (mixed ^ seen[:, k]) * _M1
+        return sure, [base + (((mixed >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64), doc, key, at, seen]
 
     def emit(found: list) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=6)
@@ -244,19 +292,24 @@ def _contexts(buckets: int, splitters: list):
         # An equal context of a smaller doc_id covers all windows of this anchor.
         covered = first[group] < doc
         low, high = _valid(ctx)
-        sure = _joined(doc[covered], key[covered], (at - high)[covered], (at - low + WIDTH)[covered])
+        sure = doc[covered], key[covered], (at - high)[covered], (at - low + WIDTH)[covered]
         doc, key, at, ctx = doc[~covered], key[~covered], at[~covered], ctx[~covered]
         lead = ctx[:, LEFT : LEFT + 8].copy().view(">u8").reshape(-1).astype(np.uint64)
-        ranges = np.searchsorted(splits, lead, side="right")
-        order = np.argsort(ranges, kind="stable")
-        doc, key, at, ctx, ranges = doc[order], key[order], at[order], ctx[order], ranges[order]
-        cut = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])) if len(doc) else np.empty(0, np.int64)
-        rows = [(-1 - i % 64, 0, None, *x) for i, x in enumerate(zip(*(c.tolist() for c in sure), strict=True))]
-        for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-            least = int(doc[a:b].min())
-            parts = (doc[a:b] - least).astype("<u8"), key[a:b].astype("<i4"), at[a:b].astype("<u4")
-            body = b"".join(map(_planes, parts)) + ctx[a:b].tobytes()
-            rows.append((int(ranges[a]), least, pack.compress(body), 0, 0, 0, 0))
+        by_window = np.isin(lead, frequent)
+        dealt = [[np.searchsorted(splits, lead[~by_window], side="right"), doc[~by_window], key[~by_window], at[~by_window], ctx[~by_window]]]
+        if by_window.any():
+            more, rest = windows(doc[by_window], key[by_window], at[by_window], ctx[by_window])
+            sure = tuple(np.concatenate(x) for x in zip(sure, more, strict=True))
+            dealt.append(rest)
+        rows = [(-1 - i % 64, 0, None, *x) for i, x in enumerate(zip(*(c.tolist() for c in _joined(*sure)), strict=True))]
+        for ranges, doc, key, at, seen in dealt:
+            order = np.argsort(ranges, kind="stable")
+            ranges, doc, key, at, seen = (x[order] for x in (ranges, doc, key, at, seen))
+            for a, b in _runs(ranges):
+                least = int(doc[a:b].min())
+                parts = (doc[a:b] - least).astype("<u8"), key[a:b].astype("<i4"), at[a:b].astype("<u4")
+                body = b"".join(map(_planes, parts)) + seen[a:b].tobytes()
+                rows.append((int(ranges[a]), least, pack.compress(body), 0, 0, 0, 0))
         return _batch(rows, _CONTEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +320,15 @@ def _contexts(buckets: int, splitters: list):
             ids = part.column("doc_id").to_numpy()
             replies, places = _bytes_of(part.column("shared"))
             found, held = [], 0
-            for i, j, data, bounds in _chunks(*_bytes_of(part.column("body"))):
+            whole, ends = _bytes_of(part.column("body"))
+            answers, of_row = {}, -1
+            for i, j, offset, data, bounds in _chunks(whole, ends):
                 at, g = _anchors(data, bounds)
                 if not len(at):
                     continue
+                if offset == 0 or of_row != i:
+                    answers, keys, of_row = {}, [zlib.crc32(whole[a:b]) for a, b in zip(ends[i:j], ends[i + 1 : j + 1], strict=True)], i
+                    keys = np.array(keys, dtype=np.uint32).view(np.int32)
                 doc = np.searchsorted(bounds, at, side="right") - 1
                 bucket = (((g >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.uint64)
                 small = (bucket << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
@@ -280,16 +338,23 @@ def _contexts(buckets: int, splitters: list):
                     a, b = firsts[k], firsts[k + 1]
                     if a == b:
                         continue
-                    chosen[a:b] = np.isin(small[a:b], np.frombuffer(replies[places[i + k] : places[i + k + 1]].tobytes(), "<u8"))
+                    if k not in answers:
+                        answers[k] = np.sort(np.frombuffer(replies[places[i + k] : places[i + k + 1]].tobytes(), "<u8"))
+                    place = np.minimum(np.searchsorted(answers[k], small[a:b]), len(answers[k]) - 1)
+                    chosen[a:b] = answers[k][place] == small[a:b]
                 at, doc = at[chosen], doc[chosen]
-                keys = [zlib.crc32(data[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                keys = np.array(keys, dtype=np.uint32).view(np.int32)
+                # The bytes with those before and after them in the same row, for a part of a long row.
+                size = ends[i + 1] - ends[i] if j == i + 1 else 0
+                left = min(offset, LEFT)
+                if j == i + 1:
+                    data = whole[ends[i] + offset - left : min(ends[i] + offset + len(data) + WIDTH, ends[i + 1])]
                 padded = np.concatenate((np.full(LEFT, PAD, np.uint8), data, np.full(WIDTH, PAD, np.uint8)))
                 views = np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)
                 for a in range(0, len(at), CONTEXT_ROWS):
                     some, of = at[a : a + CONTEXT_ROWS], doc[a : a + CONTEXT_ROWS]
-                    ctx = views[some].copy()
-                    before, after = some - bounds[of], bounds[of + 1] - some
+                    ctx = views[some + left].copy()
+                    before = some - bounds[of] + offset
+                    after = size - before if j == i + 1 else bounds[of + 1] - some
                     ctx[(column < (LEFT - before)[:, None]) | (column >= (LEFT + after)[:, None])] = PAD
                     found.append((ids[i:j][of], keys[of], before, ctx))
                     held += len(some)
@@ -381,8 +446,28 @@ def range_spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, ctx: np.ndarra
     )
 
 
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by range; a range's rows are compared together."""
+def window_spans(doc: np.ndarray, key: np.ndarray, at: np.ndarray, seen: np.ndarray) -> pd.DataFrame:
+    """Spans of windows that a smaller doc_id has too."""
+    padded = np.zeros((len(doc), -(-WIDTH // 8) * 8), dtype=np.uint8)
+    padded[:, :WIDTH] = seen
+    order = multikey_order(padded.view(">u8").astype(np.uint64))
+    doc, key, at, seen = doc[order], key[order], at[order], seen[order]
+    start = np.flatnonzero(np.append(True, (seen[1:] != seen[:-1]).any(axis=1)))
+    hit = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(doc)))) < doc
+    joined = _joined(doc[hit], key[hit], at[hit], at[hit] + WIDTH)
+    return pd.DataFrame(dict(zip(("doc_id", "text_key", "at", "end"), joined, strict=True))).astype({"at": np.int32, "end": np.int32})
+
+
+def _spans(base: int):
+    """Rows come sorted by range; a range's rows are compared together. From `base` on, ranges hold windows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _range_by_range(batches, base)
+
+    return run
+
+
+def _range_by_range(batches: Iterator[pd.DataFrame], base: int) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     current = None
     unpack = zstandard.ZstdDecompressor()
@@ -391,7 +476,7 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if held:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            yield range_spans(*columns)
+            yield (range_spans if current < base else window_spans)(*columns)
 
     for part in batches:
         sure = part["range"] < 0
@@ -402,13 +487,14 @@ def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield from flush()
                 current = r.range
             body = unpack.decompress(r.blob)
-            n = len(body) // (16 + CONTEXT)
+            width = CONTEXT if r.range < base else WIDTH
+            n = len(body) // (16 + width)
             held.append(
                 (
                     _unplanes(body[: 8 * n], "<u8").astype(np.int64) + r.low,
                     _unplanes(body[8 * n : 12 * n], "<i4"),
                     _unplanes(body[12 * n : 16 * n], "<u4").astype(np.int64),
-                    np.frombuffer(body, np.uint8, offset=16 * n).reshape(n, CONTEXT),
+                    np.frombuffer(body, np.uint8, offset=16 * n).reshape(n, width),
                 )
             )
     yield from flush()
@@ -449,21 +535,25 @@ def _cut(with_text: bool):
     return run
 
 
-def _splitters(bodies: DataFrame, n: int) -> list[int]:
-    """n - 1 values that part the leading bytes of a bounded sample's anchors evenly."""
+def _splitters(bodies: DataFrame, n: int) -> tuple[list[int], list[int]]:
+    """n - 1 values that part the leading bytes of a bounded sample's anchors evenly, and those that are too frequent for one part."""
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            for _, _, data, bounds in _chunks(*_bytes_of(part.column("body"))):
+            for _, _, _, data, bounds in _chunks(*_bytes_of(part.column("body"))):
                 at, _ = _anchors(data, bounds)
-                at = at[:: max(1, len(at) // 4096)]
+                at = at[:: max(1, len(at) // SAMPLE_ANCHORS)]
                 lead = np.lib.stride_tricks.sliding_window_view(data, 8)[at].copy().view(">u8") if len(at) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([pa.array(lead.reshape(-1).astype(np.uint64).view(np.int64))], names=["lead"])
 
-    sample = bodies.sample(SAMPLE_SHARE, seed=1).limit(SAMPLE_DOCS).mapInArrow(leads, "lead long")
+    sample = written(bodies.sample(SAMPLE_SHARE, seed=1).limit(SAMPLE_DOCS).mapInArrow(leads, "lead long"), "suffix-sample")
     unsigned = F.col("lead").bitwiseXOR(F.lit(-(1 << 63)))
-    cuts = sample.agg(F.percentile_approx(unsigned, [i / n for i in range(1, n)] or [0.5], 1000)).first()[0]
-    return sorted({(int(c) ^ -(1 << 63)) & (2**64 - 1) for c in cuts or []})
+    cuts, total = sample.agg(F.percentile_approx(unsigned, [i / n for i in range(1, n)] or [0.5], 1000), F.count("*")).first()
+    counted = sample.groupBy("lead").agg(F.count("*").alias("n"))
+    plain = lambda c: (int(c) ^ -(1 << 63)) & (2**64 - 1)
+    # At most n / HOT_SHARE rows.
+    hot = counted.filter(F.col("n") >= max(HOT_ANCHORS, HOT_SHARE * total / n)).select("lead").collect()
+    return sorted({plain(c) for c in cuts or []}), [r[0] & (2**64 - 1) for r in hot]
 
 
 def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -474,8 +564,8 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     docs has doc_id and text; other columns are ignored. A null text is empty. Texts of
     fewer than WIDTH bytes lose nothing. A row with a null doc_id is compared with nothing. Rows
     that share a doc_id are one another's equals, so that none loses bytes to the other;
-    each has its own result row. An empty table gives an empty result. Texts may be up
-    to 2 GB.
+    each has its own result row. An empty table gives an empty result. Long texts are read in parts of CHUNK_BYTES;
+    a task holds a text a few times.
     """
     n = partitions(docs)
     carry = carry or []
@@ -483,8 +573,8 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     carried = F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), carried.alias("carried"))
     known = bodies.filter("doc_id IS NOT NULL").select("doc_id", "body")
-    ranges = _splitters(known.filter(F.length("body") >= WIDTH).select("body"), 2 * n)
-    blobs = known.mapInArrow(_anchor_blobs(n), "bucket int, low long, blob binary")
+    ranges, hot = _splitters(known.filter(F.length("body") >= WIDTH).select("body"), 2 * n)
+    blobs = known.mapInArrow(_anchor_blobs(n, n), "bucket int, of int, low long, blob binary")
     shared = (
         blobs.repartition(n, "bucket")
         .groupBy("bucket")
@@ -495,10 +585,10 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     )
     # Both joins deal the same documents by doc_id, so Spark can use one exchange for the two.
     contexts = bodies.join(shared, "doc_id", "left").mapInArrow(
-        _contexts(n, ranges), "range int, low long, blob binary, doc_id long, text_key int, at int, end int"
+        _contexts(n, ranges, hot), "range int, low long, blob binary, doc_id long, text_key int, at int, end int"
     )
     spans = contexts.repartition(n, "range").sortWithinPartitions("range").mapInPandas(
-        _spans, "doc_id long, text_key int, at int, end int"
+        _spans(len(ranges) + 1), "doc_id long, text_key int, at int, end int"
     )
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "end")).alias("spans"))
     own = bodies.schema["carried"].dataType.simpleString()

@@ -57,6 +57,38 @@ def test_against_brute_force(spark):
     assert rows_of(s.cut_repeats(df)) == brute(rows)
 
 
+def headed(n):
+    """Documents with a common header and different continuations, and a passage with different surroundings."""
+    rng = np.random.default_rng(6)
+    text = lambda k: "".join(rng.choice(list("abcdefgh "), k))
+    header, passage = text(200), text(75)
+    return [(int(d), header[: int(rng.integers(150, 201))] + text(int(rng.integers(0, 60))) + (passage + text(30) if d % 2 else text(9))) for d in rng.permutation(n)]
+
+
+def test_frequent_leading_bytes_are_compared_by_windows(spark, monkeypatch):
+    rows = headed(120)
+    want = brute(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(s.cut_repeats(df)) == want
+    monkeypatch.setattr(s, "SAMPLE_SHARE", 1.0)
+    # Some leading bytes, then all of them.
+    for anchors in (64, 1):
+        monkeypatch.setattr(s, "HOT_ANCHORS", anchors)
+        monkeypatch.setattr(s, "HOT_SHARE", 0.0)
+        hot = s._splitters(df.select(F.col("text").cast("binary").alias("body")), 8)[1]
+        assert len(hot) > (0 if anchors > 1 else 200)
+        assert rows_of(s.cut_repeats(df)) == want
+
+
+def test_texts_longer_than_a_chunk(spark):
+    rng = np.random.default_rng(7)
+    long = "".join(rng.choice(list("abcdefghijklmnop"), s.CHUNK_BYTES + 40_000))
+    edge = s.CHUNK_BYTES
+    rows = [(1, long), (0, long[edge - 40 : edge + 35] + "zz" + long[edge - 300 : edge + 10] + "y" + long[5:60]), (2, "q" + long[edge - 60 : edge + 60]), (3, long[edge + 100 :])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert rows_of(s.cut_repeats(df)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert s.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
