@@ -128,8 +128,8 @@ def _unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
-#: A bucket's questions; or, with a bucket below 0, what group -1 - bucket of documents shares of the bucket in `of`.
-_BLOBS = pa.schema([("bucket", pa.int32()), ("of", pa.int32()), ("low", pa.int64()), ("blob", pa.binary())])
+#: A bucket's questions; or, with a bucket below 0, what the documents of group -1 - bucket share.
+_BLOBS = pa.schema([("bucket", pa.int32()), ("low", pa.int64()), ("blob", pa.binary())])
 _CONTEXTS = pa.schema(
     [
         ("range", pa.int32()),
@@ -152,10 +152,9 @@ def _anchor_blobs(buckets: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
 
-        def entry(bucket: int, of: int, g: np.ndarray, d: np.ndarray) -> tuple:
+        def entry(bucket: int, hashes: np.ndarray, d: np.ndarray) -> tuple:
             low = int(d.min())
-            body = _planes((g & np.uint64(0xFFFFFFFF)).astype("<u4")) + _planes((d - low).astype("<u8"))
-            return bucket, of, low, pack.compress(body)
+            return bucket, low, pack.compress(_planes(hashes) + _planes((d - low).astype("<u8")))
 
         def blobs(hashes: list, docs: list) -> pa.RecordBatch:
             g, d = np.concatenate(hashes), np.concatenate(docs)
@@ -167,14 +166,15 @@ def _anchor_blobs(buckets: int, groups: int):
             # Runs of one hash in which the document changes.
             many = np.zeros(run[-1] + 1, dtype=bool)
             many[run[1:][~first[1:] & (d[1:] != d[:-1])]] = True
-            rows = [entry(int(bucket[first][a]), 0, g[first][a:z], d[first][a:z]) for a, z in _runs(bucket[first])]
+            lo = g & np.uint64(0xFFFFFFFF)
+            asks, own, which = lo[first].astype("<u4"), d[first], bucket[first]
+            rows = [entry(int(which[a]), asks[a:z], own[a:z]) for a, z in _runs(which)]
             told = many[run]
-            g, d, bucket = g[told], d[told], bucket[told]
+            small, d = (bucket[told].astype(np.uint64) << np.uint64(32)) | lo[told], d[told]
             group = _grouped(d, groups)
-            order = np.lexsort((bucket, group))
-            g, d, bucket, group = g[order], d[order], bucket[order], group[order]
-            for a, z in _runs(group * buckets + bucket):
-                rows.append(entry(-1 - int(group[a]), int(bucket[a]), g[a:z], d[a:z]))
+            order = np.argsort(group, kind="stable")
+            small, d, group = small[order].astype("<u8"), d[order], group[order]
+            rows += [entry(-1 - int(group[a]), small[a:z], d[a:z]) for a, z in _runs(group)]
             return _batch(rows, _BLOBS)
 
         hashes, docs, n = [], [], 0
@@ -215,7 +215,7 @@ def _shared(groups: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["bucket"].iloc[0] < 0:
-            return pd.DataFrame({"group": -1 - pdf["bucket"], "bucket": pdf["of"], "low": pdf["low"], "blob": pdf["blob"]})
+            return pd.DataFrame({"group": -1 - pdf["bucket"], "bucket": -1, "low": pdf["low"], "blob": pdf["blob"]})
         los, docs = [], []
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
         for low, blob in zip(pdf["low"], pdf["blob"], strict=True):
@@ -244,10 +244,15 @@ def _shared(groups: int):
 
 
 def _by_document(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one group of documents: each one's shared hashes, with the bucket in front."""
+    """Of one group of documents: each one's shared hashes, with the bucket in front (in the blobs of bucket -1 it is there)."""
     unpack, hashes, docs = zstandard.ZstdDecompressor(), [], []
     for bucket, low, blob in zip(pdf["bucket"], pdf["low"], pdf["blob"], strict=True):
         body = unpack.decompress(blob)
+        if bucket < 0:
+            n = len(body) // 16
+            hashes.append(_unplanes(body[: 8 * n], "<u8"))
+            docs.append(_unplanes(body[8 * n :], "<u8").astype(np.int64) + low)
+            continue
         n = len(body) // 12
         hashes.append((np.uint64(bucket) << np.uint64(32)) | _unplanes(body[: 4 * n], "<u4").astype(np.uint64))
         docs.append(_unplanes(body[4 * n :], "<u8").astype(np.int64) + low)
@@ -574,7 +579,7 @@ def cut_repeats(docs: DataFrame, carry: list[str] | None = None, with_text: bool
     bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"), carried.alias("carried"))
     known = bodies.filter("doc_id IS NOT NULL").select("doc_id", "body")
     ranges, hot = _splitters(known.filter(F.length("body") >= WIDTH).select("body"), 2 * n)
-    blobs = known.mapInArrow(_anchor_blobs(n, n), "bucket int, of int, low long, blob binary")
+    blobs = known.mapInArrow(_anchor_blobs(n, n), "bucket int, low long, blob binary")
     shared = (
         blobs.repartition(n, "bucket")
         .groupBy("bucket")
