@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.plans import flow_queries, governance_queries, more_queries, page_queries, relational_queries, scalar_queries, source_queries
+from tablewright.plans import flow_queries, governance_queries, listing_queries, more_queries, page_queries, relational_queries, scalar_queries, source_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = [scalar_queries, page_queries, relational_queries, governance_queries, flow_queries, source_queries, more_queries]
+MODULES: list = [scalar_queries, page_queries, relational_queries, governance_queries, flow_queries, source_queries, more_queries, listing_queries]
 
 
 def queries() -> dict[str, Query]:

@@ -57,3 +57,10 @@ def image_links(html: Column) -> Column:
 def data_url(content: Column, kind: Column) -> Column:
     """content (binary) as a data url of an image type."""
     return F.concat(F.lit("data:image/"), kind, F.lit(";base64,"), F.base64(content))
+
+
+def by_width(urls: Column) -> Column:
+    """Image urls by the width that their names give, widest first, then in their order; unknown widths last."""
+    width = lambda u: F.coalesce(F.nullif(F.regexp_extract(u, r"_(\d+)x", 1), F.lit("")).cast("int"), F.lit(0))
+    ranked = F.transform(urls, lambda u, k: F.struct(width(u).alias("w"), (-k).alias("k"), u.alias("u")))
+    return F.transform(F.sort_array(ranked, False), lambda z: z["u"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,20 +18,33 @@ MAX_DEPTH, MAX_ITEMS, MAX_TEXT = 6, 50, 500
 
 
 def number_text(x: float) -> str:
-    """A number as JSON of the web writes it: no fraction for whole numbers, null for what is not finite."""
+    """A number as JSON of the web writes it: the shortest digits of its double, an exponent from 1e21 and below 1e-6."""
     if isinstance(x, bool):
         return "true" if x else "false"
-    if isinstance(x, int):
-        return str(x)
+    try:
+        x = float(x)
+    except OverflowError:
+        return "null"
     if not math.isfinite(x):
         return "null"
-    return str(int(x)) if x == int(x) and abs(x) < 1e21 else repr(x)
+    if x == 0:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits)).rstrip("0")
+    point = len(digits) + exponent
+    if 0 < point <= 21:
+        body = text + "0" * (point - len(text)) if len(text) <= point else f"{text[:point]}.{text[point:]}"
+    elif -6 < point <= 0:
+        body = "0." + "0" * -point + text
+    else:
+        body = text[0] + (f".{text[1:]}" if len(text) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + body
 
 
 def canonical(x: object) -> str:
-    """JSON text with sorted keys and no spaces."""
+    """JSON text with keys sorted by their UTF-16 units and no spaces."""
     if isinstance(x, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in sorted(x)) + "}"
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(x[k])}" for k in sorted(x, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(canonical, x)) + "]"
     if isinstance(x, (int, float)):

@@ -139,3 +139,30 @@ def schema_errors(items: DataFrame) -> DataFrame:
             )
         ),
     )
+
+
+def by_position(df: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """key, pos, and the entries of two arrays that stand at the same place."""
+    zipped = df.select(key, F.posexplode(F.arrays_zip(one, two)).alias("pos", "z"))
+    return zipped.select(key, "pos", F.col("z")[one].alias(one), F.col("z")[two].alias(two))
+
+
+def evidence_of(evidence: Column, field: str, value: str) -> Column:
+    """The value of the first entry of an array that names the field; null if none does."""
+    return F.get(F.filter(evidence, lambda e: e["field"] == field), F.lit(0))[value]
+
+
+def require(what: str, **values: object) -> None:
+    """Raise ValueError for the first value that is missing."""
+    for name, value in values.items():
+        if value is None or value == "":
+            raise ValueError(f"{what}: {name} required")
+
+
+def compression_manifest(items: DataFrame | None, request_id: str, schema_version: str, engine_version: str) -> DataFrame:
+    """The summary of one request's compressed items with the versions that made it; all four must be given."""
+    require("manifest", request_id=request_id, schema_version=schema_version, engine_version=engine_version)
+    if items is None:
+        raise ValueError("manifest: items required")
+    own = manifest_summary(items.withColumn("request_id", F.lit(request_id)))
+    return own.withColumns({"schema_version": F.lit(schema_version), "engine_version": F.lit(engine_version)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import rolling_hash
@@ -228,3 +228,32 @@ def reports(decided: DataFrame) -> DataFrame:
             "decision_hash": rolling_hash(F.col("decision_json")),
         }
     )
+
+
+def context(loss: Column, conflicts: Column) -> Column:
+    """struct<avgLossScore, conflicts> that conditions read; 0 where nothing is known."""
+    return F.struct(F.coalesce(loss, F.lit(0.0)).alias("avgLossScore"), F.coalesce(conflicts, F.lit(0)).alias("conflicts"))
+
+
+def normalized(confidence: Column, status: Column, reasons: Column) -> Column:
+    """struct<confidence, status, reasons>: confidence from 0 to 1, 1 if unknown; status ok and no reasons if unknown."""
+    return F.struct(
+        F.least(F.greatest(F.coalesce(confidence, F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+        F.coalesce(F.nullif(status, F.lit("")), F.lit("ok")).alias("status"),
+        F.coalesce(reasons, F.array().cast("array<string>")).alias("reasons"),
+    )
+
+
+def rule_rows(spark: SparkSession, ruleset: dict) -> DataFrame:
+    """rule_id, pos, enabled, op, path, value and actions of a rule set's rules."""
+    rows = [
+        (r["ruleId"], k, bool(r.get("enabled")), r["when"].get("op"), r["when"].get("path"), None if r["when"].get("value") is None else float(r["when"]["value"]), [a.get("type") for a in r.get("then", {}).get("actions", [])])
+        for k, r in enumerate(ruleset.get("rules", []))
+    ]
+    return spark.createDataFrame(rows, "rule_id string, pos int, enabled boolean, op string, path string, value double, actions array<string>")
+
+
+def reviewed(rules: DataFrame, review: str) -> DataFrame:
+    """Candidate rules with their state, proposed where there is none; rejected ones go, unknown states raise no rule."""
+    state = rules.withColumn(review, F.coalesce(F.nullif(review, F.lit("")), F.lit("proposed")))
+    return state.filter(F.col(review).isin("proposed", "approved"))

@@ -146,3 +146,36 @@ def map_fields(df: DataFrame, aliases: DataFrame, field: str = "field") -> DataF
 def product_row(**fields: Column) -> list[Column]:
     """The eight columns of the public product table; what is missing is ''."""
     return [F.coalesce(blank(fields[f].cast("string")) if f in fields else F.lit(None), F.lit("")).alias(f) for f in PRODUCT_FIELDS]
+
+
+def status_ok(status: Column) -> Column:
+    """A status from 200 to 399."""
+    return (status >= 200) & (status < 400)
+
+
+def required_fields(df: DataFrame, url: str, *any_of: str) -> DataFrame:
+    """Rows with a url and at least one of the other columns."""
+    filled = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
+    other = F.lit(False)
+    for name in any_of:
+        other = other | filled(name)
+    return df.filter(filled(url) & other)
+
+
+def at_most(df: DataFrame, n: int) -> DataFrame:
+    """Any n rows, or all if there are fewer; no more partitions are read than that takes."""
+    return df.limit(n)
+
+
+def cluster_report(df: DataFrame, cluster: str) -> DataFrame:
+    """j: a JSON object of label and size for each cluster."""
+    sizes = df.groupBy(cluster).agg(F.count("*").alias("n"))
+    return sizes.select(F.to_json(F.struct(F.col(cluster).alias("label"), "n")).alias("j"))
+
+
+def rule_quality(df: DataFrame, rule: str, hit: str) -> DataFrame:
+    """By rule: support (rows), precision (share of hits) and lift (precision by the share of hits in all rows)."""
+    by_rule = df.groupBy(rule).agg(F.count("*").alias("support"), F.avg(F.col(hit).cast("double")).alias("precision"))
+    # One row.
+    base = df.agg(F.avg(F.col(hit).cast("double")).alias("_base"))
+    return by_rule.join(F.broadcast(base), how="cross").withColumn("lift", F.col("precision") / F.col("_base")).drop("_base")

@@ -62,11 +62,14 @@ add(
     "SELECT CAST(ts AS DATE) AS day, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS value FROM events GROUP BY 1, 2",
 )
 REQUESTS = "SELECT event_id, user_id, CAST(100 + event_id % 500 AS INT) AS status, CAST(value * 20 AS BIGINT) AS latency FROM {events}"
-for name in ("a11_request_counts", "t10_latency_classes"):
-    add(
-        name, lambda s, d: t.request_counts(view(s, d, REQUESTS.replace("value * 20", "floor(value * 20)")), ["user_id"], "status", "latency"),
-        "SELECT user_id, count(*) AS requests, count(*) FILTER (100 + event_id % 500 >= 500) AS errors_5xx, count(*) FILTER (floor(value * 20) > 1500) AS slow FROM events GROUP BY user_id",
-    )
+add(
+    "a11_request_counts", lambda s, d: t.request_counts(view(s, d, REQUESTS.replace("value * 20", "floor(value * 20)")), ["user_id"], "status", "latency"),
+    "SELECT user_id, count(*) AS requests, count(*) FILTER (100 + event_id % 500 >= 500) AS errors_5xx, count(*) FILTER (floor(value * 20) > 1500) AS slow FROM events GROUP BY user_id",
+)
+add(
+    "t10_latency_classes", lambda s, d: view(s, d, REQUESTS.replace("value * 20", "floor(value * 20)").replace("event_id % 500", "event_id % 403")).select("event_id", t.latency_class(c("status"), c("latency")).alias("class")),
+    "SELECT event_id, CASE WHEN 100 + event_id % 403 >= 500 THEN 'error' WHEN floor(value * 20) > 1500 THEN 'slow' ELSE 'ok' END AS class FROM events",
+)
 add(
     "t04_ring_buffer", lambda s, d: t.ring(table(s, d, "events"), "event_type", [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id"),
     "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500",
@@ -136,18 +139,16 @@ for _i, _name in enumerate(CARD):
     )
 LD = """SELECT p_partkey AS page_id, 'https://demo.shop/x' AS url, '<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"' || p_name || '","url":"/p/' || CAST(p_partkey AS STRING) ||
   '","offers":{"@type":"Offer","price":"1.' || CAST(100 + p_partkey % 900 AS STRING) || ',50","priceCurrency":"EUR"},"mpn":"M' || CAST(p_partkey AS STRING) || '"}]}</script><script type="application/ld+json">{bad</script>' AS html FROM {part}"""
-for _name in ("g07_jsonld_items", "x09_jsonld_price", "x41_jsonld_sku"):
-    add(
-        _name, lambda s, d: x.jsonld_items(view(s, d, LD)).select("page_id", "title", "url", "price", "sku"),
-        "SELECT p_partkey AS page_id, p_name AS title, 'https://demo.shop/p/' || p_partkey AS url, '1' || (100 + p_partkey % 900) || '.50' AS price, 'M' || p_partkey AS sku FROM part",
-    )
+add(
+    "g07_jsonld_items", lambda s, d: x.jsonld_items(view(s, d, LD)).select("page_id", "title", "url", "price", "sku"),
+    "SELECT p_partkey AS page_id, p_name AS title, 'https://demo.shop/p/' || p_partkey AS url, '1' || (100 + p_partkey % 900) || '.50' AS price, 'M' || p_partkey AS sku FROM part",
+)
 DETAIL = """SELECT p_partkey AS page_id, 'https://demo.shop/x' AS url, '<head><title>t</title>' || CASE WHEN p_partkey % 2 = 0 THEN '<meta property="og:title" content="' || p_name || '"><meta property="og:type" content="product">' ELSE '' END ||
   '</head><body><h1>H ' || p_name || '</h1><img src="/a.png"><span itemprop="price" content="' || CAST(p_partkey AS STRING) || '.00"></span><b itemprop="sku">S' || CAST(p_partkey AS STRING) || '</b></body>' AS html FROM {part}"""
-for _name in ("g21_detail_fields", "c12_detail_test"):
-    add(
-        _name, lambda s, d: x.detail_fields(html_nodes(view(s, d, DETAIL))).select("page_id", "title", "img", "price", "desc", "sku", "is_detail"),
-        "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'H ' || p_name END AS title, '/a.png' AS img, p_partkey || '.00' AS price, '' AS \"desc\", 'S' || p_partkey AS sku, true AS is_detail FROM part",
-    )
+add(
+    "g21_detail_fields", lambda s, d: x.detail_fields(html_nodes(view(s, d, DETAIL))).select("page_id", "title", "img", "price", "desc", "sku", "is_detail"),
+    "SELECT p_partkey AS page_id, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'H ' || p_name END AS title, '/a.png' AS img, p_partkey || '.00' AS price, '' AS \"desc\", 'S' || p_partkey AS sku, true AS is_detail FROM part",
+)
 ROOT = """SELECT p_partkey AS page_id, 'u' AS url, '<div class="content"><a href="/a"><img src="x"></a></div><div id="main"><div class="card"></div><a href="/b"><img src="y"></a><a href="/c"><img src="z"></a></div>' AS html FROM {part}"""
 add(
     "c13_page_roots", lambda s, d: x.page_roots(html_nodes(view(s, d, ROOT))),

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tablewright.functions import ids, jsons, text
 from tablewright.functions.html import html_nodes, node_url, visible
-from tablewright.functions.images import image_extension
-from tablewright.operators import classify, policy, relational
+from tablewright.functions.images import by_width, image_extension
+from tablewright.operators import classify, matching, policy, relational
 from tablewright.operators import extract as x
-from tablewright.plans import flow_queries, governance_queries, page_queries
+from tablewright.plans import flow_queries, governance_queries
 from tablewright.plans.base import TITLES, duck, table, view
+from tablewright.sources import exports
 from tablewright.streaming import diagnostics
 
 QUERIES: dict = {}
@@ -24,18 +25,6 @@ def add(name: str, build, sql: str | None) -> None:
         SQL[name] = sql
 
 
-def same(name: str, module, other: str) -> None:
-    """The operator is a use of another one's query."""
-    add(name, module.QUERIES[other], module.SQL[other])
-
-
-same("j06_family_join", page_queries, "c09_template_family")
-same("s11_family_scan", page_queries, "c09_template_family")
-same("r08_active_ruleset", governance_queries, "r04_policy_state")
-same("r10_base_confidence", governance_queries, "r09_item_rules")
-same("m07_manifest_totals", governance_queries, "a05_manifest_summary")
-same("g16_extract_ladder", flow_queries, "g14_parse_catalog")
-same("g13_fallback_ladder", flow_queries, "g14_parse_catalog")
 add(
     "s12_image_rows", lambda s, d: view(s, d, "SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/webp' ELSE 'image/jpeg; q=1' END AS kind FROM {part}").select("p_partkey", image_extension(F.regexp_extract("kind", r"image/(\w+)", 1)).alias("ext"), F.base64(c("p_name").cast("binary")).alias("data")),
     "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 'png' ELSE 'jpeg' END AS ext, base64(encode(p_name)) AS data FROM part",
@@ -101,58 +90,58 @@ add(
     "f10_check_numbers", lambda s, d: table(s, d, "part").select("p_partkey", ids.is_check_number((c("p_partkey") * 977 + 48000000).cast("string")).alias("loose"), ids.is_check_number((c("p_partkey") * 977 + 48000000).cast("string"), True).alias("strict")),
     "SELECT p_partkey, true AS loose, CAST(p_partkey * 977 + 48000000 AS VARCHAR) LIKE '48%' AS strict FROM part",
 )
-add("f16_status_window", lambda s, d: table(s, d, "events").filter(((c("user_id") % 500 + 100) >= 200) & ((c("user_id") % 500 + 100) < 400)).select("event_id"), "SELECT event_id FROM events WHERE user_id % 500 + 100 BETWEEN 200 AND 399")
+add("f16_status_window", lambda s, d: table(s, d, "events").filter(relational.status_ok(c("user_id") % 500 + 100)).select("event_id"), "SELECT event_id FROM events WHERE user_id % 500 + 100 BETWEEN 200 AND 399")
 add(
-    "j05_by_position", lambda s, d: view(s, d, "SELECT p_partkey, split(p_name, ' ') AS a, split(upper(p_name), ' ') AS b FROM {part}").select("p_partkey", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "z")).select("p_partkey", "pos", "z.a", "z.b"),
+    "j05_by_position", lambda s, d: view(s, d, "SELECT p_partkey, split(p_name, ' ') AS a, split(upper(p_name), ' ') AS b FROM {part}").transform(lambda x: matching.by_position(x, "p_partkey", "a", "b")),
     "SELECT p_partkey, CAST(unnest(range(len(string_split(p_name, ' ')))) AS INTEGER) AS pos, unnest(string_split(p_name, ' ')) AS a, unnest(string_split(upper(p_name), ' ')) AS b FROM part",
 )
 add(
-    "j07_evidence_by_field", lambda s, d: view(s, d, "SELECT p_partkey, array(named_struct('field', 'title', 'v', p_name), named_struct('field', 'sku', 'v', p_brand)) AS e FROM {part}").select("p_partkey", F.filter("e", lambda z: z["field"] == "sku")[0]["v"].alias("sku_evidence")),
+    "j07_evidence_by_field", lambda s, d: view(s, d, "SELECT p_partkey, array(named_struct('field', 'title', 'v', p_name), named_struct('field', 'sku', 'v', p_brand)) AS e FROM {part}").select("p_partkey", matching.evidence_of(c("e"), "sku", "v").alias("sku_evidence")),
     "SELECT p_partkey, p_brand AS sku_evidence FROM part",
 )
-add("k03_early_limit", lambda s, d: table(s, d, "part").select("p_partkey").limit(7).agg(F.count("*").alias("n")), "SELECT least(count(*), 7) AS n FROM part")
+add("k03_early_limit", lambda s, d: relational.at_most(table(s, d, "part").select("p_partkey"), 7).agg(F.count("*").alias("n")), "SELECT least(count(*), 7) AS n FROM part")
 add(
-    "k08_images_by_size", lambda s, d: view(s, d, "SELECT p_partkey, array('/a_100x100.jpg', '/b_' || CAST(p_size * 30 AS STRING) || 'x200.jpg', '/c.jpg') AS i FROM {part}").select("p_partkey", F.array_join(F.transform(F.sort_array(F.transform("i", lambda u, k: F.struct(F.coalesce(F.nullif(F.regexp_extract(u, r"_(\d+)x", 1), F.lit("")).cast("int"), F.lit(0)).alias("w"), (-k).alias("k"), u.alias("u"))), False), lambda z: z["u"]), "|").alias("images")),
+    "k08_images_by_size", lambda s, d: view(s, d, "SELECT p_partkey, array('/a_100x100.jpg', '/b_' || CAST(p_size * 30 AS STRING) || 'x200.jpg', '/c.jpg') AS i FROM {part}").select("p_partkey", F.array_join(by_width(c("i")), "|").alias("images")),
     "SELECT p_partkey, CASE WHEN p_size * 30 > 100 THEN '/b_' || (p_size * 30) || 'x200.jpg|/a_100x100.jpg' ELSE '/a_100x100.jpg|/b_' || (p_size * 30) || 'x200.jpg' END || '|/c.jpg' AS images FROM part",
 )
-DOCS = """SELECT p_partkey, '{ "b": [1, 2.50, 10.0], "a": {"Token": "x", "n": null}, "c": "' || p_name || '" }' AS j FROM {part}"""
-add("x38_canonical_json", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.canonical_json(c("j")).alias("j")), """SELECT p_partkey, '{"a":{"Token":"x","n":null},"b":[1,2.5,10],"c":"' || p_name || '"}' AS j FROM part""")
-add("m08_bundle_hash", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.bundle_hash(c("j")).alias("h")), """SELECT p_partkey, 'sha256:' || sha256('{"a":{"Token":"x","n":null},"b":[1,2.5,10],"c":"' || p_name || '"}') AS h FROM part""")
-add("x44_redacted_json", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.redact_json(c("j")).alias("j")), """SELECT p_partkey, '{"a":{"Token":"[redacted]","n":null},"b":[1,2.5,10],"c":"' || p_name || '"}' AS j FROM part""")
+DOCS = """SELECT p_partkey, '{ "b": [1, 2.50, 10.0, 0.00001, 1e-7, 1152921504606846976, 1e21, -0.0], "a": {"Token": "x", "n": null}, "c": "' || p_name || '" }' AS j FROM {part}"""
+add("x38_canonical_json", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.canonical_json(c("j")).alias("j")), """SELECT p_partkey, '{"a":{"Token":"x","n":null},"b":[1,2.5,10,0.00001,1e-7,1152921504606847000,1e+21,0],"c":"' || p_name || '"}' AS j FROM part""")
+add("m08_bundle_hash", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.bundle_hash(c("j")).alias("h")), """SELECT p_partkey, 'sha256:' || sha256('{"a":{"Token":"x","n":null},"b":[1,2.5,10,0.00001,1e-7,1152921504606847000,1e+21,0],"c":"' || p_name || '"}') AS h FROM part""")
+add("x44_redacted_json", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.redact_json(c("j")).alias("j")), """SELECT p_partkey, '{"a":{"Token":"[redacted]","n":null},"b":[1,2.5,10,0.00001,1e-7,1152921504606847000,1e+21,0],"c":"' || p_name || '"}' AS j FROM part""")
 add("x40_json_path", lambda s, d: view(s, d, DOCS).select("p_partkey", jsons.path_value(c("j"), "$.c").alias("v"), jsons.path_value(c("j"), "$.b[*].x").alias("w")), "SELECT p_partkey, p_name AS v, CAST(NULL AS VARCHAR) AS w FROM part")
 add("x45_translated", lambda s, d: table(s, d, "part").select("p_partkey", jsons.translated(c("p_name")).alias("same"), jsons.translated(c("p_name"), lambda xs: [y.upper() for y in xs]).alias("upper")), "SELECT p_partkey, p_name AS same, upper(p_name) AS upper FROM part")
 add(
-    "r01_policy_context", lambda s, d: view(s, d, governance_queries.CONTEXT).select("request_id", F.struct(F.coalesce("loss", F.lit(0.0)).alias("avgLossScore")).alias("l"), "conflicts").select("request_id", "l.avgLossScore", F.coalesce("conflicts", F.lit(0)).alias("conflicts")),
+    "r01_policy_context", lambda s, d: view(s, d, governance_queries.CONTEXT).select("request_id", policy.context(c("loss"), c("conflicts")).alias("x")).select("request_id", "x.avgLossScore", "x.conflicts"),
     f"SELECT request_id, coalesce(loss, 0) AS avgLossScore, coalesce(conflicts, 0) AS conflicts FROM ({governance_queries.O})",
 )
 HARD = {"rules": [{"ruleId": "A", "enabled": True, "when": {"op": "gt", "path": "$.loss.avgLossScore", "value": 0.1}, "then": {"actions": [{"type": "penalize_confidence", "value": 0.7}, {"type": "odd"}]}},
                   {"ruleId": "B", "enabled": True, "when": {"op": "gt", "path": "$.loss.avgLossScore", "value": 0.2}, "then": {"actions": [{"type": "penalize_confidence", "value": 0.7}, {"type": "set_status", "value": "blocked"}]}},
                   {"ruleId": "C", "enabled": False, "when": {"op": "exists", "path": "$.loss.avgLossScore"}}]}
-for name in ("r05_actions", "r06_clamped_decision"):
-    add(
-        name, lambda s, d: policy.apply_rules(view(s, d, governance_queries.CONTEXT), HARD, governance_queries.paths()).select("request_id", F.round("confidence", 6).alias("confidence"), "status", F.array_join("trace", "|").alias("trace")),
-        f"""SELECT request_id, CASE WHEN loss > 0.2 THEN 0.0::DOUBLE WHEN loss > 0.1 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS confidence, CASE WHEN loss > 0.2 THEN 'blocked' ELSE 'ok' END AS status,
-          CASE WHEN loss > 0.1 THEN 'A:penalize_confidence|A:unknown_action' ELSE '' END || CASE WHEN loss > 0.2 THEN '|B:penalize_confidence|B:set_status' ELSE '' END AS trace FROM ({governance_queries.O})""",
-    )
+add(
+    "r05_actions", lambda s, d: policy.apply_rules(view(s, d, governance_queries.CONTEXT), HARD, governance_queries.paths()).select("request_id", F.round("confidence", 6).alias("confidence"), "status", F.array_join("trace", "|").alias("trace")),
+    f"""SELECT request_id, CASE WHEN loss > 0.2 THEN 0.0::DOUBLE WHEN loss > 0.1 THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END AS confidence, CASE WHEN loss > 0.2 THEN 'blocked' ELSE 'ok' END AS status,
+      CASE WHEN loss > 0.1 THEN 'A:penalize_confidence|A:unknown_action' ELSE '' END || CASE WHEN loss > 0.2 THEN '|B:penalize_confidence|B:set_status' ELSE '' END AS trace FROM ({governance_queries.O})""",
+)
 add(
     "r14_shadow_override", lambda s, d: policy.apply_rules(view(s, d, governance_queries.CONTEXT), policy.shadowed(HARD, "shadow"), governance_queries.paths()).select("request_id", "confidence", "status", F.size("applied").alias("matched")),
     f"SELECT request_id, 1.0::DOUBLE AS confidence, 'ok' AS status, CAST((loss > 0.1)::INT + (loss > 0.2)::INT AS INTEGER) AS matched FROM ({governance_queries.O})",
 )
+RULES = """SELECT p_partkey AS rule_id, p_size % 3 AS state, p_size / 50 AS precision, 1 + p_partkey % 5 AS support FROM {part}"""
 add(
-    "r17_candidate_review", lambda s, d: table(s, d, "labels").withColumn("review", F.when(c("quality") == 1, "approved").when(c("toxic") == 1, "rejected").otherwise("proposed")).filter("review != 'rejected'").groupBy("review").count(),
-    "SELECT CASE WHEN quality = 1 THEN 'approved' ELSE 'proposed' END AS review, count(*) AS count FROM labels WHERE quality = 1 OR toxic <> 1 GROUP BY 1",
+    "r17_candidate_review", lambda s, d: policy.reviewed(view(s, d, RULES).withColumn("review", F.when(c("state") == 1, "approved").when(c("state") == 2, "rejected")), "review").groupBy("review").agg(F.count("*").alias("n"), F.sum("support").alias("support")),
+    "SELECT CASE p_size % 3 WHEN 1 THEN 'approved' ELSE 'proposed' END AS review, count(*) AS n, CAST(sum(1 + p_partkey % 5) AS BIGINT) AS support FROM part WHERE p_size % 3 <> 2 GROUP BY 1",
 )
 add(
     "m06_evidence_anchors", lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("e_"), F.substring(F.sha2("p_name", 256), 1, 10)).alias("evidence_id"), text.tagged_sha256(c("p_type")).alias("snippet_hash"), F.least(F.greatest(c("p_size") / 40, F.lit(0.0)), F.lit(1.0)).alias("weight")),
     "SELECT p_partkey, 'e_' || substr(sha256(p_name), 1, 10) AS evidence_id, 'sha256:' || sha256(p_type) AS snippet_hash, least(p_size / 40, 1.0::DOUBLE) AS weight FROM part",
 )
 add(
-    "o06_pdf_cells", lambda s, d: relational.row_index(view(s, d, governance_queries.QUOTES), ["pos"], ["request_id"]).select("request_id", "idx", (F.floor((c("idx") - 1) / 40) + 1).cast("int").alias("page"), F.concat_ws("  |  ", c("idx").cast("string"), F.trim("name"), "price").alias("line")),
+    "o06_pdf_cells", lambda s, d: exports.table_lines(view(s, d, governance_queries.QUOTES).withColumn("name", F.trim("name")), "request_id", "pos", ["name", "price"]),
     f"""SELECT request_id, CAST(k AS INTEGER) AS idx, CAST((k - 1) // 40 + 1 AS INTEGER) AS page, k || '  |  ' || trim(name) || '  |  ' || price AS line
       FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS k FROM ({governance_queries.Q}))""",
 )
 add(
-    "o12_cluster_report", lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")).select(F.to_json(F.struct(c("p_brand").alias("label"), "n")).alias("j")),
+    "o12_cluster_report", lambda s, d: relational.cluster_report(table(s, d, "part"), "p_brand"),
     """SELECT '{"label":"' || p_brand || '","n":' || count(*) || '}' AS j FROM part GROUP BY p_brand""",
 )
 ERRORS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Request timed out' WHEN 1 THEN 'getaddrinfo ENOTFOUND x' WHEN 2 THEN 'HTTP 503  now' WHEN 3 THEN CAST(NULL AS STRING) ELSE 'status 404' END AS e FROM {events}"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.prices import NEAR_PRICE
 from tablewright.operators import classify as k
+from tablewright.operators import relational
 from tablewright.plans.base import TITLES, duck, table, view
 
 QUERIES: dict = {}
@@ -121,7 +122,7 @@ add(
     "SELECT p_partkey, p_partkey % 7 IN (2, 4) AS woocommerce, p_partkey % 7 IN (2, 4) AS magento FROM src",
 )
 add(
-    "f15_required_fields", TITLES, lambda d: d.filter((c("u") != "") & ((F.coalesce("t", F.lit("")) != "") | (F.coalesce("k", F.lit("")) != ""))).select("p_partkey"),
+    "f15_required_fields", TITLES, lambda d: relational.required_fields(d, "u", "t", "k").select("p_partkey"),
     "SELECT p_partkey FROM src WHERE u <> '' AND coalesce(t, '') || coalesce(k, '') <> ''",
 )
 

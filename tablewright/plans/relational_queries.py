@@ -158,7 +158,7 @@ add(
     CTE + "SELECT page_id, string_agg(DISTINCT img, '|' ORDER BY img) AS imgs, count(DISTINCT url) AS urls FROM i GROUP BY page_id",
 )
 add(
-    "a13_rule_quality", lambda s, d: table(s, d, "labels").groupBy("quality").agg(F.count("*").alias("support"), F.avg(c("toxic").cast("double")).alias("precision")).crossJoin(table(s, d, "labels").agg(F.avg(c("toxic").cast("double")).alias("base"))).select("quality", "support", "precision", (c("precision") / c("base")).alias("lift")),
+    "a13_rule_quality", lambda s, d: r.rule_quality(table(s, d, "labels"), "quality", "toxic"),
     "SELECT quality, count(*) AS support, avg(toxic) AS precision, avg(toxic) / (SELECT avg(toxic) FROM labels) AS lift FROM labels GROUP BY quality",
 )
 add(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.operators import relational as r
-from tablewright.plans.base import TITLES, duck, table, view
+from tablewright.plans.base import duck, table, view
 from tablewright.plans.relational_queries import CTE, ITEMS
 from tablewright.sources import exports, inputs
 
@@ -18,7 +18,7 @@ def add(name: str, build, sql: str) -> None:
     QUERIES[name], SQL[name] = build, sql
 
 
-add("s01_page_scan", lambda s, d: table(s, d, "pages").select("page_id", "url", F.length("html").alias("n")), "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n FROM pages")
+add("s01_page_scan", lambda s, d: inputs.page_scan(table(s, d, "pages")).select("page_id", "url", "n"), "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n FROM pages")
 LINES = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '  https://x.example/' || CAST(p_partkey AS STRING) || ' ' WHEN 1 THEN '# note' WHEN 2 THEN '   ' ELSE 'u' END AS value FROM {part}"
 add(
     "s09_seeds", lambda s, d: inputs.seeds(view(s, d, LINES)),
@@ -39,7 +39,7 @@ add(
     "SELECT page_id, CASE page_id % 4 WHEN 1 THEN 'gb18030' ELSE 'utf-8' END AS charset FROM pages",
 )
 add(
-    "s14_day_metrics", lambda s, d: table(s, d, "events").select(F.to_date("ts").alias("day"), F.get_json_object("props", "$.k").cast("int").alias("k")).groupBy("day").agg(F.sum("k").alias("k")),
+    "s14_day_metrics", lambda s, d: inputs.day_metric(table(s, d, "events"), "ts", "props", "k"),
     "SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS BIGINT) AS k FROM events GROUP BY 1",
 )
 add(
@@ -63,15 +63,6 @@ add(
     CTE + "SELECT sku, title, price, url, ean, img || ' | /2.jpg' AS images FROM i",
 )
 add(
-    "o01_payload", lambda s, d: items(s, d).groupBy("page_id").agg(F.count("*").alias("count"), F.lit(True).alias("ok")),
-    CTE + "SELECT page_id, count(*) AS count, true AS ok FROM i GROUP BY page_id",
-)
-add("g27_probe", lambda s, d: s.range(1).select(F.lit("ok").alias("status"), F.lit(1).alias("version")), "SELECT 'ok' AS status, 1 AS version")
-add(
-    "g25_code_lookup", lambda s, d: view(s, d, "SELECT p_partkey, '<tr><td>Artikelnummer: </td> <td class=x><b>K' || CAST(p_partkey AS STRING) || '</b></td></tr>' AS html FROM {part}").select("p_partkey", F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)Artikelnummer:\s*</td>\s*<td[^>]*>(.*?)</td>", 1), "<[^>]+>", "")).alias("code")),
-    "SELECT p_partkey, 'K' || p_partkey AS code FROM part",
-)
-add(
-    "g26_detect_preview", lambda s, d: view(s, d, TITLES).orderBy("p_partkey").limit(5).select("p_partkey", "u"),
-    f"SELECT p_partkey, u FROM ({duck(TITLES)}) ORDER BY p_partkey LIMIT 5",
+    "o01_payload", lambda s, d: exports.payloads(items(s, d), "page_id").select("page_id", "count", "ok", F.size(F.from_json("products", "array<map<string,string>>")).cast("long").alias("products")),
+    CTE + "SELECT page_id, count(*) AS count, true AS ok, count(*) AS products FROM i GROUP BY page_id",
 )

@@ -28,10 +28,12 @@ def local_session(cpus: int = 8, app: str = "tablewright") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, in a local session without one, a new folder."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-tablewright-")
         sc.setCheckpointDir(found)
     elif not sc.getCheckpointDir():

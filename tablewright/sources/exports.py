@@ -21,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from tablewright.functions.ids import item_number
 from tablewright.functions.prices import price_numeric
 from tablewright.functions.text import pick_first
+from tablewright.operators.relational import row_index
 
 # Headers of the seven-column export by language.
 HEADERS_7 = {
@@ -179,3 +180,17 @@ def export_15(df: DataFrame) -> DataFrame:
     have = [pick_first(F.col(n)).alias(n) if n in df.columns else F.lit("").alias(n) for n in names]
     images = F.array_join("imgs", " | ").alias("images") if "imgs" in df.columns else F.lit("").alias("images")
     return df.select(*have, images)
+
+
+def table_lines(df: DataFrame, group: str, pos: str, columns: list[str], lines: int = 40) -> DataFrame:
+    """group, idx, page and line: the lines of a printed table, `lines` to a page."""
+    rows = row_index(df, [pos], [group])
+    text = F.concat_ws("  |  ", F.col("idx").cast("string"), *columns)
+    return rows.select(group, "idx", (F.floor((F.col("idx") - 1) / lines) + 1).cast("int").alias("page"), text.alias("line"))
+
+
+def payloads(df: DataFrame, by: str) -> DataFrame:
+    """By group: ok, count, and the rows as a JSON array under the names items and products. A group is one answer to a request."""
+    row = F.struct(*[c for c in df.columns if c != by])
+    out = df.groupBy(by).agg(F.count("*").alias("count"), F.to_json(F.collect_list(row)).alias("items"))
+    return out.withColumns({"ok": F.lit(True), "products": F.col("items")})

@@ -80,3 +80,25 @@ def append_by_day(df: DataFrame, path: str, ts: str = "ts") -> None:
 def write_artifacts(df: DataFrame, path: str, run: str = "run_id") -> None:
     """Write governance artifacts as JSON lines under each run."""
     df.write.mode("append").partitionBy(run).json(path)
+
+
+def page_scan(pages: DataFrame) -> DataFrame:
+    """Stored pages with n, their number of characters; page_http (sources.http) reads pages by url instead."""
+    return pages.withColumn("n", F.length("html"))
+
+
+def day_metric(logs: DataFrame, ts: str, body: str, name: str) -> DataFrame:
+    """By day, the sum of a number that JSON log bodies hold."""
+    rows = logs.select(F.to_date(ts).alias("day"), F.get_json_object(body, f"$.{name}").cast("int").alias(name))
+    return rows.groupBy("day").agg(F.sum(name).alias(name))
+
+
+def families(lines: DataFrame) -> DataFrame:
+    """pos, family_id, selector, fields of template families in JSON lines (value); what is no family gives none."""
+    kind = "struct<pos:int,family_id:string,selector:string,fields:array<string>>"
+    return lines.select(F.from_json("value", kind).alias("x")).select("x.*").filter("family_id IS NOT NULL")
+
+
+def probe(spark: SparkSession, version: int = 1) -> DataFrame:
+    """One row that says that the library answers."""
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(version).alias("version"))

@@ -137,3 +137,8 @@ def captured(df: DataFrame, error: str) -> DataFrame:
         .when(e.rlike(r"\b5\d\d\b"), "server").when(e.rlike(r"\b4\d\d\b"), "client").otherwise("other")
     )
     return df.withColumns({"code": code, "message": F.regexp_replace(e, r"\s+", " "), "retry": F.coalesce(code.isin("timeout", "server"), F.lit(False))})
+
+
+def latency_class(status: Column, latency_ms: Column) -> Column:
+    """error for a server error, slow beyond SLOW_MS, else ok."""
+    return F.when(status >= 500, "error").when(latency_ms > SLOW_MS, "slow").otherwise("ok")
