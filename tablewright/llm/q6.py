@@ -29,7 +29,7 @@ words AS (
   SELECT doc_id, unit_kind, unit_no, string_split(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
 paired AS (
   SELECT doc_id, unit_kind, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
-  FROM words WHERE len(w) BETWEEN 2 AND 400)
+  FROM words WHERE len(w) >= 2)
 SELECT doc_id, unit_kind, CAST(unit_no AS INTEGER) AS unit_no, license,
   max(2.0::DOUBLE * len(list_intersect(paired.pairs, known.pairs)) / (len(paired.pairs) + len(known.pairs))) AS dice
 FROM paired JOIN known ON 3 * len(paired.pairs) >= 2 * len(known.pairs) AND 2 * len(paired.pairs) <= 3 * len(known.pairs)

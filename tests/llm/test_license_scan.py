@@ -48,3 +48,19 @@ def test_statements_inside_longer_units(spark):
 def test_runs_without_python(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert "Python" not in scan_licenses(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wordings_with_a_word_missing_or_inside_other_text(spark):
+    rows, names = [], {}
+    for name, texts in TEMPLATES.items():
+        for t in texts:
+            words = t.split()
+            for k in range(0, len(words), 3):
+                short = " ".join(words[:k] + words[k + 1 :])
+                if len(words) >= 9:
+                    for text in (short, f"some words before it, {short} and after it", t.upper(), f"# {t}\n"):
+                        names[len(rows)] = name
+                        rows.append((len(rows), text))
+    found = {(r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [d for d, name in names.items() if (d, name) not in found]
+    assert len(rows) > 200 and not missed
