@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.shared import partitions, written
 
-SAMPLE = 4_000
+SAMPLE = 3_000
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
