@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.shared import partitions, written
 
-SAMPLE = 3_000
+SAMPLE = 4_000
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
@@ -211,8 +211,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the labelled rows that are not held out; at most SAMPLE of them, by hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame) -> Callable[[], Model]:
+    """What gives tasks the model of the labelled rows that are not held out; at most SAMPLE of them, by hash of doc_id.
 
     Rows with a null label or doc_id are not used; of several labels of a doc_id the largest counts, and of several texts of
     a doc_id the one with the smallest hash.
@@ -250,8 +250,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     del found
     left_out = spread.mapInPandas(votes, "vote double, toxic double").toPandas()
     model.calibrate(left_out["vote"].to_numpy(), left_out["toxic"].to_numpy())
-    shared.unpersist()
-    return model
+    knots, values = model.knots, model.values
+    del model, place
+
+    def calibrated() -> Model:
+        """The model that was broadcast once, with its curve."""
+        out = shared.value[0]
+        out.knots, out.values = knots, values
+        return out
+
+    return calibrated
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataFrame:
@@ -262,11 +270,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataF
     that share a text. A row with a null doc_id is scored and not held out. Without
     usable labels every score is PRIOR_RATE, so that nothing is predicted to be toxic. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            scored = shared.value.scores(part["text"].tolist(), evidence)
+            scored = model().scores(part["text"].tolist(), evidence)
             out = part[["doc_id", "held_out"]].assign(score=[s for s, _ in scored])
             out["predicted"] = (out["score"] >= 0.5).astype(np.int32)
             if evidence:
@@ -281,10 +289,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataF
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted to be toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = fit(docs, labels)
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in shared.value.scores(texts.tolist(), False)], dtype="float64")
+        return pd.Series([s for s, _ in model().scores(texts.tolist(), False)], dtype="float64")
 
     return docs.filter(score("text") < 0.5)
