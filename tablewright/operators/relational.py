@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from tablewright.functions.ids import sku_missing
 from tablewright.functions.text import blank, pick_first
 from tablewright.functions.urls import strip_fragment
+from tablewright.session import written
 
 PRODUCT_FIELDS = ["sku", "title", "img", "desc", "moq", "price", "url", "link"]
 QUALITY_FIELDS = ["title", "url", "img", "price", "sku", "desc"]
@@ -26,22 +29,31 @@ def keep_first(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
 
 
 def two_key_dedup(df: DataFrame, page: str, pos: str, url: Column, title: Column, limit: int = 200) -> DataFrame:
-    """Walk each page's rows in order; a row goes if its url, or its lower-case title, was kept before.
+    """Walk each page's rows in order; a row goes if its url, or its lower-case title, was kept before; at most `limit` of a page stay.
 
-    The fold runs in Spark over the sorted rows of one page, which a page's size bounds; rows without url or title go.
+    Rows without page, position, url or title go. Rows at one position are ordered by url and title; rows that repeat all of these are one.
+    A row that is the first of its url and of its title is kept, and what shares one of them with it goes; this repeats on the rest.
+    So a page's rows are spread by url and by title. Every round settles the first open row of each page, so that `limit` rounds suffice.
     """
-    rows = df.withColumn("_u", url).withColumn("_t", F.lower(F.trim(title))).filter((F.coalesce("_u", F.lit("")) != "") & (F.coalesce("_t", F.lit("")) != ""))
-    listed = rows.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("_u").alias("u"), F.col("_t").alias("t")))).alias("rows"))
-    kind = "array<struct<pos:bigint,u:string,t:string>>"
-    empty = F.array().cast(kind)
-
-    def step(kept: Column, r: Column) -> Column:
-        fresh = ~F.exists(kept, lambda x: (x["u"] == r["u"]) | (x["t"] == r["t"])) & (F.size(kept) < limit)
-        entry = F.struct(r["pos"].cast("bigint").alias("pos"), r["u"].alias("u"), r["t"].alias("t"))
-        return F.when(fresh, F.array_append(kept, entry)).otherwise(kept)
-
-    kept = listed.select(page, F.explode(F.aggregate("rows", empty, step)).alias("r")).select(page, F.col("r.pos").alias(pos))
-    return df.join(kept, [page, pos], "left_semi")
+    named = df.withColumns({"_p": F.col(page), "_o": F.col(pos), "_u": url, "_t": F.lower(F.trim(title))})
+    named = named.filter((F.coalesce("_u", F.lit("")) != "") & (F.coalesce("_t", F.lit("")) != "") & F.col("_p").isNotNull() & F.col("_o").isNotNull())
+    left = named.groupBy("_p", "_u", "_t").agg(F.min("_o").alias("_o"))
+    kept: list[DataFrame] = []
+    place = F.struct("_o", "_u", "_t")
+    for _ in range(limit):
+        by_url = left.groupBy("_p", "_u").agg(F.min(place).alias("_a"))
+        by_title = left.groupBy("_p", "_t").agg(F.min(place).alias("_b"))
+        marked = left.join(by_url, ["_p", "_u"]).join(by_title, ["_p", "_t"]).select("_p", "_o", "_u", "_t", ((F.col("_a") == place) & (F.col("_b") == place)).alias("_keep"))
+        marked = written(marked, "two-key")
+        fresh = marked.filter("_keep").drop("_keep")
+        if fresh.isEmpty():
+            break
+        kept.append(fresh)
+        left = marked.filter("NOT _keep").drop("_keep").join(fresh.select("_p", "_u"), ["_p", "_u"], "left_anti").join(fresh.select("_p", "_t"), ["_p", "_t"], "left_anti")
+    if not kept:
+        return df.limit(0)
+    stay = row_index(reduce(DataFrame.unionByName, kept), ["_o", "_u", "_t"], ["_p"], "_n").filter(F.col("_n") <= limit)
+    return named.join(stay.select("_p", "_o", "_u", "_t"), ["_p", "_o", "_u", "_t"], "left_semi").select(*df.columns)
 
 
 def enrich(items: DataFrame, details: DataFrame, key: str = "url", fields: tuple = ("title", "img", "price", "desc")) -> DataFrame:

@@ -85,15 +85,15 @@ add(
     CTE + "SELECT page_id, min(pos) AS pos, url FROM i GROUP BY page_id, url",
 )
 add(
-    "w03_two_key_dedup", lambda s, d: r.two_key_dedup(both(s, d)[0].filter("page_id % 40 = 0").withColumn("page_id", c("page_id") % 400), "page_id", "pos", c("url"), c("title")).select("page_id", "pos"), "",
+    "w03_two_key_dedup", lambda s, d: r.two_key_dedup(both(s, d)[0], "page_id", "pos", c("url"), c("title")).select("page_id", "pos"), "",
 )
-SQL["w03_two_key_dedup"] = f"""WITH RECURSIVE i AS ({I}), b AS (SELECT page_id % 400 AS page_id, pos, url AS u, lower(trim(title)) AS t FROM i WHERE page_id % 40 = 0 AND title <> ''),
+SQL["w03_two_key_dedup"] = f"""WITH RECURSIVE i AS ({I}), b AS (SELECT page_id, pos, url AS u, lower(trim(title)) AS t FROM i WHERE title <> ''),
 o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, u, t) AS k FROM b),
 w AS (SELECT page_id, k, pos, [u] AS us, [t] AS ts, true AS kept FROM o WHERE k = 1
   UNION ALL SELECT o.page_id, o.k, o.pos, CASE WHEN list_contains(us, u) OR list_contains(ts, t) THEN us ELSE list_append(us, u) END,
     CASE WHEN list_contains(us, u) OR list_contains(ts, t) THEN ts ELSE list_append(ts, t) END, NOT (list_contains(us, u) OR list_contains(ts, t))
   FROM w JOIN o ON o.page_id = w.page_id AND o.k = w.k + 1)
-SELECT b.page_id, b.pos FROM (SELECT page_id % 400 AS page_id, pos FROM i WHERE page_id % 40 = 0) b WHERE (page_id, pos) IN (SELECT page_id, pos FROM w WHERE kept)"""
+SELECT page_id, pos FROM w WHERE kept"""
 add(
     "w06_first_argmax", lambda s, d: both(s, d)[0].groupBy("page_id").agg(F.max_by("pos", F.struct(F.length("url"), -c("pos"))).alias("pos")),
     CTE + "SELECT page_id, pos FROM i QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(url) DESC, pos) = 1",
@@ -141,9 +141,9 @@ add(
     "SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS ok, count(*) AS total, round(count(*) FILTER (event_type <> 'error') / count(*), 3) AS ratio FROM events GROUP BY 1",
 )
 add(
-    "j08_day_over_day", lambda s, d: r.degraded(r.health(table(s, d, "events").filter("user_id % 7 < 3 AND dayofmonth(ts) % 5 != 0").select(F.to_date("ts").alias("day"), (c("event_type") != "error").alias("fine")), "day", "fine"), most_drop=0.02).select("day", "ok", "total", "ratio", F.round("drop", 6).alias("drop"), "degraded"),
+    "j08_day_over_day", lambda s, d: r.degraded(r.health(table(s, d, "events").select(F.to_date("ts").alias("day"), (c("event_type") != "error").alias("fine")), "day", "fine"), most_drop=0.02).select("day", "ok", "total", "ratio", F.round("drop", 6).alias("drop"), "degraded"),
     """WITH h AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type <> 'error') AS ok, count(*) AS total, round(count(*) FILTER (event_type <> 'error') / count(*), 3) AS ratio
-      FROM events WHERE user_id % 7 < 3 AND day(ts) % 5 <> 0 GROUP BY 1)
+      FROM events GROUP BY 1)
       SELECT h.day, h.ok, h.total, h.ratio, round(b.ratio - h.ratio, 6) AS "drop", h.ok < 1 OR h.ratio < 0.6 OR coalesce(b.ratio - h.ratio, 0) > 0.02 AS degraded
       FROM h LEFT JOIN h b ON b.day = h.day - 1""",
 )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,33 +14,102 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tablewright.session import written
+
 DEBOUNCE_MS, TTL_MS, RING, SLOW_MS = 1500, 900_000, 500, 1500
+#: Distinct times of keys that one task folds at once.
+PART_ROWS = 500_000
 
 
-def debounced(events: DataFrame, key: str, ts_ms: str, tie: str, window_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """events with emitted and gap_ms: an event is emitted if its key's last emitted one is window_ms old or more.
+def _following(t: np.ndarray, window_ms: int) -> np.ndarray:
+    """Of sorted distinct times: the place of the first one window_ms or more later; a time without one points to itself."""
+    at = np.searchsorted(t, t + window_ms)
+    return np.where(at < len(t), at, np.arange(len(t)))
 
-    Suppressed events do not renew the wait. A pause of window_ms or more always ends one, so that each run between such
-    pauses is folded by itself: no key's whole history is gathered. gap_ms is null for suppressed events, 0 for a key's first.
-    Times must be positive; ties are ordered by `tie`.
-    """
-    order = W.partitionBy(key).orderBy(ts_ms, tie)
-    fresh = F.coalesce(F.col(ts_ms) - F.lag(ts_ms).over(order) >= window_ms, F.lit(True))
-    runs = events.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    listed = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(ts_ms).cast("long").alias("t"), F.col(tie).alias("i")))).alias("_e"))
-    tie_type = events.schema[tie].dataType.simpleString()
-    zero = F.struct(F.lit(-window_ms).cast("long").alias("last"), F.array().cast(f"array<struct<t:bigint,i:{tie_type}>>").alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        take = e["t"] - acc["last"] >= window_ms
-        return F.struct(
-            F.when(take, e["t"]).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["out"], e)).otherwise(acc["out"]).alias("out")
-        )
+def _summaries(window_ms: int):
+    """Of one part: for each key that may go on in another, which time is emitted last, by the time emitted first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, part = [], int(pdf["_part"].iloc[0])
+        for key, times in pdf[pdf["_h"].isin((pdf["_h"].min(), pdf["_h"].max()))].groupby("_k", dropna=False)["_t"]:
+            t = np.sort(times.to_numpy())
+            to = _following(t, window_ms)
+            while (ahead := to[to]).tolist() != to.tolist():
+                to = ahead
+            # The first emitted time lies within a window of the part's start, or is the first one after it.
+            last = t[to[: np.searchsorted(t, t[0] + window_ms) + 1]]
+            ends = np.append(last[1:] != last[:-1], True)
+            rows.append((None if pd.isna(key) else key, part, t[: len(last)][ends].tolist(), last[ends].tolist()))
+        return pd.DataFrame(rows, columns=["_k", "_part", "firsts", "lasts"])
+
+    return run
+
+
+def _entering(window_ms: int):
+    """Of one key's summaries: the last time emitted before each of its parts but the first."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, last = [], None
+        for r in pdf.sort_values("_part").itertuples(index=False):
+            if last is not None:
+                rows.append((r[0], r[1], last))
+            at = 0 if last is None else int(np.searchsorted(r[2], last + window_ms))
+            if at < len(r[2]):
+                last = int(r[3][at])
+        return pd.DataFrame(rows, columns=["_k", "_part", "last"])
+
+    return run
+
 
-    kept = listed.select(key, F.explode(F.aggregate("_e", zero, step, lambda a: a["out"])).alias("e")).select(key, F.col("e.t").alias("_t"), F.col("e.i").alias(tie))
-    gaps = kept.withColumn("gap_ms", F.coalesce(F.col("_t") - F.lag("_t").over(W.partitionBy(key).orderBy("_t", tie)), F.lit(0)))
-    out = events.join(gaps.drop("_t"), [key, tie], "left")
-    return out.withColumn("emitted", F.col("gap_ms").isNotNull())
+def _emitted(window_ms: int):
+    """Of one part, with what its keys bring along: the emitted times and their gaps."""
+
+    def run(pdf: pd.DataFrame, entering: pd.DataFrame) -> pd.DataFrame:
+        before = {None if pd.isna(k) else k: int(v) for k, v in zip(entering["_k"], entering["last"], strict=True)}
+        rows = []
+        for key, times in pdf.groupby("_k", dropna=False)["_t"]:
+            key = None if pd.isna(key) else key
+            t, last = sorted(times.tolist()), before.get(key)
+            at = 0 if last is None else bisect_left(t, last + window_ms)
+            while at < len(t):
+                rows.append((key, t[at], 0 if last is None else t[at] - last))
+                last = t[at]
+                at = bisect_left(t, last + window_ms, at + 1)
+        return pd.DataFrame(rows, columns=["_k", "_t", "gap_ms"])
+
+    return run
+
+
+def debounced(events: DataFrame, key: str, ts_ms: str, tie: str, window_ms: int = DEBOUNCE_MS, part_rows: int = PART_ROWS) -> DataFrame:
+    """events with emitted and gap_ms: an event is emitted if its key's last emitted one is window_ms old or more.
+
+    Suppressed events do not renew the wait. gap_ms is null for suppressed events, 0 for a key's first. Of events at one time the one
+    with the smallest `tie` can be emitted; rows that repeat key, time and tie are one event. Rows without a time are suppressed,
+    a null key is a key of its own, and keys are told apart by their text. window_ms must be positive.
+
+    Each key's distinct times are dealt to ranges of about part_rows, so that a hot key is spread over many. A range folds to a step
+    function, from the first time emitted in it to the last one; composing these along a key gives what each range starts from,
+    and ranges are then walked side by side. A function has a step for each chain of times that stays apart, at most the times of one window.
+    """
+    if window_ms <= 0:
+        raise ValueError("window_ms must be positive")
+    found = events.withColumns({"_k": F.col(key).cast("string"), "_t": F.col(ts_ms).cast("long")})
+    times = written(found.filter("_t IS NOT NULL").groupBy("_k", "_t").agg(F.min(tie).alias("_i")), "debounce-times")
+    parts = max(1, -(-times.count() // part_rows))
+    dealt = times.select("_k", "_t", F.xxhash64("_k").alias("_h")).repartitionByRange(parts, "_h", "_t").withColumn("_part", F.spark_partition_id())
+    dealt = written(dealt, "debounce-parts")
+    sums = dealt.groupBy("_part").applyInPandas(_summaries(window_ms), "_k string, _part int, firsts array<long>, lasts array<long>")
+    entering = sums.groupBy("_k").applyInPandas(_entering(window_ms), "_k string, _part int, last long")
+    kept = dealt.groupBy("_part").cogroup(entering.groupBy("_part")).applyInPandas(_emitted(window_ms), "_k string, _t long, gap_ms long")
+
+    def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
+        return reduce(Column.__and__, [left[n].eqNullSafe(right[n]) for n in names])
+
+    first = times.join(kept, same(times, kept, "_k", "_t")).select(times["_k"], times["_t"], "_i", "gap_ms")
+    found = found.withColumn("_i", F.col(tie))
+    out = found.join(first, same(found, first, "_k", "_t", "_i"), "left")
+    return out.select(*[found[c] for c in events.columns if c not in ("gap_ms", "emitted")], "gap_ms", F.col("gap_ms").isNotNull().alias("emitted"))
 
 
 def cache_use(requests: DataFrame, key: str, ts_ms: str, tie: str, ttl_ms: int = TTL_MS) -> DataFrame:
@@ -89,7 +161,7 @@ def merged_stages(df: DataFrame, task: str, order: str, stages: str) -> DataFram
 
 
 def debounced_stream(events: DataFrame, key: str, ts_ms: str, window_ms: int = DEBOUNCE_MS) -> DataFrame:
-    """Streaming form of debounced: (key, ts_ms, gap_ms) of emitted events; state is the time of the last one."""
+    """Streaming form of debounced: (key, ts_ms, gap_ms) of emitted events; state is the time of the last one, which the next gap needs however late it comes."""
     out = T.StructType([T.StructField(key, T.StringType()), T.StructField(ts_ms, T.LongType()), T.StructField("gap_ms", T.LongType())])
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

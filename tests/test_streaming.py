@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.streaming import diagnostics as t
@@ -33,3 +36,36 @@ def test_debounce_sequence(spark):
     df = spark.createDataFrame(rows, "k string, ms long, i int")
     got = t.debounced(df, "k", "ms", "i").orderBy("k", "ms").collect()
     assert [(r.ms, r.gap_ms) for r in got if r.emitted] == [(100, 0), (1600, 1500), (3100, 1500), (9000, 5900), (5, 0)]
+
+
+def folded(rows, window):
+    last, out = {}, {}
+    for k, ms, i in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[2])):
+        if k not in last or ms - last[k] >= window:
+            out[k, ms, i] = ms - last[k] if k in last else 0
+            last[k] = ms
+    return out
+
+
+@pytest.mark.parametrize("step", [(1, 1), (0, 9), (1, 400)])
+def test_hot_key_is_folded_in_parts(spark, step):
+    """Steady times (chains that never meet), dense random times and sparse ones; a null key, null times, ties, negative times."""
+    pick, rows, ms = random.Random(step[1]), [], -700
+    for i in range(3000):
+        ms += pick.randint(*step)
+        rows.append((pick.choice(["hot"] * 8 + ["b", "c", None]), ms, i))
+    rows += [(k, ms - 50, 5000 + i) for i, k in enumerate(["hot", "hot", None])] + [("hot", None, 6000), (None, None, 6001), ("once", 4, 6002)]
+    df = spark.createDataFrame(rows, "k string, ms long, i int")
+    for window in (1, 97, 100_000_000):
+        got = t.debounced(df, "k", "ms", "i", window, part_rows=150).collect()
+        assert len(got) == len(rows)
+        assert {(r.k, r.ms, r.i): r.gap_ms for r in got if r.emitted} == folded(rows, window)
+        assert all(r.gap_ms is None for r in got if not r.emitted)
+
+
+def test_debounce_of_nothing_and_of_numeric_keys(spark):
+    assert t.debounced(spark.createDataFrame([], "k long, ms long, i int"), "k", "ms", "i").count() == 0
+    big = 2**60
+    df = spark.createDataFrame([(big, 1, 1, "x"), (big + 1, 2, 1, "x"), (None, 3, 1, "x"), (big, 1, 1, "x")], "k long, ms long, i int, emitted string")
+    got = sorted((r.k or 0, r.ms, r.emitted) for r in t.debounced(df, "k", "ms", "i", part_rows=1).collect())
+    assert got == [(0, 3, True), (big, 1, True), (big, 1, True), (big + 1, 2, True)]
