@@ -1,8 +1,8 @@
-"""The queries of the ten operators, and their SQL where there is one."""
+"""The queries of the dealt operators, and their SQL where there is one."""
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q2, q3, q4, q5, q6, q7, q8, q9, q10
+from tablewright.llm import q1, q2, q3, q4, q5, q6, q7, q8, q9, q10, q11
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op8_suffix_dedup": q8.op8_suffix_dedup,
         "op9_simhash_dedup": q9.op9_simhash_dedup,
         "op10_toxicity": q10.op10_toxicity,
+        "op11_centroid_clusters": q11.op11_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL, "op8_suffix_dedup": q8.SQL}
+    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL, "op8_suffix_dedup": q8.SQL, "op11_centroid_clusters": q11.SQL}
