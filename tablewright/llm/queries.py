@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablewright.llm import q1, q2, q3, q4, q5, q6, q7, q8, q9, q10, q11
+from tablewright.llm import q1, q2, q3, q4, q5, q6, q7, q8, q9, q10, q11, q12, q13
 
 
 def queries() -> dict:
@@ -19,9 +19,20 @@ def queries() -> dict:
         "op9_simhash_dedup": q9.op9_simhash_dedup,
         "op10_toxicity": q10.op10_toxicity,
         "op11_centroid_clusters": q11.op11_centroid_clusters,
+        "op12_conversation_repair": q12.op12_conversation_repair,
+        "op13_secret_scan": q13.op13_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op3_chat_format": q3.SQL, "op4_embedding_dedup": q4.SQL, "op5_top_k_search": q5.SQL, "op6_license_scan": q6.SQL, "op8_suffix_dedup": q8.SQL, "op11_centroid_clusters": q11.SQL}
+    return {
+        "op3_chat_format": q3.SQL,
+        "op4_embedding_dedup": q4.SQL,
+        "op5_top_k_search": q5.SQL,
+        "op6_license_scan": q6.SQL,
+        "op8_suffix_dedup": q8.SQL,
+        "op11_centroid_clusters": q11.SQL,
+        "op12_conversation_repair": q12.SQL,
+        "op13_secret_scan": q13.SQL,
+    }
