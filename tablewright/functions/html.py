@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.selectors import selects as selects
+
 NODE_SCHEMA = "page_id long, node int, last int, parent int, depth int, tag string, attrs map<string,string>, text string"
 #: Characters of text after which a table of nodes is handed on; a node's text is never cut.
 PART_CHARS = 4_000_000
@@ -97,30 +99,6 @@ def html_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, NODE_SCHEMA)
 
 
-_PART = re.compile(r"""\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:([*^$]?=)["']?([^"'\]]*)["']?)?(\s*i)?\]""")
-
-
-def selects(selector: str) -> Column:
-    """A comma list of compound selectors (tag, .class, #id, [a], [a=v], *=, ^=, $=) as a condition on a node row."""
-    out = F.lit(False)
-    for one in selector.split(","):
-        one = one.strip()
-        tag = re.match(r"[a-zA-Z][\w-]*|\*", one)
-        ok = F.lit(True) if not tag or tag[0] == "*" else F.col("tag") == tag[0].lower()
-        for cls, ident, name, op, value, fold in _PART.findall(one[tag.end() if tag else 0 :]):
-            if cls:
-                ok = ok & F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), cls)
-            elif ident:
-                ok = ok & (F.col("attrs")["id"] == ident)
-            else:
-                at = F.col("attrs")[name]
-                at, value = (F.lower(at), value.lower()) if fold else (at, value)
-                test = {"": at.isNotNull(), "=": at == value, "*=": F.contains(at, F.lit(value)), "^=": at.startswith(value), "$=": at.endswith(value)}
-                ok = ok & test[op]
-        out = out | F.coalesce(ok, F.lit(False))
-    return out
-
-
 def visible() -> Column:
     """Condition on a node row: it has text and is not hidden."""
     style = F.replace(F.lower(F.coalesce(F.col("attrs")["style"], F.lit(""))), F.lit(" "), F.lit(""))

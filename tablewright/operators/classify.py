@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from tablewright.functions.text import clean_text, contains_any, selector_tokens
 from tablewright.functions.urls import host, origin, same_origin
+from tablewright.operators.relational import once
 
 # Signals of commerce platforms, pages and links.
 PLATFORM_SIGNALS = {
@@ -174,7 +175,7 @@ def anchors(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.posexplode(found).alias("pos", "a"))
     href = F.regexp_extract("a", r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']""", 1)
     inner = F.regexp_replace("a", r"(?s)<[^>]+>", " ")
-    return rows.select("page_id", "url", "pos", href.alias("href"), clean_text(inner).alias("text")).filter("href != ''")
+    return once(rows, "page_id", "url", "pos", href.alias("href"), clean_text(inner).alias("text")).filter("href != ''")
 
 
 def predict_family(samples: DataFrame, families: DataFrame) -> DataFrame:
@@ -219,9 +220,10 @@ def deep_anchors(pages: DataFrame, price: str, limit: int = 200, least: int = 1)
     """
     from tablewright.functions.urls import absolutize
 
-    links = anchors(pages).withColumn("link", absolutize(F.col("href"), F.col("url")))
+    links = once(anchors(pages), "page_id", "url", "pos", "text", absolutize(F.col("href"), F.col("url")).alias("link"))
     links = links.filter(origin(F.col("link")) != "").filter(~is_junk_link(F.col("text"), F.col("link"), F.col("url")))
-    links = links.withColumn("score", link_score(F.col("link"), F.col("text"), price)).filter(F.col("score") >= least)
-    first = links.withColumn("seen", F.row_number().over(W.partitionBy("page_id", "link").orderBy("pos"))).filter("seen = 1")
+    links = once(links, "page_id", "pos", "link", "text", link_score(F.col("link"), F.col("text"), price).alias("score")).filter(F.col("score") >= least)
+    # One shuffle by page serves both windows.
+    first = links.repartition("page_id").withColumn("seen", F.row_number().over(W.partitionBy("page_id", "link").orderBy("pos"))).filter("seen = 1")
     ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("page_id").orderBy(F.desc("score"), "pos")))
     return ranked.filter(F.col("rank") <= limit).select("page_id", "rank", F.col("link").alias("url"), F.col("text").alias("title"), "score")

@@ -1,4 +1,4 @@
-"""Product rows from pages: cards by profile, JSON-LD, detail pages and fallbacks, as joins on the node table."""
+"""Product rows from pages: cards by profile, JSON-LD, detail pages and fallbacks, in ordered passes over the node table."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from tablewright.functions.images import best_image, srcset_urls
 from tablewright.functions.prices import price_generic, price_platform
 from tablewright.functions.text import pick_first
 from tablewright.functions.urls import absolutize
-from tablewright.operators import classify, relational
+from tablewright.operators import classify, relational, twig
 from tablewright.session import written
 
 #: Selectors are data: one profile a platform. Links that fail `keep` are no products.
@@ -38,12 +38,6 @@ ROOTS = [
 RECOMMENDED = r"(?i)recommend|related|similar|cross-?sell|upsell|also-bought|zubehoer|empfehl"
 
 
-def _first(rank: Column, value: Column) -> Column:
-    """In an aggregate: the value of the smallest (rank, node) among rows that have both."""
-    ok = rank.isNotNull() & (F.coalesce(value, F.lit("")) != "")
-    return F.coalesce(F.min_by(F.when(ok, value), F.when(ok, F.struct(rank, F.col("node")))), F.lit(""))
-
-
 def _rank(selectors: list[str]) -> Column:
     out = F.lit(None).cast("int")
     for i, s in reversed(list(enumerate(selectors))):
@@ -51,24 +45,34 @@ def _rank(selectors: list[str]) -> Column:
     return out
 
 
-def card_fields(nodes: DataFrame, profile: dict, adapter: str) -> DataFrame:
-    """page_id, card, adapter and the raw fields of every card of a profile; nodes in recommendations are none."""
-    cards = nodes.filter(selects(profile["card"])).filter(~F.coalesce(F.col("attrs")["class"], F.lit("")).rlike(RECOMMENDED))
-    cards = cards.select("page_id", F.col("node").alias("card"), F.col("last").alias("end"))
-    inside = nodes.join(cards, "page_id").filter("node BETWEEN card AND end")
-    image = best_image(
-        F.array(F.col("attrs")["data-src"], F.get(srcset_urls(F.coalesce(F.col("attrs")["srcset"], F.col("attrs")["data-srcset"])), F.lit(0)), F.col("attrs")["src"])
-    )
-    anchor = F.when(selects("a[href]") & ~F.coalesce(F.col("attrs")["href"].startswith("#"), F.lit(False)), 0)
-    rows = inside.groupBy("page_id", "card").agg(
-        _first(_rank(profile["title"]), F.col("text")).alias("own_title"),
-        _first(anchor, F.coalesce(F.nullif(F.col("attrs")["title"], F.lit("")), F.col("text"))).alias("link_title"),
-        _first(anchor, F.col("attrs")["href"]).alias("href"),
-        _first(F.when(selects("img"), 0), image).alias("src"),
-        _first(_rank(profile["price"]), F.coalesce(F.col("attrs")["data-price-amount"], F.col("attrs")["content"], F.col("text"))).alias("price_text"),
-        _first(_rank(["[data-sku]", "[itemprop=sku]", ".sku"]), F.coalesce(F.col("attrs")["data-sku"], F.col("attrs")["content"], F.col("text"))).alias("own_sku"),
-    )
-    return rows.withColumn("adapter", F.lit(adapter))
+def _attr(name: str) -> Column:
+    return F.col("attrs")[name]
+
+
+def some(value: Column) -> Column:
+    """A value for a role: null where it is empty, so that the next node is asked."""
+    return F.nullif(value, F.lit(""))
+
+
+def got(role: str) -> Column:
+    """A role's value in a row of twig.fields; '' if no node had one."""
+    return F.coalesce(F.col("found")[role], F.lit("")).alias(role)
+
+
+def card_fields(nodes: DataFrame, profiles: dict[str, dict], in_order: bool = False) -> DataFrame:
+    """page_id, card, adapter and the raw fields of every card of each profile, in one pass; nodes in recommendations are none."""
+    image = best_image(F.array(_attr("data-src"), F.get(srcset_urls(F.coalesce(_attr("srcset"), _attr("data-srcset"))), F.lit(0)), _attr("src")))
+    anchor = selects("a[href]") & ~F.coalesce(_attr("href").startswith("#"), F.lit(False))
+    roots, roles = {}, {}
+    for name, profile in profiles.items():
+        roots[name] = selects(profile["card"], F.col(twig.WORDS)) & ~F.coalesce(_attr("class"), F.lit("")).rlike(RECOMMENDED)
+        roles[name] = {"own_title": profile["title"], "link_title": [anchor], "href": [anchor], "src": ["img"], "price_text": profile["price"], "own_sku": ["[data-sku]", "[itemprop=sku]", ".sku"]}
+    values = {
+        "own_title": some(F.col("text")), "link_title": some(F.coalesce(some(_attr("title")), F.col("text"))), "href": some(_attr("href")), "src": some(F.when(F.col("tag") == "img", image)),
+        "price_text": some(F.coalesce(_attr("data-price-amount"), _attr("content"), F.col("text"))), "own_sku": some(F.coalesce(_attr("data-sku"), _attr("content"), F.col("text"))),
+    }
+    rows = twig.fields(nodes, roots, roles, values, in_order=in_order)
+    return rows.select("page_id", F.col("root").alias("card"), F.col("kind").alias("adapter"), *[got(r) for r in values])
 
 
 def finished_cards(fields: DataFrame, pages: DataFrame, keep: dict) -> DataFrame:
@@ -77,23 +81,28 @@ def finished_cards(fields: DataFrame, pages: DataFrame, keep: dict) -> DataFrame
     keep: by adapter, the condition on a link that is a product.
     """
     named = fields.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
-    title, price = pick_first(F.col("own_title"), F.col("link_title")), price_platform(F.col("price_text"))
-    out = named.select(
-        "page_id", F.col("card").alias("pos"), "adapter", classify.platform_title(title).alias("title"), F.when(F.col("href") != "", absolutize(F.col("href"), F.col("page_url"))).otherwise("").alias("url"),
+    # Each ladder is worked out once, in steps that are small enough to be compiled.
+    named = relational.once(
+        named, "page_id", F.col("card").alias("pos"), "adapter", "price_text", "own_sku", pick_first(F.col("own_title"), F.col("link_title")).alias("raw_title"),
+        F.when(F.col("href") != "", absolutize(F.col("href"), F.col("page_url"))).otherwise("").alias("url"),
         F.when(F.col("src") != "", absolutize(F.col("src"), F.col("page_url"))).otherwise("").alias("img"),
-        pick_first(price, price_generic(F.col("price_text"))["price"]).alias("price"), pick_first(F.col("own_sku"), sku_from_title(title)).alias("sku"),
-    )
+    ).filter("url != ''")
+    priced = relational.once(
+        named, "page_id", "pos", "adapter", "url", "img", "own_sku", classify.platform_title(F.col("raw_title")).alias("title"), sku_from_title(F.col("raw_title")).alias("title_sku"),
+        price_platform(F.col("price_text")).alias("own_price"), price_generic(F.col("price_text"))["price"].alias("any_price"),
+    ).filter("title != ''")
+    out = priced.select("page_id", "pos", "adapter", "title", "url", "img", pick_first(F.col("own_price"), F.col("any_price")).alias("price"), pick_first(F.col("own_sku"), F.col("title_sku")).alias("sku"))
     good = F.lit(False)
     for name, test in keep.items():
         good = good | ((F.col("adapter") == name) & test(F.col("url")))
     # The first row of each link is found before the conditions on its url are.
-    first = relational.keep_first(out.filter((F.col("title") != "") & (F.col("url") != "")), ["page_id", "adapter", "url"], ["pos"])
+    first = relational.keep_first(out, ["page_id", "adapter", "url"], ["pos"])
     return first.filter(good)
 
 
 def card_rows(nodes: DataFrame, pages: DataFrame, profile: dict) -> DataFrame:
     """page_id, pos, title, url, img, price, sku of the cards of one profile."""
-    return finished_cards(card_fields(nodes, profile, "own"), pages, {"own": profile["keep"]}).drop("adapter")
+    return finished_cards(card_fields(nodes, {"own": profile}), pages, {"own": profile["keep"]}).drop("adapter")
 
 
 def jsonld_items(pages: DataFrame) -> DataFrame:
@@ -104,63 +113,62 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     )
 
 
-def detail_fields(nodes: DataFrame) -> DataFrame:
+def detail_fields(nodes: DataFrame, in_order: bool = False) -> DataFrame:
     """By page: title, image, price, description and sku by chains of preference, and is_detail."""
-    ladder = lambda selectors, value: _first(_rank(selectors), value)
-    content = F.coalesce(F.col("attrs")["content"], F.col("text"))
-    return nodes.groupBy("page_id").agg(
-        ladder(["meta[property=og:title]", "[itemprop=name]", "h1", "title"], content).alias("title"),
-        ladder(["meta[property=og:image]", "[itemprop=image]", "img[src]"], F.coalesce(F.col("attrs")["content"], F.col("attrs")["src"])).alias("img"),
-        ladder(["meta[property=product:price:amount]", "[itemprop=price]", ".price"], content).alias("price"),
-        ladder(["meta[property=og:description]", "meta[name=description]", "[itemprop=description]"], content).alias("desc"),
-        ladder(["[itemprop=sku]", "[data-sku]", ".sku"], F.coalesce(F.col("attrs")["data-sku"], content)).alias("sku"),
-        (
-            F.bool_or(selects("meta[property=og:type][content*=product]"))
-            | (F.bool_or(F.col("tag") == "h1") & F.bool_or(selects("button[name=add], .add-to-cart, #buy, [itemprop=price]")))
-        ).alias("is_detail"),
-    )
-
-
-def page_roots(nodes: DataFrame) -> DataFrame:
-    """By page: the candidate root with the best score, 3 an image link, 2 a card, 1 for 20 links; the first of equals."""
+    content = F.coalesce(_attr("content"), F.col("text"))
+    roles = {
+        "title": ["meta[property='og:title']", "[itemprop=name]", "h1", "title"],
+        "img": ["meta[property='og:image']", "[itemprop=image]", "img[src]"],
+        "price": ["meta[property='product:price:amount']", "[itemprop=price]", ".price"],
+        "desc": ["meta[property='og:description']", "meta[name=description]", "[itemprop=description]"],
+        "sku": ["[itemprop=sku]", "[data-sku]", ".sku"],
+    }
+    values = {
+        "title": some(content), "img": some(F.coalesce(_attr("content"), _attr("src"))), "price": some(content), "desc": some(content), "sku": some(F.coalesce(_attr("data-sku"), content)),
+    }
+    counts = {"typed": "meta[property='og:type'][content*=product]", "heads": "h1", "buys": "button[name=add], .add-to-cart, #buy, [itemprop=price]"}
+    rows = twig.fields(nodes, {"page": None}, {"page": roles}, values, {"page": counts}, in_order=in_order)
+    n = F.col("n")
+    return rows.select("page_id", *[got(r) for r in roles], ((n["typed"] > 0) | ((n["heads"] > 0) & (n["buys"] > 0))).alias("is_detail"))
+
+
+def page_roots(nodes: DataFrame, in_order: bool = False) -> DataFrame:
+    """By page: the candidate root with the best score, 3 an image link, 2 a card, 1 for 20 links; the first of equals. end is its last node."""
+    counts = {"pictured": "a img", "cards": PROFILES["static"]["card"] + ", .product-item, .product-box", "links": "a"}
+    # A root's place in the order of preference comes with it, as the value of a test that only the root itself passes.
     rank = _rank(ROOTS)
-    roots = nodes.filter(rank.isNotNull()).select("page_id", F.col("node").alias("root"), F.col("last").alias("end"), rank.alias("order"))
-    parents = nodes.filter("tag = 'a'").select("page_id", F.col("node").alias("a"), F.col("last").alias("a_end"))
-    pictured = nodes.filter("tag = 'img'").join(parents, "page_id").filter("node BETWEEN a AND a_end").select("page_id", "node").distinct().withColumn("pictured", F.lit(1))
-    marked = nodes.join(pictured, ["page_id", "node"], "left").join(roots, "page_id").filter("node BETWEEN root AND end")
-    card = selects(PROFILES["static"]["card"] + ", .product-item, .product-box")
-    scored = marked.groupBy("page_id", "root", "order").agg(
-        (3 * F.count("pictured") + 2 * F.count_if(card) + F.floor(F.least(F.count_if(F.col("tag") == "a"), F.lit(800)) / 20)).alias("score")
-    )
-    best = scored.groupBy("page_id").agg(F.max_by(F.struct("root", "score"), F.struct("score", -F.col("order"), -F.col("root"))).alias("b"))
-    return best.select("page_id", "b.root", "b.score", F.least(F.lit(0.95), 0.2 + F.col("b.score") / 50).alias("confidence"))
+    ranked = rank.isNotNull()
+    rows = twig.fields(nodes, {"root": ranked}, {"root": {"order": [ranked]}}, {"order": rank}, {"root": counts}, in_order=in_order)
+    n = F.col("n")
+    scored = rows.select(
+        "page_id", "root", F.col("last").alias("end"), F.col("found")["order"].cast("int").alias("order"),
+        (3 * n["pictured"] + 2 * n["cards"] + F.floor(F.least(n["links"], F.lit(800)) / 20)).alias("score"),
+    )
+    best = scored.groupBy("page_id").agg(F.max_by(F.struct("root", "end", "score"), F.struct("score", -F.col("order"), -F.col("root"))).alias("b"))
+    return best.select("page_id", "b.root", "b.score", F.least(F.lit(0.95), 0.2 + F.col("b.score") / 50).alias("confidence"), "b.end")
 
 
-def parse_catalog(pages: DataFrame, limit: int = 200) -> DataFrame:
+def parse_catalog(pages: DataFrame, limit: int = 200, nodes: DataFrame | None = None) -> DataFrame:
     """page_id, pos, adapter and the eight columns of the product table.
 
     Each page is read by its platform's profile; where that gives fewer than three rows, by JSON-LD, by static cards, and
-    by links, in this order: the first source with enough rows wins. At most `limit` rows a page.
+    by links, in this order: the first source with enough rows wins. At most `limit` rows a page. All profiles read one pass over a page's nodes;
+    nodes: those of the pages, if they are written already.
     """
     from tablewright.functions.prices import NEAR_PRICE
 
     named = pages.filter(~classify.oversized(F.col("html"))).withColumn("platform", F.lower(classify.platform(F.col("html"))))
-    # Pages are parsed once; every profile reads the table of their nodes.
-    nodes = written(html_nodes(named), "page-nodes")
-    platforms = written(named.select("page_id", "url", "platform"), "page-platforms")
+    fields = card_fields(html_nodes(named) if nodes is None else nodes, PROFILES, nodes is None)
+    platforms = named.select("page_id", "url", "platform")
+    own = fields.join(platforms.select("page_id", "platform"), "page_id").filter((F.col("adapter") == F.col("platform")) | (F.col("adapter") == "static")).drop("platform")
     columns = ["page_id", "pos", "title", "url", "img", "price", "sku", "adapter"]
-    fields = None
-    for name, profile in PROFILES.items():
-        own = nodes if name == "static" else nodes.join(platforms.filter(F.col("platform") == name).select("page_id"), "page_id", "left_semi")
-        rows = card_fields(own, profile, name)
-        fields = rows if fields is None else fields.unionByName(rows)
-    cards = written(finished_cards(fields, platforms, {name: p["keep"] for name, p in PROFILES.items()}).select(columns), "page-cards")
+    # Written, as the ladders of finished cards and those of the ranking are too wide for one stage.
+    cards = written(finished_cards(own, platforms, {name: p["keep"] for name, p in PROFILES.items()}).select(columns), "page-cards")
     by_platform, static = cards.filter("adapter != 'static'"), cards.filter("adapter = 'static'")
-    ld = written(jsonld_items(named).withColumn("adapter", F.lit("jsonld")).select(columns), "page-jsonld")
+    ld = jsonld_items(named).withColumn("adapter", F.lit("jsonld")).select(columns)
     links = classify.deep_anchors(named, NEAR_PRICE, limit).select(
         "page_id", F.col("rank").alias("pos"), "title", "url", F.lit("").alias("img"), F.lit("").alias("price"), sku_from_title(F.col("title")).alias("sku"), F.lit("links").alias("adapter")
     )
-    links = written(links, "page-links")
     best = relational.first_nonempty([(by_platform, 3), (ld, 1), (static, 3), (links, 1)], "page_id")
     ranked = relational.row_index(best, ["pos", "url"], ["page_id"]).filter(F.col("idx") <= limit)
     row = relational.product_row(sku=F.col("sku"), title=F.col("title"), img=F.col("img"), price=F.col("price"), url=F.col("url"), link=F.col("url"))
@@ -169,9 +177,7 @@ def parse_catalog(pages: DataFrame, limit: int = 200) -> DataFrame:
 
 def outside(nodes: DataFrame, selector: str) -> DataFrame:
     """Nodes that are neither selected nor inside a selected node."""
-    marked = nodes.filter(selects(selector)).select("page_id", F.col("node").alias("_a"), F.col("last").alias("_b"))
-    hit = nodes.join(marked, "page_id").filter("node BETWEEN _a AND _b").select("page_id", "node").distinct()
-    return nodes.join(hit, ["page_id", "node"], "left_anti")
+    return twig.outside(nodes, selects(selector))
 
 
 def card_counts(nodes: DataFrame, selectors: list[str], least: int = 6) -> DataFrame:
@@ -213,11 +219,11 @@ def product_links(pages: DataFrame, keep) -> DataFrame:
 
 def universal(pages: DataFrame, limit: int = 200) -> DataFrame:
     """page_id, pos, title, url, price, sku: a detail page is one row; other pages give cards, then links."""
-    nodes = html_nodes(pages)
-    details = detail_fields(nodes).join(pages.select("page_id", "url"), "page_id")
+    nodes = written(html_nodes(pages), "universal-nodes")
+    details = written(detail_fields(nodes), "universal-details").join(pages.select("page_id", "url"), "page_id")
     single = details.filter("is_detail").select("page_id", F.lit(1).alias("pos"), "title", "url", "price", pick_first(F.col("sku"), sku_from_title(F.col("title"))).alias("sku"))
-    rest = pages.join(single.select("page_id"), "page_id", "left_anti")
-    listed = parse_catalog(rest, limit).select("page_id", "pos", "title", "url", "price", "sku")
+    done = single.select("page_id")
+    listed = parse_catalog(pages.join(done, "page_id", "left_anti"), limit, nodes.join(done, "page_id", "left_anti")).select("page_id", "pos", "title", "url", "price", "sku")
     return single.unionByName(listed)
 
 
@@ -225,13 +231,9 @@ def minimal_rows(nodes: DataFrame) -> DataFrame:
     """page_id, pos, name, image, price (a number): one row for each .product."""
     from tablewright.functions.prices import price_prefix
 
-    cards = nodes.filter(selects(".product")).select("page_id", F.col("node").alias("card"), F.col("last").alias("end"))
-    inside = nodes.join(cards, "page_id").filter("node BETWEEN card AND end")
-    rows = inside.groupBy("page_id", "card").agg(
-        _first(_rank([".name", ".title", "h2"]), F.col("text")).alias("name"), _first(F.when(selects("img"), 0), F.col("attrs")["src"]).alias("image"),
-        _first(_rank([".price"]), F.col("text")).alias("p"),
-    )
-    return rows.select("page_id", F.col("card").alias("pos"), "name", "image", price_prefix(F.col("p")).alias("price"))
+    roles = {"name": [".name", ".title", "h2"], "image": ["img"], "p": [".price"]}
+    rows = twig.fields(nodes, {"card": ".product"}, {"card": roles}, {"name": some(F.col("text")), "image": some(_attr("src")), "p": some(F.col("text"))})
+    return rows.select("page_id", F.col("root").alias("pos"), got("name"), got("image"), price_prefix(got("p")).alias("price"))
 
 
 def document_sku(nodes: DataFrame) -> DataFrame:
@@ -243,8 +245,7 @@ def document_sku(nodes: DataFrame) -> DataFrame:
     after = nodes.filter(F.col("tag").isin("dd", "td")).select("page_id", F.col("parent").alias("p"), F.col("node").alias("value"), F.col("text").alias("v"))
     pairs = labels.join(after, ["page_id", "p"]).filter("value > label AND v != ''")
     by_label = pairs.groupBy("page_id").agg(F.min_by("v", F.struct("label", "value")).alias("by_label"))
-    own = nodes.groupBy("page_id").agg(
-        _first(_rank(["[itemprop=sku]", "[data-sku]"]), F.coalesce(F.col("attrs")["data-sku"], F.col("attrs")["content"], F.col("text"))).alias("by_attr"),
-        _first(F.when(F.col("depth") == 0, 0), label_value(F.col("text"))).alias("by_text"),
-    )
+    roles = {"by_attr": ["[itemprop=sku]", "[data-sku]"], "by_text": [F.col("depth") == 0]}
+    values = {"by_attr": some(F.coalesce(_attr("data-sku"), _attr("content"), F.col("text"))), "by_text": some(F.when(F.col("depth") == 0, label_value(F.col("text"))))}
+    own = twig.fields(nodes, {"page": None}, {"page": roles}, values).select("page_id", got("by_attr"), got("by_text"))
     return own.join(by_label, "page_id", "left").select("page_id", pick_first(F.col("by_attr"), F.col("by_label"), F.col("by_text")).alias("sku"))

@@ -9,7 +9,8 @@ from tablewright.functions.html import html_nodes, selects
 from tablewright.functions.ids import sku_from_title
 from tablewright.functions.text import clean_text, pick_first
 from tablewright.functions.urls import absolutize
-from tablewright.operators import classify, extract, relational
+from tablewright.operators import classify, extract, relational, twig
+from tablewright.operators.extract import got
 from tablewright.session import written
 
 # Selectors and patterns, in order of preference.
@@ -25,20 +26,15 @@ BUY_TEXT = r"(?i)in den warenkorb|add to cart"
 COLUMNS = ["page_id", "pos", "sku", "title", "url", "img", "price"]
 
 
-def _at(cond: Column, value: Column) -> Column:
-    """In an aggregate: the value of the first node for which cond holds; empty if there is none or it has none."""
-    return F.coalesce(F.min_by(F.when(cond, F.coalesce(value, F.lit(""))), F.when(cond, F.col("node"))), F.lit(""))
+def _have(value: Column) -> Column:
+    """A value for a role: '' where the node has none, so that the first node decides."""
+    return F.coalesce(value, F.lit(""))
 
 
 def _attr(name: str) -> Column:
     return F.nullif(F.col("attrs")[name], F.lit(""))
 
 
-def _inside(nodes: DataFrame, tops: DataFrame) -> DataFrame:
-    """Nodes below each of tops (page_id, top, end, and more columns)."""
-    return nodes.join(tops, "page_id").filter("node > top AND node <= end")
-
-
 def _picture() -> Column:
     """Of an image node: its lazy sources, the first absolute one of its srcset, its source; without a query."""
     listed = F.get(F.filter(F.split(F.coalesce(F.col("attrs")["srcset"], F.lit("")), " "), lambda x: x.rlike("(?i)^https?:")), F.lit(0))
@@ -54,90 +50,76 @@ def _numbered(rows: DataFrame, limit: int) -> DataFrame:
     return relational.row_index(rows, ["top"], ["page_id"], "pos").filter(F.col("pos") <= limit)
 
 
-def legacy_items(pages: DataFrame, limit: int = 50) -> DataFrame:
+def legacy_items(pages: DataFrame, limit: int = 50, nodes: DataFrame | None = None) -> DataFrame:
     """page_id, pos, sku, title, url, img, price: the items of the first list that one of ITEMS finds.
 
     The list is sought in the page's first container, else on the whole page. sku and title are an item's image text,
     heading, link text or text; an item without any of title, image and link is none.
     """
-    nodes = written(html_nodes(pages), "legacy-nodes")
+    nodes = written(html_nodes(pages), "legacy-nodes") if nodes is None else nodes
     rank = extract._rank(CONTAINERS)
     boxes = nodes.filter(rank.isNotNull()).groupBy("page_id").agg(F.min_by(F.struct("node", "last"), F.struct(rank, F.col("node"))).alias("c"))
-    parents = nodes.filter("tag = 'ul'").select("page_id", F.col("node").alias("parent"), F.lit(True).alias("in_ul"), selects("ul.products").alias("in_products"))
-    named = nodes.filter(selects("#productlist")).groupBy("page_id").agg(F.min(F.struct("node", "last")).alias("p"))
-    kinds = [F.col("in_ul") & (F.col("parent") > F.col("p.node")) & (F.col("parent") <= F.col("p.last")), F.col("in_products"), F.col("in_ul")]
-    tests = [selects("li") & F.coalesce(k, F.lit(False)) for k in kinds] + [selects(s) for s in ITEMS[3:]]
-    hits = F.array_compact(F.array(*[F.when(t, i) for i, t in enumerate(tests)]))
-    wide = nodes.filter(selects("li, .product, .product-item, .productItem, .product-box")).join(parents, ["page_id", "parent"], "left").join(named, "page_id", "left")
-    found = wide.join(boxes, "page_id", "left").select(
-        "page_id", F.explode(hits).alias("kind"), F.col("node").alias("top"), F.col("last").alias("end"),
+    found = twig.find(nodes, {str(i): s for i, s in enumerate(ITEMS)}).join(boxes, "page_id", "left").select(
+        "page_id", F.col("name").cast("int").alias("kind"), F.col("node").alias("top"),
         F.coalesce((F.col("node") > F.col("c.node")) & (F.col("node") <= F.col("c.last")), F.lit(True)).alias("within"),
     )
     first = found.groupBy("page_id").agg(F.min("kind").alias("kind"))
     some = found.join(first, ["page_id", "kind"])
     boxed = some.groupBy("page_id").agg(F.bool_or("within").alias("boxed"))
-    items = some.join(boxed, "page_id").filter(F.col("within") | ~F.col("boxed") | (F.col("kind") == 0)).select("page_id", "top", "end")
-    own = nodes.select("page_id", F.col("node").alias("top"), F.col("text").alias("whole"))
-    inside = _inside(nodes, items).groupBy("page_id", "top").agg(
-        _at(selects("a[href]"), F.col("attrs")["href"]).alias("href"),
-        _at(selects("a[href]"), F.col("text")).alias("link_text"),
-        _at(selects("img"), F.trim(F.col("attrs")["alt"])).alias("alt"),
-        _at(selects(HEADINGS), F.col("text")).alias("heading"),
-        *[_at(selects(f"img[{a}]"), F.col("attrs")[a]).alias(a.replace("-", "_")) for a in ("src", "data-src", "data-original")],
-    )
-    rows = items.join(inside, ["page_id", "top"], "left").join(own, ["page_id", "top"]).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
-    filled = lambda name: F.coalesce(F.col(name), F.lit(""))
-    title = clean_text(pick_first(filled("alt"), filled("heading"), filled("link_text"), filled("whole")))
+    items = some.join(boxed, "page_id").filter(F.col("within") | ~F.col("boxed") | (F.col("kind") == 0)).select("page_id", "top")
+    texts = nodes.select("page_id", F.col("node").alias("top"), F.col("text").alias("whole"))
+    pictures = {a.replace("-", "_"): [f"img[{a}]"] for a in ("src", "data-src", "data-original")}
+    roles = {"href": ["a[href]"], "link_text": ["a[href]"], "alt": ["img"], "heading": [HEADINGS], **pictures}
+    values = {"href": _have(F.col("attrs")["href"]), "link_text": _have(F.col("text")), "alt": _have(F.trim(F.col("attrs")["alt"])), "heading": _have(F.col("text")), **{r: _have(F.col("attrs")[r.replace("_", "-")]) for r in pictures}}
+    # Any selector's items are read; those of the chosen list are kept.
+    read = twig.fields(nodes, {"item": ", ".join(ITEMS)}, {"item": roles}, values, whole=False).select("page_id", F.col("root").alias("top"), *[got(r) for r in roles])
+    rows = items.join(read, ["page_id", "top"]).join(texts, ["page_id", "top"]).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
+    title = clean_text(pick_first(F.col("alt"), F.col("heading"), F.col("link_text"), F.coalesce("whole", F.lit(""))))
     made = rows.select(
-        "page_id", "top", title.alias("sku"), title.alias("title"), _link(filled("href"), F.col("page")).alias("url"),
-        _link(pick_first(filled("src"), filled("data_src"), filled("data_original")), F.col("page")).alias("img"), F.lit("").alias("price"),
+        "page_id", "top", title.alias("sku"), title.alias("title"), _link(F.col("href"), F.col("page")).alias("url"),
+        _link(pick_first(F.col("src"), F.col("data_src"), F.col("data_original")), F.col("page")).alias("img"), F.lit("").alias("price"),
     )
     return _numbered(made.filter((F.col("title") != "") | (F.col("img") != "") | (F.col("url") != "")), limit).select(COLUMNS)
 
 
 def _cards(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Rows of cards that have a link and a title; top is the card's node."""
-    cards = nodes.filter(selects(CARDS)).select("page_id", F.col("node").alias("top"), F.col("last").alias("end"), F.col("text").alias("whole"))
     good = selects("a[href]") & ~F.coalesce(F.col("attrs")["href"], F.lit("")).rlike(CARD_BAD_LINK)
-    rows = _inside(nodes, cards).groupBy("page_id", "top").agg(
-        F.first("whole").alias("whole"),
-        F.bool_or(good).alias("linked"),
-        _at(good, F.col("attrs")["href"]).alias("href"),
-        _at(good, F.trim(F.col("attrs")["title"])).alias("link_title"),
-        _at(good, F.col("text")).alias("link_text"),
-        _at(selects("h1, h2, h3"), F.col("text")).alias("heading"),
-        _at(selects("img"), F.trim(F.col("attrs")["alt"])).alias("alt"),
-        _at(selects("img"), _picture()).alias("src"),
-        _at(selects(CARD_PRICES), F.col("text")).alias("own_price"),
-        _at(selects(CARD_SKUS), F.col("text")).alias("own_sku"),
-    )
+    inner = {
+        "href": [good], "link_title": [good], "link_text": [good], "heading": ["h1, h2, h3"], "alt": ["img"], "src": ["img"], "own_price": [CARD_PRICES], "own_sku": [CARD_SKUS],
+    }
+    text = _have(F.col("text"))
+    values = {
+        "href": _have(F.col("attrs")["href"]), "link_title": _have(F.trim(F.col("attrs")["title"])), "link_text": text, "heading": text, "alt": _have(F.trim(F.col("attrs")["alt"])),
+        "src": _have(F.when(F.col("tag") == "img", _picture())), "own_price": text, "own_sku": text,
+    }
+    read = twig.fields(nodes, {"card": CARDS}, {"card": inner}, values, {"card": {"links": good}}, whole=False).filter(F.col("n")["links"] > 0)
+    whole = nodes.select("page_id", F.col("node").alias("top"), F.col("text").alias("whole"))
+    rows = read.select("page_id", F.col("root").alias("top"), *[got(r) for r in inner]).join(whole, ["page_id", "top"])
     title = pick_first(F.col("link_title"), F.col("heading"), F.col("link_text"), F.col("alt"))
     page = pages.select("page_id", F.col("url").alias("page"))
-    return rows.filter("linked").join(page, "page_id").select(
+    return rows.join(page, "page_id").select(
         "page_id", "top", pick_first(F.col("own_sku"), sku_from_title(title)).alias("sku"), title.alias("title"), _link(F.col("href"), F.col("page")).alias("url"),
         _link(F.col("src"), F.col("page")).alias("img"), pick_first(F.col("own_price"), F.regexp_extract("whole", MONEY, 0)).alias("price"),
     ).filter("title != '' AND url != ''")
 
 
 def _shop_list(nodes: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of ul.products > li.product anywhere below, and the pages that have such nodes."""
-    lists = nodes.filter(selects("ul.products")).select("page_id", F.col("node").alias("top"), F.col("last").alias("end"))
-    cards = _inside(nodes.filter(selects("li.product")), lists).select("page_id", F.col("node").alias("top"), F.col("last").alias("end")).distinct()
-    chosen = F.when(selects("a.woocommerce-LoopProduct-link"), 0).when(selects("a[href]"), 1)
-    rows = _inside(nodes, cards).groupBy("page_id", "top").agg(
-        F.min_by(F.struct(F.coalesce(_attr("href"), F.lit("")).alias("href"), F.trim(F.coalesce(F.col("attrs")["title"], F.lit(""))).alias("named"), "text"), F.when(chosen.isNotNull(), F.struct(chosen, F.col("node")))).alias("a"),
-        _at(selects(".woocommerce-loop-product__title"), F.col("text")).alias("heading"),
-        _at(selects("img"), _picture()).alias("src"),
-        _at(selects(".amount"), F.col("text")).alias("amount"),
-        _at(selects(".price"), F.col("text")).alias("whole_price"),
-    )
-    title = F.coalesce(pick_first(F.col("heading"), F.col("a.named"), F.col("a.text")), F.lit(""))
+    """Rows of li.product anywhere below ul.products, and the pages that have such nodes."""
+    links = ["a.woocommerce-LoopProduct-link", "a[href]"]
+    roles = {"href": links, "named": links, "link_text": links, "heading": [".woocommerce-loop-product__title"], "src": ["img"], "amount": [".amount"], "whole_price": [".price"]}
+    text = _have(F.col("text"))
+    values = {
+        "href": _have(_attr("href")), "named": _have(F.trim(F.col("attrs")["title"])), "link_text": text, "heading": text, "src": _have(F.when(F.col("tag") == "img", _picture())), "amount": text, "whole_price": text,
+    }
+    read = written(twig.fields(nodes, {"card": "ul.products li.product"}, {"card": roles}, values, whole=False).select("page_id", F.col("root").alias("top"), *[got(r) for r in roles]), "ladder-list")
+    title = F.coalesce(pick_first(F.col("heading"), F.col("named"), F.col("link_text")), F.lit(""))
     page = pages.select("page_id", F.col("url").alias("page"))
-    made = rows.join(page, "page_id").select(
-        "page_id", "top", sku_from_title(title).alias("sku"), title.alias("title"), F.coalesce(_link(F.col("a.href"), F.col("page")), F.lit("")).alias("url"),
+    made = read.join(page, "page_id").select(
+        "page_id", "top", sku_from_title(title).alias("sku"), title.alias("title"), _link(F.col("href"), F.col("page")).alias("url"),
         _link(F.col("src"), F.col("page")).alias("img"), pick_first(F.col("amount"), F.col("whole_price")).alias("price"),
     )
-    return made.filter("title != '' AND url != ''"), cards.select("page_id").distinct()
+    return made.filter("title != '' AND url != ''"), read.select("page_id").distinct()
 
 
 def _plain_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -164,12 +146,12 @@ def server_ladder(pages: DataFrame, limit: int = 50) -> DataFrame:
     return out
 
 
-def root_links(pages: DataFrame, price: str, limit: int = 50) -> DataFrame:
+def root_links(pages: DataFrame, price: str, limit: int = 50, nodes: DataFrame | None = None) -> DataFrame:
     """page_id, pos, sku, title, url, img, price: links worth following inside each page's root."""
-    nodes = written(html_nodes(pages), "root-nodes")
-    roots = extract.page_roots(nodes).select("page_id", F.col("root").alias("top"))
-    ends = nodes.select("page_id", F.col("node").alias("top"), F.col("last").alias("end"))
-    links = _inside(nodes.filter(selects("a[href]")), roots.join(ends, ["page_id", "top"])).join(pages.select("page_id", F.col("url").alias("page")), "page_id")
+    nodes = written(html_nodes(pages), "root-nodes") if nodes is None else nodes
+    roots = extract.page_roots(nodes).select("page_id", F.col("root").alias("top"), "end")
+    # One root a page, so that this pairs each link once.
+    links = nodes.filter(selects("a[href]")).join(roots, "page_id").filter("node > top AND node <= end").join(pages.select("page_id", F.col("url").alias("page")), "page_id")
     links = links.select("page_id", F.col("node").alias("top"), F.col("text").alias("title"), absolutize(F.col("attrs")["href"], F.col("page")).alias("url"), "page")
     good = links.filter(F.col("url") != "").filter(~classify.is_junk_link(F.col("title"), F.col("url"), F.col("page")) & (classify.link_score(F.col("url"), F.col("title"), price) >= 1))
     first = relational.keep_first(good, ["page_id", "url"], ["top"])
@@ -180,17 +162,30 @@ def root_links(pages: DataFrame, price: str, limit: int = 50) -> DataFrame:
 def extract_list(pages: DataFrame, limit: int = 50) -> DataFrame:
     """page_id, pos, adapter_used, sku, title, url, img, price: the first of these that gives rows for a page.
 
-    The platform's template, a detail page's or a list's universal reading, links in the page's root, the first list.
+    The platform's template, a detail page's or a list's universal reading, links in the page's root, the first list. Pages are
+    parsed once; each step reads the nodes of the pages that no step before it had rows for.
     """
     from tablewright.functions.prices import NEAR_PRICE
 
-    def named(rows: DataFrame, name: str) -> DataFrame:
-        return rows.filter(F.col("pos") <= limit).select("page_id", F.col("pos").cast("int").alias("pos"), *COLUMNS[2:], F.lit(name).alias("adapter_used"))
-
-    detail = extract.detail_fields(html_nodes(pages)).filter("is_detail").join(pages.select("page_id", "url"), "page_id")
-    single = detail.select("page_id", F.lit(1).alias("pos"), "sku", "title", "url", "img", "price")
-    parts = [(extract.parse_catalog(pages, limit), "template"), (single, "universal"), (root_links(pages, NEAR_PRICE, limit), "links+rootScope"), (legacy_items(pages, limit), "generic-legacy")]
-    return relational.first_nonempty([(written(named(rows, name), f"list-{name}"), 1) for rows, name in parts], "page_id").select("page_id", "pos", "adapter_used", *COLUMNS[2:])
+    nodes, left, out = written(html_nodes(pages), "list-nodes"), pages, None
+
+    def single(rest: DataFrame, some: DataFrame) -> DataFrame:
+        detail = extract.detail_fields(some).filter("is_detail").join(rest.select("page_id", "url"), "page_id")
+        return detail.select("page_id", F.lit(1).alias("pos"), "sku", "title", "url", "img", "price")
+
+    steps = [
+        ("template", lambda rest, some: extract.parse_catalog(rest, limit, some)), ("universal", single), ("links+rootScope", lambda rest, some: root_links(rest, NEAR_PRICE, limit, some)),
+        ("generic-legacy", lambda rest, some: legacy_items(rest, limit, some)),
+    ]
+    for name, step in steps:
+        rows = step(left, nodes).filter(F.col("pos") <= limit)
+        rows = rows.select("page_id", F.col("pos").cast("int").alias("pos"), F.lit(name).alias("adapter_used"), *COLUMNS[2:])
+        if name != steps[-1][0]:
+            rows = written(rows, f"list-{name}")
+            done = rows.select("page_id").distinct()
+            left, nodes = left.join(done, "page_id", "left_anti"), nodes.join(done, "page_id", "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def detail_test(nodes: DataFrame) -> DataFrame:
@@ -198,17 +193,20 @@ def detail_test(nodes: DataFrame) -> DataFrame:
 
     Its type is product; it has a heading and a way to buy; the last step of its breadcrumb is no link; or a number stands at a label.
     """
-    crumbs = nodes.filter(selects(".breadcrumb, .breadcrumbs, nav[aria-label=breadcrumb]")).select("page_id", F.col("node").alias("top"), F.col("last").alias("end"))
-    steps = _inside(nodes.filter("tag = 'li'"), crumbs).groupBy("page_id").agg(F.max_by(F.struct("node", "last", "text"), "node").alias("s"))
-    linked = nodes.filter("tag = 'a'").join(steps, "page_id").filter("node > s.node AND node <= s.last").select("page_id").distinct().withColumn("linked", F.lit(True))
-    trail = steps.join(linked, "page_id", "left").select("page_id", (F.col("linked").isNull() & (F.col("s.text") != "")).alias("by_trail"))
+    steps = twig.find(nodes, {"step": ".breadcrumb li, .breadcrumbs li, nav[aria-label=breadcrumb] li", "linked": "li a"})
+    # The last step of a page's trails, and whether a link lies in it.
+    last = steps.groupBy("page_id").agg(
+        F.max(F.when(F.col("name") == "step", F.struct("node", "last"))).alias("s"), F.collect_set(F.when(F.col("name") == "linked", F.col("node"))).alias("links")
+    )
+    texts = nodes.filter("tag = 'li'").select("page_id", F.col("node").alias("_n"), (F.col("text") != "").alias("said"))
+    last = last.filter("s IS NOT NULL").join(texts, (last["page_id"] == texts["page_id"]) & (F.col("s.node") == F.col("_n"))).select(last["page_id"], "s", "links", "said")
+    trail = last.select("page_id", (F.col("said") & ~F.exists("links", lambda n: (n > F.col("s.node")) & (n <= F.col("s.last")))).alias("by_trail"))
     numbered = extract.document_sku(nodes).select("page_id", (F.col("sku") != "").alias("by_sku"))
     content = F.coalesce(F.col("attrs")["content"], F.lit(""))
     buy = selects("form[action*='cart' i], form[action*='warenkorb' i]") | (F.col("tag").isin("button", "a") & F.col("text").rlike(BUY_TEXT))
-    own = nodes.groupBy("page_id").agg(
-        F.coalesce(F.min_by(content.rlike("(?i)product"), F.when(selects("meta[property=og:type]"), F.col("node"))), F.lit(False)).alias("by_type"),
-        ((_at(F.col("tag") == "h1", F.col("text")) != "") & F.bool_or(buy)).alias("by_buy"),
-    )
+    roles = {"type": ["meta[property='og:type']"], "head": ["h1"]}
+    rows = twig.fields(nodes, {"page": None}, {"page": roles}, {"type": content, "head": _have(F.col("text"))}, {"page": {"buys": buy}})
+    own = rows.select("page_id", got("type").rlike("(?i)product").alias("by_type"), ((got("head") != "") & (F.col("n")["buys"] > 0)).alias("by_buy"))
     known = own.join(trail, "page_id", "left").join(numbered, "page_id", "left")
     flags = known.select("page_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("by_type", "by_buy", "by_trail", "by_sku")])
     return flags.withColumn("is_detail", F.col("by_type") | F.col("by_buy") | F.col("by_trail") | F.col("by_sku"))

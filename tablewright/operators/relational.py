@@ -22,6 +22,12 @@ def row_index(df: DataFrame, order: list[str], within: list[str], name: str = "i
     return df.withColumn(name, F.row_number().over(W.partitionBy(*within).orderBy(*order)))
 
 
+def once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """df.select(*columns), each worked out once per row: later filters on a column do not repeat its expression below."""
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return df.select(F.inline(F.array(F.struct(*named))))
+
+
 def keep_first(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
     """The first row of each key by order."""
     w = W.partitionBy(*keys).orderBy(*order)
@@ -138,15 +144,15 @@ def cluster_summary(df: DataFrame, cluster: str, url: str, pos: str) -> DataFram
 def first_nonempty(parts: list[tuple[DataFrame, int]], page: str) -> DataFrame:
     """Of several row sources in order of preference, each page's first one with enough rows.
 
-    parts: (rows, fewest rows a page must have). The result has column priority.
+    parts: (rows, fewest rows a page must have). The result has column priority. Each source is read once: rows are dealt by page,
+    and both windows use that.
     """
     out = None
     for priority, (rows, least) in enumerate(parts):
-        counted = rows.groupBy(page).count().filter(F.col("count") >= least).select(page)
-        good = rows.join(counted, page, "left_semi").withColumn("priority", F.lit(priority))
-        out = good if out is None else out.unionByName(good)
-    best = out.groupBy(page).agg(F.min("priority").alias("priority"))
-    return out.join(best, [page, "priority"], "left_semi")
+        named = rows.withColumns({"priority": F.lit(priority), "_least": F.lit(least)})
+        out = named if out is None else out.unionByName(named)
+    by_page = out.repartition(page).withColumn("_n", F.count("*").over(W.partitionBy(page, "priority"))).filter("_n >= _least")
+    return by_page.withColumn("_best", F.min("priority").over(W.partitionBy(page))).filter("priority = _best").drop("_n", "_least", "_best")
 
 
 def map_fields(df: DataFrame, aliases: DataFrame, field: str = "field") -> DataFrame:

@@ -23,6 +23,11 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in named})
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file, dealt to all cores: parsing costs far more than the shuffle of what one file holds."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def duck(sql: str) -> str:
     """The same sql for an engine in which the tables are views."""
     for t in TABLES:

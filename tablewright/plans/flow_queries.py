@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.html import html_nodes
 from tablewright.operators import extract as x
 from tablewright.operators import paging
-from tablewright.plans.base import TITLES, duck, table, view
+from tablewright.plans.base import TITLES, duck, spread, table, view
 from tablewright.streaming import diagnostics as t
 
 QUERIES: dict = {}
@@ -151,7 +151,7 @@ add(
 )
 ROOT = """SELECT p_partkey AS page_id, 'u' AS url, '<div class="content"><a href="/a"><img src="x"></a></div><div id="main"><div class="card"></div><a href="/b"><img src="y"></a><a href="/c"><img src="z"></a></div>' AS html FROM {part}"""
 add(
-    "c13_page_roots", lambda s, d: x.page_roots(html_nodes(view(s, d, ROOT))),
+    "c13_page_roots", lambda s, d: x.page_roots(html_nodes(view(s, d, ROOT))).drop("end"),
     "SELECT p_partkey AS page_id, CAST(3 AS INTEGER) AS root, CAST(8 AS BIGINT) AS score, 0.2 + 8 / 50 AS confidence FROM part",
 )
 add(
@@ -162,7 +162,7 @@ MIXED = """SELECT p_partkey AS page_id, 'https://demo.shop/list' AS url, CASE WH
   CASE WHEN p_partkey % 3 < 2 THEN '<div class="product-item item"><a href="/products/1">A 1001</a></div><div class="product-item item"><a href="/products/2">B 1002</a></div><div class="product-item item"><a href="/products/3">C 1003</a></div>'
   ELSE '<a href="/product/9">Only 9999</a>' END AS html FROM {part}"""
 add(
-    "g14_parse_catalog", lambda s, d: x.parse_catalog(view(s, d, MIXED)).select("page_id", "pos", "adapter", "title", "url", "sku"),
+    "g14_parse_catalog", lambda s, d: x.parse_catalog(spread(view(s, d, MIXED))).select("page_id", "pos", "adapter", "title", "url", "sku"),
     """SELECT p_partkey AS page_id, CAST(n AS INTEGER) AS pos, CASE p_partkey % 3 WHEN 0 THEN 'shopify' WHEN 1 THEN 'static' ELSE 'links' END AS adapter,
       CASE WHEN p_partkey % 3 = 2 THEN 'Only 9999' ELSE ['A 1001', 'B 1002', 'C 1003'][n] END AS title, 'https://demo.shop/' || CASE WHEN p_partkey % 3 = 2 THEN 'product/9' ELSE 'products/' || n END AS url,
       CASE WHEN p_partkey % 3 = 2 THEN '9999' ELSE CAST(1000 + n AS VARCHAR) END AS sku FROM part, range(1, 4) r(n) WHERE p_partkey % 3 < 2 OR n = 1""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import contracts
 from tablewright.operators import matching as m
 from tablewright.operators import policy as p
 from tablewright.operators import quote as q
@@ -110,6 +111,19 @@ add(
     f"WITH k AS ({K}) SELECT pos, CASE WHEN url = '' THEN 'url: pattern' ELSE '' END AS errors FROM k",
 )
 
+#: A manifest for each part: valid, or with one fault by the part's number.
+MANIFEST_JSON = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN m WHEN 1 THEN replace(m, '"requestId":', '"request":') WHEN 2 THEN replace(m, 'dedupe', 'merge') WHEN 3 THEN replace(m, '"avgLossScore":0.5', '"avgLossScore":1.5')
+  WHEN 4 THEN replace(m, '2024-02-29', '2023-02-29') WHEN 5 THEN replace(m, '"itemsIn":1', '"itemsIn":"1"') WHEN 6 THEN replace(m, '"field":"title"', '"field":""') WHEN 7 THEN replace(m, 'sha256:', 'md5:') ELSE substr(m, 2) END AS j
+  FROM (SELECT p_partkey, '{"manifestVersion":"1.0","requestId":"' || CAST(p_partkey AS STRING) || '","schemaVersion":"1","engineVersion":"1","createdAt":"2024-02-29T10:00:00Z","hashes":{"inputBundleHash":"' || h
+    || '","compressedBundleHash":"' || h || '"},"summary":{"itemsIn":1,"itemsOut":1,"fieldsCanonicalized":0,"conflictsResolved":0,"fieldsDroppedLowConfidence":0,"avgLossScore":0.5},"items":[{"itemId":"' || p_brand
+    || '","fieldChanges":[{"field":"title","decision":"dedupe","beforeCandidates":[{"value":"' || p_name || '","confidence":0.5,"source":"dom","evidenceId":"e1"}],"afterCanonical":{"value":null,"confidence":1,"source":"dom"},"loss":{"score":0.01,"type":"format_loss"},"rationale":"r"}],'
+    || '"evidenceAnchors":[],"lossTotals":{"fieldLossScoreSum":0.01,"fieldCount":1,"avgFieldLoss":0.01}}]}' AS m FROM (SELECT *, 'sha256:' || lower(sha256(p_name)) AS h FROM {part}) p) q"""
+add(
+    "m09_manifest_contract", lambda s, d: view(s, d, MANIFEST_JSON.replace("sha256(p_name)", "sha2(p_name, 256)")).select("p_partkey", F.array_join(contracts.contract_errors("j", contracts.MANIFEST), "|").alias("errors")),
+    """SELECT p_partkey, ['', '$.requestId: required|$.request: additionalProperties', '$.items[0].fieldChanges[0].decision: enum', '$.summary.avgLossScore: maximum', '$.createdAt: format', '$.summary.itemsIn: type',
+      '$.items[0].fieldChanges[0].field: minLength', '$.hashes.inputBundleHash: pattern|$.hashes.compressedBundleHash: pattern', '$: json'][p_partkey % 9 + 1] AS errors FROM part""",
+)
+
 CONTEXT = """SELECT o_orderkey AS request_id, CAST(o_orderkey % 50 AS DOUBLE) / 100 AS loss, CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS BIGINT) ELSE o_orderkey % 4 END AS conflicts,
   CASE WHEN o_orderkey % 2 = 0 THEN 'S' || CAST(o_orderkey AS STRING) END AS sku, o_orderstatus AS kind FROM {orders}"""
 

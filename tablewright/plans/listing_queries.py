@@ -11,9 +11,9 @@ from tablewright.functions.prices import NEAR_PRICE
 from tablewright.operators import classify, listing, matching, policy
 from tablewright.operators import extract as x
 from tablewright.plans import governance_queries as g
-from tablewright.plans.base import table, view
+from tablewright.plans.base import spread, table, view
 from tablewright.session import shared_dir
-from tablewright.sources import inputs
+from tablewright.sources import charsets, inputs
 from tablewright.streaming import diagnostics
 
 QUERIES: dict = {}
@@ -33,7 +33,7 @@ LADDER = """SELECT p_partkey AS page_id, 'https://demo.shop/list/' AS url, CASE
   WHEN 2 THEN '<p><a href="/l/' || k || '">L ' || k || '</a><a href="/l/' || k || '">again</a><a href="/m"></a><a href="n" title="N">n</a></p>' ELSE '<p>no</p>' END AS html
   FROM (SELECT *, CAST(10000 + p_partkey AS STRING) AS k FROM {part}) q"""
 add(
-    "g13_fallback_ladder", lambda s, d: listing.server_ladder(view(s, d, LADDER.replace("LI class=\"x product\"", "li class=\"x shop\""))).select("page_id", "pos", "adapter", "title", "url", "img", "price", "sku"),
+    "g13_fallback_ladder", lambda s, d: listing.server_ladder(spread(view(s, d, LADDER.replace("LI class=\"x product\"", "li class=\"x shop\"")))).select("page_id", "pos", "adapter", "title", "url", "img", "price", "sku"),
     """WITH q AS (SELECT *, CAST(10000 + p_partkey AS VARCHAR) AS k FROM part), r AS (
       SELECT p_partkey AS page_id, 1 AS pos, 'generic-cards' AS adapter, p_name || ' ' || k AS title, 'https://demo.shop/d/' || k AS url, 'https://demo.shop/i.jpg' AS img, '1.' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || ',50 €' AS price, k AS sku FROM q WHERE p_partkey % 4 = 0
       UNION ALL SELECT p_partkey, 2, 'generic-cards', 'T ' || k, 'https://demo.shop/list/e', '', '9,50 €', 'M-' || k FROM q WHERE p_partkey % 4 = 0
@@ -58,7 +58,7 @@ MIXED = """SELECT p_partkey AS page_id, 'https://demo.shop/list' AS url, CASE p_
   WHEN 1 THEN '<h1>D ' || k || '</h1><b itemprop="price" content="3.00"></b><i itemprop="sku">S' || k || '</i>'
   WHEN 2 THEN '<ul><li><img src="/q.png" alt="Q ' || k || '"></li></ul>' ELSE '' END AS html FROM (SELECT *, CAST(1000 + p_partkey AS STRING) AS k FROM {part}) q"""
 add(
-    "g16_extract_ladder", lambda s, d: listing.extract_list(view(s, d, MIXED)).select("page_id", "pos", "adapter_used", "title"),
+    "g16_extract_ladder", lambda s, d: listing.extract_list(spread(view(s, d, MIXED))).select("page_id", "pos", "adapter_used", "title"),
     """SELECT p_partkey AS page_id, CAST(n AS INTEGER) AS pos, ['template', 'universal', 'generic-legacy'][p_partkey % 4 + 1] AS adapter_used,
       CASE p_partkey % 4 WHEN 0 THEN ['A 1001', 'B 1002', 'C ' || (1000 + p_partkey)][n] WHEN 1 THEN 'D ' || (1000 + p_partkey) ELSE 'Q ' || (1000 + p_partkey) END AS title
       FROM part, range(1, 4) r(n) WHERE p_partkey % 4 = 0 OR (p_partkey % 4 < 3 AND n = 1)""",
@@ -88,6 +88,16 @@ add(
     "s05_decoded_bytes", lambda s, d: view(s, d, BYTES).select("p_partkey", inputs.decode_bytes(c("b"), c("n")).alias("text")),
     "SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN '价格' || p_name WHEN 3 THEN 'ÿaéÿ' ELSE p_name || ' é' END AS text FROM part",
 )
+#: Documents as bytes of four charsets, three of which nothing declares.
+RAW = """SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN encode(coalesce(text, ''), 'UTF-8') WHEN 1 THEN encode(coalesce(text, ''), 'ISO-8859-1') WHEN 2 THEN encode(coalesce(text, ''), 'UTF-16LE')
+  ELSE encode(coalesce(text, ''), 'UTF-16') END AS body FROM {documents}"""
+add(
+    "s05_detected_charset", lambda s, d: view(s, d, RAW).select("doc_id", charsets.detect_charset(c("body"))["charset"].alias("charset"), charsets.page_text(c("body")).alias("t")).select("doc_id", "charset", F.length("t").alias("n"), F.sha2(F.encode("t", "UTF-8"), 256).alias("h")),
+    r"""WITH r AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    l AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN regexp_replace(t, '[^\x00-\x{FF}]', '?', 'g') ELSE t END AS t FROM r)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 'utf-16be' WHEN t = '' THEN 'ascii' WHEN doc_id % 4 = 2 THEN 'utf-16le' WHEN NOT regexp_matches(t, '[^\x00-\x7F]') THEN 'ascii' WHEN doc_id % 4 = 0 THEN 'utf-8' ELSE 'windows-1252' END AS charset,
+      CAST(length(CASE WHEN doc_id % 4 = 3 THEN chr(65279) || t ELSE t END) AS INTEGER) AS n, sha256(CASE WHEN doc_id % 4 = 3 THEN chr(65279) || t ELSE t END) AS h FROM l""",
+)
 RULESETS = [("none", None), ("bad", "{'a'"), ("list", "[1]"), ("good", '{"defaults": {"baseConfidence": 0.9}, "rules": [{"ruleId": "A", "enabled": true, "when": {"op": "exists", "path": "$.x"}}]}')]
 
 

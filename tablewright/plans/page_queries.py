@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.html import html_nodes
 from tablewright.functions.prices import NEAR_PRICE
 from tablewright.operators import classify as k
-from tablewright.operators import relational
+from tablewright.operators import relational, twig
 from tablewright.plans.base import TITLES, duck, table, view
 
 QUERIES: dict = {}
@@ -181,3 +182,30 @@ p AS (SELECT sample_id, pos, family_id, 0.6::DOUBLE * len(list_intersect(st, ft)
 SELECT sample_id, CASE WHEN score > 0 THEN family_id ELSE 'UNKNOWN' END AS family_id, round(score, 3) AS score FROM p
 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, pos) = 1
 """
+
+# Selectors with structure that shops' pages are read by.
+SHOP_SELECTORS = {
+    "list_items": "#productlist ul > li", "shop_list": "ul.products li.product", "any_items": "ul li", "picture_links": "a[href] img", "pictures": "picture source[srcset], picture source[data-srcset]",
+    "gallery": ".product-media img, .gallery img, img", "product_images": "img#productImage, .product-image img, .product-slider img, picture img", "titles": ".product-item-link, .product.name a, .product-item-name, h2, h3",
+    "amounts": ".price .amount,.price", "boxes": ".product--box, .product--listing .product--box", "info_price": ".product-info .price, .price", "last_crumb": ".breadcrumb li:last, .breadcrumbs li:last, nav[aria-label=\"breadcrumb\"] li:last",
+    "pager": ".pagination a[href], nav.pagination a[href], .page-numbers a[href], .pager a[href]", "blocks": "body > *", "labelled": "*:contains(\"Artikel-Nr\")", "sku_entry": "li.base-info--entry.entry--sku",
+    "content": "#nx_content .listproduct-wrapper .listproduct",
+}
+
+#: Selectors with structure, and what they mean on the given pages (a nav, an advert, an article of a heading and paragraphs, a footer).
+STRUCTURED = {
+    "nav_links": "nav ul > li a[href]", "paragraphs": "article > p", "bold": "article p b", "blocks": "body > *", "last_item": "nav li:last", "lead": "h1 + p", "after_title": "h1 ~ p",
+    "first_item": "ul > li:first-child", "next_paragraphs": "p + p, nav + p", "no_links": "footer > a, article nav", "third": "article > p:eq(2)", "plain": "body > div:not(.ad), body > footer",
+}
+QUERIES["g01_twig_join"] = lambda spark, d: twig.find(html_nodes(table(spark, d, "pages")), STRUCTURED, in_order=True).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+SQL["g01_twig_join"] = r"""
+WITH s AS (SELECT page_id, html, regexp_extract(html, '(?s)<article.*?</article>') AS a, regexp_extract(html, '(?s)<nav.*?</nav>') AS v FROM pages),
+n AS (SELECT page_id, len(regexp_extract_all(v, '<a ')) AS l, len(regexp_extract_all(a, '<p[ >]')) AS p, len(regexp_extract_all(a, '<b>')) AS b,
+  len(regexp_extract_all(html, '<(?:nav|div|article|footer)[ >]')) AS k, len(regexp_extract_all(html, '<footer[ >]')) AS f FROM s),
+r(page_id, name, n) AS (
+  SELECT page_id, 'nav_links', l FROM n UNION ALL SELECT page_id, 'paragraphs', p FROM n UNION ALL SELECT page_id, 'bold', b FROM n UNION ALL SELECT page_id, 'blocks', k FROM n
+  UNION ALL SELECT page_id, 'last_item', least(l, 1) FROM n UNION ALL SELECT page_id, 'lead', least(p, 1) FROM n UNION ALL SELECT page_id, 'after_title', p FROM n
+  UNION ALL SELECT page_id, 'first_item', least(l, 1) FROM n UNION ALL SELECT page_id, 'next_paragraphs', greatest(p - 1, 0) FROM n
+  UNION ALL SELECT page_id, 'third', CASE WHEN p > 2 THEN 1 ELSE 0 END FROM n UNION ALL SELECT page_id, 'plain', f FROM n)
+SELECT * FROM r WHERE n > 0
+"""
