@@ -6,7 +6,8 @@ exact cosine come from an inverted index with block maxima: blocks of examples a
 until no block left can reach the worst neighbour. The neighbours vote with their cosines; an isotonic curve, fitted on
 the examples with each left out in turn, makes the vote a probability. Nothing but the text enters a score.
 
-The classifier is fitted on at most SAMPLE labelled rows, chosen by hash; their whole texts count.
+The classifier is fitted on labelled rows in order of their hash: at most SAMPLE of them, and only those that fit in
+what is left of POSTINGS distinct words; their whole texts count. So the model, which the driver makes and each task holds, has a size that no corpus changes.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from tablewright.llm.shared import partitions, written
 
 SAMPLE = 4_000
+#: Distinct words of all examples together: 24 bytes each in the index, some 150 MB on the driver while it is made.
+POSTINGS = 2_500_000
 NEIGHBOURS, BLOCK, PRIOR = 16, 64, 0.5
 #: The toxic share that is assumed where nothing is labelled.
 PRIOR_RATE = 0.1
@@ -191,20 +195,25 @@ class Model:
         if len(votes):
             self.knots, self.values = isotonic(np.concatenate(([0.0], votes, [1.0])), np.concatenate(([0.0], toxic, [1.0])))
 
-    def score(self, text: str | None, evidence: bool = True) -> tuple[float, list[tuple]]:
-        """Probability of the label, and its evidence: (example's doc_id, cosine, label), nearest first."""
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Probability of the label, and its evidence: the neighbours' places and cosines, nearest first."""
         places, cosines = self.index.nearest(*self.weights.vector(*counted(text)), NEIGHBOURS)
-        value = float(np.interp(self.index.vote(places, cosines, self.base), self.knots, self.values))
-        if not evidence:
-            return value, []
-        found = zip(self.index.example[places].tolist(), cosines.tolist(), self.index.toxic[places].tolist(), strict=True)
-        return value, [(self.ids[i], c, int(y)) for i, c, y in found]
+        return float(np.interp(self.index.vote(places, cosines, self.base), self.knots, self.values)), places, cosines
 
-    def scores(self, texts: list, evidence: bool = True) -> list[tuple[float, list[tuple]]]:
+    def scores(self, texts: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
         """As score; repeated texts are scored once."""
-        seen = {t: self.score(t, evidence) for t in set(texts)}
+        seen = {t: self.score(t) for t in set(texts)}
         return [seen[t] for t in texts]
 
+    def evidence(self, found: list[tuple[float, np.ndarray, np.ndarray]], own: pa.DataType) -> pa.Array:
+        """Arrays of (example's doc_id, cosine, label), one for each score."""
+        ends = np.cumsum([0, *(len(p) for _, p, _ in found)]).astype(np.int32)
+        places = np.concatenate([np.empty(0, np.int64), *(p for _, p, _ in found)])
+        cosines = np.concatenate([np.empty(0), *(c for _, _, c in found)])
+        ids = pa.array(self.ids, own).take(pa.array(self.index.example[places]))
+        rows = pa.StructArray.from_arrays([ids, pa.array(cosines), pa.array(self.index.toxic[places].astype(np.int32))], ["doc_id", "cosine", "toxic"])
+        return pa.ListArray.from_arrays(pa.array(ends), rows)
+
 
 def held_out(doc_id) -> F.Column:
     """True where crc32 of the doc_id as text leaves no remainder by 5."""
@@ -231,8 +240,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Callable[[], Model]:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("key", F.xxhash64("text"))
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, key long, terms array<long>, counts array<int>"
     single = rows.mapInPandas(vectors, kind).groupBy("doc_id").agg(F.min_by(F.struct("toxic", "terms", "counts"), "key").alias("e"))
-    examples = written(single.select("doc_id", "e.*"), "toxicity-examples").orderBy("doc_id")
-    # At most SAMPLE rows: the model itself.
+    every = written(single.select("doc_id", "e.*"), "toxicity-examples")
+    # At most SAMPLE rows: the examples' sizes, and then those of them that fit.
+    sizes = every.select("doc_id", F.size("terms").alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    left, fitting = POSTINGS, []
+    for r in sizes:
+        if r["n"] <= left:
+            fitting.append((r["doc_id"],))
+            left -= r["n"]
+    if len(fitting) < len(sizes):
+        chosen = docs.sparkSession.createDataFrame(fitting, every.select("doc_id").schema)
+        every = every.join(F.broadcast(chosen), "doc_id")
+    examples = every.orderBy("doc_id")
+    # The model itself.
     found = examples.toPandas()
     sizes = np.array([len(x) for x in found["terms"]], dtype=np.int64)
     flat = lambda c: np.concatenate([np.empty(0, np.int64), *found[c]])
@@ -262,8 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Callable[[], Model]:
     return calibrated
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataFrame:
-    """doc_id, held_out, score, predicted, and evidence array<struct<doc_id, cosine, toxic>> if asked for, for each row of docs.
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, and evidence array<struct<doc_id, cosine, toxic>>, the nearest examples, for each row of docs.
 
     docs has doc_id and text, labels has doc_id and toxic; other columns are ignored. A null text is
     empty; a text without words gets the rate of the label. Repeated rows get equal results, and so do rows
@@ -271,20 +291,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, evidence: bool = True) -> DataF
     usable labels every score is PRIOR_RATE, so that nothing is predicted to be toxic. An empty table gives an empty result.
     """
     model = fit(docs, labels)
+    own = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            scored = model().scores(part["text"].tolist(), evidence)
-            out = part[["doc_id", "held_out"]].assign(score=[s for s, _ in scored])
-            out["predicted"] = (out["score"] >= 0.5).astype(np.int32)
-            if evidence:
-                out["evidence"] = [[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e] for _, e in scored]
-            yield out
+            fitted, column = model(), lambda name, part=part: part.column(part.schema.get_field_index(name))
+            found = fitted.scores(column("text").to_pylist())
+            score = np.array([s for s, _, _ in found], dtype=np.float64)
+            ids = column("doc_id")
+            columns = [ids, column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), fitted.evidence(found, ids.type)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    own = docs.schema["doc_id"].dataType.simpleString()
-    kind = f"doc_id {own}, held_out boolean, score double, predicted int"
-    kind += f", evidence array<struct<doc_id: {own}, cosine: double, toxic: int>>" if evidence else ""
-    return docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInPandas(run, kind)
+    kind = f"doc_id {own}, held_out boolean, score double, predicted int, evidence array<struct<doc_id: {own}, cosine: double, toxic: int>>"
+    return docs.select("doc_id", held_out("doc_id").alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, kind)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -293,6 +312,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([s for s, _ in model().scores(texts.tolist(), False)], dtype="float64")
+        return pd.Series([s for s, _, _ in model().scores(texts.tolist())], dtype="float64")
 
     return docs.filter(score("text") < 0.5)

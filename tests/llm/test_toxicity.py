@@ -94,6 +94,32 @@ def test_whole_query_against_brute_force(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_query_is_the_operator(spark):
+    from tablewright.llm import q10
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{x}.parquet") for x in ("documents", "labels"))
+    by = lambda df: sorted((r.doc_id, r.held_out, r.score, r.predicted, [tuple(e) for e in r.evidence]) for r in df.collect())
+    assert by(q10.op10_toxicity(spark, "/root/testdata/sf0.001")) == by(t.toxicity(docs, labels))
+
+
+def test_model_is_bounded_by_postings(spark, monkeypatch):
+    rows = [(i, " ".join(f"{w}{chr(97 + i % 26)}" for w in ("aa", "bb", "cc")), i % 2) for i in range(200)] + [(500, " ".join("x" * k for k in range(1, 400)), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    monkeypatch.setattr(t, "POSTINGS", 90)
+    model = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))()
+    # Thirty short texts fit, the long one does not.
+    assert len(model.ids) == 30 and 500 not in model.ids
+    out = t.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()
+    assert len(out) == 201 and {e.doc_id for r in out for e in r.evidence} <= set(model.ids)
+
+
+def test_equal_scores_at_the_threshold():
+    # A probability of exactly a half counts as toxic.
+    model = t.Model([1, 2], np.array([1.0, 0.0]), np.array([1, 1]), np.array([5, 5]), np.array([1, 1]))
+    model.calibrate(np.array([0.4, 0.6]), np.array([1.0, 0.0]))
+    assert np.interp(0.5, model.knots, model.values) == 0.5
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
