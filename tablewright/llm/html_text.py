@@ -6,8 +6,9 @@ then says which container is taken from each of its pages; where a page has seve
 around all of them is meant, so that no part is lost. A page without such a container, or a page whose url has no
 host, uses its own best one.
 
-Words in classes and ids mark what is not the article, unless that leaves no running text: then the page is read again, and only
-the words that never mark an article count.
+A class or id marks what is not the article if it names nothing else: `related-posts` does, `related-work` does not. Marks count on containers
+and lists, never on headings, paragraphs and what is inside a line. Some words (a discussion, what is related) mark a part only if it is short or full of links;
+such a part has no vote. If marks leave no running text, the page is read again, and only the words that never mark an article count.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ _BLOCKS = set(
 _HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = set("article body center div main section table tbody td".split())
 _SKIPPED_TAGS = set(
-    "aside button canvas datalist dialog footer form head iframe input label math menu nav noscript object script select style svg "
+    "aside button canvas datalist dialog footer form head iframe input label menu nav noscript object script select style svg "
     "template textarea title noembed noframes".split()
 )
 _SKIPPED_ROLES = set("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -61,10 +62,23 @@ _ALWAYS_SKIPPED = set(
     "ad ads adbox adslot advert advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr menu modal nav "
     "navbar navigation newsletter outbrain pager pagination popup replies reply respond share sharing sponsor sponsored taboola".split()
 )
+#: Words that mark a part only where it has little running text or many links.
+_DOUBTFUL = set("discussion recommended related search share skip tags teaser".split())
+#: Words that say nothing of their own: with a mark beside them a name is still that mark.
+_PLAIN_WORDS = set(
+    "area areas article articles aside b bar block blocks body bottom box boxes btn button buttons c cell center col column container content desktop div element entry feed "
+    "fixed foot form full g global group head heading holder icon icons id img inner is item items js l large layout left lg line link links list listing logo m main md media "
+    "message meta mobile module news o outer overlay page panel post posts primary right row s secondary section sections short site slot small sm sticky stories story strip text "
+    "thread title tool tools top u ui unit view wide widget wp wrap wrapper x xl xs zone".split()
+)
+#: Elements that class words can mark.
+_MARKABLE = set("article center details div dl fieldset figure li main menu ol section table ul".split())
 #: Words of article and main elements that mark what is not the article.
 _SKIPPED_ARTICLES = set("comment comments reply teaser related ad advert sponsored promo".split())
-#: A block is running text from so many characters; a page is read again if that finds so many characters of it.
+#: A block is running text from so many characters; a page is read again, and a doubtful part kept, for so many characters of it.
 RUNNING, RESCUED = 25, 200
+#: A doubtful part is dropped if more than this share of its characters is in links.
+LINKED = 0.25
 #: An open element that an opening tag ends, and the elements beyond which it is not sought.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -84,21 +98,33 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _words(value: str) -> set[str]:
-    return set(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()))
+def _marks(value: str) -> set[str]:
+    """The marks of a class or id value: the words of those of its names that have no other words beside them."""
+    out: set[str] = set()
+    for name in value.split():
+        words = {w for w in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()}
+        hit = words & _SKIPPED_WORDS
+        if hit and not words - hit - _PLAIN_WORDS:
+            out |= hit
+    return out
 
 
-def _is_skipped(tag: str, at: dict[str, str], marks: set[str]) -> bool:
+def _is_skipped(tag: str, at: dict[str, str], marks: set[str]) -> tuple[bool, bool]:
+    """Whether an element is not the article, and whether it is doubtful."""
     if tag in _SKIPPED_TAGS:
-        return True
+        return True, False
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or "display:none" in at.get("style", "").replace(" ", "").lower():
-        return True
+        return True, False
     if tag in ("html", "body"):
-        return False
+        return False, False
     if at.get("role", "").lower() in _SKIPPED_ROLES:
-        return True
-    words = _words(at.get("class", "")) | _words(at.get("id", ""))
-    return bool(words & marks & _SKIPPED_ARTICLES if tag in ("article", "main") else words & marks)
+        return True, False
+    if tag not in _MARKABLE or not ("class" in at or "id" in at):
+        return False, False
+    found = (_marks(at.get("class", "")) | _marks(at.get("id", ""))) & marks
+    if tag in ("article", "main"):
+        return bool(found & _SKIPPED_ARTICLES), False
+    return bool(found - _DOUBTFUL), bool(found)
 
 
 def _label(tag: str, at: dict[str, str]) -> str:
@@ -109,28 +135,34 @@ def _label(tag: str, at: dict[str, str]) -> str:
 class Page:
     """Blocks of text of one page, with the containers they are in.
 
-    blocks: (text, characters in links, container, in a header). containers: (parent, path, tag);
+    blocks: (text, characters in links, container, in a doubtful part). containers: (parent, path, tag);
     0 is the page itself.
     """
 
     def __init__(self, source: str | None) -> None:
         self.blocks, self.containers = self._read(source or "", _SKIPPED_WORDS)
+        if not self.running():
+            # Nothing beside the doubtful parts: they vote after all.
+            self.blocks = [(text, linked, c, False) for text, linked, c, _ in self.blocks]
         if not self.running():
             first = self.blocks, self.containers
             self.blocks, self.containers = self._read(source or "", _ALWAYS_SKIPPED)
+            self.blocks = [(text, linked, c, False) for text, linked, c, _ in self.blocks]
             if self.running() < RESCUED:
                 self.blocks, self.containers = first
 
     def running(self) -> int:
-        """Characters of running text outside links."""
-        return sum(len(text) - linked for text, linked, _, _ in self.blocks if len(text) >= RUNNING)
+        """Characters of running text outside links and doubtful parts."""
+        return sum(len(text) - linked for text, linked, _, doubtful in self.blocks if len(text) >= RUNNING and not doubtful)
 
     @staticmethod
     def _read(source: str, marks: set[str]) -> tuple[list[tuple[str, int, int, bool]], list[tuple[int, str, str]]]:
-        blocks: list[tuple[str, int, int, bool]] = []
+        blocks: list[tuple[str, int, int, int]] = []
         containers: list[tuple[int, str, str]] = [(-1, "", "")]
-        # An open element: tag, skipped, container, path, in a link, in a header, in a heading.
-        stack = [("", False, 0, "", False, False, False)]
+        #: Doubtful parts: the one around it, characters of running text outside links, characters in links, characters.
+        parts: list[list[int]] = [[-1, 0, 0, 0]]
+        # An open element: tag, skipped, container, path, in a link, in a header, in a heading, doubtful part.
+        stack = [("", False, 0, "", False, False, False, 0)]
         opened: Counter = Counter()
         text: list[str] = []
         linked = at = 0
@@ -142,7 +174,7 @@ class Page:
                 if joined:
                     top = stack[-1]
                     if not top[5] or top[6]:
-                        blocks.append((joined, min(linked, len(joined)), top[2], top[5]))
+                        blocks.append((joined, min(linked, len(joined)), top[2], top[7]))
                 text.clear()
             linked = 0
 
@@ -208,7 +240,11 @@ class Page:
                 continue
             over = stack[-1]
             found = _attributes(m[3]) if m[3].strip() else {}
-            skipped = over[1] or _is_skipped(tag, found, marks)
+            skipped, doubtful = (True, False) if over[1] else _is_skipped(tag, found, marks)
+            part = over[7]
+            if doubtful and not skipped:
+                parts.append([part, 0, 0, 0])
+                part = len(parts) - 1
             if tag in _RAW:
                 end = _RAW[tag].search(source, at)
                 at = end.end() if end else len(source)
@@ -225,15 +261,30 @@ class Page:
                 # What stands before a skipped element is told apart from what follows it by a space.
                 text.append(" ")
             opened[tag] += 1
-            stack.append((tag, skipped, container, path, over[4] or tag == "a", in_header, over[6] or tag in _HEADINGS))
+            stack.append((tag, skipped, container, path, over[4] or tag == "a", in_header, over[6] or tag in _HEADINGS, part))
         flush()
-        return blocks, containers
+        return Page._settled(blocks, parts), containers
+
+    @staticmethod
+    def _settled(blocks: list[tuple[str, int, int, int]], parts: list[list[int]]) -> list[tuple[str, int, int, bool]]:
+        """Blocks without those of doubtful parts that have little running text or many links."""
+        for text, linked, _, part in blocks:
+            parts[part][1] += len(text) - linked if len(text) >= RUNNING else 0
+            parts[part][2] += linked
+            parts[part][3] += len(text)
+        for part in reversed(parts[1:]):
+            for k in (1, 2, 3):
+                parts[part[0]][k] += part[k]
+        kept = [True]
+        for around, running, linked, size in parts[1:]:
+            kept.append(kept[around] and running >= RESCUED and linked <= LINKED * size)
+        return [(text, linked, c, part > 0) for text, linked, c, part in blocks if kept[part]]
 
     def scores(self) -> list[float]:
         """Characters outside links of each container's own blocks, and half of those one container below."""
         out = [0.0] * len(self.containers)
-        for text, linked, c, _ in self.blocks:
-            value = float(len(text) - linked) if len(text) >= RUNNING else 0.0
+        for text, linked, c, doubtful in self.blocks:
+            value = float(len(text) - linked) if len(text) >= RUNNING and not doubtful else 0.0
             out[c] += value
             if self.containers[c][0] >= 0:
                 out[self.containers[c][0]] += value / 2
