@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from tablewright.functions.text import clean_text, contains_any, selector_tokens
 from tablewright.functions.urls import host, origin, same_origin
 from tablewright.operators.relational import once
+from tablewright.session import written
 
 # Signals of commerce platforms, pages and links.
 PLATFORM_SIGNALS = {
@@ -179,38 +180,48 @@ def anchors(pages: DataFrame) -> DataFrame:
 
 
 def predict_family(samples: DataFrame, families: DataFrame) -> DataFrame:
-    """sample_id, family_id, score: the family nearest by selector tokens (0.6) and fields (0.4).
+    """sample_id, family_id, score: the family nearest by selector tokens (0.6) and fields (0.4), both by Jaccard.
 
-    samples: sample_id, selector, fields; families: pos, family_id, selector, fields. Families are a small
-    dimension whose rows are gathered into one array of at most 10,000; the first of equal scores wins; UNKNOWN if
-    no score is above zero.
+    samples: sample_id, selector, fields; families: pos, family_id, selector, fields, any number of both. The first of equal scores (by pos) wins;
+    UNKNOWN if no score is above zero. Samples that repeat a sample_id are one, with the tokens and fields of all.
+
+    A set-similarity join on tokens: a pair can only score if it shares a token or a field. Families of equal tokens and fields are one class, and so are
+    samples. A class's tokens in order of their rarity give its prefix: with a score already reached through a rare token, a pair that shares only commoner ones
+    cannot do better, so that each sample asks the postings of a common token only while its bound allows. The first pass joins each sample's rarest shared tokens; the
+    second asks the rest only for tokens whose bound is above what the first found.
     """
-    known = families.orderBy("pos").limit(10_001).collect()
-    if len(known) > 10_000:
-        raise ValueError("families are a small dimension: at most 10,000")
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(r.family_id).alias("family_id"), F.lit(-i).alias("order"),
-                selector_tokens(F.lit(r.selector)).alias("tokens"), F.array(*map(F.lit, r.fields)).cast("array<string>").alias("fields"),
-            )
-            for i, r in enumerate(known)
-        ]
-    )
+    known = families.select("pos", "family_id", F.array_sort(F.array_distinct(selector_tokens(F.col("selector")))).alias("t"), F.array_sort(F.array_distinct(_strings("fields"))).alias("f"))
+    family = written(known.groupBy("t", "f").agg(F.min(F.struct("pos", "family_id")).alias("first")).withColumn("family", F.monotonically_increasing_id()), "family-classes")
+    own = samples.select("sample_id", selector_tokens(F.col("selector")).alias("t"), _strings("fields").alias("f"))
+    by_id = own.groupBy("sample_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("t"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("f"))
+    asked = written(by_id.groupBy("t", "f").count().select("t", "f").withColumn("sample", F.monotonically_increasing_id()), "sample-classes")
+    marks = lambda df, key: df.select(key, "t", "f", F.explode(F.concat(F.transform("t", lambda x: F.struct(F.lit(0).alias("kind"), x.alias("token"))), F.transform("f", lambda x: F.struct(F.lit(1).alias("kind"), x.alias("token"))))).alias("m")).select(key, "t", "f", "m.*")
+    postings = marks(family, "family").select("family", "kind", "token", F.col("t").alias("ft"), F.col("f").alias("ff"))
+    # How many families have a token: a token of none is asked of none.
+    sizes = postings.groupBy("kind", "token").agg(F.count("*").alias("n"))
+    wanted = marks(asked, "sample").join(sizes, ["kind", "token"]).withColumn("rank", F.row_number().over(W.partitionBy("sample").orderBy("n", "kind", "token")))
+    wanted = written(wanted, "family-asks")
     jaccard = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
-    tokens = selector_tokens(F.col("selector"))
-    scored = F.transform(
-        rows,
-        lambda f: F.struct(
-            (0.6 * jaccard(tokens, f["tokens"]) + 0.4 * jaccard(F.col("fields"), f["fields"])).alias("score"),
-            f["order"].alias("order"), f["family_id"].alias("family_id"),
-        ),
-    )
-    best = samples.select("sample_id", F.array_max(scored).alias("b"))
-    hit = F.col("b.score") > 0
-    return best.select(
-        "sample_id", F.when(hit, F.col("b.family_id")).otherwise("UNKNOWN").alias("family_id"), F.when(hit, F.round("b.score", 3)).otherwise(0.0).alias("score")
-    )
+    score = 0.6 * jaccard(F.col("t"), F.col("ft")) + 0.4 * jaccard(F.col("f"), F.col("ff"))
+
+    def best(asks: DataFrame) -> DataFrame:
+        met = asks.join(postings, ["kind", "token"]).select("sample", "family", score.alias("score"))
+        return met.join(family.select("family", "first"), "family").groupBy("sample").agg(F.max(F.struct("score", (-F.col("first.pos")).alias("order"), F.col("first.family_id").alias("family_id"))).alias("b"))
+
+    rare = written(best(wanted.filter("rank <= 2")), "family-rare")
+    # Of the tokens from this rank on a pair can share at most those that are left: their shares of the sample's sets bound its score.
+    after = W.partitionBy("sample").orderBy("rank").rowsBetween(0, W.unboundedFollowing)
+    shared = lambda kind, size: F.sum((F.col("kind") == kind).cast("int")).over(after) / F.greatest(F.size(size), F.lit(1))
+    bound = 0.6 * shared(0, "t") + 0.4 * shared(1, "f")
+    rest = wanted.withColumn("bound", bound).filter("rank > 2").join(rare.select("sample", F.col("b.score").alias("reached")), "sample", "left").filter("bound >= coalesce(reached, 0.0) - 1e-9")
+    every = rare.unionByName(best(rest.drop("bound", "reached"))).groupBy("sample").agg(F.max("b").alias("b"))
+    named = by_id.join(asked, ["t", "f"]).select("sample_id", "sample").join(every, "sample", "left")
+    hit = F.coalesce(F.col("b.score") > 0, F.lit(False))
+    return named.select("sample_id", F.when(hit, F.col("b.family_id")).otherwise("UNKNOWN").alias("family_id"), F.when(hit, F.round("b.score", 3)).otherwise(0.0).alias("score"))
+
+
+def _strings(name: str) -> Column:
+    return F.coalesce(F.array_compact(F.col(name).cast("array<string>")), F.array().cast("array<string>"))
 
 
 def deep_anchors(pages: DataFrame, price: str, limit: int = 200, least: int = 1) -> DataFrame:

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.urls import page_number
-from tablewright.session import shared_dir
+from tablewright.functions.html import html_nodes
+from tablewright.functions.urls import absolutize, page_number
+from tablewright.operators import twig
+from tablewright.session import shared_dir, written
+
+# Pagers, the marks of their current page, and what a link to the next page says at its end.
+PAGERS = [".pagination", ".pager", ".page", ".paging", ".nav-pages", "nav[aria-label*=Pagination i]", 'ul[role="presentation"]']
+CURRENT = ".pagination .active a, .pagination li.active a, .pager .active a, .page .active a, .paging .active a"
+NEXT_TEXT = r"(?iu)(next|weiter|nächste|nächster|more|次へ|下一页|下一頁|下ー步|后页|»|›|»»|››)\z"
+PAGE_KEYS = ("page", "p")
 
 
 def walk(starts: DataFrame, links: DataFrame, max_pages: int = 50) -> DataFrame:
@@ -34,6 +42,46 @@ def next_link(html: Column) -> Column:
     return F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit("")), F.lit(""))
 
 
+def next_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, next_url, rung: each page's next one by the first rung that names it, '' and 0 if none does.
+
+    1: a link marked rel=next. 2: the first link in a pager whose text ends as such links do. 3: the link in a pager whose number follows that of the marked page.
+    4: the url's own page or p parameter, one higher. pages has page_id, url and html. A page's nodes are read in one pass for the first three rungs.
+    """
+    # Of each rung the first link decides, also if it leads nowhere.
+    text, href = F.trim(F.coalesce("text", F.lit(""))), F.coalesce(F.col("attrs")["href"], F.lit(""))
+    inside = ", ".join(f"{p} a" for p in PAGERS)
+    digits = lambda c: F.regexp_extract(c, r"^\s*([0-9]{1,9})", 1).try_cast("int")
+    nodes = html_nodes(pages).filter("tag = 'a' OR attrs['class'] IS NOT NULL OR attrs['aria-label'] IS NOT NULL OR attrs['role'] IS NOT NULL")
+    roles = {"page": {"rel": ["a[rel=next]"], "said": [inside], "current": [CURRENT]}}
+    values = {"rel": href, "said": F.when(text.rlike(NEXT_TEXT), href), "current": text}
+    found = twig.fields(nodes, {"page": None}, roles, values, in_order=True)
+    found = written(found.select("page_id", *[F.coalesce(F.col("found")[r], F.lit("")).alias(r) for r in roles["page"]]), "pager-fields")
+    # Only pages that the third rung decides look at the numbers in their pagers.
+    asked = found.filter("rel = '' AND said = ''").select("page_id", (digits(F.col("current")) + 1).alias("wanted")).filter("wanted > 1")
+    some = html_nodes(pages.join(asked, "page_id", "left_semi"))
+    listed = twig.find(some, {"pager": inside}).select("page_id", "node")
+    links = some.filter("tag = 'a'").select("page_id", "node", digits(text).alias("n"), href.alias("href"))
+    numbered = links.join(listed, ["page_id", "node"]).join(asked, "page_id").filter("n = wanted").groupBy("page_id").agg(F.min_by("href", "node").alias("numbered"))
+    known = pages.select("page_id", "url").join(found, "page_id", "left").join(numbered, "page_id", "left")
+    url = F.coalesce("url", F.lit(""))
+    by_key = [F.regexp_extract(url, rf"[?&]{k}=0*([1-9][0-9]{{0,8}})", 1).alias(k) for k in PAGE_KEYS]
+    known = known.select("page_id", "url", *[F.coalesce(c, F.lit("")).alias(c) for c in ("rel", "said", "numbered")], *by_key)
+    guess = F.lit("")
+    for k in reversed(PAGE_KEYS):
+        raised = F.concat(F.regexp_extract(url, rf"^(.*?[?&]{k}=)[0-9]", 1), (F.col(k).cast("int") + 1).cast("string"), F.regexp_extract(url, rf"^.*?[?&]{k}=[0-9]+(.*)$", 1))
+        guess = F.when(F.col(k) != "", raised).otherwise(guess)
+    rung = F.when(F.col("rel") != "", 1).when(F.col("said") != "", 2).when(F.col("numbered") != "", 3).when(guess != "", 4).otherwise(0)
+    link = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("rel", "said", "numbered")])
+    return known.select("page_id", "url", F.when(rung == 0, "").when(rung == 4, guess).otherwise(absolutize(link, F.col("url"))).alias("next_url"), rung.alias("rung"))
+
+
+def page_walk(pages: DataFrame, starts: DataFrame, max_pages: int = 50) -> DataFrame:
+    """start, depth, page: from each start url (page) along the pages' own next links. Each page is read once, however many starts lead to it."""
+    links = written(next_pages(pages).select(F.col("url").alias("page"), F.nullif("next_url", F.lit("")).alias("next")).filter("next IS NOT NULL").distinct(), "next-links")
+    return walk(starts, links, max_pages)
+
+
 def next_page_url(url: Column) -> Column:
     """The url with its page number one higher; with ?page=2 added where it has none."""
     n = (page_number(url) + 1).cast("string")

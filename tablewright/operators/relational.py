@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -34,16 +36,32 @@ def keep_first(df: DataFrame, keys: list, order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
-def two_key_dedup(df: DataFrame, page: str, pos: str, url: Column, title: Column, limit: int = 200) -> DataFrame:
-    """Walk each page's rows in order; a row goes if its url, or its lower-case title, was kept before; at most `limit` of a page stay.
+#: Pages of up to so many different rows are walked in one pass; beyond, they are settled in rounds.
+PAGE_ROWS = 100_000
 
-    Rows without page, position, url or title go. Rows at one position are ordered by url and title; rows that repeat all of these are one.
-    A row that is the first of its url and of its title is kept, and what shares one of them with it goes; this repeats on the rest.
-    So a page's rows are spread by url and by title. Every round settles the first open row of each page, so that `limit` rounds suffice.
-    """
-    named = df.withColumns({"_p": F.col(page), "_o": F.col(pos), "_u": url, "_t": F.lower(F.trim(title))})
-    named = named.filter((F.coalesce("_u", F.lit("")) != "") & (F.coalesce("_t", F.lit("")) != "") & F.col("_p").isNotNull() & F.col("_o").isNotNull())
-    left = named.groupBy("_p", "_u", "_t").agg(F.min("_o").alias("_o"))
+
+def _walked(limit: int):
+    """Rows sorted by page and place to those that are kept; it holds the urls and titles of at most `limit` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, begun, urls, titles = None, False, set(), set()
+        for batch in batches:
+            kept = []
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_p", "_u", "_t")]
+            for i, (p, u, t) in enumerate(zip(*columns, strict=True)):
+                if not begun or p != page:
+                    page, begun, urls, titles = p, True, set(), set()
+                if len(urls) < limit and u not in urls and t not in titles:
+                    urls.add(u)
+                    titles.add(t)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def _rounds(left: DataFrame, limit: int) -> list[DataFrame]:
+    """The kept rows of large pages, a table a round: rows spread by url and by title, and every round settles the first open row of each page."""
     kept: list[DataFrame] = []
     place = F.struct("_o", "_u", "_t")
     for _ in range(limit):
@@ -56,9 +74,27 @@ def two_key_dedup(df: DataFrame, page: str, pos: str, url: Column, title: Column
             break
         kept.append(fresh)
         left = marked.filter("NOT _keep").drop("_keep").join(fresh.select("_p", "_u"), ["_p", "_u"], "left_anti").join(fresh.select("_p", "_t"), ["_p", "_t"], "left_anti")
-    if not kept:
-        return df.limit(0)
-    stay = row_index(reduce(DataFrame.unionByName, kept), ["_o", "_u", "_t"], ["_p"], "_n").filter(F.col("_n") <= limit)
+    return kept
+
+
+def two_key_dedup(df: DataFrame, page: str, pos: str, url: Column, title: Column, limit: int = 200, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Walk each page's rows in order; a row goes if its url, or its lower-case title, was kept before; at most `limit` of a page stay.
+
+    Rows without page, position, url or title go. Rows at one position are ordered by url and title; rows that repeat all of these are one.
+    Pages of up to page_rows different rows are walked in one sorted pass. Larger ones are not gathered in one task: a row that is the first of its url and
+    of its title is kept, and what shares one of them with it goes; this repeats on the rest, `limit` times at most. Both ways keep the same rows.
+    """
+    named = df.withColumns({"_p": F.col(page), "_o": F.col(pos), "_u": url, "_t": F.lower(F.trim(title))})
+    named = named.filter((F.coalesce("_u", F.lit("")) != "") & (F.coalesce("_t", F.lit("")) != "") & F.col("_p").isNotNull() & F.col("_o").isNotNull())
+    left = written(named.groupBy("_p", "_u", "_t").agg(F.min("_o").alias("_o")).select("_p", "_o", "_u", "_t"), "two-key-rows")
+    large = left.groupBy("_p").count().filter(F.col("count") > page_rows).select("_p")
+    some = not large.isEmpty()
+    small = left.join(large, "_p", "left_anti").select(left.columns) if some else left
+    walked = small.repartition("_p").sortWithinPartitions("_p", "_o", "_u", "_t").mapInArrow(_walked(limit), small.schema)
+    kept = [walked, *(_rounds(left.join(large, "_p", "left_semi").select(left.columns), limit) if some else [])]
+    stay = reduce(DataFrame.unionByName, kept)
+    if some:
+        stay = row_index(stay, ["_o", "_u", "_t"], ["_p"], "_n").filter(F.col("_n") <= limit)
     return named.join(stay.select("_p", "_o", "_u", "_t"), ["_p", "_o", "_u", "_t"], "left_semi").select(*df.columns)
 
 

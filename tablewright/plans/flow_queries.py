@@ -9,6 +9,7 @@ from tablewright.operators import extract as x
 from tablewright.operators import paging
 from tablewright.plans.base import TITLES, duck, spread, table, view
 from tablewright.streaming import diagnostics as t
+from tablewright.streaming import stateful
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -74,7 +75,17 @@ add(
     "t04_ring_buffer", lambda s, d: t.ring(table(s, d, "events"), "event_type", [F.desc("ts"), F.desc("event_id")]).select("event_type", "event_id"),
     "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500",
 )
-add("t05_sampled_keys", lambda s, d: t.sampled(table(s, d, "events"), "event_id", 1.0).groupBy("event_type").count(), "SELECT event_type, count(*) AS count FROM events GROUP BY event_type")
+#: CRC-32 of an ASCII text, bit by bit.
+CRC = """WITH bits AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) t(i)),
+c AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: xor(a >> 8, tab[1 + CAST(xor(a, b) & 255 AS INTEGER)])), 4294967295) AS crc FROM events, bits)"""
+add("t05_sampled_keys", lambda s, d: t.sampled(table(s, d, "events"), "event_id", 0.1).select("event_id", "user_id"), CRC + " SELECT event_id, user_id FROM c WHERE crc % 10000 < 1000")
+add(
+    "t14_request_pairs", lambda s, d: stateful.request_spans(table(s, d, "events").select(c("ts").cast("timestamp").alias("ts"), F.when(c("event_id") % 2 == 0, "http:req:start").otherwise("http:req:end").alias("tag"), F.floor(c("event_id") / 2).alias("req_id")), limit_ms=HOUR * 24 * 7).select("req_id", "span_ms", "status"),
+    """WITH e AS (SELECT event_id // 2 AS req_id, event_id % 2 AS o, ts FROM events)
+    SELECT s.req_id, epoch_us(f.ts) // 1000 - epoch_us(s.ts) // 1000 AS span_ms, CASE WHEN f.ts IS NULL THEN 'open' ELSE 'done' END AS status
+    FROM (SELECT * FROM e WHERE o = 0) s LEFT JOIN (SELECT * FROM e WHERE o = 1) f ON f.req_id = s.req_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 7 DAY""",
+)
 add(
     "t07_backoff", lambda s, d: s.createDataFrame([(i, w) for i, w in enumerate(t.backoff(5, 800))], "attempt int, wait_ms int"),
     "SELECT CAST(i AS INTEGER) AS attempt, CAST(800 * 2 ** i AS INTEGER) AS wait_ms FROM range(5) r(i)",
@@ -100,6 +111,22 @@ add(
       UNION ALL SELECT w.start, w.depth + 1, l.next, list_append(w.seen, l.next) FROM w JOIN l ON l.page = w.page WHERE l.next IS NOT NULL AND NOT list_contains(w.seen, l.next) AND w.depth < 6)
       SELECT start, depth, page FROM w""",
 )
+#: Lists of pages that name their next page by each rung: rel, text, number, and the url itself.
+PAGED = """SELECT p_partkey AS page_id, base || CASE p_partkey % 5 WHEN 3 THEN '?x=1&page=' || k ELSE '/' || k END AS url, CASE p_partkey % 5
+  WHEN 0 THEN '<a rel="prev" href="/x">x</a><a rel="next" href="/l0/' || n || '">go</a><div class="pager"><a href="/no">next</a></div>'
+  WHEN 1 THEN '<a href="/no">next</a><nav aria-label="Site pagination"><ul><li><a href="/no">1</a></li><li><a href="' || n || '">Nächste  »</a></li></ul></nav>'
+  WHEN 2 THEN '<ul class="pagination"><li><a href="/no">' || CAST(p_partkey - 5 AS STRING) || '</a></li><li class="active"><a>' || k || '</a></li><li><a href="/l2/' || n || '">' || CAST(p_partkey + 1 AS STRING) || ' </a></li></ul>'
+  WHEN 3 THEN '<p>no pager</p>' ELSE '<div class="pager"><a>next</a><a href="">more</a></div>' END AS html
+  FROM (SELECT p_partkey, 'https://p.example/l' || CAST(p_partkey % 5 AS STRING) AS base, CAST(p_partkey AS STRING) AS k, CAST(p_partkey + 5 AS STRING) AS n FROM {part}) q"""
+PAGED_SQL = """SELECT p_partkey AS page_id, 'https://p.example/l' || (p_partkey % 5) || CASE p_partkey % 5 WHEN 3 THEN '?x=1&page=' || p_partkey ELSE '/' || p_partkey END AS url,
+  CASE p_partkey % 5 WHEN 3 THEN 'https://p.example/l3?x=1&page=' || (p_partkey + 1) WHEN 4 THEN '' ELSE 'https://p.example/l' || (p_partkey % 5) || '/' || (p_partkey + 5) END AS next_url,
+  CAST([1, 2, 3, 4, 0][p_partkey % 5 + 1] AS INTEGER) AS rung FROM part"""
+add("u05_next_pages", lambda s, d: paging.next_pages(spread(view(s, d, PAGED))), PAGED_SQL)
+add(
+    "u05_own_links_walk", lambda s, d: paging.page_walk(spread(view(s, d, PAGED)), view(s, d, PAGED).filter("page_id <= 40").select(c("url").alias("page")), 6),
+    f"""WITH RECURSIVE l AS ({PAGED_SQL}), w AS (SELECT url AS start, 1 AS depth, url AS page FROM l WHERE page_id <= 40
+      UNION ALL SELECT w.start, w.depth + 1, l.next_url FROM w JOIN l ON l.url = w.page WHERE l.next_url <> '' AND w.depth < 6) SELECT * FROM w""",
+)
 add(
     "u06_candidate_pages", lambda s, d: paging.candidate_pages(view(s, d, TITLES).withColumn("g", c("p_partkey") % 7), "u", "g"),
     f"""WITH src AS ({duck(TITLES)}), g AS (SELECT p_partkey % 7 AS g, max(CASE p_partkey % 7 WHEN 3 THEN p_partkey % 40 WHEN 6 THEN p_partkey % 30 END) AS top, min(regexp_replace(u, '[?#].*$', '')) AS base FROM src GROUP BY 1)

@@ -12,6 +12,8 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from unicodedata import east_asian_width
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
@@ -79,22 +81,81 @@ def sheet(rows: Iterator[tuple], headers: list[str]) -> bytes:
     return out.getvalue()
 
 
+#: A4 across: width, height, margin, size of letters and lines, in points.
+WIDE, HIGH, EDGE, LETTER, LINE = 842, 595, 30, 8, 12
+
+
+def _escaped(text: bytes) -> bytes:
+    return text.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r")
+
+
+def _runs(text: str) -> Iterator[tuple[bool, str]]:
+    """Stretches of a text that the first font has (Windows-1252), and of what only the second has."""
+    for own, part in groupby(text, lambda ch: ch.encode("cp1252", "ignore") != b""):
+        yield own, "".join(part)
+
+
+def _width(ch: str) -> float:
+    """About how wide a character is, in points: half a letter's size, or all of it for wide scripts."""
+    return LETTER * (1.0 if east_asian_width(ch) in "WF" else 0.5)
+
+
+def _wrapped(text: str) -> list[str]:
+    """The lines that a text takes; none is wider than the page, and nothing is cut off."""
+    out, now, width = [], [], 0.0
+    for ch in "".join(" " if c in "\n\r\t" else c for c in text):
+        if width + _width(ch) > WIDE - 2 * EDGE:
+            out.append("".join(now))
+            now, width = [], 0.0
+        now.append(ch)
+        width += _width(ch)
+    return [*out, "".join(now)]
+
+
 def pdf(rows: Iterator[tuple], headers: list[str], per_page: int = 40) -> bytes:
-    """A PDF of text lines, per_page rows a page below the headers; characters beyond Latin-1 become '?'."""
-    lines = ["  |  ".join("" if v is None else str(v) for v in r) for r in rows]
+    """A PDF of text lines, per_page of them a page below the headers; rows wider than a page go on in the next line, and cells that hold a web address are links.
+
+    Text of Windows-1252 is set in Helvetica, all else (Chinese, say) as UTF-16 in the reader's own Song font, so that every character can be read back.
+    """
+    lines: list[tuple[str, str | None]] = []
+    for r in rows:
+        cells = ["" if v is None else str(v) for v in r]
+        link = next((c for c in cells if c.startswith(("http://", "https://"))), None)
+        lines += [(part, link) for part in _wrapped("  |  ".join(cells))]
     pages = [lines[a : a + per_page] for a in range(0, len(lines), per_page)] or [[]]
-    objects = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Count {len(pages)}/Kids[{' '.join(f'{4 + 2 * i} 0 R' for i in range(len(pages)))}]>>", "<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"]
-    for i, page in enumerate(pages):
-        text = "".join(f"({x.replace(chr(92), chr(92) * 2).replace('(', chr(92) + '(').replace(')', chr(92) + ')')})Tj T*\n" for x in ["  |  ".join(headers), *page])
-        objects.append(f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 842 595]/Resources<</Font<</F1 3 0 R>>>>/Contents {5 + 2 * i} 0 R>>")
-        stream = f"BT /F1 8 Tf 12 TL 30 565 Td\n{text}ET"
-        objects.append(f"<</Length {len(stream.encode('latin-1', 'replace'))}>>stream\n{stream}\nendstream")
-    out, places = b"%PDF-1.4\n", []
+    objects: list[bytes] = [
+        b"<</Type/Catalog/Pages 2 0 R>>", b"", b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>",
+        b"<</Type/Font/Subtype/Type0/BaseFont/STSong-Light/Encoding/UniGB-UTF16-H/DescendantFonts[5 0 R]>>",
+        b"<</Type/Font/Subtype/CIDFontType0/BaseFont/STSong-Light/CIDSystemInfo<</Registry(Adobe)/Ordering(GB1)/Supplement 4>>/FontDescriptor 6 0 R>>",
+        b"<</Type/FontDescriptor/FontName/STSong-Light/Flags 6/FontBBox[-25 -254 1000 880]/ItalicAngle 0/Ascent 880/Descent -120/CapHeight 880/StemV 93>>",
+    ]
+    kids = []
+    for page in pages:
+        text, links = [b"BT %d TL %d %d Td" % (LINE, EDGE, HIGH - EDGE)], []
+        for k, (line, link) in enumerate([("  |  ".join(headers), None), *page]):
+            for own, part in _runs(line):
+                shown = b"(%s)" % _escaped(part.encode("cp1252")) if own else b"<%s>" % part.encode("utf-16-be", "surrogatepass").hex().encode()
+                text.append(b"/F%d %d Tf %s Tj" % (1 if own else 2, LETTER, shown))
+            text.append(b"T*")
+            if link:
+                top = HIGH - EDGE - LINE * k + LETTER
+                links.append(b"<</Type/Annot/Subtype/Link/Border[0 0 0]/Rect[%d %d %d %d]/A<</S/URI/URI(%s)>>>>" % (EDGE, top - LINE, WIDE - EDGE, top, _escaped(link.encode("utf-8"))))
+        stream = b"\n".join([*text, b"ET"])
+        kids.append(len(objects) + 1)
+        more = b"/Annots[%s]" % b"".join(links) if links else b""
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 %d %d]/Resources<</Font<</F1 3 0 R/F2 4 0 R>>>>/Contents %d 0 R%s>>" % (WIDE, HIGH, len(objects) + 2, more))
+        objects.append(b"<</Length %d>>stream\n%s\nendstream" % (len(stream), stream))
+    objects[1] = b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(pages), b" ".join(b"%d 0 R" % k for k in kids))
+    out, places = io.BytesIO(), []
+    out.write(b"%PDF-1.4\n")
     for k, o in enumerate(objects, 1):
-        places.append(len(out))
-        out += f"{k} 0 obj{o}endobj\n".encode("latin-1", "replace")
-    table = "".join(f"{p:010d} 00000 n \n" for p in places)
-    return out + f"xref\n0 {len(objects) + 1}\n0000000000 65535 f \n{table}trailer<</Size {len(objects) + 1}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF".encode()
+        places.append(out.tell())
+        out.write(b"%d 0 obj%sendobj\n" % (k, o))
+    at = out.tell()
+    out.write(b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1))
+    out.write(b"".join(b"%010d 00000 n \n" % p for p in places))
+    out.write(b"trailer<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, at))
+    return out.getvalue()
 
 
 @dataclass

@@ -24,16 +24,19 @@ def test_two_key_dedup_equals_the_walk(spark, limit):
     pick = random.Random(limit)
     rows = [(pick.choice([1, 1, 1, 2, 3]), i, pick.choice(["", None, *"abcdefghijklmnopqrst"]), pick.choice(["", " ", None, *"ABCDEFghijklmnopqrstuvwxyzab"])) for i in range(400)]
     df = spark.createDataFrame(rows, "page int, pos int, url string, title string")
-    got = r.two_key_dedup(df, "page", "pos", F.col("url"), F.col("title"), limit).collect()
-    assert {(x.page, x.pos) for x in got} == walked([tuple("" if v is None else v for v in x) for x in rows], limit)
-    assert len(got) == len({(x.page, x.pos) for x in got})
+    # All pages in one pass, all in rounds, and some in either.
+    for page_rows in (10_000, 0, 90):
+        got = r.two_key_dedup(df, "page", "pos", F.col("url"), F.col("title"), limit, page_rows).collect()
+        assert {(x.page, x.pos) for x in got} == walked([tuple("" if v is None else v for v in x) for x in rows], limit)
+        assert len(got) == len({(x.page, x.pos) for x in got})
 
 
 def test_two_key_dedup_settles_chains(spark):
     """Each row shares its url with the one before it or its title with the next: every second one stays."""
     rows = [(1, i, f"u{(i + 1) // 2}", f"t{i // 2}") for i in range(16)]
     df = spark.createDataFrame(rows, "page int, pos int, url string, title string")
-    assert {x.pos for x in r.two_key_dedup(df, "page", "pos", F.col("url"), F.col("title")).collect()} == set(range(0, 16, 2))
+    for page_rows in (100, 3):
+        assert {x.pos for x in r.two_key_dedup(df, "page", "pos", F.col("url"), F.col("title"), page_rows=page_rows).collect()} == set(range(0, 16, 2))
     assert r.two_key_dedup(df.limit(0), "page", "pos", F.col("url"), F.col("title")).count() == 0
 
 

@@ -1,4 +1,5 @@
 import http.server
+import re
 import threading
 import zipfile
 from xml.etree import ElementTree
@@ -27,6 +28,33 @@ def test_xlsx_and_pdf_sinks(spark, tmp_path):
     assert data.startswith(b"%PDF-1.4") and data.endswith(b"%%EOF") and data.count(b"/Type/Page/") == 2
 
 
+def pdf_text(data):
+    """The text of a PDF's pages, line by line, and its links."""
+    out = []
+    for stream in re.findall(rb"stream\n(.*?)\nendstream", data, re.S):
+        for line in stream.split(b"T*")[:-1]:
+            text = ""
+            for font, plain, wide in re.findall(rb"/F(\d) \d+ Tf (?:\(((?:[^\\()]|\\.)*)\)|<([0-9a-f]*)>) Tj", line, re.S):
+                text += re.sub(rb"\\(.)", rb"\1", plain).decode("cp1252") if font == b"1" else bytes.fromhex(wide.decode()).decode("utf-16-be")
+            out.append(text)
+    return out, [re.sub(rb"\\(.)", rb"\1", u).decode() for u in re.findall(rb"/URI\(((?:[^\\()]|\\.)*)\)", data)]
+
+
+def test_pdf_keeps_every_character():
+    rows = [(1, "€ 12,50 (netto)", "https://shop.example/a(1)"), (2, "报价单 — 价格 ¥9,99", None), (3, "Größe \\ ›x‹ ł Ж 𝄞", ""), (4, "lang " * 100 + "Ende", None), (5, "two\nlines", None)]
+    data = exports.pdf(iter(rows), ["#", "名称", "Link"])
+    lines, links = pdf_text(data)
+    assert lines[0] == "#  |  名称  |  Link"
+    assert lines[1:4] == ["1  |  € 12,50 (netto)  |  https://shop.example/a(1)", "2  |  报价单 — 价格 ¥9,99  |  ", "3  |  Größe \\ ›x‹ ł Ж 𝄞  |  "]
+    assert "".join(lines[4:-1]) == "4  |  " + "lang " * 100 + "Ende  |  " and len(lines) == 8
+    assert lines[-1] == "5  |  two lines  |  " and links == ["https://shop.example/a(1)"]
+    # Every object is where the table of places says.
+    places = [int(p) for p in re.findall(rb"(\d{10}) 00000 n", data)]
+    assert all(data[p:].startswith(b"%d 0 obj" % (k + 1)) for k, p in enumerate(places)) and data[int(re.search(rb"startxref\n(\d+)", data)[1]) :].startswith(b"xref")
+    assert pdf_text(exports.pdf(iter([]), ["a"])) == (["a"], [])
+    assert len(pdf_text(exports.pdf(iter([(i,) for i in range(95)]), ["a"]))[0]) == 98
+
+
 def test_catalog_file(spark, tmp_path):
     path = tmp_path / "c.json"
     assert inputs.read_catalog(spark, str(path)).count() == 0
