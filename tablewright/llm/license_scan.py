@@ -20,12 +20,13 @@ THRESHOLD = 0.8
 HITS = "array<struct<license:string,whole:boolean,dice:double>>"
 # Wordings of license statements.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "Apache-2.0-notice": [
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ],
-    "BSD-3-Clause": [
+    # What the clauses share does not say how many there are.
+    "BSD": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     ],
@@ -58,6 +59,18 @@ TEMPLATES = {
     ],
 }
 
+#: Of licenses that are worded alike: the words that a statement must hold, and those that make it another license's.
+MARKS = {
+    "Apache-2.0": ("2", ""), "CC-BY-4.0": ("attribution 4", "noncommercial commercial nc sharealike share sa noderivatives noderivs derivatives nd"), "CC-BY-NC-4.0": ("nc 4", "sa nd"),
+    "EPL-2.0": ("2", ""), "GPL-3.0": ("3", "lesser affero library agpl lgpl"), "MPL-2.0": ("2", ""),
+}
+
+
+def marks_of(name: str) -> tuple[list[str], list[str]]:
+    """(needed, refused) words of a license."""
+    needed, refused = MARKS.get(name, ("", ""))
+    return needed.split(), refused.split()
+
 
 def template_words(text: str) -> list[str]:
     """The normalised words of a wording."""
@@ -107,7 +120,8 @@ def scan_licenses(
     """doc_id, unit_kind ('line' or 'paragraph'), unit_no (from 0), license, dice: one row per unit and license found.
 
     docs has doc_id and text; other columns are ignored. dice is the best of a license's wordings, for the whole unit
-    or, where that does not reach the threshold, for the best window in it. A paragraph is found by a window only for
+    or, where that does not reach the threshold, for the best window in it; a statement that lacks a license's own words (its version, say) or holds
+    those of one worded alike (lesser, noncommercial) is not that license's, however like it is. A paragraph is found by a window only for
     a license that none of its lines has. A null or
     empty text has no row; repeated rows are scanned each; a null doc_id is kept as null. An empty table
     gives an empty result.
@@ -116,9 +130,11 @@ def scan_licenses(
     if not rows:
         raise ValueError("no template has two words")
     lengths = [len(w) for name in sorted(templates) for w in map(template_words, templates[name]) if len(w) > 1]
+    strings = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    marks = lambda name: [strings(w).alias(k) for k, w in zip(("needed", "refused"), marks_of(name), strict=True)]
     known = F.array(
         *[
-            F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("m"), F.lit(k - 1).alias("k"), F.array(*map(F.lit, pairs)).alias("pairs"))
+            F.struct(F.lit(name).alias("license"), F.lit(len(pairs)).alias("m"), F.lit(k - 1).alias("k"), F.array(*map(F.lit, pairs)).alias("pairs"), *marks(name))
             for (name, pairs), k in zip(rows, lengths, strict=True)
         ]
     )
@@ -152,14 +168,23 @@ def scan_licenses(
         def dice(pairs: Column, t: Column) -> Column:
             return 2.0 * F.size(F.array_intersect(pairs, t["pairs"])) / (F.size(pairs) + t["m"])
 
+        def sound(pairs: Column, t: Column, d: Column) -> Column:
+            """d, or 0 where it would reach the threshold without the license's own words or with another's."""
+
+            def own(words: Column) -> Column:
+                return (F.size(F.array_intersect(words, t["needed"])) == F.size(t["needed"])) & ~F.arrays_overlap(words, t["refused"])
+
+            words = lambda: F.flatten(F.transform(pairs, lambda p: F.split(p, " ")))
+            return F.when(d < threshold, d).when(_let(words(), own), d).otherwise(0.0)
+
         def best_window(b: Column, t: Column) -> Column:
             starts = F.filter(F.transform(b, lambda p, i: F.when(F.array_contains(t["pairs"], p), i + 1)), lambda i: i.isNotNull())
-            return F.coalesce(F.array_max(F.transform(starts, lambda i: dice(F.array_distinct(F.slice(b, i, t["k"])), t))), F.lit(0.0))
+            return F.coalesce(F.array_max(F.transform(starts, lambda i: _let(F.array_distinct(F.slice(b, i, t["k"])), lambda s: _let(dice(s, t), lambda d: sound(s, t, d))))), F.lit(0.0))
 
         def scored(b: Column, near: Column) -> Column:
             whole = lambda pairs, t: F.when((F.size(pairs) >= t["m"] * F.lit(low)) & (F.size(pairs) <= t["m"] * F.lit(high)), dice(pairs, t)).otherwise(0.0)
             one = lambda t, d: F.struct(t["license"].alias("license"), (d >= threshold).alias("whole"), F.when(d >= threshold, d).otherwise(best_window(b, t)).alias("dice"))
-            of_all = _let(F.array_distinct(b), lambda pairs: F.transform(near, lambda t: _let(whole(pairs, t), lambda d: one(t, d))))
+            of_all = _let(F.array_distinct(b), lambda pairs: F.transform(near, lambda t: _let(_let(whole(pairs, t), lambda d: sound(pairs, t, d)), lambda d: one(t, d))))
             return _let(F.filter(of_all, lambda h: h["dice"] >= threshold), first_of_each)
 
         def first_of_each(some: Column) -> Column:
