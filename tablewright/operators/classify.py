@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tablewright.functions.text import clean_text, contains_any, selector_tokens
-from tablewright.functions.urls import host, origin, same_origin
+from tablewright.functions.urls import host, origin, path, same_origin
 from tablewright.operators.relational import once
 from tablewright.session import written
 
@@ -122,6 +122,19 @@ def adapter(hint: Column, url: Column, html: Column, hosts: dict[str, str]) -> C
     return F.coalesce(F.nullif(hint, F.lit("")), out)
 
 
+def shop_tests(url: Column) -> dict[str, Column]:
+    """Each shop adapter's own test of a url, by name; several may hold."""
+    u, name, query = F.coalesce(url, F.lit("")), host(url), F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(\?[^#]*)", 1))
+    parts = F.lower(path(url))
+    listed = F.contains(parts, F.lit("/kategorie")) | F.contains(parts, F.lit("/kategorien")) | F.contains(parts, F.lit("/listing"))
+    # The shops' hosts and the marks of platforms.
+    return {
+        "memoryking": name.rlike(r"(^|\.)memoryking\.de$"), "sinotronic": u.rlike(r"(?i)(?:^|\.)sinotronic-e\.com"),
+        "shopware": (origin(url) != "") & (name.rlike(r"\bshopware\b") | listed | query.rlike(r"[?&](scategory|spage|sviewport)=")),
+        "magento": u.rlike(r"(?i)magento|/catalog/category/|\.html(\?|\z)"), "woocommerce": u.rlike(r"(?i)woocommerce|/product-category/"),
+    }
+
+
 def fetch_strategy(url: Column, hint: Column, timeouts: Column, last_failed: Column) -> Column:
     """struct<use_browser, timeout_ms, delay_ms> from what recent fetches of the site did."""
     fast = F.coalesce(url, F.lit("")).rlike(r"(?i)cdn\.shopify|/collections/") | (F.coalesce(hint, F.lit("")) == "shopify")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tablewright.functions.ids import sku_missing
+from tablewright.functions.ids import is_check_number, sku_missing
 from tablewright.functions.text import blank, pick_first
 from tablewright.functions.urls import strip_fragment
 from tablewright.session import written
@@ -141,6 +141,19 @@ def overwrite(items: DataFrame, details: DataFrame, key: str, fields: tuple) ->
     return items.join(first, key, "left").withColumns(filled).drop(*[f"_{f}" for f in fields])
 
 
+def overwrite_sku(items: DataFrame, details: DataFrame, page: str, limit: int = 30) -> DataFrame:
+    """items with the sku of their detail page, if that has one, for `limit` rows of each page: first those whose sku is missing or a check number, then the rest.
+
+    Rows are taken in order of pos; those without a url are not looked up. details: url, pos, sku; the first row of a url counts.
+    """
+    bad = (F.trim(F.coalesce("sku", F.lit(""))) == "") | F.coalesce(is_check_number(F.trim(F.col("sku"))), F.lit(False))
+    asked = items.filter(F.coalesce("url", F.lit("")) != "").select(page, "pos", "url", (~bad).cast("int").alias("_sound"))
+    chosen = row_index(asked, ["_sound", "pos"], [page], "_n").filter(F.col("_n") <= limit)
+    first = keep_first(details, ["url"], ["pos"]).filter(F.trim(F.coalesce("sku", F.lit(""))) != "").select("url", F.col("sku").alias("_sku"))
+    found = chosen.join(first, "url").select(page, "pos", "_sku")
+    return items.join(found, [page, "pos"], "left").withColumn("sku", F.coalesce("_sku", "sku")).drop("_sku").select(*items.columns)
+
+
 def fill_rates(df: DataFrame, fields: list[str]) -> DataFrame:
     """One row: the share of rows with a value in each field; 0 for an empty table."""
     has = lambda f: F.avg(F.when(F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) != "", 1.0).otherwise(0.0))

@@ -73,6 +73,12 @@ add(
     "c11_host_test", SHOPS, lambda d: d.select("p_partkey", k.host(c("url")).rlike(r"(^|\.)shop\.example$").alias("hit")),
     "SELECT p_partkey, p_partkey % 3 < 2 AS hit FROM src",
 )
+SHOP_URLS = """SELECT p_partkey, CASE p_partkey % 11 WHEN 0 THEN 'https://www.memoryking.de/a' WHEN 1 THEN 'https://memoryking.de.example/a' WHEN 2 THEN 'http://www.sinotronic-e.com/list/3_1.html' WHEN 3 THEN 'https://demo.shopware.example/x' WHEN 4 THEN 'https://s.example/Kategorie/7?x=1'
+  WHEN 5 THEN 'https://s.example/a?sPage=2#top' WHEN 6 THEN 'https://m.example/catalog/category/view/5' WHEN 7 THEN 'https://m.example/a.html?x' WHEN 8 THEN 'https://w.example/product-category/lamps' WHEN 9 THEN 'no url /listing' END AS url FROM {part}"""
+add(
+    "c11_shop_tests", SHOP_URLS, lambda d: d.select("p_partkey", *[t.alias(n) for n, t in k.shop_tests(c("url")).items()]),
+    """SELECT p_partkey, n = 0 AS memoryking, n = 2 AS sinotronic, n IN (3, 4, 5) AS shopware, n IN (2, 6, 7) AS magento, n = 8 AS woocommerce FROM (SELECT p_partkey, p_partkey % 11 AS n FROM src)""",
+)
 add(
     "c15_fetch_probe", "SELECT event_id, CAST(user_id % 500 + 100 AS INT) AS status, CASE WHEN event_id % 3 = 0 THEN 'text/html; charset=utf-8' ELSE 'image/png' END AS kind FROM {events}",
     lambda d: d.select("event_id", (c("status").between(200, 299) & c("kind").startswith("text/html")).alias("ok"), ((c("status") >= 200) & (c("status") < 400)).alias("window")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.operators import mining
 from tablewright.operators import relational as r
 from tablewright.plans.base import TITLES, duck, table, view
 
@@ -72,6 +73,11 @@ add(
     "j12_overwrite", lambda s, d: r.overwrite(*both(s, d), "url", ("price",)).select("page_id", "pos", "price"),
     CTE + "SELECT page_id, i.pos, coalesce(nullif(f.price, ''), i.price) AS price FROM i LEFT JOIN f ON f.url = i.url",
 )
+add(
+    "j11_sku_overwrite", lambda s, d: r.overwrite_sku(*both(s, d), "page_id", 3).select("page_id", "pos", "sku"),
+    CTE + """, n AS (SELECT page_id, pos, url, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN trim(sku) = '' THEN 0 ELSE 1 END, pos) AS n FROM i WHERE url <> '')
+    SELECT i.page_id, i.pos, coalesce(nullif(f.sku, ''), i.sku) AS sku FROM i LEFT JOIN n ON n.page_id = i.page_id AND n.pos = i.pos AND n.n <= 3 LEFT JOIN f ON f.url = n.url""",
+)
 add(
     "j11_candidate_choice", lambda s, d: r.row_index(both(s, d)[0].withColumn("strong", ~r.sku_missing(c("sku"))), ["strong", "pos"], ["page_id"], "k").filter("k <= 3").select("page_id", "pos", "k"),
     CTE + "SELECT page_id, pos, CAST(row_number() OVER (PARTITION BY page_id ORDER BY length(trim(sku)) >= 4, pos) AS INTEGER) AS k FROM i QUALIFY k <= 3",
@@ -161,6 +167,17 @@ add(
     "a13_rule_quality", lambda s, d: r.rule_quality(table(s, d, "labels"), "quality", "toxic"),
     "SELECT quality, count(*) AS support, avg(toxic) AS precision, avg(toxic) / (SELECT avg(toxic) FROM labels) AS lift FROM labels GROUP BY quality",
 )
+RULE_PARTS = {"returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "many": "l_quantity > 30", "cheap": "l_extendedprice < 20000", "discounted": "l_discount >= 0.05"}
+add(
+    "a13_candidate_rules",
+    lambda s, d: mining.candidate_rules(table(s, d, "lineitem"), {k: F.expr(v) for k, v in RULE_PARTS.items()}, F.expr("l_tax > 0.04"), F.year("l_shipdate"), 500, 3).select(F.array_join("conditions", "&").alias("rule"), "support", "precision", "lift", "stability_score"),
+    f"""WITH r AS (SELECT list_filter([{", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in sorted(RULE_PARTS.items()))}], lambda x: x IS NOT NULL) AS c, CAST(l_tax > 0.04 AS INTEGER) AS h, year(l_shipdate) AS f FROM lineitem),
+    one AS (SELECT row_number() OVER () AS i, * FROM r), x AS (SELECT i, h, f, unnest(c) AS c FROM one),
+    s AS (SELECT c AS rule, h, f FROM x UNION ALL SELECT a.c || '&' || b.c, a.h, a.f FROM x a JOIN x b ON a.i = b.i AND a.c < b.c
+      UNION ALL SELECT a.c || '&' || b.c || '&' || e.c, a.h, a.f FROM x a JOIN x b ON a.i = b.i AND a.c < b.c JOIN x e ON e.i = b.i AND b.c < e.c),
+    g AS (SELECT rule, f, count(*) AS n, avg(h) AS p FROM s GROUP BY rule, f), t AS (SELECT rule, count(*) AS support, avg(h) AS precision FROM s GROUP BY rule HAVING count(*) >= 500)
+    SELECT rule, support, precision, precision / (SELECT avg(h) FROM r) AS lift, 1 - sum(n * abs(p - precision)) / support AS stability_score FROM t JOIN g USING (rule) GROUP BY rule, support, precision""",
+)
 add(
     "a14_rollup", lambda s, d: table(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum(c("l_quantity").cast("long")).alias("quantity"), F.grouping_id().cast("int").alias("level")),
     "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

@@ -15,10 +15,14 @@ UTC = datetime.timezone.utc
 
 @pytest.fixture()
 def rocks(spark):
-    before = spark.conf.get(KEY)
-    spark.conf.set(KEY, ROCKS)
+    # Every batch opens a store in every partition; two are enough here.
+    new = {KEY: ROCKS, "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
     yield spark
-    spark.conf.set(KEY, before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
 
 
 def streamed(spark, tmp_path, batches, build, mode="append", gone=None):
@@ -59,7 +63,7 @@ def test_debounce_with_timers_equals_batch_and_forgets(rocks, tmp_path):
     mixed = sorted(rows, key=lambda r: r[1].timestamp() + pick.uniform(-20, 20))
     kind, forget = "key string, ts timestamp, i int", 60_000
     stream, progress = streamed(
-        rocks, tmp_path, cut(rocks, mixed, kind, 8, ("end", at(ms + 10_000_000), -1)), lambda s: stateful.debounced_timers(s, "key", "ts", 1500, "60 seconds", forget)
+        rocks, tmp_path, cut(rocks, mixed, kind, 6, ("end", at(ms + 10_000_000), -1)), lambda s: stateful.debounced_timers(s, "key", "ts", 1500, "60 seconds", forget)
     )
     batch = diagnostics.debounced(rocks.createDataFrame(rows, kind).withColumn("ms", F.unix_millis("ts")), "key", "ms", "i", 1500).filter("emitted")
     want = sorted((r.key or "", r.ms, r.g) for r in batch.select("key", "ms", stateful.forgotten(F.col("gap_ms"), forget).alias("g")).collect())
@@ -101,7 +105,8 @@ def spans(df):
     return sorted((r[0], str(r[1]), str(r[2]), r[3], r[4]) for r in df)
 
 
-def test_request_spans_of_stream_and_batch(spark, tmp_path):
+def test_request_spans_of_stream_and_batch(rocks, tmp_path):
+    spark = rocks
     pick, base, rows = random.Random(9), 1_700_000_000_000, []
     for i in range(300):
         start = base + 1000 * i
