@@ -86,6 +86,12 @@ add(
     SELECT s.req_id, epoch_us(f.ts) // 1000 - epoch_us(s.ts) // 1000 AS span_ms, CASE WHEN f.ts IS NULL THEN 'open' ELSE 'done' END AS status
     FROM (SELECT * FROM e WHERE o = 0) s LEFT JOIN (SELECT * FROM e WHERE o = 1) f ON f.req_id = s.req_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 7 DAY""",
 )
+add(
+    "t07_retry_schedule", lambda s, d: t.retry_schedule(events(s, d), "event_id", "ms"),
+    CRC.replace("CAST(event_id AS VARCHAR)", "name").replace("FROM events, bits", "FROM (SELECT *, event_id || ':' || i AS name FROM events, range(3) r(i)), bits")
+    + """, w AS (SELECT event_id, i, epoch_us(ts) // 1000 AS ms, 800 * (1 << CAST(i AS INTEGER)) + crc % 401 AS wait_ms FROM c)
+    SELECT event_id, CAST(i AS INTEGER) AS attempt, CAST(wait_ms AS BIGINT) AS wait_ms, CAST(ms + sum(wait_ms) OVER (PARTITION BY event_id ORDER BY i) AS BIGINT) AS at_ms FROM w""",
+)
 add(
     "t07_backoff", lambda s, d: s.createDataFrame([(i, w) for i, w in enumerate(t.backoff(5, 800))], "attempt int, wait_ms int"),
     "SELECT CAST(i AS INTEGER) AS attempt, CAST(800 * 2 ** i AS INTEGER) AS wait_ms FROM range(5) r(i)",

@@ -153,6 +153,19 @@ def backoff(attempts: int, delay_ms: int) -> list[int]:
     return [delay_ms * 2**i for i in range(attempts)]
 
 
+def retry_schedule(failed: DataFrame, key: str, ts_ms: str, attempts: int = 3, delay_ms: int = 800, jitter_ms: int = 400) -> DataFrame:
+    """key, attempt (from 0), wait_ms, at_ms: when each failed request is tried again; waits double, and each has up to jitter_ms more, by a hash of key and attempt.
+
+    Rows without a time have no schedule.
+    """
+    tries = F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), lambda i: F.struct(i.alias("attempt"), (F.lit(delay_ms) * F.pow(F.lit(2), i)).cast("long").alias("base")))
+    rows = failed.filter(F.col(ts_ms).isNotNull()).select(key, ts_ms, F.explode(tries).alias("t"))
+    jitter = F.pmod(F.crc32(F.encode(F.concat_ws(":", F.col(key).cast("string"), F.col("t.attempt").cast("string")), "UTF-8")), F.lit(jitter_ms + 1))
+    waits = rows.select(key, ts_ms, "t.attempt", (F.col("t.base") + jitter).cast("long").alias("wait_ms"))
+    order = W.partitionBy(key, ts_ms).orderBy("attempt").rowsBetween(W.unboundedPreceding, 0)
+    return waits.select(key, "attempt", "wait_ms", (F.col(ts_ms) + F.sum("wait_ms").over(order)).alias("at_ms"))
+
+
 def merged_stages(df: DataFrame, task: str, order: str, stages: str) -> DataFrame:
     """By task, one map of stages: of equal keys the last one's value."""
     pairs = df.select(task, order, F.explode(stages).alias("k", "v"))
