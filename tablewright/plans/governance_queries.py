@@ -8,7 +8,7 @@ from tablewright.operators import contracts
 from tablewright.operators import matching as m
 from tablewright.operators import policy as p
 from tablewright.operators import quote as q
-from tablewright.plans.base import duck, table, view
+from tablewright.plans.base import duck, spread, table, view
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,7 +119,7 @@ MANIFEST_JSON = """SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN m WHEN 1 THE
     || '","fieldChanges":[{"field":"title","decision":"dedupe","beforeCandidates":[{"value":"' || p_name || '","confidence":0.5,"source":"dom","evidenceId":"e1"}],"afterCanonical":{"value":null,"confidence":1,"source":"dom"},"loss":{"score":0.01,"type":"format_loss"},"rationale":"r"}],'
     || '"evidenceAnchors":[],"lossTotals":{"fieldLossScoreSum":0.01,"fieldCount":1,"avgFieldLoss":0.01}}]}' AS m FROM (SELECT *, 'sha256:' || lower(sha256(p_name)) AS h FROM {part}) p) q"""
 add(
-    "m09_manifest_contract", lambda s, d: view(s, d, MANIFEST_JSON.replace("sha256(p_name)", "sha2(p_name, 256)")).select("p_partkey", F.array_join(contracts.contract_errors("j", contracts.MANIFEST), "|").alias("errors")),
+    "m09_manifest_contract", lambda s, d: spread(view(s, d, MANIFEST_JSON.replace("sha256(p_name)", "sha2(p_name, 256)"))).select("p_partkey", F.array_join(contracts.contract_errors("j", contracts.MANIFEST), "|").alias("errors")),
     """SELECT p_partkey, ['', '$.requestId: required|$.request: additionalProperties', '$.items[0].fieldChanges[0].decision: enum', '$.summary.avgLossScore: maximum', '$.createdAt: format', '$.summary.itemsIn: type',
       '$.items[0].fieldChanges[0].field: minLength', '$.hashes.inputBundleHash: pattern|$.hashes.compressedBundleHash: pattern', '$: json'][p_partkey % 9 + 1] AS errors FROM part""",
 )

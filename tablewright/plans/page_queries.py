@@ -8,7 +8,7 @@ from tablewright.functions.html import html_nodes
 from tablewright.functions.prices import NEAR_PRICE
 from tablewright.operators import classify as k
 from tablewright.operators import relational, twig
-from tablewright.plans.base import TITLES, duck, table, view
+from tablewright.plans.base import TITLES, duck, spread, table, view
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -203,7 +203,7 @@ STRUCTURED = {
     "nav_links": "nav ul > li a[href]", "paragraphs": "article > p", "bold": "article p b", "blocks": "body > *", "last_item": "nav li:last", "lead": "h1 + p", "after_title": "h1 ~ p",
     "first_item": "ul > li:first-child", "next_paragraphs": "p + p, nav + p", "no_links": "footer > a, article nav", "third": "article > p:eq(2)", "plain": "body > div:not(.ad), body > footer",
 }
-QUERIES["g01_twig_join"] = lambda spark, d: twig.find(html_nodes(table(spark, d, "pages")), STRUCTURED, in_order=True).groupBy("page_id", "name").agg(F.count("*").alias("n"))
+QUERIES["g01_twig_join"] = lambda spark, d: twig.find(html_nodes(spread(table(spark, d, "pages"))), STRUCTURED, in_order=True).groupBy("page_id", "name").agg(F.count("*").alias("n"))
 SQL["g01_twig_join"] = r"""
 WITH s AS (SELECT page_id, html, regexp_extract(html, '(?s)<article.*?</article>') AS a, regexp_extract(html, '(?s)<nav.*?</nav>') AS v FROM pages),
 n AS (SELECT page_id, len(regexp_extract_all(v, '<a ')) AS l, len(regexp_extract_all(a, '<p[ >]')) AS p, len(regexp_extract_all(a, '<b>')) AS b,
