@@ -3,7 +3,8 @@
 A text's vector is TF-IDF over all its words; a word's weight grows with how much oftener it is in toxic examples than
 by chance (the root of its log-likelihood ratio), and no word is left out. Its NEIGHBOURS nearest examples by
 exact cosine come from an inverted index with block maxima: blocks of examples are scored in order of their bounds,
-until no block left can reach the worst neighbour. The neighbours vote with their cosines; an isotonic curve, fitted on
+until no block left can reach the worst neighbour. The commonest terms, whose postings would be most of the work, lie in
+columns: a product of matrices gives what they add for many texts at once, to the bounds as well. The neighbours vote with their cosines; an isotonic curve, fitted on
 the examples with each left out in turn, makes the vote a probability. Nothing but the text enters a score.
 
 The classifier is fitted on labelled rows in order of their hash: at most SAMPLE of them, and only those that fit in
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,32 @@ PRIOR_RATE = 0.1
 #: Examples lie side by side by their heaviest term, of those in one of so many examples; so blocks hold like texts.
 COMMON = 50
 #: Blocks that are scored first; each following run is four times as long.
-FIRST_BLOCKS, GROWTH = 12, 4
+FIRST_BLOCKS, GROWTH = 24, 4
+#: A term in one of so many examples lies in a column of its own instead of the postings; so many columns at most (16 MB).
+FREQUENT, COLUMNS = 16, 512
+#: Texts that are searched for at once, and their postings, unless one text has more; what a product of matrices may be off.
+BATCH, WORK, OFF = 64, 500_000, 1e-9
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII but for letters becomes blank; so many other characters that are in no word do by hand, beyond that the pattern is faster.
+_BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+MARKS = 32
+
+
+def _words(text: str) -> list[bytes]:
+    """What _WORD finds in a text, as UTF-8."""
+    if not text.isascii():
+        marks = [c for c in set(text) if c > "\x7f" and not _WORD.match(c)]
+        if len(marks) > MARKS:
+            return [w.encode() for w in _WORD.findall(text)]
+        for c in marks:
+            text = text.replace(c, " ")
+    return text.encode().translate(_BLANK).split()
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct words of a text as 64-bit hashes, ascending, and their counts."""
-    counts = Counter(_WORD.findall((text or "").lower()))
-    digest = xxhash.xxh64_intdigest
-    terms = np.fromiter((digest(w.encode("utf-8", "replace")) for w in counts), dtype=np.uint64, count=len(counts)).view(np.int64)
+    counts = Counter(_words((text or "").lower()))
+    terms = np.fromiter(map(xxhash.xxh64_intdigest, counts), dtype=np.uint64, count=len(counts)).view(np.int64)
     order = np.argsort(terms)
     return terms[order], np.fromiter(counts.values(), dtype=np.int32, count=len(counts))[order]
 
@@ -86,6 +104,7 @@ class BlockMaxIndex:
     """Examples by term, in blocks of BLOCK, with each block's largest weight of each term.
 
     Cells are pairs of a term and a block, in order; a cell has its block, its largest weight and its postings.
+    Frequent terms have no cells but columns of weights.
     """
 
     def __init__(self, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int) -> None:
@@ -104,6 +123,17 @@ class BlockMaxIndex:
         self.toxic = toxic[self.example].astype(np.float64)
         self.blocks = -(-n // BLOCK)
         row = self.place[row].astype(np.int32)
+        held = np.bincount(term, minlength=size)
+        frequent = np.argsort(-held, kind="stable")[:COLUMNS]
+        frequent = frequent[held[frequent] * FREQUENT >= n]
+        #: The column of each term; -1 if it has none.
+        self.column = np.full(size, -1, dtype=np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        own = self.column[term]
+        some = own >= 0
+        self.columns = np.zeros((n, len(frequent)))
+        self.columns[row[some], own[some]] = weight[some]
+        row, term, weight = row[~some], term[~some], weight[~some]
         order = np.lexsort((row, term))
         self.row, self.weight, term = row[order], weight[order], term[order]
         cell = term * max(1, self.blocks) + self.row // BLOCK
@@ -112,43 +142,74 @@ class BlockMaxIndex:
         self.cell_block = (cell[first] % max(1, self.blocks)).astype(np.int32)
         self.cell_top = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.term_at = np.searchsorted(term[first], np.arange(size + 1))
+        #: Postings of each term.
+        self.postings = np.bincount(term, minlength=size).astype(np.int32)
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples of positive cosine, nearest first; equal cosines by example."""
-        places, cosines = np.empty(0, np.int64), np.empty(0)
-        if not len(at) or not self.blocks:
-            return places, cosines
+        return next(self.nearest_of([(at, weight)], k, None if without is None else np.array([without])))
+
+    def nearest_of(self, queries: Iterable[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As nearest, for each query; what one gets does not depend on the others."""
+        part, left, done = [], WORK, 0
+        for at, weight in queries:
+            work = int(self.postings[at].sum())
+            if part and (len(part) == BATCH or work > left):
+                yield from self._nearest(part, k, None if without is None else without[done : done + len(part)])
+                part, left, done = [], WORK, done + len(part)
+            part.append((at, weight))
+            left -= work
+        if part:
+            yield from self._nearest(part, k, None if without is None else without[done:])
+
+    def _nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        m, n = len(queries), len(self.example)
+        owner, places, cosines, floor = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.zeros(m)
+        at, weight = (np.concatenate(x) for x in zip(*queries, strict=True))
+        query = np.repeat(np.arange(m), [len(a) for a, _ in queries])
+        column = self.column[at]
+        some = column >= 0
+        dense = np.zeros((m, self.columns.shape[1]))
+        dense[query[some], column[some]] = weight[some]
+        common = dense @ self.columns.T
+        at, weight, query = at[~some], weight[~some], query[~some]
         size = self.term_at[at + 1] - self.term_at[at]
-        cell, own = _ranges(self.term_at[at], size), np.repeat(weight, size)
-        block = self.cell_block[cell]
-        bound = np.bincount(block, own * self.cell_top[cell], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
+        cell, own, query = _ranges(self.term_at[at], size), np.repeat(weight, size), np.repeat(query, size)
+        block = query * self.blocks + self.cell_block[cell]
+        bound = np.bincount(block, own * self.cell_top[cell], minlength=m * self.blocks).reshape(m, self.blocks)
+        if n:
+            bound = bound + np.maximum.reduceat(common, np.arange(0, n, BLOCK), axis=1)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
         first, step = 0, FIRST_BLOCKS
-        while first < len(order):
-            run = order[first : first + step]
-            run = run[bound[run] > 0] if len(places) < k else run[bound[run] >= cosines[-1] - 1e-9]
-            if not len(run):
+        while first < self.blocks:
+            chosen = (rank >= first) & (rank < first + step) & (bound > 0) & (bound >= floor[:, None] - OFF)
+            if not chosen.any():
                 break
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[run] = True
-            some = np.flatnonzero(chosen[block])
+            some = np.flatnonzero(chosen.ravel()[block])
             start = self.cell_at[cell[some]]
             size = self.cell_at[cell[some] + 1] - start
             posting = _ranges(start, size)
-            score = np.bincount(self.row[posting], np.repeat(own[some], size) * self.weight[posting])
-            if without is not None and without < len(score):
-                score[without] = 0.0
-            if len(places) == k:
-                hit = np.flatnonzero(score >= cosines[-1] - 1e-9)
-            elif np.count_nonzero(score) > k:
-                hit = np.flatnonzero((score > 0) & (score >= np.partition(score, -k)[-k] - 1e-9))
-            else:
-                hit = np.flatnonzero(score)
-            places, cosines = np.append(places, hit), np.append(cosines, np.round(score[hit], 12))
-            best = np.lexsort((self.example[places], -cosines))[:k]
-            places, cosines = places[best], cosines[best]
+            row = np.repeat(query[some] * n, size) + self.row[posting]
+            score = np.bincount(row, np.repeat(own[some], size) * self.weight[posting], minlength=m * n).reshape(m, n)
+            near = (score + common) * np.repeat(chosen, BLOCK, axis=1)[:, :n]
+            if without is not None:
+                near[np.arange(m), without] = 0.0
+            least, short = floor.copy(), np.flatnonzero(floor == 0)
+            if len(short) and n > k:
+                least[short] = np.partition(near[short], n - k, axis=1)[:, n - k]
+            who, hit = np.nonzero((near > 0) & (near >= least[:, None] - OFF))
+            # Summed anew for these alone, as the product's last digits hang on the other texts.
+            exact = score[who, hit] + np.einsum("ij,ij->i", self.columns[hit], dense[who])
+            owner, places, cosines = np.append(owner, who), np.append(places, hit), np.append(cosines, np.round(exact, 12))
+            best = np.lexsort((self.example[places], -cosines, owner))
+            best = best[np.arange(len(best)) - np.searchsorted(owner[best], owner[best]) < k]
+            owner, places, cosines = owner[best], places[best], cosines[best]
+            ends = np.searchsorted(owner, np.arange(m), "right")
+            full = np.bincount(owner, minlength=m) == k
+            floor[full] = cosines[ends[full] - 1]
             first, step = first + step, GROWTH * step
-        return places, cosines
+        ends = np.searchsorted(owner, np.arange(1, m))
+        yield from zip(np.split(places, ends), np.split(cosines, ends), strict=True)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray, base: float) -> float:
         """Share of toxic neighbours weighted by cosine, with a little weight on the base rate."""
@@ -170,7 +231,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Weights, index and, once calibrated, a curve; scores one text at a time."""
+    """Weights, index and, once calibrated, a curve; scores texts."""
 
     def __init__(self, ids: list, toxic: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
         """Examples in order of their ids: labels, numbers of terms, and the terms and counts of one after the other."""
@@ -185,24 +246,24 @@ class Model:
         self.index = BlockMaxIndex(toxic, sizes, at, part / np.repeat(length, sizes), len(known))
         self.knots, self.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
-    def without(self, example: int, terms: np.ndarray, counts: np.ndarray) -> float:
-        """The vote on an example by the others."""
-        at, weight = self.weights.vector(terms, counts)
-        return self.index.vote(*self.index.nearest(at, weight, NEIGHBOURS, int(self.index.place[example])), self.base)
+    def without(self, examples: list[int], vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        """The votes on examples, given by their terms and counts, by the others."""
+        queries, places = (self.weights.vector(*v) for v in vectors), self.index.place[examples]
+        return [self.index.vote(*found, self.base) for found in self.index.nearest_of(queries, NEIGHBOURS, places)]
 
     def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
         """Fit the curve from votes to probabilities."""
         if len(votes):
             self.knots, self.values = isotonic(np.concatenate(([0.0], votes, [1.0])), np.concatenate(([0.0], toxic, [1.0])))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Probability of the label, and its evidence: the neighbours' places and cosines, nearest first."""
-        places, cosines = self.index.nearest(*self.weights.vector(*counted(text)), NEIGHBOURS)
-        return float(np.interp(self.index.vote(places, cosines, self.base), self.knots, self.values)), places, cosines
-
     def scores(self, texts: list) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """As score; repeated texts are scored once."""
-        seen = {t: self.score(t) for t in set(texts)}
+        """Each text's probability of the label, and its evidence: the neighbours' places and cosines, nearest first.
+
+        Repeated texts are scored once.
+        """
+        own = list(dict.fromkeys(texts))
+        found = self.index.nearest_of((self.weights.vector(*counted(t)) for t in own), NEIGHBOURS)
+        seen = {t: (float(np.interp(self.index.vote(p, c, self.base), self.knots, self.values)), p, c) for t, (p, c) in zip(own, found, strict=True)}
         return [seen[t] for t in texts]
 
     def evidence(self, found: list[tuple[float, np.ndarray, np.ndarray]], own: pa.DataType) -> pa.Array:
@@ -263,7 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Callable[[], Model]:
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted, place = shared.value
         for part in batches:
-            made = [fitted.without(place[d], np.asarray(t), np.asarray(c)) for d, t, c in zip(part["doc_id"], part["terms"], part["counts"], strict=True)]
+            vectors = [(np.asarray(t), np.asarray(c)) for t, c in zip(part["terms"], part["counts"], strict=True)]
+            made = fitted.without([place[d] for d in part["doc_id"]], vectors)
             yield pd.DataFrame({"vote": np.array(made, dtype=np.float64), "toxic": part["toxic"].to_numpy(np.float64)})
 
     spread = examples.repartition(min(partitions(docs), max(1, len(sizes) // 64)))

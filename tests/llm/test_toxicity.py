@@ -35,6 +35,54 @@ def test_index_equals_brute_force():
         assert i not in index.example[left_out] and len(left_out) == 16
 
 
+def test_frequent_terms_cost_no_postings(monkeypatch):
+    # Fifty words in all of 2,000 examples, and three of 3,000 rare ones in each.
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(2000):
+        at = np.append(np.arange(50), np.sort(rng.choice(np.arange(50, 3050), 3, replace=False)))
+        w = rng.random(53) + 0.1
+        vectors.append((at, w / np.sqrt((w**2).sum())))
+    index = t.BlockMaxIndex(rng.integers(0, 2, 2000), np.full(2000, 53), *(np.concatenate(x) for x in zip(*vectors, strict=True)), 3050)
+    read, ranges = [], t._ranges
+    monkeypatch.setattr(t, "_ranges", lambda start, size: read.append(int(size.sum())) or ranges(start, size))
+    dense = np.zeros((2000, 3050))
+    for i, (at, w) in enumerate(vectors):
+        dense[i, at] = w
+    for i in range(40):
+        places, cosines = index.nearest(*vectors[i], 16)
+        want = np.sort(np.round(dense @ dense[i], 12))[::-1][:16]
+        assert np.allclose(cosines, want, atol=1e-11) and np.allclose(dense[index.example[places]] @ dense[i], want, atol=1e-11)
+    # The postings of the fifty would be 100,000 a search.
+    assert sum(read) < 40 * 200
+
+
+def test_search_does_not_depend_on_other_queries(monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = []
+    for _ in range(700):
+        at = np.sort(rng.choice(2000, rng.integers(0, 300), replace=False))
+        at = np.unique(np.append(at, rng.integers(0, 40, 10))) if len(at) else at
+        w = rng.random(len(at)) + 0.1
+        vectors.append((at, w / np.sqrt((w**2).sum())))
+    index = t.BlockMaxIndex(rng.integers(0, 2, 700), np.array([len(a) for a, _ in vectors]), *(np.concatenate(x) for x in zip(*vectors, strict=True)), 2000)
+    assert 0 < index.columns.shape[1] < 2000
+    alone = [index.nearest(*v, 16) for v in vectors]
+    for batch, work in ((64, 500_000), (7, 500_000), (64, 3_000)):
+        monkeypatch.setattr(t, "BATCH", batch)
+        monkeypatch.setattr(t, "WORK", work)
+        for (p, c), (q, d) in zip(alone, index.nearest_of(iter(vectors), 16), strict=True):
+            assert np.array_equal(p, q) and np.array_equal(c, d)
+    left_out = list(index.nearest_of(iter(vectors), 16, index.place))
+    assert all(i not in index.example[p] and (len(p) == 16 or not len(v[0])) for i, ((p, _), v) in enumerate(zip(left_out, vectors, strict=True)))
+
+
+def test_words_are_those_of_the_pattern():
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x3100)] + [f"x{chr(c)}y" for c in range(0xD000, 0x20000, 7)]
+    texts += ["", "it's 3rd_party \u2014 \u00bd caf\u00e9\u0301 \u0130", "".join(map(chr, range(0x2000, 0x2400)))]
+    assert all(t._words(x) == [w.encode() for w in t._WORD.findall(x)] for x in texts)
+
+
 def test_isotonic_does_not_fall():
     rng = np.random.default_rng(2)
     x = rng.random(200)
