@@ -4,8 +4,10 @@ import threading
 import zipfile
 from xml.etree import ElementTree
 
+import duckdb
 from pyspark.sql import functions as F
 
+from tablewright.plans import more_queries
 from tablewright.sources import exports, http as pages, inputs
 
 
@@ -55,6 +57,26 @@ def test_pdf_keeps_every_character():
     assert len(pdf_text(exports.pdf(iter([(i,) for i in range(95)]), ["a"]))[0]) == 98
 
 
+def test_printed_lines_do_not_hang_on_how_rows_are_dealt(spark):
+    rows = [(1, 5, f"n{i:02}", "b" if i % 2 else "a") for i in range(60)] + [(1, None, "m", "a"), (1, 4, "z", "z"), (1, 6, None, "a")]
+    for dealt in (rows, rows[::-1]):
+        got = exports.table_lines(spark.createDataFrame(dealt, "g int, pos int, name string, kind string").coalesce(1), "g", "pos", ["kind", "name"]).orderBy("idx").collect()
+        assert [r.line for r in got] == ["1  |  z  |  z", *[f"{k + 2}  |  {x}  |  {n}" for k, (x, n) in enumerate(sorted((r[3], r[2]) for r in rows[:60]))], None, "63  |  a  |  m"]
+        assert [r.page for r in got] == [1] * 40 + [2] * 23
+
+
+def test_pdf_cells_of_null_keys_equal_sql(spark, tmp_path):
+    con = duckdb.connect()
+    # At most one null in an order: where two are at one place, the SQL leaves open which comes first.
+    con.execute("""CREATE VIEW lineitem AS SELECT * REPLACE (CASE WHEN n = 2 AND l_orderkey % 3 = 0 THEN NULL ELSE l_partkey END AS l_partkey, CASE WHEN n = 2 AND l_orderkey % 3 = 1 THEN NULL ELSE l_linenumber END AS l_linenumber)
+      FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM read_parquet('/root/testdata/sf0.001/lineitem.parquet'))""")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    want = con.execute(more_queries.SQL["o06_pdf_cells"]).fetchall()
+    assert sum(line is None for *_, line in want) > 100
+    got = more_queries.QUERIES["o06_pdf_cells"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_catalog_file(spark, tmp_path):
     path = tmp_path / "c.json"
     assert inputs.read_catalog(spark, str(path)).count() == 0
