@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.plans import listing_queries
 from tablewright.sources.charsets import Detector, detect_charset, page_text
 
 WORDS = {
@@ -62,6 +64,34 @@ def test_odd_bytes():
     assert detect(b"\xff" * 2_000_000)[0]
 
 
+#: Latin-1 texts whose few words beyond ASCII are likelier letters of another script if they are read alone, or read once for each time that they are repeated.
+LATIN = [
+    "Aionon on èê, le paeuxel", "Eniebe öö, getzte.", "enstungge" + " üß" * 29, "Ehe die Ê kam, war es gut.", "Aireou un vi çç anou etenaieauvi reou pour èè de.",
+    "EIN SCHÜ!! " + "EINÄÄ!! ÖÄ!! " * 56 + "UND DIE KLASSE", "Ehe Ñíco kam, war es gut.", "Die ÈÈ kam, als es schon sehr lange gut war.",
+]
+
+
+def test_latin_words_speak_against_other_scripts():
+    detect = Detector()
+    assert [detect(t.encode("cp1252"))[0] for t in LATIN] == ["windows-1252"] * len(LATIN)
+    # Markup is no text, and a few brand names are outweighed.
+    page = "<html><head><script>var some = code, that = of(other, words); // and more of them, as scripts go</script></head><body class=wide><p>{}</p></body></html>"
+    for words, codec, name in (("он и она", "cp1251", "windows-1251"), ("новый Apple iPhone Pro Max купить", "cp1251", "windows-1251"), ("商品价格", "gb18030", "gb18030"), ("ASUS ROG Strix Gaming 产品图片", "gb18030", "gb18030"), ("가격 USB HDMI 상품", "cp949", "euc-kr")):
+        assert detect(page.format(words).encode(codec))[0] == name, words
+
+
+def test_detected_charsets_of_odd_documents_equal_sql(spark, tmp_path):
+    texts = [*LATIN, "", None, "a", "é", "\n", "Größe der Straße", "日本 shop online ключ 𝄞 clef für alle", "\ufeffabc", "aéb", "a\u00a0b"]
+    # Without a byte order mark, UTF-16 is known by the zeros of Latin letters.
+    rows = [(4 * i + k, t) for i, t in enumerate(texts) for k in range(4) if k != 2 or max(t or "a") < "\u0100"]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = listing_queries.QUERIES["s05_detected_charset"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(listing_queries.SQL["s05_detected_charset"]).fetchall())
+
+
 def test_columns(spark):
     texts = ["Größe", "Цена товара и корзина, очень новый год", "商品价格，购物车。这是我们的产品", "", None]
     rows = list(zip(texts, ["cp1252", "koi8_r", "gb18030", "ascii", None], strict=True))
